@@ -5,10 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup, mixing, warc
 from .common import table
 from .jaccard import jaccard_components
+from .packing import pack_documents
 from .repetition import quality_rules
+from .sharding import shard_documents
+
+#: Target weights of the mixture: domains, languages, sources (1 where not named).
+LEVELS = ("domain", "lang", "source")
+WEIGHTS = ({"0": 4, "1": 3, "2": 2, "3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}, {"src0": 2})
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The tables have no domain: it is the source's number modulo 4 (0 where it has none)."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    return docs.withColumn("domain", (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
+
+
+def tokenizer_files() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_spread_lines(docs).drop("source")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +41,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(docs, LEVELS, WEIGHTS).select("doc_id", *LEVELS, "n_tokens", "epoch")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("url").withColumnRenamed("key", "page_id")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_rules": op2_quality_rules,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
+    f.__name__: f
+    for f in (op1_line_dedup, op2_quality_rules, op3_source_mixing, op6_packing, op7_sharding, op8_warc, op9_ngram_jaccard)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE}
