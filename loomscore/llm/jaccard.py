@@ -4,12 +4,14 @@
    copies, however many, count once.
 2. A count-min row of fixed width over all shingles of all texts orders shingles from rare to frequent. Any
    order gives the same links; this one keeps passages that many texts share out of the prefixes.
-3. Two sets with enough overlap share a shingle among their first n - ceil(t n) + 1 (prefix filter). Only
-   shingles in two prefixes or more matter from here on.
+3. Two sets with enough overlap share at least k shingles among their first n - ceil(t n) + k each (prefix filter), here
+   with k a tenth of the smaller set. Only shingles in two prefixes or more matter from here on, and only
+   nodes with enough of those.
 4. Groups: each node is compared with the leader it shares most prefix shingles with, and components of those links, cut
    into runs of bounded size, are the groups.
-5. The token-group matrix has each group's prefix shingles (to find query-group pairs between components) and
-   its full union (to bound the overlap). Groups that reach the bound are opened, and their members compared exactly.
+5. The token-group matrix has the union of each group's prefix shingles (a query and a group of another component
+   need k in common) and of its whole sets (they must hold 80 % of the query's). Groups that reach both bounds are
+   opened, and their members compared exactly.
    Pairs within a component need no comparison: they are linked already.
 6. Components of all links give the answer; texts get it through their node."""
 
@@ -62,6 +64,7 @@ def jaccard_components(
     percent: int = 80,
     heat_bits: int = 21,
     group_size: int = 32,
+    common: float = 0.1,
 ) -> DataFrame:
     """(key, n_shingles, component_id): component_id is the least key reachable by links, two texts being
     linked when 100 * intersection >= percent * union of their sets of `width`-word shingles (words: runs without ASCII
@@ -72,6 +75,16 @@ def jaccard_components(
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")
     spark = docs.sparkSession
 
+    def least(n: int) -> int:
+        """The size of the smallest set that can be alike one of n."""
+        return -(-percent * n // 100)
+
+    def shared_by(n: int) -> int:
+        return max(1, int(common * n))
+
+    # What shared_by says of the smallest set that can be alike a set of n.
+    needed = f"greatest(1, floor({common}D * ceil({percent} * n / 100D)))"
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << heat_bits, np.int64)
         least = 0
@@ -112,7 +125,7 @@ def jaccard_components(
                 done.add(sign)
                 hot = heat.value[(s >> np.uint64(64 - heat_bits)).astype(np.int64)]
                 order = s if not hot.any() else s[np.argsort(hot, kind="stable")]
-                out.append((sign, order[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64)))
+                out.append((sign, order[: len(s) - least(len(s)) + shared_by(len(s))].view(np.int64)))
             if len(done) > 200_000:  # only saves rows; a node may come twice
                 done.clear()
             offsets = np.cumsum([0, *(len(p) for _, p in out)]).astype(np.int32)
@@ -127,6 +140,8 @@ def jaccard_components(
     lists = prefix.groupBy("token").agg(F.min(F.expr("node ^ token")).alias("lo"), F.max(F.expr("node ^ token")).alias("hi"))
     shared = lists.filter("lo <> hi").selectExpr("token", "lo ^ token AS lo", "hi ^ token AS hi")
     member = settle(prefix.join(shared, "token").distinct())
+    able = member.groupBy("node").count().join(nodes.select("node", "n"), "node").filter(f"count >= {needed}").select("node", "n")
+    member = settle(member.join(settle(able), "node"))
 
     # The sets of the nodes that share a prefix token with another.
     wanted = nodes.join(member.select("node").distinct(), "node").select("key", "node")
@@ -170,20 +185,22 @@ def jaccard_components(
     homes = linked.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"))
     homes = settle(homes)
     placed = (
-        member.select("token", "node")
+        member.select("token", "node", "n")
         .join(homes, "node", "left")
-        .selectExpr("token", "node", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
+        .selectExpr("token", "node", "n", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
     )
     placed = settle(placed)
     split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     placed = settle(placed.join(split, "token"))
     matrix = placed.select("token", "component", "run").distinct()
     opened = (
-        placed.selectExpr("token", "node AS query", "component AS own")
+        placed.selectExpr("token", "node AS query", "n", "component AS own")
         .join(matrix, "token")
         .filter("own < component")
+        .groupBy("query", "n", "component", "run")
+        .count()
+        .filter(f"count >= {needed}")
         .select("query", "component", "run")
-        .distinct()
     )
     opened = settle(opened)
     everyone = whole.join(homes, "node", "left").selectExpr("node", "tokens", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
