@@ -1,8 +1,73 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last return the columns of
+documents. The stages call the operators of loomscore.llm with the parameters of their queries, except that mixing
+selects a document once at most (one epoch), since the stage before has removed its copies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomscore.llm.common import settle, table
+from loomscore.llm.jaccard import jaccard_components
+from loomscore.llm.line_dedup import drop_spread_lines
+from loomscore.llm.mixing import mix_sources
+from loomscore.llm.packing import pack_documents
+from loomscore.llm.queries import LEVELS, WEIGHTS, tokenizer_files, with_domain
+from loomscore.llm.repetition import quality_rules
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules(docs).filter("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; n_chars follows the text."""
+    cleaned = drop_spread_lines(docs)
+    length = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the least doc_id stays; rows that repeat a doc_id and its text stay once."""
+    found = settle(jaccard_components(docs))
+    later = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(settle(later), "doc_id", "left_anti").select(*docs.columns)
+    repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """80 % of the tokens, spread over domains, languages and sources by weight."""
+    return mix_sources(with_domain(docs), LEVELS, WEIGHTS, max_epochs=1).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens."""
+    return pack_documents(docs, *tokenizer_files())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL has no suffix array, differencing or tokenizer: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs)
+    return docs

@@ -59,14 +59,14 @@ def leaf_budgets(
         tree = tree.withColumn(f"_w{k}", weight.cast("long"))
     for k in range(len(levels)):
         tree = tree.filter(F.col(f"_w{k}") > 0)  # a weight of 0 takes nothing
-    total = leaves.agg((F.sum("supply") * percent).alias("t")).selectExpr("t div 100 AS wanted")
+    supply = leaves.agg(F.sum("supply")).first()[0] or 0
+    room = tree.agg(F.sum("cap")).first()[0] or 0
     up = None
     for k, level in enumerate(levels):
         own = list(levels[: k + 1])
         nodes = tree.groupBy(*own).agg(F.sum("cap").alias("cap"), F.max(f"_w{k}").alias("w"))
         if up is None:
-            room = nodes.agg(F.sum("cap").alias("room"))
-            nodes = nodes.join(F.broadcast(total)).join(F.broadcast(room)).withColumn("up", F.least("wanted", "room")).drop("wanted", "room")  # one row each
+            nodes = nodes.withColumn("up", F.lit(min(supply * percent // 100, room)).cast("long"))
         else:
             nodes = nodes.join(up.withColumnRenamed("budget", "up"), own[:-1])
         up = _share(nodes, own[:-1], level).select(*own, "budget")
@@ -116,3 +116,45 @@ def mix_sources(
     copies = F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_end") <= F.col("_rest")), 1).otherwise(0)
     chosen = placed.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
     return chosen.withColumn("epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(*docs.columns, "n_tokens", "epoch")
+
+
+def oracle(weights: Sequence[dict[str, int]], percent: int = 80, max_epochs: int = 2, default: int = 1, seed: int = 7) -> str:
+    """The same mixture of documents by domain, lang and source as SQL."""
+    names = ["domain", "lang", "source"]
+
+    def weight(k: int) -> str:
+        return f"CASE coalesce({names[k]}, '') " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in weights[k].items()) + f" ELSE {default} END"
+
+    def level(k: int) -> str:
+        own, parent = ", ".join(names[: k + 1]), ", ".join(names[:k])
+        group = f"PARTITION BY {parent}" if k else ""
+        past = f"OVER ({group} ORDER BY CAST(cap AS DOUBLE) / w, {names[k]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        upto = f"OVER ({group} ORDER BY CAST(cap AS DOUBLE) / w, {names[k]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        up = f"JOIN b{k - 1} USING ({parent})" if k else "CROSS JOIN wanted"
+        return f"""
+n{k} AS (SELECT {own}, sum(cap) AS cap, max(w{k}) AS w FROM tree GROUP BY {own}),
+p{k} AS (SELECT n{k}.*, budget AS up FROM n{k} {up}),
+f{k} AS (SELECT *, cap * (sum(w) OVER ({group}) - coalesce(sum(w) {past}, 0)) <= (up - coalesce(sum(cap) {past}, 0)) * w AS fits FROM p{k}),
+g{k} AS (SELECT *, bool_and(fits) {upto} AS filled FROM f{k}),
+b{k} AS (SELECT {own}, CASE WHEN filled THEN cap ELSE
+    (up - coalesce(sum(cap) FILTER (WHERE filled) OVER ({group}), 0)) * w // (sum(w) OVER ({group}) - coalesce(sum(w) FILTER (WHERE filled) OVER ({group}), 0)) END AS budget FROM g{k}),"""
+
+    return rf"""
+WITH d AS (
+    SELECT doc_id, lang, source, CAST(coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS BIGINT), 0) % 4 AS VARCHAR) AS domain,
+           coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n FROM documents
+), leaf AS (
+    SELECT domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, sum(n)::HUGEINT AS supply FROM d GROUP BY ALL
+), tree AS (SELECT *, supply * {max_epochs} AS cap, {weight(0)} AS w0, {weight(1)} AS w1, {weight(2)} AS w2 FROM leaf),
+wanted AS (SELECT least((SELECT sum(supply) FROM leaf) * {percent} // 100, (SELECT sum(cap) FROM tree)) AS budget),
+{level(0)}{level(1)}{level(2)}
+plan AS (SELECT domain, lang, source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS whole, budget, supply FROM leaf JOIN b2 USING (domain, lang, source)),
+ordered AS (
+    SELECT d.doc_id, d.domain, d.lang, d.source, d.n, whole, budget - whole * supply AS rest,
+           sum(d.n) OVER (PARTITION BY d.domain, p.lang, p.source ORDER BY md5(concat_ws('-', '{seed}', CAST(whole AS BIGINT)::VARCHAR, d.doc_id::VARCHAR))) AS upto
+    FROM d JOIN plan p ON d.domain = p.domain AND coalesce(d.lang, '') = p.lang AND coalesce(d.source, '') = p.source
+)
+SELECT doc_id, domain, lang, source, CAST(n AS BIGINT) AS n_tokens,
+       CAST(unnest(range(CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS epoch
+FROM ordered
+"""

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, mixing, warc
+from .attention import score_quality
 from .common import table
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
+from .onebit import nearest
 from .packing import pack_documents
 from .repetition import quality_rules
 from .sharding import shard_documents
@@ -46,6 +49,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, LEVELS, WEIGHTS).select("doc_id", *LEVELS, "n_tokens", "epoch")
 
 
+def op4_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
@@ -64,9 +75,31 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no paths: a document lies in a directory of its source, language and hundred."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    return scan_licenses(docs.withColumn("path", path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_source_mixing, op6_packing, op7_sharding, op8_warc, op9_ngram_jaccard)
+    for f in (
+        op1_line_dedup,
+        op2_quality_rules,
+        op3_source_mixing,
+        op4_onebit_neighbours,
+        op5_quality_classifier,
+        op6_packing,
+        op7_sharding,
+        op8_warc,
+        op9_ngram_jaccard,
+        op10_license_scan,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op3_source_mixing": mixing.oracle(WEIGHTS),
+    "op8_warc": warc.ORACLE,
+}
