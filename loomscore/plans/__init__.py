@@ -1,3 +1,3 @@
 """Queries over the test tables; importing this package registers them."""
 
-from . import catalogue  # noqa: F401
+from . import catalogue, operations, texts  # noqa: F401
