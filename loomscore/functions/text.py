@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters and patterns that results depend on.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​-‏‪-‮⁠-⁤﻿]"
@@ -42,7 +43,7 @@ def for_prompt(x: Column | str, most: int) -> Column:
     return F.when(F.length(y) > most, F.concat(words, F.lit("…"))).otherwise(y)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no built-in for it."""
     plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
