@@ -4,14 +4,14 @@
    copies, however many, count once.
 2. A count-min row of fixed width over all shingles of all texts orders shingles from rare to frequent. Any
    order gives the same links; this one keeps passages that many texts share out of the prefixes.
-3. Two sets with enough overlap share at least k shingles among their first n - ceil(t n) + k each (prefix filter), here
-   with k a tenth of the smaller set. Only shingles in two prefixes or more matter from here on, and only
-   nodes with enough of those.
+3. Prefix filters. Two sets with enough overlap share k shingles among their first n - ceil(t n) + k each, here with k a tenth of the
+   smaller set: only shingles in two such prefixes matter from here on, and only nodes with enough of those. And they share
+   one among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller.
 4. Groups: each node is compared with the leader it shares most prefix shingles with, and components of those links, cut
    into runs of bounded size, are the groups.
-5. The token-group matrix has the union of each group's prefix shingles (a query and a group of another component
-   need k in common) and of its whole sets (they must hold 80 % of the query's). Groups that reach both bounds are
-   opened, and their members compared exactly.
+5. The token-group matrix has the unions of each group's prefix shingles and of its whole sets. A query meets the groups of other
+   components that hold, in a set no larger than its own, one of its first shingles; the group's prefixes must hold k of the
+   query's, and its union `percent` of the query's set. Groups that reach these bounds are opened, and their members compared exactly.
    Pairs within a component need no comparison: they are linked already.
 6. Components of all links give the answer; texts get it through their node."""
 
@@ -125,23 +125,31 @@ def jaccard_components(
                 done.add(sign)
                 hot = heat.value[(s >> np.uint64(64 - heat_bits)).astype(np.int64)]
                 order = s if not hot.any() else s[np.argsort(hot, kind="stable")]
-                out.append((sign, order[: len(s) - least(len(s)) + shared_by(len(s))].view(np.int64)))
+                out.append((sign, len(s), order[: len(s) - least(len(s)) + shared_by(len(s))].view(np.int64)))
             if len(done) > 200_000:  # only saves rows; a node may come twice
                 done.clear()
-            offsets = np.cumsum([0, *(len(p) for _, p in out)]).astype(np.int32)
-            flat = np.concatenate([p for _, p in out]) if out else np.zeros(0, np.int64)
+            offsets = np.cumsum([0, *(len(p) for _, _, p in out)]).astype(np.int32)
+            flat = np.concatenate([p for _, _, p in out]) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["node", "tokens"],
+                [
+                    pa.array([x for x, _, _ in out], pa.int64()),
+                    pa.array([n for _, n, _ in out], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                names=["node", "n", "tokens"],
             )
 
-    prefix = settle(docs.select("text").mapInArrow(prefixes, "node long, tokens array<long>")).select("node", F.explode("tokens").alias("token"))
+    # step: 0 for the first shingles as the smaller set of a pair, 1 as the larger, 2 for the rest of the prefix.
+    first = settle(docs.select("text").mapInArrow(prefixes, "node long, n int, tokens array<long>"))
+    smaller = f"n - ceil({2 * percent} * n / {100 + percent}D)"
+    step = F.expr(f"CASE WHEN pos <= {smaller} THEN 0 WHEN pos <= n - ceil({percent} * n / 100D) THEN 1 ELSE 2 END")
+    prefix = first.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("node", "n", "token", step.cast("byte").alias("step"))
     # The leaders of a token's nodes: the two extremes in an order that differs from token to token.
     lists = prefix.groupBy("token").agg(F.min(F.expr("node ^ token")).alias("lo"), F.max(F.expr("node ^ token")).alias("hi"))
     shared = lists.filter("lo <> hi").selectExpr("token", "lo ^ token AS lo", "hi ^ token AS hi")
     member = settle(prefix.join(shared, "token").distinct())
-    able = member.groupBy("node").count().join(nodes.select("node", "n"), "node").filter(f"count >= {needed}").select("node", "n")
-    member = settle(member.join(settle(able), "node"))
+    able = settle(member.groupBy("node", "n").count().filter(f"count >= {needed}").select("node"))
+    member = settle(member.join(able, "node"))
 
     # The sets of the nodes that share a prefix token with another.
     wanted = nodes.join(member.select("node").distinct(), "node").select("key", "node")
@@ -184,25 +192,25 @@ def jaccard_components(
     sizes = linked.groupBy("component").agg(F.ceil(F.count("*") / group_size).alias("runs"))
     homes = linked.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"))
     homes = settle(homes)
-    placed = (
-        member.select("token", "node", "n")
-        .join(homes, "node", "left")
-        .selectExpr("token", "node", "n", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
-    )
-    placed = settle(placed)
-    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    placed = settle(placed.join(split, "token"))
-    matrix = placed.select("token", "component", "run").distinct()
-    opened = (
-        placed.selectExpr("token", "node AS query", "n", "component AS own")
+    placed = member.select("token", "node", "n", "step").join(homes, "node", "left")
+    placed = settle(placed.selectExpr("token", "node", "n", "step", "coalesce(component, node) AS component", "coalesce(run, 0) AS run"))
+    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("step").alias("s"))
+    split = split.filter("x <> y AND s = 0").select("token")
+    near = settle(placed.filter("step < 2").join(split, "token"))
+    matrix = near.filter("step = 0").groupBy("token", "component", "run").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    met = (
+        near.selectExpr("token", "node AS query", "n", "component AS own")
         .join(matrix, "token")
-        .filter("own < component")
-        .groupBy("query", "n", "component", "run")
-        .count()
-        .filter(f"count >= {needed}")
-        .select("query", "component", "run")
+        .filter(f"own <> component AND least <= n AND 100 * most >= {percent} * n")
+        .select("query", "n", "component", "run")
+        .distinct()
     )
-    opened = settle(opened)
+    met = settle(met)
+    row = placed.groupBy(F.col("node").alias("query")).agg(F.collect_list("token").alias("own_tokens"))
+    column = placed.join(met.select("component", "run").distinct(), ["component", "run"])
+    column = column.groupBy("component", "run").agg(F.collect_set("token").alias("group_tokens"))
+    counted = met.join(column, ["component", "run"]).join(row, "query")
+    opened = settle(counted.filter(f"size(array_intersect(own_tokens, group_tokens)) >= {needed}").select("query", "component", "run"))
     everyone = whole.join(homes, "node", "left").selectExpr("node", "tokens", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
     groups = opened.select("component", "run").distinct()
     members = settle(everyone.join(groups, ["component", "run"]))
