@@ -33,6 +33,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., which clash with no name of an operator, and those names by the old ones."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the undirected edges (a, b): component is the least node reachable.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 #: HyperLogLog sketches have 2**LOG_K registers; their relative error is near 1.04 / sqrt(2**LOG_K), or 1.6 %.
 LOG_K = 12
@@ -41,30 +41,31 @@ def drop_spread_lines(
     compared as they are; lines without a word are never boilerplate. Null texts stay null with nothing removed, rows
     with a null site count for no site but are cleaned, rows of equal key and text are cleaned alike, other columns
     pass through (columns named as the two added are replaced), an empty table gives an empty result."""
-    docs = docs.drop("removed_lines", "protected")
-    spread = line_spread(docs, text, site, min_sites)
-    own = docs.select(F.col(key).alias("_key"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    own = own.filter(F.col("line") != "").select("_key", F.xxhash64("line").alias("line_hash"))
-    found = own.join(spread.select("line_hash"), "line_hash").groupBy("_key").agg(F.collect_set("line_hash").alias("_drop"))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left")
+    docs, name = numbered(docs.drop("removed_lines", "protected"))
+    text, own_key = name[text], name[key]
+    spread = line_spread(docs, text, name[site], min_sites)
+    own = docs.select(F.col(own_key).alias("key"), F.explode(F.split(F.col(text), "\n")).alias("line"))
+    own = own.filter(F.col("line") != "").select("key", F.xxhash64("line").alias("line_hash"))
+    found = own.join(spread.select("line_hash"), "line_hash").groupBy("key").agg(F.collect_set("line_hash").alias("drop"))
+    joined = docs.join(found, docs[own_key].eqNullSafe(F.col("key")), "left")
 
     lines = F.split(F.col(text), "\n")
 
     def spread_out(line: Column) -> Column:
-        return F.array_contains("_drop", F.xxhash64(line))
+        return F.array_contains("drop", F.xxhash64(line))
 
     cut = F.filter(lines, spread_out)
     chars = F.aggregate(cut, F.lit(0), lambda n, x: n + F.length(x))
-    some = F.col("_drop").isNotNull()
+    some = F.col("drop").isNotNull()
     counted = joined.withColumns(
-        {"_lines": F.when(some, F.size(cut).cast("long")).otherwise(0), "_chars": F.when(some, chars).otherwise(0)}
+        {"lines": F.when(some, F.size(cut).cast("long")).otherwise(0), "chars": F.when(some, chars).otherwise(0)}
     )
-    protected = F.col("_chars") > F.length(F.coalesce(F.col(text), F.lit(""))) * F.lit(max_share)
+    protected = F.col("chars") > F.length(F.coalesce(F.col(text), F.lit(""))) * F.lit(max_share)
     rest = F.array_join(F.filter(lines, lambda x: ~spread_out(x)), "\n")
     cleaned = counted.withColumn("protected", protected)
-    cleaned = cleaned.withColumn("removed_lines", F.when(F.col("protected"), F.lit(0).cast("long")).otherwise(F.col("_lines")))
+    cleaned = cleaned.withColumn("removed_lines", F.when(F.col("protected"), F.lit(0).cast("long")).otherwise(F.col("lines")))
     cleaned = cleaned.withColumn(text, F.when(F.col("removed_lines") > 0, rest).otherwise(F.col(text)))
-    return cleaned.select(*docs.columns, "removed_lines", "protected")
+    return cleaned.select(*[F.col(c).alias(old) for old, c in name.items()], "removed_lines", "protected")
 
 
 ORACLE = r"""

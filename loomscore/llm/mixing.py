@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 
 def word_count(text: str) -> Column:
@@ -94,17 +94,17 @@ def mix_sources(
 
     Null and empty texts have 0 tokens and go with their place in the order; repeated rows are separate rows at the same place
     of the order; columns named n_tokens or epoch are replaced; an empty table gives an empty result."""
-    docs = docs.drop("n_tokens", "epoch")
+    docs, name = numbered(docs.drop("n_tokens", "epoch"))
     names = [f"_level{k}" for k in range(len(levels))]
-    rows = docs.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, levels, strict=True)})
-    rows = rows.withColumn("n_tokens", word_count(text))
+    rows = docs.withColumns({n: F.coalesce(F.col(name[c]).cast("string"), F.lit("")) for n, c in zip(names, levels, strict=True)})
+    rows = rows.withColumn("n_tokens", word_count(name[text]))
     leaves = settle(rows.groupBy(*names).agg(F.sum("n_tokens").alias("supply")))
     budgets = leaf_budgets(leaves, names, weights, default, percent, max_epochs)
     plan = leaves.join(budgets, names, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
     plan = plan.withColumn("_whole", F.expr("if(supply > 0, budget div supply, 0)"))
     plan = settle(plan.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("supply")))
     plan = plan.select(*names, "_whole", "_rest")
-    order = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("_whole").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("_whole").cast("string"), F.coalesce(F.col(name[key]).cast("string"), F.lit(""))))
     ordered = rows.join(plan, names).withColumn("_order", order)
     ordered = ordered.withColumn("_bucket", F.substring("_order", 1, bucket_digits))
     run = [*names, "_bucket"]
@@ -115,7 +115,9 @@ def mix_sources(
     placed = ordered.join(sums, run).withColumn("_end", F.col("_before") + F.sum("n_tokens").over(within))
     copies = F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_end") <= F.col("_rest")), 1).otherwise(0)
     chosen = placed.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return chosen.withColumn("epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(*docs.columns, "n_tokens", "epoch")
+    return chosen.withColumn("epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(
+        *[F.col(c).alias(old) for old, c in name.items()], "n_tokens", "epoch"
+    )
 
 
 def oracle(weights: Sequence[dict[str, int]], percent: int = 80, max_epochs: int = 2, default: int = 1, seed: int = 7) -> str:
@@ -142,7 +144,8 @@ b{k} AS (SELECT {own}, CASE WHEN filled THEN cap ELSE
     return rf"""
 WITH d AS (
     SELECT doc_id, lang, source, CAST(coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS BIGINT), 0) % 4 AS VARCHAR) AS domain,
-           coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n FROM documents
+           coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS n FROM documents
 ), leaf AS (
     SELECT domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, sum(n)::HUGEINT AS supply FROM d GROUP BY ALL
 ), tree AS (SELECT *, supply * {max_epochs} AS cap, {weight(0)} AS w0, {weight(1)} AS w1, {weight(2)} AS w2 FROM leaf),

@@ -69,7 +69,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     n = len(hashes)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
     for k in range(width):
-        rolled += hashes[k : n - width + 1 + k] * _ODD[k]
+        rolled += hashes[k : k + len(rolled)] * _ODD[k]
     rolled = mix(rolled)
     at = 0
     for c in counts.tolist():
