@@ -7,8 +7,8 @@
 3. Prefix filters. Two sets with enough overlap share k shingles among their first n - ceil(t n) + k each, here with k a tenth of the
    smaller set: only shingles in two such prefixes matter from here on, and only nodes with enough of those. And they share
    one among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller.
-4. Groups: each node is compared with the leader it shares most prefix shingles with, and components of those links, cut
-   into runs of bounded size, are the groups.
+4. Groups: a shingle's leader is the most central node that holds it (whose shingles most nodes hold), each node is compared
+   with the leader of most of its shingles, and components of those links, cut into runs of bounded size, are the groups.
 5. The token-group matrix has the unions of each group's prefix shingles and of its whole sets. A query meets the groups of other
    components that hold, in a set no larger than its own, one of its first shingles; the group's prefixes must hold k of the
    query's, and its union `percent` of the query's set. Groups that reach these bounds are opened, and their members compared exactly.
@@ -144,9 +144,8 @@ def jaccard_components(
     smaller = f"n - ceil({2 * percent} * n / {100 + percent}D)"
     step = F.expr(f"CASE WHEN pos <= {smaller} THEN 0 WHEN pos <= n - ceil({percent} * n / 100D) THEN 1 ELSE 2 END")
     prefix = first.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("node", "n", "token", step.cast("byte").alias("step"))
-    # The leaders of a token's nodes: the two extremes in an order that differs from token to token.
-    lists = prefix.groupBy("token").agg(F.min(F.expr("node ^ token")).alias("lo"), F.max(F.expr("node ^ token")).alias("hi"))
-    shared = lists.filter("lo <> hi").selectExpr("token", "lo ^ token AS lo", "hi ^ token AS hi")
+    lists = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = lists.filter("lo <> hi").select("token")
     member = settle(prefix.join(shared, "token").distinct())
     able = settle(member.groupBy("node", "n").count().filter(f"count >= {needed}").select("node"))
     member = settle(member.join(able, "node"))
@@ -176,8 +175,11 @@ def jaccard_components(
         same = sized.withColumn("same", F.size(F.array_intersect("ta", "tb")).cast("long"))
         return same.filter(f"100 * same >= {percent} * (size(ta) + size(tb) - same)").select("a", "b")
 
+    held = member.groupBy("token").agg(F.floor(F.log2(F.count("*"))).alias("weight"))
+    central = settle(member.join(held, "token").groupBy("node").agg(F.sum("weight").alias("weight")))
+    leaders = member.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node")).alias("top"))
     stars = (
-        member.select("node", F.explode(F.array("lo", "hi")).alias("leader"))
+        member.join(leaders.selectExpr("token", "top.node AS leader"), "token")
         .filter("node <> leader")
         .groupBy("node", "leader")
         .count()
