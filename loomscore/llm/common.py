@@ -33,6 +33,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of settled frames that nothing reads any more: only after all that was made of them is settled itself."""
+    for df in frames:
+        folder = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        context = df.sparkSession.sparkContext
+        for x in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named c0, c1, ..., which clash with no name of an operator, and those names by the old ones."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
@@ -54,6 +64,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = settle(
             hook.join(hook.selectExpr("node AS up", "up AS top"), "up", "left").selectExpr("node", "coalesce(top, up) AS up")
         )
+        before = edges
         labels = settle(
             labels.join(jump.selectExpr("node AS component", "up"), "component", "left").selectExpr(
                 "node", "coalesce(up, component) AS component"
@@ -66,4 +77,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .selectExpr("least(ua, ub) AS a", "greatest(ua, ub) AS b")
             .distinct()
         )
+        release(before, hook, jump)
     return labels

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, settle
+from .common import connected_components, release, settle
 from .wordhash import mix, pieces, shingle_sets
 
 #: Counters of the count-min row are sent in runs of so many.
@@ -147,8 +147,10 @@ def jaccard_components(
     lists = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = lists.filter("lo <> hi").select("token")
     member = settle(prefix.join(shared, "token").distinct())
+    release(first)
     able = settle(member.groupBy("node", "n").count().filter(f"count >= {needed}").select("node"))
-    member = settle(member.join(able, "node"))
+    loose, member = member, settle(member.join(able, "node"))
+    release(loose)
 
     # The sets of the nodes that share a prefix token with another.
     wanted = nodes.join(member.select("node").distinct(), "node").select("key", "node")
@@ -189,6 +191,7 @@ def jaccard_components(
     )
     links = settle(alike(stars))
     linked = connected_components(links)
+    release(central)
 
     # The token-group matrix over what the leaders have left apart.
     sizes = linked.groupBy("component").agg(F.ceil(F.count("*") / group_size).alias("runs"))
@@ -196,6 +199,7 @@ def jaccard_components(
     homes = settle(homes)
     placed = member.select("token", "node", "n", "step").join(homes, "node", "left")
     placed = settle(placed.selectExpr("token", "node", "n", "step", "coalesce(component, node) AS component", "coalesce(run, 0) AS run"))
+    release(member)
     split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("step").alias("s"))
     split = split.filter("x <> y AND s = 0").select("token")
     near = settle(placed.filter("step < 2").join(split, "token"))
@@ -208,11 +212,13 @@ def jaccard_components(
         .distinct()
     )
     met = settle(met)
+    release(near)
     row = placed.groupBy(F.col("node").alias("query")).agg(F.collect_list("token").alias("own_tokens"))
     column = placed.join(met.select("component", "run").distinct(), ["component", "run"])
     column = column.groupBy("component", "run").agg(F.collect_set("token").alias("group_tokens"))
     counted = met.join(column, ["component", "run"]).join(row, "query")
     opened = settle(counted.filter(f"size(array_intersect(own_tokens, group_tokens)) >= {needed}").select("query", "component", "run"))
+    release(placed, met)
     everyone = whole.join(homes, "node", "left").selectExpr("node", "tokens", "coalesce(component, node) AS component", "coalesce(run, 0) AS run")
     groups = opened.select("component", "run").distinct()
     members = settle(everyone.join(groups, ["component", "run"]))
@@ -225,6 +231,7 @@ def jaccard_components(
     )
     pairs = bounded.join(members.select("component", "run", "node"), ["component", "run"]).selectExpr("query AS a", "node AS b").distinct()
     late = settle(alike(pairs))
+    release(whole, members, opened)
     components = connected_components(links.union(late))
 
     named = nodes.select("node", "key").join(components, "node", "left").selectExpr("node", "key", "coalesce(component, node) AS component")
