@@ -10,8 +10,8 @@
 4. Groups: a shingle's leader is the most central node that holds it (whose shingles most nodes hold), each node is compared
    with the leader of most of its shingles, and components of those links, cut into runs of bounded size, are the groups.
 5. The token-group matrix has the unions of each group's prefix shingles and of its whole sets. A query meets the groups of other
-   components that hold, in a set no larger than its own, one of its first shingles; the group's prefixes must hold k of the
-   query's, and its union `percent` of the query's set. Groups that reach these bounds are opened, and their members compared exactly.
+   components that hold, in a set no larger than its own, one of its first shingles with enough shingles from there on to reach
+   the overlap; the group's prefixes must hold k of the query's, and its union `percent` of the query's set. Groups that reach these bounds are opened, and their members compared exactly.
    Pairs within a component need no comparison: they are linked already.
 6. Components of all links give the answer; texts get it through their node."""
 
@@ -139,11 +139,11 @@ def jaccard_components(
                 names=["node", "n", "tokens"],
             )
 
-    # step: 0 for the first shingles as the smaller set of a pair, 1 as the larger, 2 for the rest of the prefix.
     first = settle(docs.select("text").mapInArrow(prefixes, "node long, n int, tokens array<long>"))
-    smaller = f"n - ceil({2 * percent} * n / {100 + percent}D)"
-    step = F.expr(f"CASE WHEN pos <= {smaller} THEN 0 WHEN pos <= n - ceil({percent} * n / 100D) THEN 1 ELSE 2 END")
-    prefix = first.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("node", "n", "token", step.cast("byte").alias("step"))
+    # Where a pair's first common shingle can stand in the smaller and in the larger of its sets.
+    as_smaller = f"pos <= n - ceil({2 * percent} * n / {100 + percent}D)"
+    as_larger = f"pos <= n - ceil({percent} * n / 100D)"
+    prefix = first.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     lists = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = lists.filter("lo <> hi").select("token")
     member = settle(prefix.join(shared, "token").distinct())
@@ -197,17 +197,20 @@ def jaccard_components(
     sizes = linked.groupBy("component").agg(F.ceil(F.count("*") / group_size).alias("runs"))
     homes = linked.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"))
     homes = settle(homes)
-    placed = member.select("token", "node", "n", "step").join(homes, "node", "left")
-    placed = settle(placed.selectExpr("token", "node", "n", "step", "coalesce(component, node) AS component", "coalesce(run, 0) AS run"))
+    placed = member.select("token", "node", "n", "pos").join(homes, "node", "left")
+    placed = settle(placed.selectExpr("token", "node", "n", "pos", "coalesce(component, node) AS component", "coalesce(run, 0) AS run"))
     release(member)
-    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("step").alias("s"))
-    split = split.filter("x <> y AND s = 0").select("token")
-    near = settle(placed.filter("step < 2").join(split, "token"))
-    matrix = near.filter("step = 0").groupBy("token", "component", "run").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.expr(as_smaller)).alias("s"))
+    split = split.filter("x <> y AND s").select("token")
+    near = settle(placed.filter(as_larger).join(split, "token"))
+    matrix = near.filter(as_smaller).groupBy("token", "component", "run").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # What stands before the first common shingle is not shared, so at most n - pos are; the group's smallest possible
+    # partner asks for `asked`.
+    asked = f"ceil({percent} * (n + greatest(least, ceil({percent} * n / 100D))) / {100 + percent}D)"
     met = (
-        near.selectExpr("token", "node AS query", "n", "component AS own")
+        near.selectExpr("token", "node AS query", "n", "pos", "component AS own")
         .join(matrix, "token")
-        .filter(f"own <> component AND least <= n AND 100 * most >= {percent} * n")
+        .filter(f"own <> component AND least <= n AND 100 * most >= {percent} * n AND n - pos >= {asked}")
         .select("query", "n", "component", "run")
         .distinct()
     )
