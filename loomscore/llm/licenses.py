@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,15 +62,19 @@ def units(text: str) -> list[str]:
 
 
 class Model:
-    """TF-IDF weights from counts over all lines of the corpus; terms of no template weigh as if they had never been seen."""
+    """TF-IDF weights from counts over all lines of the corpus; terms of no template weigh as if they had never been seen.
 
-    def __init__(self, lines: int, counts: dict[str, int], common: float):
+    Every unit is compared with every template: a unit that shares no term with any has cosine 0. `common` has no effect: it
+    named the terms that a unit had to hold to be compared at all, and a frequent notice was lost by it."""
+
+    def __init__(self, lines: int, counts: dict[str, int], common: float = 0.01):
         weight = lambda n: math.log((1 + lines) / (1 + n)) + 1
         self.known = {t: weight(n) for t, n in counts.items()}
         self.other = weight(0)
-        # A unit is compared if it holds an anchor: a template term that under `common` of all lines hold.
-        self.anchors = {t for t, n in counts.items() if n <= common * lines}
         self.templates = [(name, self.vector(terms(x))) for name, texts in TEMPLATES.items() for x in texts]
+        self.names = [name for name, _ in self.templates]
+        self.row = {t: k for k, t in enumerate(sorted({t for _, x in self.templates for t in x}))}
+        self.matrix = np.array([[x.get(t, 0.0) for _, x in self.templates] for t in self.row])
 
     def vector(self, found: list[str]) -> dict[str, float]:
         raw = {t: (1 + math.log(n)) * self.known.get(t, self.other) for t, n in Counter(found).items()}
@@ -81,13 +86,15 @@ class Model:
         top = (None, 0.0, 0)
         for unit in units(text):
             found = terms(unit)
-            if self.anchors.isdisjoint(found):
+            if self.row.keys().isdisjoint(found):
                 continue
             own = self.vector(found)
-            for name, template in self.templates:
-                cosine = round(math.fsum(x * own.get(t, 0.0) for t, x in template.items()), 9)
-                if cosine > top[1]:
-                    top = (name, cosine, len(found))
+            shared = [t for t in own if t in self.row]
+            cosines = np.array([own[t] for t in shared]) @ self.matrix[[self.row[t] for t in shared]]
+            cosines = cosines.round(9)
+            at = int(cosines.argmax())
+            if cosines[at] > top[1]:
+                top = (self.names[at], float(cosines[at]), len(found))
         return top
 
 
@@ -102,7 +109,8 @@ def scan_licenses(
     (licences of files so named first, then the highest cosine and the least licence and path decide within a directory);
     from_directory names it.
 
-    Term counts cover every line of every text: partial counts for each task, of the templates' few hundred terms. Inheritance
+    Every unit of every text is compared, whatever the counts are (`common` has no effect, see Model). Term counts cover every
+    line of every text: partial counts for each task, of the templates' few hundred terms. Inheritance
     joins distinct directories with their ancestors, then files with directories. Null and empty texts have no licence of
     their own; files with a null path neither give nor inherit; repeated rows are judged alike; other columns are not read; an
     empty table gives an empty result."""

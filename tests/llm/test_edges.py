@@ -191,3 +191,20 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     files = [(1, "LICENSE", licenses.TEMPLATES["MIT"][2]), (2, "a/COPYING", licenses.TEMPLATES["GPL-3.0"][1]), (3, "a/b/x.py", "import os"), (4, "c/y.py", "print"), (5, "a/z.py", "# " + licenses.TEMPLATES["Apache-2.0"][0] + "\ncode here"), (6, None, "x")]
     got = {r.doc_id: (r.license, r.from_directory) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string"), common=1.0).collect()}
     assert got == {1: ("MIT", None), 2: ("GPL-3.0", None), 3: ("GPL-3.0", "a"), 4: ("MIT", ""), 5: ("Apache-2.0", None), 6: (None, None)}
+
+
+def scanned(spark, files):
+    return {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+
+
+def test_a_frequent_notice_is_found(spark):
+    notice = licenses.TEMPLATES["MIT"][0]
+    rows = [(k, f"s{k % 3}/{k}.txt", "\n".join([f"w{k} x{n} y{k * n}" for n in range(8)] + [notice] * (k % 3 == 0))) for k in range(300)]
+    got = scanned(spark, rows)
+    assert {k for k, r in got.items() if r.own_license == "MIT"} == set(range(0, 300, 3))
+    assert all(r.cosine == 1.0 for k, r in got.items() if k % 3 == 0)
+
+
+def test_three_lines_are_enough(spark):
+    got = scanned(spark, [(1, "LICENSE", licenses.TEMPLATES["MIT"][0]), (2, "a/x.py", "import os"), (3, "a/y.py", "print")])
+    assert {k: r.license for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "MIT"}
