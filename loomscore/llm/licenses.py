@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from .common import settle
 from .wordhash import pieces
 
 #: Licence identifiers, with notices as they stand in headers and the openings of the licence files.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+NOTICES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -36,6 +37,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -43,6 +45,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
+#: Whole licences (that of CC-BY-NC-4.0 is CC-BY-4.0's with the clauses that differ, BSD-2-Clause is BSD-3-Clause without its third).
+FULL: dict[str, str] = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in resources.files(__package__).joinpath("license_texts").iterdir()}
+TEMPLATES: dict[str, tuple[str, ...]] = {name: (*texts, *filter(None, [FULL.get(name)])) for name, texts in NOTICES.items()}
+#: Stands in files of many licences, so it counts where nothing else reaches the threshold.
+GENERIC = "Proprietary"
 _TERM = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -67,33 +74,49 @@ class Model:
     Every unit is compared with every template: a unit that shares no term with any has cosine 0. `common` has no effect: it
     named the terms that a unit had to hold to be compared at all, and a frequent notice was lost by it."""
 
-    def __init__(self, lines: int, counts: dict[str, int], common: float = 0.01):
+    def __init__(self, lines: int, counts: dict[str, int], common: float = 0.01, at_least: float = 0.7):
         weight = lambda n: math.log((1 + lines) / (1 + n)) + 1
         self.known = {t: weight(n) for t, n in counts.items()}
-        self.other = weight(0)
-        self.templates = [(name, self.vector(terms(x))) for name, texts in TEMPLATES.items() for x in texts]
-        self.names = [name for name, _ in self.templates]
-        self.row = {t: k for k, t in enumerate(sorted({t for _, x in self.templates for t in x}))}
-        self.matrix = np.array([[x.get(t, 0.0) for _, x in self.templates] for t in self.row])
+        self.other, self.at_least = weight(0), at_least
+        kept = [(name, x) for name, texts in TEMPLATES.items() for x in texts]
+        vectors = [self.vector(terms(x)) for _, x in kept]
+        self.names = [name for name, _ in kept]
+        self.row = {t: k for k, t in enumerate(sorted({t for x in vectors for t in x}))}
+        self.matrix = np.array([[x.get(t, 0.0) for x in vectors] for t in self.row])
+        # Of the templates that reach at_least, a whole licence goes before a notice, and a notice before the generic one.
+        self.tier = np.array([3 if x == FULL.get(name) else 1 if name == GENERIC else 2 for name, x in kept])
+
+    def raw(self, found: list[str]) -> dict[str, float]:
+        known, other = self.known, self.other
+        return {t: known.get(t, other) * (1 if n == 1 else 1 + math.log(n)) for t, n in Counter(found).items()}
 
     def vector(self, found: list[str]) -> dict[str, float]:
-        raw = {t: (1 + math.log(n)) * self.known.get(t, self.other) for t, n in Counter(found).items()}
-        norm = math.sqrt(math.fsum(x * x for x in raw.values())) or 1.0
+        raw = self.raw(found)
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         return {t: x / norm for t, x in raw.items()}
 
     def best(self, text: str) -> tuple[str | None, float, int]:
-        """The template nearest to any unit (first in the templates' order at equal cosine), the cosine, the unit's terms."""
-        top = (None, 0.0, 0)
+        """The template nearest to any unit (first in the templates' order at equal cosine), the cosine, the unit's terms.
+
+        Whole licences that reach at_least come before notices that do, these before the generic notice."""
+        top, rank = (None, 0.0, 0), (0, 0.0)
         for unit in units(text):
             found = terms(unit)
             if self.row.keys().isdisjoint(found):
                 continue
-            own = self.vector(found)
-            shared = [t for t in own if t in self.row]
-            cosines = np.array([own[t] for t in shared]) @ self.matrix[[self.row[t] for t in shared]]
+            raw = self.raw(found)
+            shared = [t for t in raw if t in self.row]
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            cosines = np.array([raw[t] for t in shared]) @ self.matrix[[self.row[t] for t in shared]] / norm
             cosines = cosines.round(9)
             at = int(cosines.argmax())
-            if cosines[at] > top[1]:
+            tier = 0
+            if cosines[at] >= self.at_least:
+                reached = np.where(cosines >= self.at_least, self.tier, 0)
+                tier = int(reached.max())
+                at = int(np.where(reached == tier, cosines, -1).argmax())
+            if (tier, cosines[at]) > rank:
+                rank = (tier, cosines[at])
                 top = (self.names[at], float(cosines[at]), len(found))
         return top
 
@@ -103,14 +126,15 @@ def scan_licenses(
 ) -> DataFrame:
     """(key, path, own_license, cosine, is_license_file, license, from_directory) of every file.
 
-    own_license: of the template nearest to any line, paragraph or the whole text, if the cosine is at_least that. A file is a
+    own_license: of the template nearest to any line, paragraph or the whole text, if the cosine is at_least that; whole licences
+    that reach it come before notices, notices before the generic 'All rights reserved.'. A file is a
     licence file if its name is LICENSE, LICENCE, COPYING or NOTICE (any ending), or if the licence's unit has at least whole_share of its
     terms. A file without a licence of its own gets that of the nearest directory at or above its own that holds a licence file
     (licences of files so named first, then the highest cosine and the least licence and path decide within a directory);
     from_directory names it.
 
     Every unit of every text is compared, whatever the counts are (`common` has no effect, see Model). Term counts cover every
-    line of every text: partial counts for each task, of the templates' few hundred terms. Inheritance
+    line of every text: partial counts for each task, of the templates' few thousand terms. Inheritance
     joins distinct directories with their ancestors, then files with directories. Null and empty texts have no licence of
     their own; files with a null path neither give nor inherit; repeated rows are judged alike; other columns are not read; an
     empty table gives an empty result."""
@@ -133,7 +157,7 @@ def scan_licenses(
     counted = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = {r.term: r.n for r in counted.collect()}  # the vocabulary's size at most
     lines = counts.pop("", 0)
-    sent = spark.sparkContext.broadcast(Model(lines, {t: counts.get(t, 0) for t in vocabulary}, common))
+    sent = spark.sparkContext.broadcast(Model(lines, {t: counts.get(t, 0) for t in vocabulary}, common, at_least))
     named = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

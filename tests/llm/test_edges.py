@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names; and the small parts against brute force."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -208,3 +210,21 @@ def test_a_frequent_notice_is_found(spark):
 def test_three_lines_are_enough(spark):
     got = scanned(spark, [(1, "LICENSE", licenses.TEMPLATES["MIT"][0]), (2, "a/x.py", "import os"), (3, "a/y.py", "print")])
     assert {k: r.license for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "MIT"}
+
+
+LICENSES = Path(licenses.__file__).parent / "license_texts"
+
+
+def test_whole_licence_files_are_told_apart(spark):
+    rows = [(k, f"d{k}/LICENSE", "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + p.read_text()) for k, p in enumerate(sorted(LICENSES.glob("*.txt")))]
+    got = scanned(spark, rows + [(100 + k, f"d{k}/x.py", "import os") for k, *_ in rows])
+    want = [p.stem for p in sorted(LICENSES.glob("*.txt"))]
+    assert len(want) == 12
+    assert [got[k].own_license for k in range(len(want))] == [got[100 + k].license for k in range(len(want))] == want
+    assert all(got[k].is_license_file for k in range(len(want)))
+
+
+def test_all_rights_reserved_counts_last(spark):
+    opening = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    got = scanned(spark, [(1, "a/LICENSE", opening), (2, "a/x.py", "import os"), (3, "b/LICENSE", "All rights reserved."), (4, "b/x.py", "import os")])
+    assert {k: r.license for k, r in got.items()} == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "Proprietary", 4: "Proprietary"}
