@@ -31,10 +31,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id stays; rows that repeat a doc_id and its text stay once."""
-    found = settle(jaccard_components(docs))
-    later = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(settle(later), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component the document with the least doc_id stays; rows that repeat a doc_id and its text stay once.
+
+    A row goes by its doc_id and text, so an unlike text under the doc_id of a near copy stays."""
+    found = settle(jaccard_components(docs, text_hash=True))
+    later = settle(found.filter("doc_id <> component_id").selectExpr("doc_id AS later_id", "text_hash AS later_hash").distinct())
+    is_later = (F.col("doc_id") == F.col("later_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("later_hash"))
+    kept = docs.join(later, is_later, "left_anti").select(*docs.columns)
     repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept

@@ -65,15 +65,18 @@ def jaccard_components(
     heat_bits: int = 21,
     group_size: int = 32,
     common: float = 0.1,
+    text_hash: bool = False,
 ) -> DataFrame:
     """(key, n_shingles, component_id): component_id is the least key reachable by links, two texts being
     linked when 100 * intersection >= percent * union of their sets of `width`-word shingles (words: runs without ASCII
     white space, A-Z lower-cased; shorter texts are one shingle; texts without words are empty and not linked).
 
     Null texts count as empty, rows with a null key are left out, repeated rows and ties give repeated equal rows, other
-    columns are not read, and an empty table gives an empty result."""
+    columns are not read, and an empty table gives an empty result. With text_hash each row also has the xxhash64 of its text,
+    which tells rows of one key apart."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")
     spark = docs.sparkSession
+    hashed = ["text_hash"] if text_hash else []
 
     def least(n: int) -> int:
         """The size of the smallest set that can be alike one of n."""
@@ -95,23 +98,26 @@ def jaccard_components(
                 signs.append(_signature(s) if len(s) else None)
                 np.add.at(total, (s >> np.uint64(64 - heat_bits)).astype(np.int64), 1)
             key = batch.column(0)
+            prints = [batch.column(batch.schema.get_field_index("text_hash"))] if text_hash else []
             least = least or int(key[0].as_py())
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary())],
-                names=["key", "n", "node", "cell", "salt", "counts"],
+                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary()), *prints],
+                names=["key", "n", "node", "cell", "salt", "counts", *hashed],
             )
         used = [k for k in range(max(1, len(total) // RUN)) if total[k * RUN : (k + 1) * RUN].any()]
         if used:
             blank = pa.nulls(len(used), pa.int64())
             packed = [zlib.compress(total[k * RUN : (k + 1) * RUN].tobytes(), 1) for k in used]
             yield pa.RecordBatch.from_arrays(
-                [blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed)],
-                names=["key", "n", "node", "cell", "salt", "counts"],
+                [blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed), *[blank for _ in hashed]],
+                names=["key", "n", "node", "cell", "salt", "counts", *hashed],
             )
 
-    seen = settle(docs.mapInArrow(read, "key long, n long, node long, cell int, salt int, counts binary"))
-    rows = seen.filter("cell IS NULL").select("key", "n", "node")
+    read_from = docs.withColumn("text_hash", F.xxhash64("text")) if text_hash else docs
+    shape = "key long, n long, node long, cell int, salt int, counts binary" + (", text_hash long" if text_hash else "")
+    seen = settle(read_from.mapInArrow(read, shape))
+    rows = seen.filter("cell IS NULL").select("key", "n", "node", *hashed)
     heat = spark.sparkContext.broadcast(_heat(seen.filter("cell IS NOT NULL").select("cell", "salt", "counts"), heat_bits))
     nodes = settle(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n")))
 
@@ -241,5 +247,5 @@ def jaccard_components(
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_node = settle(named.join(least, "component").select("node", "component_id"))
     return rows.join(of_node, "node", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *hashed
     )

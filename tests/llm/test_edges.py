@@ -228,3 +228,13 @@ def test_all_rights_reserved_counts_last(spark):
     opening = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
     got = scanned(spark, [(1, "a/LICENSE", opening), (2, "a/x.py", "import os"), (3, "b/LICENSE", "All rights reserved."), (4, "b/x.py", "import os")])
     assert {k: r.license for k, r in got.items()} == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "Proprietary", 4: "Proprietary"}
+
+
+def test_a_near_copy_leaves_unlike_texts_of_its_key(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " tail"), (4, c), (4, c), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()]
+    assert sorted(got) == [(1, a), (2, b), (4, c), (5, None)]
