@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests), a folder made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs in this one process
+    (tests), a folder made here; on a cluster there must be one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,14 +36,26 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's paths lead."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the folders of settled frames that nothing reads any more: only after all that was made of them is settled itself."""
     for df in frames:
-        folder = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        context = df.sparkSession.sparkContext
-        for x in folder:
-            path = context._jvm.org.apache.hadoop.fs.Path(x)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
+def join_hot(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salts: int = 16, by: str | None = None) -> DataFrame:
+    """many join few, whose keys are distinct in few while one may hold a third of the rows of many: rows of a key are dealt over
+    `salts` tasks by the hash of `by` (or of all columns), and few goes to each of them, so few should be the far smaller side."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*([by] if by else many.columns)), F.lit(salts)).cast("int"))
+    spread = few.withColumn("_salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

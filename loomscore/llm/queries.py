@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup, mixing, warc
 from .attention import score_quality
-from .common import table
+from .common import remove, table
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .onebit import nearest
@@ -68,7 +68,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).drop("url").withColumnRenamed("key", "page_id")
+    found = warc.read_archives(spark, path).drop("url").withColumnRenamed("key", "page_id")
+    remove(spark, path)  # the records are settled
+    return found
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

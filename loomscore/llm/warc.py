@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import release, settle, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -29,8 +29,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """One record a row, in files part-* of `path`. Of rows with equal bodies of at_least bytes or more, the one with the
     largest key is the response, the others are revisits of it: they keep the HTTP header (with the full length) and the digest, not the payload.
 
-    A null body is the empty one, a null url is left out, control characters in a url are escaped, a null key never is a
-    response that others refer to. Bodies shared by many rows are found by an aggregation with map-side partials."""
+    A null body is the empty one, a null url is left out, line ends in a url are escaped, a null key never is a
+    response that others refer to. Rows that repeat the largest key are all responses, those that repeat another are all revisits. Other
+    columns are not read; an empty table gives files without records. Bodies shared by many rows are found by an aggregation with map-side partials."""
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body), F.lit("")).alias("body"))
     rows = rows.withColumns({"digest": base32(F.sha1(F.col("body").cast("binary"))), "length": F.octet_length("body")})
     many = rows.filter(F.col("length") >= at_least).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n"))
@@ -60,7 +61,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, row, value): what lies between two magic lines; row is ascending within a split."""
+    """(file, split, row, value): what lies between two magic lines; row is ascending within a split.
+
+    split and row tell places within one scan only: another scan may cut the files otherwise, so no two scans are ever joined."""
     read = spark.read.option("lineSep", MAGIC).text(path)
     return read.select(
         F.col("_metadata.file_path").alias("file"),
@@ -80,15 +83,16 @@ def _parsed(fragments: DataFrame) -> DataFrame:
     """Of each fragment what its record says, if it is one: the record's bytes, the payload's facts."""
     cut = fragments.withColumn("head", F.substring_index("value", BREAK, 1))
     cut = cut.withColumn("n_head", F.octet_length("head") + len(BREAK)).withColumn("n_block", _field("Content-Length").try_cast("long"))
+    cut = cut.withColumn("n_block", F.when(F.col("n_block") >= 0, F.col("n_block")))
     raw = F.col("value").cast("binary")
     block = F.expr("substring(cast(value AS binary), cast(n_head + 1 AS int), cast(n_block AS int))")
-    cut = cut.withColumn("block", F.when(F.col("n_block") >= 0, block))
+    cut = cut.withColumn("block", block)
     cut = cut.withColumn("n_raw", F.octet_length(raw))
     http = F.substring_index(F.col("block").cast("string"), BREAK, 1)
     cut = cut.withColumn("http", http).withColumn("n_http", F.octet_length("http") + len(BREAK))
     payload = F.expr("substring(block, cast(n_http + 1 AS int))")
     return cut.select(
-        *[c for c in fragments.columns if c != "value"],
+        *fragments.columns,
         (F.lit(len(MAGIC)) + F.col("n_head") + F.col("n_block") + len(BREAK)).alias("n_record"),
         (F.lit(len(MAGIC)) + F.col("n_raw")).alias("n_fragment"),
         _field("WARC-Type").alias("record_type"),
@@ -102,42 +106,83 @@ def _parsed(fragments: DataFrame) -> DataFrame:
     )
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(key, url, record_type, payload_bytes, payload_digest, refers_to, intact) of the records of the archives in path.
+#: Wide records are put together in runs of so many bytes of a file.
+BLOCK = 1 << 26
 
-    1. Tasks emit light candidates (place, record length, header fields, digest of the payload).
-    2. Sums of fragment lengths, first within and then over the splits of a file, give each candidate's offset.
-    3. Pointer jumping: the set reached from offset 0 doubles its steps each round, until no pointer is left.
-    4. Records whose payload holds magic span fragments; these alone are put together again and parsed whole.
 
-    intact: the payload has the length and the digest that the record tells (for revisits, nothing to compare).
-    Empty files and an empty folder give no records; what follows a broken record in its file is not reached."""
-    light = settle(_parsed(_fragments(spark, path)))
-    split = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    within = light.withColumn("_in", F.coalesce(F.sum("n_fragment").over(split), F.lit(0)))
+def _chain(light: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of settled fragments of whole files: (the records that the chain reaches, the fragments of wide ones with their record's offset).
+
+    Sums of fragment lengths, first within and then over the splits of a file, give each candidate's offset. Candidates that end
+    where the next one of their split starts form runs, and a run ends in one successor: pointer jumping goes from run to run, from
+    offset 0 on, its steps doubling each round. Of a reached run, the members from the point of entry on are records. Without magic in payloads
+    a split is one run, so pointers are few whatever the records are."""
+    split = Window.partitionBy("file", "split").orderBy("row")
+    past = split.rowsBetween(Window.unboundedPreceding, -1)
+    chained = (F.col("n_record") == F.col("n_fragment")) & F.lead("row").over(split).isNotNull()
+    within = light.withColumns({"_in": F.coalesce(F.sum("n_fragment").over(past), F.lit(0)), "_chained": F.coalesce(chained, F.lit(False))})
+    within = within.withColumn("run", F.coalesce(F.sum(F.when(F.col("_chained"), 0).otherwise(1)).over(past), F.lit(0)))
     files = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = light.groupBy("file", "split").agg(F.sum("n_fragment").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(files), F.lit(0))).drop("n")
     # What precedes the first magic of a file is a fragment of its own, without magic: the offset of the next is 0 if it is empty.
-    candidates = settle(within.join(bases, ["file", "split"]).withColumn("offset", F.col("_base") + F.col("_in") - len(MAGIC)).drop("_in", "_base"))
-    pointers = settle(candidates.filter("offset >= 0 AND n_record IS NOT NULL").selectExpr("file", "offset", "offset + n_record AS next"))
-    reached = candidates.filter("offset = 0").select("file", "offset")
+    candidates = within.join(bases, ["file", "split"]).withColumn("offset", F.col("_base") + F.col("_in") - len(MAGIC)).drop("_in", "_base")
+    candidates = settle(candidates.filter("offset >= 0"))
+    release(light)
+    place = ["file", "split", "run"]
+    exits = candidates.filter("NOT _chained AND n_record IS NOT NULL").selectExpr(*place, "offset + n_record AS offset")
+    entries = candidates.selectExpr("file", "offset", "split AS to_split", "run AS to_run")
+    pointers = settle(exits.join(entries, ["file", "offset"]).withColumnRenamed("offset", "to_entry"))
+    reached = settle(candidates.filter("offset = 0").select(*place, F.col("offset").alias("entry")))
     while not pointers.isEmpty():
-        ahead = reached.join(pointers, ["file", "offset"]).selectExpr("file", "next AS offset")
-        reached = settle(reached.union(ahead).distinct())
-        pointers = settle(pointers.join(pointers.selectExpr("file", "offset AS next", "next AS far"), ["file", "next"]).selectExpr("file", "offset", "far AS next"))
-    records = candidates.join(reached, ["file", "offset"])
-    plain = records.filter("n_record <= n_fragment")
+        before = reached, pointers
+        ahead = reached.join(pointers, place).selectExpr("file", "to_split AS split", "to_run AS run", "to_entry AS entry")
+        reached = settle(reached.union(ahead))
+        further = pointers.selectExpr("file", "split AS to_split", "run AS to_run", "to_split AS far_split", "to_run AS far_run", "to_entry AS far_entry")
+        jumped = pointers.drop("to_entry").join(further, ["file", "to_split", "to_run"])
+        pointers = settle(jumped.selectExpr(*place, "far_split AS to_split", "far_run AS to_run", "far_entry AS to_entry"))
+        release(*before)
+    records = candidates.join(reached, place).filter("offset >= entry").select("offset", *[c for c in light.columns if c != "value"])
+    # The fragments of a wide record lie in the blocks of the file that it touches: in each, the last start at or before a fragment owns it.
     wide = records.filter("n_record > n_fragment").selectExpr("file", "offset AS start", "offset + n_record AS stop")
-    # A wide record's fragments: the last record at or before a fragment owns it.
-    order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    marked = candidates.select("file", "split", "row", "offset").join(wide.selectExpr("file", "start AS offset", "start", "stop"), ["file", "offset"], "left")
-    owned = marked.withColumns({"start": F.last("start", True).over(order), "stop": F.last("stop", True).over(order)}).filter("offset >= start AND offset < stop")
-    owned = settle(owned.select("file", "split", "row", "offset", "start"))
-    parts = _fragments(spark, path).join(owned, ["file", "split", "row"])
-    joined = parts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("all"))
-    again = joined.select("file", F.col("start").alias("offset"), F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).alias("value"))
+    touched = wide.withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK}, (stop - 1) div {BLOCK})")))
+    blocks = touched.select("file", "block").distinct()
+    held = candidates.withColumn("block", F.expr(f"offset div {BLOCK}")).join(blocks, ["file", "block"])
+    marks = touched.selectExpr("file", "block", f"greatest(start, block * {BLOCK}) AS offset", "start", "stop", "0 AS kind")
+    held = held.select("file", "block", "offset", "value", F.lit(1).alias("kind")).unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy("file", "block").orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    owned = held.withColumns({"start": F.last("start", True).over(order), "stop": F.last("stop", True).over(order)})
+    return records, owned.filter("kind = 1 AND offset >= start AND offset < stop").select("file", "start", "offset", "value")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(key, url, record_type, payload_bytes, payload_digest, refers_to, intact) of the records of the archives in path.
+
+    1. One scan settles light candidates (place, record length, header fields, digest of the payload). The raw text stays with those alone
+       that do not end where the next candidate starts: the starts of records whose payload holds magic, and such magic itself.
+    2. Boundary chains by pointer jumping (see _chain) tell records from magic in payloads.
+    3. Records whose payload holds magic are put together from their fragments and parsed whole. Where such a payload holds a
+       complete record, its fragment came without text: files with such records are scanned once more, with all texts, and verified by themselves.
+
+    Whatever is joined comes from one settled scan, so a change of split sizes or a lost executor between two stages changes nothing.
+    intact: the payload has the length and the digest that the record tells (for revisits, nothing to compare).
+    Rows that repeat a key are records of their own, a null key is read as null. Empty files and an empty folder give no records; what follows a
+    broken record in its file is not reached."""
     columns = ["key", "url", "record_type", "payload_digest", "refers_to", "n_told", "n_found", "found_digest"]
-    whole = plain.select(*columns).union(_parsed(again).select(*columns))
+
+    def joined(owned: DataFrame) -> DataFrame:
+        parts = owned.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("all"))
+        again = parts.select(F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).alias("value"))
+        return _parsed(again).select(*columns)
+
+    odd = ~F.coalesce(F.col("n_record") == F.col("n_fragment"), F.lit(False))
+    records, owned = _chain(settle(_parsed(_fragments(spark, path)).withColumn("value", F.when(odd, F.col("value")))))
+    owned = settle(owned)
+    lacking = settle(owned.filter("value IS NULL").select("file").distinct())
+    if not lacking.isEmpty():
+        again, more = _chain(settle(_parsed(_fragments(spark, path).join(lacking, "file", "left_semi"))))
+        records = records.join(lacking, "file", "left_anti").unionByName(again)
+        owned = owned.join(lacking, "file", "left_anti").unionByName(settle(more))
+    whole = records.filter("n_record <= n_fragment").select(*columns).union(joined(owned))
     revisit = F.col("record_type") == "revisit"
     intact = (F.col("n_told") == F.col("n_found")) & (F.col("payload_digest") == F.col("found_digest"))
     return whole.select(

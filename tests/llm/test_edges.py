@@ -238,3 +238,46 @@ def test_a_near_copy_leaves_unlike_texts_of_its_key(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()]
     assert sorted(got) == [(1, a), (2, b), (4, c), (5, None)]
+
+
+def test_warc_scan_layout_changes_nothing(spark, tmp_path):
+    """Records whose payload holds magic and complete records, in one file and several splits, read under a layout that changes between planning and running."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(k, f"http://x/{k}", f"page {k} " + (inner * (k % 5) + "WARC/1.1\r\n") * (k % 3 == 0) + "t" * (k * 37 % 500)) for k in range(40)]
+    rows += [(None, "n", "no key"), (None, "n", "no key"), (50, "u", "same"), (50, "u", "same"), (60, "long", "é " * 200_000)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, key string, body string")
+    warc.write_archives(df.coalesce(1), f"file://{tmp_path}/a")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    seen = []
+    try:
+        for size, parallel in (("4k", "1"), ("1m", "3"), ("128m", "40")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+            planned = warc.read_archives(spark, f"file://{tmp_path}/a")
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallel)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+            seen.append(sorted(map(str, planned.collect())))
+            assert len(seen[-1]) == len(rows) and all("intact=True" in x for x in seen[-1])
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert seen[0] == seen[1] == seen[2]
+    got = {r.key: r for r in planned.collect() if r.key is not None and r.key != 50}
+    assert {k: r.payload_bytes for k, r in got.items()} == {k: len(h.encode()) for k, _, h in rows if k not in (None, 50)}
+    assert [r.record_type for r in planned.collect() if r.key == 50] == ["response", "response"]
+
+
+def test_a_broken_record_ends_its_file(spark, tmp_path):
+    df = spark.createDataFrame([(k, "u", f"p{k}") for k in range(6)], "page_id long, url string, html string")
+    warc.write_archives(df.coalesce(1), f"file://{tmp_path}/a")
+    (file,) = (tmp_path / "a").glob("part-*")
+    whole = file.read_bytes()
+    for told in (b"-70", b"9999999", b"x"):
+        cut = whole.split(b"Content-Length: ")
+        cut[5] = told + cut[5][cut[5].index(b"\r") :]  # the third record's own length
+        (tmp_path / told.decode()).mkdir()
+        (tmp_path / told.decode() / "part-0").write_bytes(b"Content-Length: ".join(cut))
+        got = warc.read_archives(spark, f"file://{tmp_path}/{told.decode()}").collect()
+        assert {0, 1} <= {r.key for r in got if r.intact} and not {3, 4, 5} & {r.key for r in got}
