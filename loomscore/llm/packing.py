@@ -2,53 +2,77 @@
 
 from __future__ import annotations
 
-import base64
 import heapq
+import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 from .wordhash import pieces
 
-#: Letters of the scripts for which the standard library's patterns cut as the tokenizer's pattern does; other texts take the slower way.
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_CUT = re.compile(
-    f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_LETTERS}0-9\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-)
-_OTHER = re.compile(f"[^\x00-\x7e{_LETTERS}]")
-CACHE = 400_000
+#: Before a space that a visible character follows: byte-level pre-tokens hold a space only as their first character or in a run of white
+#: space, so none reaches across such a place, and the ids of a text are those of its units one after another.
+_UNIT = re.compile("(?= [!-~\xc0-\u024f])")
+#: Bytes of cached units and ids for each task; units over LONG characters are not cached; a text is cut into units in slices of SLICE characters.
+CACHE_BYTES, LONG, SLICE = 1 << 26, 256, 1 << 20
 
 
-class _Ids(dict):
-    """Ids of pre-tokens as little-endian 32-bit bytes; the byte-pair merges of one never reach into the next."""
+class TextIds:
+    """A text's ids by a byte-level tokenizer file, as little-endian 32-bit bytes. Units that recur are encoded once."""
 
-    def __init__(self, tokenizer: str, ranks: str):
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
-        import tiktoken
 
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("bpe", pat_str=r"\S+|\s+", mergeable_ranks=merges, special_tokens={})
-        self.whole = Tokenizer.from_file(tokenizer)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[word] = array("I", self.coder._encode_single_piece(word)).tobytes()
-        return found
-
-    def of(self, text: str) -> bytes:
-        if _OTHER.search(text) or "<|" in text:
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, _CUT.findall(text)))
+        self.coder = Tokenizer.from_file(tokenizer)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch(units, add_special_tokens=False)]
+
+    def slices(self, text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            cut = _UNIT.search(text, at + SLICE)
+            to = cut.start() if cut else len(text)
+            yield text[at:to]
+            at = to
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out = [[] for _ in texts]
+        run: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self.slices(text):
+                run.append((k, _UNIT.split(part)))
+                size += len(part)
+                if size >= SLICE:
+                    self._append(run, out)
+                    run, size = [], 0
+        self._append(run, out)
+        return [b"".join(x) for x in out]
+
+    def _append(self, run: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        fresh = list({u for _, units in run for u in units} - self.known.keys())
+        found = dict(zip(fresh, self.encode(fresh), strict=True))
+        self.known |= found
+        self.held += sum(200 + 4 * len(u) + len(i) for u, i in found.items())
+        known = self.known
+        for k, units in run:
+            out[k].append(b"".join([known[u] for u in units]))
+        for u in fresh:
+            if len(u) > LONG:
+                self.held -= 200 + 4 * len(u) + len(known.pop(u))
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
@@ -90,69 +114,105 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
         windows += max(1, over // (2 * capacity))
 
 
+def close_windows(windows: list[list[int]], lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """The windows' items as (index, start, length), in as few windows as the sum needs: the least filled ones are dissolved, and
+    their items cut to fill what room the others have."""
+    windows = sorted(windows, key=lambda w: sum(lengths[k] for k in w))
+    spare = len(windows) - -(-sum(lengths) // capacity)
+    loose = [(k, 0, lengths[k]) for w in windows[:spare] for k in w]
+    closed = []
+    for w in windows[spare:]:
+        own = [(k, 0, lengths[k]) for k in w]
+        room = capacity - sum(lengths[k] for k in w)
+        while room and loose:
+            k, at, n = loose.pop()
+            own.append((k, at, min(n, room)))
+            if n > room:
+                loose.append((k, at + room, n - room))
+            room -= min(n, room)
+        closed.append(own)
+    return closed
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
-    ranks: str,
     key: str = "doc_id",
     text: str = "text",
     capacity: int = 2048,
     end_id: int = 1,
     group: int = 512,
+    windows: int = 75,
+    full_group: int = 4096,
+    copies: int = 64,
 ) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of all documents in sequences of
     at most `capacity` tokens.
 
-    A document is its text's ids by the tokenizer's file (`ranks`: the same vocabulary, one merge rank a line, for the fast way) and end_id (so a null or empty text is one token). It is cut
-    every `capacity` tokens; whole cuts are sequences of their own, and the ends are dealt by hash into groups of about `group`, each
-    packed by differencing. Ids are computed in one pass where the text lies; only (key, start, length, crc, total)
-    is shuffled. Repeated rows and keys are separate documents with equal pieces; a null key passes through; other columns are
-    not read; an empty table gives an empty result."""
+    A document is its text's ids by the tokenizer's file and end_id (so a null or empty text is one token). It is cut
+    every `capacity` tokens. Whole cuts are sequences of their own. The ends, with their ids, are dealt by hash into groups of about `group`
+    ends or of `windows` windows, whichever is more; each is packed by differencing, whose windows rise in number while one exceeds the
+    capacity. Then the windows beyond what the group's tokens need are dissolved, their ends cut to fill the others (close_windows), so a group
+    pads less than one sequence.
+
+    Texts are read once, by the tasks that scan them; what is shuffled is their ends' ids and numbers. Rows that repeat a document are separate
+    documents with equal pieces, dealt in bundles of `copies`, and everything depends on the rows alone, not on how they lie. A null
+    key passes through; other columns are not read; an empty table gives an empty result."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(tokenizer, ranks)
+        coder = TextIds(tokenizer)
         end = end_id.to_bytes(4, "little")
         step = 4 * capacity
         for batch, raw in pieces(batches, "text"):
-            rows = []
-            for at, x in enumerate(raw):
-                whole = ids.of(x.decode("utf-8")) + end
-                total = len(whole) // 4
+            rows, ends = [], []
+            for at, found in enumerate(coder.of([x.decode("utf-8") for x in raw])):
+                whole = found + end
                 for k in range(0, len(whole), step):
                     part = whole[k : k + step]
-                    rows.append((at, k // 4, len(part) // 4, zlib.crc32(part), total))
+                    rows.append((at, k // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))
+                    ends.append(part if len(part) < step else None)
             at, *columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), *map(pa.array, columns)], names=["key", "start", "length", "ids_crc32", "doc_tokens"]
+                [batch.column(0).take(pa.array(at)), *map(pa.array, columns), pa.array(ends, pa.binary())],
+                names=["key", "start", "length", "ids_crc32", "doc_tokens", "ids"],
             )
 
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
-    parts = settle(docs.mapInArrow(cut, f"key {kind}, {PIECES}"))
-    count = parts.filter(F.col("length") < capacity).count()
-    groups = max(1, round(count / group))
-    # The row's number keeps copies of a row, however many, apart.
-    salted = parts.withColumn("_group", F.pmod(F.xxhash64("key", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    parts = settle(docs.mapInArrow(cut, f"key {kind}, {PIECES}, ids binary"))
+    is_end = F.col("length") < capacity
+    sizes = parts.agg(F.count_if(~is_end).alias("full"), F.count_if(is_end).alias("ends"), F.sum(F.when(is_end, F.col("length"))).alias("tokens")).first()
+
+    def dealt(rows: DataFrame, groups: int) -> DataFrame:
+        """Equal rows as bundles, each with its number of rows and its group."""
+        counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+        bundles = counted.withColumn("_bundle", F.explode(F.expr(f"sequence(0, (_n - 1) div {copies})")))
+        own = F.least(F.lit(copies), F.col("_n") - F.col("_bundle") * copies).cast("int")
+        return bundles.withColumns({"_n": own, "_group": F.pmod(F.xxhash64("key", "start", "ids_crc32", "_bundle"), F.lit(max(1, groups)))})
+
+    full = dealt(parts.filter(~is_end).drop("ids"), round(sizes["full"] / full_group))
+    full = full.withColumn("_copy", F.explode(F.expr("sequence(1, _n)")))
+    number = F.row_number().over(Window.partitionBy("_group").orderBy("key", "start", "ids_crc32", "_bundle", "_copy"))
+    # Groups of ends have even numbers, those of whole cuts odd ones.
+    full = full.withColumns({"sequence_id": F.expr("shiftleft(2 * _group + 1, 32)") + number, "offset": F.lit(0).cast("long")})
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths = frame["length"].to_numpy()
-        short = np.flatnonzero(lengths < capacity)
-        sequence = np.zeros(len(frame), np.int64)
-        offset = np.zeros(len(frame), np.int64)
-        windows = pack_lengths(lengths[short].tolist(), capacity)
-        for k, w in enumerate(windows):
-            own = short[w]
-            sequence[own] = k
-            offset[own] = np.cumsum(lengths[own]) - lengths[own]
-        full = np.flatnonzero(lengths >= capacity)
-        sequence[full] = len(windows) + np.arange(len(full))
-        frame["sequence_id"] = (frame["_group"].to_numpy() << 32) + sequence
-        frame["offset"] = offset
-        return frame.drop(columns="_group")
-
-    packed = salted.groupBy("_group").applyInPandas(pack, f"key {kind}, {PIECES}, sequence_id long, offset long")
-    return packed.withColumnRenamed("key", key)
+        frame = frame.sort_values(["key", "start", "ids_crc32", "_bundle"], kind="stable")
+        frame = frame.loc[frame.index.repeat(frame["_n"])].reset_index(drop=True)
+        lengths, crcs, ids = frame["length"].tolist(), frame["ids_crc32"].tolist(), frame["ids"].tolist()
+        rows = []
+        for k, own in enumerate(close_windows(pack_lengths(lengths, capacity), lengths, capacity)):
+            offset = 0
+            for i, at, n in own:
+                rows.append((i, at, n, crcs[i] if n == lengths[i] else zlib.crc32(ids[i][4 * at : 4 * (at + n)]), k, offset))
+                offset += n
+        i, at, n, crc, k, offset = np.array(rows, np.int64).T
+        out = frame.iloc[i][["key", "start", "doc_tokens"]].reset_index(drop=True)
+        return out.assign(start=out["start"] + at, length=n, ids_crc32=crc, sequence_id=(2 * int(frame["_group"].iloc[0]) << 32) + k, offset=offset)
+
+    groups = min(round(sizes["ends"] / group), (sizes["tokens"] or 0) // (windows * capacity))
+    packed = dealt(parts.filter(is_end), groups).groupBy("_group").applyInPandas(pack, f"key {kind}, {PIECES}, sequence_id long, offset long")
+    return packed.unionByName(full.select(packed.columns)).withColumnRenamed("key", key)

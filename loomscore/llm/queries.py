@@ -28,10 +28,10 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
 
 
-def tokenizer_files() -> tuple[str, str]:
+def tokenizer_files() -> tuple[str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return (public_tokenizers.path("byte_bpe_50k.json"),)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

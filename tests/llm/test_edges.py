@@ -129,11 +129,42 @@ def test_differencing_balances():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aZ09 \n\t'<|>é_漢ſ  .,s#\x1c\x85²½ɐ"), max_size=40))
-def test_ids(text):
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ09 \n\t'<|>é_漢ſ  .,s#\x1c\x85²½ɐ\u3000"), max_size=40), max_size=4), st.sampled_from([1, 7, 1 << 20]))
+def test_ids(texts, slice_size):
     global CODER
-    CODER = globals().get("CODER") or packing._Ids(*queries.tokenizer_files())
-    assert np.frombuffer(CODER.of(text), np.uint32).tolist() == CODER.whole.encode(text, add_special_tokens=False).ids
+    CODER = globals().get("CODER") or packing.TextIds(*queries.tokenizer_files())
+    before, packing.SLICE = packing.SLICE, slice_size
+    try:
+        got = [np.frombuffer(x, np.uint32).tolist() for x in CODER.of(texts)]
+    finally:
+        packing.SLICE = before
+    assert got == [CODER.coder.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 99), max_size=60))
+def test_closed_windows(lengths):
+    closed = packing.close_windows(packing.pack_lengths(lengths, 100), lengths, 100)
+    assert len(closed) == -(-sum(lengths) // 100)
+    assert all(0 < sum(n for _, _, n in w) <= 100 for w in closed)
+    places = sorted((k, at, n) for w in closed for k, at, n in w)
+    assert [k for k, at, _ in places if at == 0] == list(range(len(lengths)))
+    assert all(sum(n for k, _, n in places if k == i) == lengths[i] for i in range(len(lengths)))
+
+
+def test_packing_repeated_and_long_rows(spark):
+    """Many equal rows, and rows that are many whole cuts; the same sequences however the rows lie."""
+    rows = [(7, "same words again and again")] * 500 + [(None, "x")] * 30 + [(k, "word " * 2047 * (k % 4)) for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [packing.pack_documents(d, *queries.tokenizer_files(), full_group=16) for d in (df.coalesce(1), df.repartition(7))]
+    first, again = (sorted(map(str, m.collect())) for m in made)
+    assert first == again
+    got = made[0].collect()
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // 2048)
+    whole = [r for r in got if r.length == 2048]
+    assert len({r.sequence_id for r in whole}) == len(whole) > 30
+    assert sum(r.doc_id == 7 and r.start == 0 for r in got) == 500
 
 
 def test_components_of_long_chain(spark):
