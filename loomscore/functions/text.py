@@ -110,9 +110,3 @@ def iso_seconds(x: Column | str) -> Column:
     part = lambda unit: F.coalesce(F.regexp_extract(col(x), f"([0-9]+){unit}", 1).try_cast("long"), F.lit(0))
     right = col(x).rlike(r"^P([0-9]+D)?T([0-9]+H)?([0-9]+M)?([0-9]+S)?$")
     return F.when(right, part("D") * 86400 + part("H") * 3600 + part("M") * 60 + part("S"))
-
-
-def fingerprint(fields: dict[str, Column]) -> Column:
-    """sha256 over name=value pairs in the order of names; null reads null, so it differs from 0 and ''."""
-    pairs = [F.concat(F.lit(f"{k}="), F.coalesce(fields[k].cast("string"), F.lit("null"))) for k in sorted(fields)]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), 256)

@@ -1,3 +1,3 @@
 """Queries over the test tables; importing this package registers them."""
 
-from . import catalogue, operations, streams, texts  # noqa: F401
+from . import catalogue, details, monitor, operations, records, streams, texts  # noqa: F401

@@ -98,11 +98,6 @@ def events_after_cursor(spark, d):
     return table(spark, d, "events").filter("event_id > 200").orderBy("event_id").limit(200).select("event_id", "event_type", "user_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type IN ('error') AND ts >= TIMESTAMP '2024-01-15'")
-def problem_events(spark, d):
-    return table(spark, d, "events").filter("event_type = 'error' AND ts >= timestamp'2024-01-15'").select("event_id", "user_id")
-
-
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def last_state(spark, d):
     """The latest event of each user, by an aggregate rather than a window."""

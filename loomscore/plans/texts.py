@@ -94,12 +94,6 @@ def body_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", text.body_hash("text").alias("hash"))
 
 
-@query("SELECT doc_id, sha256(concat('{', concat_ws(',', 'lang=' || coalesce(lang, 'null'), 'n_chars=' || coalesce(CAST(n_chars AS VARCHAR), 'null'), 'source=' || coalesce(source, 'null')), '}')) AS print FROM documents")
-def fingerprint(spark, d):
-    fields = {c: F.col(c) for c in ("source", "lang", "n_chars")}
-    return table(spark, d, "documents").select("doc_id", text.fingerprint(fields).alias("print"))
-
-
 @query(r"""WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS v FROM benchmark WHERE item_id < 5)
 SELECT doc_id, item_id, round(len(list_intersect(v, w)) / len(v)::DOUBLE, 6) AS covered FROM t, b WHERE doc_id % 20 = item_id""")
 def coverage(spark, d):

@@ -23,6 +23,17 @@ class Settings:
     similar_top: int = 12
     similar_candidates: int = 300
     similar_min: float = 0.34
+    similar_aspect: float = 0.26
+    reason_floor: float = 0.18
+    daily_cost: float = 10.0
+    hourly_calls: int = 100
+    new_reviews: int = 10
+    new_ratio: float = 0.2
+    score_move: int = 3
+    summary_days: int = 90
+    critic_threshold: int = 5
+    player_threshold: int = 20
+    gap_points: int = 7
     video_min_score: float = 60.0
     video_min_seconds: int = 600
     video_max_seconds: int = 25200
