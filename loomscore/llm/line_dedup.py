@@ -5,82 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle
+from .common import join_hot, numbered, settle
 
 #: HyperLogLog sketches have 2**LOG_K registers; their relative error is near 1.04 / sqrt(2**LOG_K), or 1.6 %.
 LOG_K = 12
+#: A line is known by 128 bits of hash, so that among 10**12 lines no two unlike ones are taken for each other.
+HASH = ["h", "g"]
+
+
+def _hash(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(5), line).alias("g"))
+
+
+def _spread(lines: DataFrame, min_sites: int, slack: float) -> DataFrame:
+    """(h, g, n_sites) of the lines (site, h, g) with at least min_sites distinct sites, settled."""
+    sketch = lines.groupBy(*HASH).agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"))
+    estimated = settle(sketch.select(*HASH, F.hll_sketch_estimate("sketch").alias("n_sites")).filter(F.col("n_sites") >= min_sites * (1 - slack)))
+    sure = estimated.filter(F.col("n_sites") > min_sites * (1 + slack))
+    near = estimated.filter(F.col("n_sites") <= min_sites * (1 + slack)).select(*HASH)
+    # Each line's sites are distinct before they are counted, so a line on every page is no hot key; near the threshold a line has few sites.
+    pairs = join_hot(lines, near, HASH).distinct()
+    exact = pairs.groupBy(*HASH).agg(F.count("*").alias("n_sites")).filter(F.col("n_sites") >= min_sites)
+    return settle(sure.unionByName(exact))
 
 
 def line_spread(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, slack: float = 0.1) -> DataFrame:
-    """(line_hash, n_sites) of the lines that at least min_sites distinct sites carry.
+    """(h, g, n_sites) of the lines that at least min_sites distinct sites carry; h and g are a line's hashes (see _hash).
 
     A sketch of sites for each line's hash is built map-side and merged by the aggregation. Lines whose estimate is within
     `slack` (over six standard errors) of min_sites get an exact distinct count; for the others n_sites is the estimate."""
     lines = docs.select(F.col(site).alias("site"), F.explode(F.split(F.col(text), "\n")).alias("line"))
     lines = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]") & F.col("site").isNotNull())
-    lines = lines.select("site", F.xxhash64("line").alias("line_hash"))
-    sketch = lines.groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"))
-    estimated = settle(
-        sketch.select("line_hash", F.hll_sketch_estimate("sketch").alias("n_sites")).filter(F.col("n_sites") >= min_sites * (1 - slack))
-    )
-    sure = estimated.filter(F.col("n_sites") > min_sites * (1 + slack))
-    near = estimated.filter(F.col("n_sites") <= min_sites * (1 + slack)).select("line_hash")
-    # Each line's sites are distinct before they are counted, so a line on every page is no hot key.
-    pairs = lines.join(near, "line_hash").distinct()
-    exact = pairs.groupBy("line_hash").agg(F.count("*").alias("n_sites")).filter(F.col("n_sites") >= min_sites)
-    return settle(sure.unionByName(exact))
+    return _spread(lines.select("site", _hash(F.col("line")).alias("x")).select("site", "x.*"), min_sites, slack)
 
 
 def drop_spread_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5
+    docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, slack: float = 0.1
 ) -> DataFrame:
-    """docs with boilerplate lines cut from the text, plus removed_lines (long) and protected (boolean).
-
-    Boilerplate surrounds a page: where it would take over max_share of a text's characters, the text is a copy of a
-    document rather than a page with a frame, stays as it is (protected) and is left to document dedup. Lines are
-    compared as they are; lines without a word are never boilerplate. Null texts stay null with nothing removed, rows
-    with a null site count for no site but are cleaned, rows of equal key and text are cleaned alike, other columns
-    pass through (columns named as the two added are replaced), an empty table gives an empty result."""
-    docs, name = numbered(docs.drop("removed_lines", "protected"))
-    text, own_key = name[text], name[key]
-    spread = line_spread(docs, text, name[site], min_sites)
-    own = docs.select(F.col(own_key).alias("key"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    own = own.filter(F.col("line") != "").select("key", F.xxhash64("line").alias("line_hash"))
-    found = own.join(spread.select("line_hash"), "line_hash").groupBy("key").agg(F.collect_set("line_hash").alias("drop"))
-    joined = docs.join(found, docs[own_key].eqNullSafe(F.col("key")), "left")
+    """docs with boilerplate lines cut from the text, plus removed_lines (long).
 
-    lines = F.split(F.col(text), "\n")
+    Boilerplate is the frame of texts that differ. So of the lines that at least min_sites sites carry (candidates), those are boilerplate that
+    as many sites carry in texts of which candidates are at most max_share of the characters. Such lines go wherever they stand, also from
+    short pages that are mostly frame. A document that many sites copy, whole or nearly, is made of candidates everywhere it stands: its
+    lines are no frame, stay, and are left to document dedup.
 
-    def spread_out(line: Column) -> Column:
-        return F.array_contains("drop", F.xxhash64(line))
+    Lines are compared as they are; lines without a word are never boilerplate. Null texts stay null with nothing removed, rows
+    with a null site count for no site but are cleaned, rows of equal text are cleaned alike, other columns
+    pass through (a column named removed_lines is replaced), an empty table gives an empty result."""
+    docs, name = numbered(docs.drop("removed_lines"))
+    text, own_key = name[text], name[key]
+    print_of = F.xxhash64(text)
+    candidates = line_spread(docs, text, name[site], min_sites, slack)
+    # The row's number tells rows apart within this one job only.
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(own_key).alias("key"), print_of.alias("print"), F.col(name[site]).alias("site"), F.length(text).alias("chars"), text
+    )
+    own = rows.select("row", "key", "print", "site", "chars", F.explode(F.split(F.col(text), "\n")).alias("line")).filter(F.col("line") != "")
+    own = own.select("row", "key", "print", "site", "chars", F.length("line").alias("n"), _hash(F.col("line")).alias("x")).select("*", "x.*").drop("x")
+    hits = join_hot(own, candidates.select(*HASH), HASH, by="row").groupBy("row", "key", "print", "site", "chars")
+    hits = settle(hits.agg(F.sum("n").alias("n"), F.collect_set(F.struct(*HASH)).alias("lines")).drop("row"))
+    framed = hits.filter((F.col("n") <= F.col("chars") * F.lit(max_share)) & F.col("site").isNotNull())
+    boilerplate = _spread(framed.select("site", F.explode("lines").alias("x")).select("site", "x.*"), min_sites, slack)
+    held = hits.select("key", "print", F.explode("lines").alias("x")).select("key", "print", "x.*")
+    found = join_hot(held, boilerplate.select(*HASH), HASH, by="print").groupBy("key", "print").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
+    joined = docs.join(found, docs[own_key].eqNullSafe(F.col("key")) & (print_of == F.col("print")), "left")
 
-    cut = F.filter(lines, spread_out)
-    chars = F.aggregate(cut, F.lit(0), lambda n, x: n + F.length(x))
+    lines = F.split(F.col(text), "\n")
+    rest = F.filter(lines, lambda x: ~F.array_contains("drop", _hash(x)))
     some = F.col("drop").isNotNull()
-    counted = joined.withColumns(
-        {"lines": F.when(some, F.size(cut).cast("long")).otherwise(0), "chars": F.when(some, chars).otherwise(0)}
-    )
-    protected = F.col("chars") > F.length(F.coalesce(F.col(text), F.lit(""))) * F.lit(max_share)
-    rest = F.array_join(F.filter(lines, lambda x: ~spread_out(x)), "\n")
-    cleaned = counted.withColumn("protected", protected)
-    cleaned = cleaned.withColumn("removed_lines", F.when(F.col("protected"), F.lit(0).cast("long")).otherwise(F.col("lines")))
-    cleaned = cleaned.withColumn(text, F.when(F.col("removed_lines") > 0, rest).otherwise(F.col(text)))
-    return cleaned.select(*[F.col(c).alias(old) for old, c in name.items()], "removed_lines", "protected")
+    cleaned = joined.withColumn("rest", F.when(some, rest))
+    cleaned = cleaned.withColumn("removed_lines", F.when(some, F.size(lines) - F.size("rest")).otherwise(0).cast("long"))
+    cleaned = cleaned.withColumn(text, F.when(some, F.array_join("rest", "\n")).otherwise(F.col(text)))
+    return cleaned.select(*[F.col(c).alias(old) for old, c in name.items()], "removed_lines")
 
 
 ORACLE = r"""
 WITH lines AS (
-    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+    SELECT doc_id, source, length(text) AS chars, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
     FROM documents WHERE text IS NOT NULL
-), spread AS (
+), candidate AS (
     SELECT line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10
+), framed AS (
+    SELECT doc_id FROM lines JOIN candidate USING (line) GROUP BY doc_id HAVING sum(length(line)) <= 0.5 * max(chars)
+), spread AS (
+    SELECT line FROM lines JOIN candidate USING (line) JOIN framed USING (doc_id) GROUP BY line HAVING count(DISTINCT source) >= 10
 ), counted AS (
-    SELECT doc_id, count(s.line) AS cut, coalesce(sum(length(s.line)), 0) AS chars,
-           coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE s.line IS NULL), '') AS rest
+    SELECT doc_id, count(s.line) AS cut, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE s.line IS NULL), '') AS rest
     FROM lines l LEFT JOIN spread s ON l.line = s.line GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN c.cut > 0 AND NOT c.chars > 0.5 * length(d.text) THEN c.rest ELSE d.text END AS text,
-       CAST(CASE WHEN c.chars > 0.5 * length(d.text) THEN 0 ELSE coalesce(c.cut, 0) END AS BIGINT) AS removed_lines,
-       coalesce(c.chars > 0.5 * length(d.text), false) AS protected
+SELECT d.doc_id, CASE WHEN c.cut > 0 THEN c.rest ELSE d.text END AS text, CAST(coalesce(c.cut, 0) AS BIGINT) AS removed_lines
 FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id
 """
