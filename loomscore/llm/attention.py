@@ -6,16 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+from .mixing import word_count
 from .wordhash import pieces, word_hashes
 
 PASSAGE = 64
-_CLASS = np.zeros((256, 6), np.float32)
-for _k, _chars in enumerate((b"#*$%&|<>", b"0123456789", bytes(range(65, 91)), b".,;:!?", b"|", bytes(range(128, 256)))):
+_CLASS = np.zeros((256, 5), np.float32)
+for _k, _chars in enumerate((b"#*$%&|<>", b"0123456789", bytes(range(65, 91)), b".,;:!?", bytes(range(128, 256)))):
     _CLASS[list(_chars), _k] = 1
-FEATURES = 6 + 6 + 64
+FEATURES = 5 + 6 + 64
 
 
 def passages(texts: list[bytes], width: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class GatedAttention:
 
     def fit(self, x: np.ndarray, runs: np.ndarray, y: np.ndarray, rounds: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-3) -> None:
         """Adam over shuffled batches of documents; both classes weigh alike."""
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3
         weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
         at = np.cumsum(runs) - runs
         r = np.random.default_rng(3)
@@ -118,14 +120,15 @@ def score_quality(
     text: str = "text",
     label: str = "quality",
     train_documents: int = 4000,
-    train_passages: int = 64,
+    train_passages: int = 120_000,
 ) -> DataFrame:
     """(key, held_out, score, predicted) of every document, scored over all passages of its whole text.
 
     Rows whose crc32(key as text) mod 3 is 1 are held out: their labels are never read. The model learns from a bounded sample of
-    the others: at most train_documents labelled documents, half of each label as far as they reach, chosen by hash of the key, and
-    at most train_passages evenly spaced passages of each (training only). That sample, under train_documents * train_passages rows
-    of FEATURES floats, is all that comes to the driver; the model goes out as a few thousand numbers.
+    the others, of each label the documents first by hash of the key: at most train_documents / 2 of them, and no more than have
+    train_passages / 2 passages in all (a document with more than that alone is passed over). Each is taken with all its passages, and a
+    key that several rows have with the least of their texts. So at most train_passages rows of FEATURES floats come to the
+    driver; the model goes out as a few thousand numbers.
 
     Only the text is an input. Null and empty texts have one passage without words and a score like any other. Keys with null or
     conflicting labels teach nothing; without both labels every score is 0.5. Repeated rows score alike, a null key
@@ -142,26 +145,29 @@ def score_quality(
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy("h").limit(half)
         sample = part if sample is None else sample.union(part)
-    sample = F.broadcast(sample.select("key", "y"))  # at most train_documents rows
+    # At most train_documents rows are sent; rows that repeat a key are one before anything is collected.
+    drawn = settle(docs.join(F.broadcast(sample), "key").groupBy("key", "y", "h").agg(F.min("text").alias("text")))
+    runs = F.greatest(F.lit(1), F.ceil(word_count("text") / PASSAGE))
+    sized = drawn.select("key", "y", "h", runs.alias("runs")).filter(F.col("runs") <= train_passages // 2)
+    upto = F.sum("runs").over(Window.partitionBy("y").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sized.withColumn("upto", upto).filter(F.col("upto") <= train_passages // 2)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in pieces(batches, "text", 1 << 21):
             x, runs = passages(raw)
-            at = np.cumsum(runs) - runs
-            kept = []
-            for i, n in zip(at.tolist(), runs.tolist(), strict=True):
-                some = np.unique(np.linspace(0, n - 1, min(n, train_passages)).astype(int))
-                kept.append(x[i + some].tobytes())
+            kept = [part.tobytes() for part in np.split(x, np.cumsum(runs)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.binary())], names=["key", "y", "x"])
 
-    learned = docs.join(sample, "key").select("key", "text", "y").mapInArrow(features, f"key {kind}, y int, x binary")
-    rows = sorted(learned.select("key", "y", "x").toLocalIterator(), key=lambda r: (r.key, r.x))
+    learned = drawn.join(fitting.select("key"), "key").select("key", "text", "y").mapInArrow(features, f"key {kind}, y int, x binary")
+    rows = sorted(learned.toLocalIterator(), key=lambda r: r.key)
     y = np.array([r.y for r in rows], np.float64)
     model = None
     if len(set(y.tolist())) == 2:
         xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
+        counts = np.array([len(x) for x in xs])
+        del rows
         model = GatedAttention(FEATURES)
-        model.fit(np.concatenate(xs).astype(np.float64), np.array([len(x) for x in xs]), y)
+        model.fit(np.concatenate(xs), counts, y)
     sent = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
