@@ -14,8 +14,9 @@ from .mixing import word_count
 def place(loads: np.ndarray, shards: int, first: int = 0) -> np.ndarray:
     """The shard of each unit, taken from the largest down: where the dot product of its load with the residual capacity is highest.
 
-    loads: units by dimensions, each dimension scaled so that the units' sum is 1. `first` is where ties start."""
-    spare = np.full((shards, loads.shape[1]), 1.0 / shards)
+    loads: units by dimensions; of each dimension a shard has an even part of the units' sum as its capacity, so a dimension counts
+    by the square of its sum. `first` is where ties start."""
+    spare = np.tile(loads.sum(axis=0) / shards, (shards, 1))
     chosen = np.empty(len(loads), np.int64)
     order = np.lexsort((np.arange(len(loads)), -loads[:, 0]))
     turn = (np.arange(shards) + first) % shards
@@ -35,6 +36,7 @@ def shard_documents(
     overhead: int = 16,
     parts: int = 8,
     block_units: int = 20_000,
+    slot_run: int = 100_000,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
 ) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) under the law `bytes`: near-equal sums of sizes.
@@ -42,7 +44,8 @@ def shard_documents(
     Units are groups of equal texts. A group with over 1/(shards * parts) of all bytes or rows is split by hash into
     units below that: at most 2 * shards * parts groups are so large, hence the broadcast. Units are dealt by hash into
     blocks of about block_units; each block fills all shards with its own even part of their capacity, so the imbalance is that of
-    the smallest units and no task sees more than a block. Slots are gapless in a shard: blocks follow one another.
+    the smallest units and no task sees more than a block. The law asks for near-equal bytes, so tokens and rows enter the dot product
+    with `weights`. Slots are gapless in a shard: runs of about slot_run rows of a shard follow one another.
 
     size: UTF-8 bytes and `overhead`; a null text has none and counts as the empty one; tokens are words. Repeated rows are
     separate rows, a null key stays, other columns are not read, an empty table gives an empty result."""
@@ -82,7 +85,8 @@ def shard_documents(
 
     placed = settle(units.groupBy("_block").applyInPandas(fill, "_hash long, _part int, _block int, shard int"))
     found = rows.join(placed, ["_hash", "_part"])
-    run = F.pmod(F.xxhash64("_hash", "_part"), F.lit(8)).cast("int")
+    runs = max(8, -(-total["rows"] // (shards * slot_run)))
+    run = F.pmod(F.xxhash64("_hash", "_part", "key"), F.lit(runs)).cast("int")
     found = found.withColumn("_run", run)
     counts = found.groupBy("shard", "_block", "_run").agg(F.count("*").alias("n"))
     past = Window.partitionBy("shard").orderBy("_block", "_run").rowsBetween(Window.unboundedPreceding, -1)
