@@ -71,12 +71,12 @@ def jaccard_components(
     linked when 100 * intersection >= percent * union of their sets of `width`-word shingles (words: runs without ASCII
     white space, A-Z lower-cased; shorter texts are one shingle; texts without words are empty and not linked).
 
-    Null texts count as empty, rows with a null key are left out, repeated rows and ties give repeated equal rows, other
+    Null texts count as empty, rows with a null key link like any others but name no component (their component_id is null if no row with a
+    key is reachable), repeated rows and ties give repeated equal rows, other
     columns are not read, and an empty table gives an empty result. With text_hash each row also has the xxhash64 of its text,
     which tells rows of one key apart."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
-    hashed = ["text_hash"] if text_hash else []
 
     def least(n: int) -> int:
         """The size of the smallest set that can be alike one of n."""
@@ -98,28 +98,27 @@ def jaccard_components(
                 signs.append(_signature(s) if len(s) else None)
                 np.add.at(total, (s >> np.uint64(64 - heat_bits)).astype(np.int64), 1)
             key = batch.column(0)
-            prints = [batch.column(batch.schema.get_field_index("text_hash"))] if text_hash else []
-            least = least or int(key[0].as_py())
+            prints = batch.column(2)
+            least = least or int(prints[0].as_py())
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary()), *prints],
-                names=["key", "n", "node", "cell", "salt", "counts", *hashed],
+                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary()), prints],
+                names=["key", "n", "node", "cell", "salt", "counts", "text_hash"],
             )
         used = [k for k in range(max(1, len(total) // RUN)) if total[k * RUN : (k + 1) * RUN].any()]
         if used:
             blank = pa.nulls(len(used), pa.int64())
             packed = [zlib.compress(total[k * RUN : (k + 1) * RUN].tobytes(), 1) for k in used]
             yield pa.RecordBatch.from_arrays(
-                [blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed), *[blank for _ in hashed]],
-                names=["key", "n", "node", "cell", "salt", "counts", *hashed],
+                [blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed), blank],
+                names=["key", "n", "node", "cell", "salt", "counts", "text_hash"],
             )
 
-    read_from = docs.withColumn("text_hash", F.xxhash64("text")) if text_hash else docs
-    shape = "key long, n long, node long, cell int, salt int, counts binary" + (", text_hash long" if text_hash else "")
-    seen = settle(read_from.mapInArrow(read, shape))
-    rows = seen.filter("cell IS NULL").select("key", "n", "node", *hashed)
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    seen = settle(docs.mapInArrow(read, "key long, n long, node long, cell int, salt int, counts binary, text_hash long"))
+    rows = seen.filter("cell IS NULL").select("key", "n", "node", "text_hash")
     heat = spark.sparkContext.broadcast(_heat(seen.filter("cell IS NOT NULL").select("cell", "salt", "counts"), heat_bits))
-    nodes = settle(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n")))
+    nodes = settle(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash")))
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -159,7 +158,7 @@ def jaccard_components(
     release(loose)
 
     # The sets of the nodes that share a prefix token with another.
-    wanted = nodes.join(member.select("node").distinct(), "node").select("key", "node")
+    wanted = settle(nodes.join(member.select("node").distinct(), "node").select("key", "node", "text_hash"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in pieces(batches, "text"):
@@ -172,9 +171,18 @@ def jaccard_components(
                 names=["node", "sign", "tokens"],
             )
 
-    whole = settle(
-        docs.join(wanted, "key").select("node", "text").mapInArrow(sets, "node long, sign long, tokens array<long>").filter("node = sign").select("node", "tokens")
-    )
+    def sets_of(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(sets, "node long, sign long, tokens array<long>").filter("node = sign").select("node", "tokens")
+
+    keyed = docs.join(wanted.filter("key IS NOT NULL").select("key", "node"), "key").select("node", "text")
+    whole = settle(sets_of(keyed))
+    # One row for each node: repeats of a key with its text, and texts without any key, are known from the counts of rows.
+    repeated = not rows.filter("key IS NOT NULL AND n > 0").groupBy("key", "node").count().filter("count > 1").isEmpty()
+    nameless = wanted.filter("key IS NULL").select("text_hash", "node")
+    if repeated or not nameless.isEmpty():
+        unnamed = docs.filter("key IS NULL").join(nameless, "text_hash").select("node", "text")
+        several, whole = whole, settle(whole.union(sets_of(unnamed.dropDuplicates(["node"]))).dropDuplicates(["node"]))
+        release(several)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose sets are alike."""
@@ -247,5 +255,5 @@ def jaccard_components(
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_node = settle(named.join(least, "component").select("node", "component_id"))
     return rows.join(of_node, "node", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *hashed
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *(["text_hash"] if text_hash else [])
     )
