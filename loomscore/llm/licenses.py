@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_hot, settle
 from .wordhash import pieces
 
 #: Licence identifiers, with notices as they stand in headers and the openings of the licence files.
@@ -43,6 +43,9 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "ISC": ("Licensed under the ISC License.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
 #: Whole licences (that of CC-BY-NC-4.0 is CC-BY-4.0's with the clauses that differ, BSD-2-Clause is BSD-3-Clause without its third).
@@ -71,10 +74,9 @@ def units(text: str) -> list[str]:
 class Model:
     """TF-IDF weights from counts over all lines of the corpus; terms of no template weigh as if they had never been seen.
 
-    Every unit is compared with every template: a unit that shares no term with any has cosine 0. `common` has no effect: it
-    named the terms that a unit had to hold to be compared at all, and a frequent notice was lost by it."""
+    Every unit is compared with every template: a unit that shares no term with any has cosine 0."""
 
-    def __init__(self, lines: int, counts: dict[str, int], common: float = 0.01, at_least: float = 0.7):
+    def __init__(self, lines: int, counts: dict[str, int], at_least: float = 0.7):
         weight = lambda n: math.log((1 + lines) / (1 + n)) + 1
         self.known = {t: weight(n) for t, n in counts.items()}
         self.other, self.at_least = weight(0), at_least
@@ -122,7 +124,7 @@ class Model:
 
 
 def scan_licenses(
-    files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", at_least: float = 0.7, whole_share: float = 0.5, common: float = 0.01
+    files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", at_least: float = 0.7, whole_share: float = 0.5
 ) -> DataFrame:
     """(key, path, own_license, cosine, is_license_file, license, from_directory) of every file.
 
@@ -133,9 +135,9 @@ def scan_licenses(
     (licences of files so named first, then the highest cosine and the least licence and path decide within a directory);
     from_directory names it.
 
-    Every unit of every text is compared, whatever the counts are (`common` has no effect, see Model). Term counts cover every
+    Every unit of every text is compared, whatever the counts are. Term counts cover every
     line of every text: partial counts for each task, of the templates' few thousand terms. Inheritance
-    joins distinct directories with their ancestors, then files with directories. Null and empty texts have no licence of
+    joins distinct directories with their ancestors (those below one ancestor dealt over several tasks), then files with directories. Null and empty texts have no licence of
     their own; files with a null path neither give nor inherit; repeated rows are judged alike; other columns are not read; an
     empty table gives an empty result."""
     spark = files.sparkSession
@@ -157,7 +159,7 @@ def scan_licenses(
     counted = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = {r.term: r.n for r in counted.collect()}  # the vocabulary's size at most
     lines = counts.pop("", 0)
-    sent = spark.sparkContext.broadcast(Model(lines, {t: counts.get(t, 0) for t in vocabulary}, common, at_least))
+    sent = spark.sparkContext.broadcast(Model(lines, {t: counts.get(t, 0) for t in vocabulary}, at_least))
     named = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def scan_licenses(
     parts = F.split("dir", "/")
     depths = F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))))
     above = dirs.withColumn("depth", depths).withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(given, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
+    nearest = join_hot(above, given, ["ancestor"], by="dir").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
     nearest = settle(nearest.selectExpr("dir", "near.ancestor AS ancestor", "near.given AS given"))
     joined = judged.join(nearest, "dir", "left")
     lacks = F.col("own_license").isNull()
