@@ -112,13 +112,6 @@ def lru_evict(spark, d):
     return ops.evict(files, "n_chars", "used", "doc_id", 500_000).select("doc_id")
 
 
-@query("""SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) ORDER BY o_orderdate, o_orderkey LIMIT 20""")
-def budget_claims(spark, d):
-    o = table(spark, d, "orders")
-    done = o.filter("o_orderkey % 2 = 0").select("o_orderkey")
-    return o.join(done, "o_orderkey", "left_anti").orderBy("o_orderdate", "o_orderkey").limit(20).select(F.col("o_orderkey").alias("task_id"))
-
-
 _DELTA = "delta AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey + 10000000, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 7 = 0)"
 
 
