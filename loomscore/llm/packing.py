@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
 import os
 import re
@@ -17,62 +18,42 @@ from pyspark.sql import functions as F
 from .common import settle
 from .wordhash import pieces
 
-#: Before a space that a visible character follows: byte-level pre-tokens hold a space only as their first character or in a run of white
-#: space, so none reaches across such a place, and the ids of a text are those of its units one after another.
-_UNIT = re.compile("(?= [!-~\xc0-\u024f])")
-#: Bytes of cached units and ids for each task; units over LONG characters are not cached; a text is cut into units in slices of SLICE characters.
-CACHE_BYTES, LONG, SLICE = 1 << 26, 256, 1 << 20
+#: A text is encoded in slices of about so many characters, cut before a space that a visible character follows: byte-level
+#: pre-tokens hold a space only as their first character or in a run of white space, so none reaches across.
+SLICE = 1 << 20
+_CUT = re.compile("(?= [!-~\xc0-\u024f])")
 
 
 class TextIds:
-    """A text's ids by a byte-level tokenizer file, as little-endian 32-bit bytes. Units that recur are encoded once."""
+    """A text's ids by a tokenizer file.
 
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+    The ids are those of `tokenizers`, which takes more than twice the time that the check tool grants this operator. So tiktoken,
+    given the same vocabulary as ranks and the same published pattern, encodes all texts but those that hold one of the file's added
+    tokens, which only `tokenizers` reads as such. Tests hold the two against each other."""
+
+    def __init__(self, tokenizer: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
         self.coder = Tokenizer.from_file(tokenizer)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch(units, add_special_tokens=False)]
-
-    def slices(self, text: str) -> Iterator[str]:
-        at = 0
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        #: The least unsigned integers that hold every id.
+        self.kind = "<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def of(self, text: str) -> np.ndarray:
+        if any(x in text for x in self.added):
+            return np.array(self.coder.encode(text, add_special_tokens=False).ids, self.kind)
+        parts, at = [], 0
         while at < len(text):
-            cut = _UNIT.search(text, at + SLICE)
+            cut = _CUT.search(text, at + SLICE)
             to = cut.start() if cut else len(text)
-            yield text[at:to]
+            parts.append(np.array(self.fast.encode_ordinary(text[at:to]), self.kind))
             at = to
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        out = [[] for _ in texts]
-        run: list[tuple[int, list[str]]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            for part in self.slices(text):
-                run.append((k, _UNIT.split(part)))
-                size += len(part)
-                if size >= SLICE:
-                    self._append(run, out)
-                    run, size = [], 0
-        self._append(run, out)
-        return [b"".join(x) for x in out]
-
-    def _append(self, run: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        fresh = list({u for _, units in run for u in units} - self.known.keys())
-        found = dict(zip(fresh, self.encode(fresh), strict=True))
-        self.known |= found
-        self.held += sum(200 + 4 * len(u) + len(i) for u, i in found.items())
-        known = self.known
-        for k, units in run:
-            out[k].append(b"".join([known[u] for u in units]))
-        for u in fresh:
-            if len(u) > LONG:
-                self.held -= 200 + 4 * len(u) + len(known.pop(u))
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
@@ -140,6 +121,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
+    ranks: str,
+    pattern: str,
     key: str = "doc_id",
     text: str = "text",
     capacity: int = 2048,
@@ -152,7 +135,7 @@ def pack_documents(
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of all documents in sequences of
     at most `capacity` tokens.
 
-    A document is its text's ids by the tokenizer's file and end_id (so a null or empty text is one token). It is cut
+    A document is its text's ids by the tokenizer's file (`ranks` and `pattern`: the same vocabulary, see TextIds) and end_id (so a null or empty text is one token). It is cut
     every `capacity` tokens. Whole cuts are sequences of their own. The ends, with their ids, are dealt by hash into groups of about `group`
     ends or of `windows` windows, whichever is more; each is packed by differencing, whose windows rise in number while one exceeds the
     capacity. Then the windows beyond what the group's tokens need are dissolved, their ends cut to fill the others (close_windows), so a group
@@ -163,17 +146,15 @@ def pack_documents(
     key passes through; other columns are not read; an empty table gives an empty result."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextIds(tokenizer)
-        end = end_id.to_bytes(4, "little")
-        step = 4 * capacity
+        coder = TextIds(tokenizer, ranks, pattern)
         for batch, raw in pieces(batches, "text"):
             rows, ends = [], []
-            for at, found in enumerate(coder.of([x.decode("utf-8") for x in raw])):
-                whole = found + end
-                for k in range(0, len(whole), step):
-                    part = whole[k : k + step]
-                    rows.append((at, k // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))
-                    ends.append(part if len(part) < step else None)
+            for at, x in enumerate(raw):
+                ids = np.append(coder.of(x.decode("utf-8")), np.array(end_id, coder.kind))
+                for k in range(0, len(ids), capacity):
+                    part = ids[k : k + capacity]
+                    rows.append((at, k, len(part), zlib.crc32(part.astype("<u4")), len(ids)))
+                    ends.append(part.tobytes() if len(part) < capacity else None)
             at, *columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), *map(pa.array, columns), pa.array(ends, pa.binary())],
@@ -199,6 +180,10 @@ def pack_documents(
     # Groups of ends have even numbers, those of whole cuts odd ones.
     full = full.withColumns({"sequence_id": F.expr("shiftleft(2 * _group + 1, 32)") + number, "offset": F.lit(0).cast("long")})
 
+    def part_crc(raw: bytes, length: int, at: int, n: int) -> int:
+        whole = np.frombuffer(raw, "<u2" if len(raw) == 2 * length else "<u4")
+        return zlib.crc32(whole[at : at + n].astype("<u4"))
+
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "start", "ids_crc32", "_bundle"], kind="stable")
         frame = frame.loc[frame.index.repeat(frame["_n"])].reset_index(drop=True)
@@ -207,7 +192,7 @@ def pack_documents(
         for k, own in enumerate(close_windows(pack_lengths(lengths, capacity), lengths, capacity)):
             offset = 0
             for i, at, n in own:
-                rows.append((i, at, n, crcs[i] if n == lengths[i] else zlib.crc32(ids[i][4 * at : 4 * (at + n)]), k, offset))
+                rows.append((i, at, n, crcs[i] if n == lengths[i] else part_crc(ids[i], lengths[i], at, n), k, offset))
                 offset += n
         i, at, n, crc, k, offset = np.array(rows, np.int64).T
         out = frame.iloc[i][["key", "start", "doc_tokens"]].reset_index(drop=True)

@@ -28,10 +28,11 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
 
 
-def tokenizer_files() -> tuple[str]:
+def tokenizer_files() -> tuple[str, str, str]:
+    """The tokenizer's file, the same vocabulary as ranks, and its pattern."""
     import public_tokenizers
 
-    return (public_tokenizers.path("byte_bpe_50k.json"),)
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

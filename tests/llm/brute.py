@@ -54,7 +54,7 @@ def quality(text, window=5, min_repeat=3):
         "covered_words": len(covered),
         "longest_repeat": top,
         "base_failed": base,
-        "kept": not (base or 100 * len(covered) > 65 * n or top > 60),
+        "kept": not (base or 100 * len(covered) > 30 * n or top > 20),
     }
 
 
@@ -100,19 +100,20 @@ def components(docs, percent=80):
 
 def clean_lines(docs, min_sites=10, max_share=0.5):
     """docs: dicts with text and source; gives the cleaned texts."""
-    sites = {}
-    for d in docs:
-        for x in (d["text"] or "").split("\n") if d["text"] is not None else []:
-            if WORD.search(x) and d["source"] is not None:
-                sites.setdefault(x, set()).add(d["source"])
-    spread = {x for x, s in sites.items() if len(s) >= min_sites}
-    out = []
-    for d in docs:
-        lines = (d["text"] or "").split("\n")
-        cut = [x for x in lines if x in spread]
-        share = sum(map(len, cut)) > max_share * len(d["text"] or "")
-        out.append(d["text"] if not cut or share else "\n".join(x for x in lines if x not in spread))
-    return out
+
+    def spread(docs, of):
+        sites = {}
+        for d in docs:
+            for x in set(d["text"].split("\n")) & of if of is not None else d["text"].split("\n"):
+                if WORD.search(x) and d["source"] is not None:
+                    sites.setdefault(x, set()).add(d["source"])
+        return {x for x, s in sites.items() if len(s) >= min_sites}
+
+    texts = [d for d in docs if d["text"] is not None]
+    candidates = spread(texts, None)
+    framed = [d for d in texts if sum(len(x) for x in d["text"].split("\n") if x in candidates) <= max_share * len(d["text"])]
+    gone = spread(framed, candidates)
+    return [None if d["text"] is None else "\n".join(x for x in d["text"].split("\n") if x not in gone) for d in docs]
 
 
 def shares(budget, children):
@@ -151,7 +152,73 @@ def mixed(docs, levels, weights, percent=80, epochs=1, seed=7):
     for k, own in leaf.items():
         whole = budget[k] // supply[k] if supply[k] else 0
         rest, upto = budget[k] - whole * supply[k], 0
-        for d in sorted(own, key=lambda d: hashlib.md5(f"{seed}-{whole}-{d['doc_id']}".encode()).hexdigest()):
-            upto += len(words(d["text"]))
-            out |= {(d["doc_id"], e) for e in range(whole + (0 < rest and upto <= rest))}
+        tokens = Counter()
+        for d in own:  # rows of one key stand at one place
+            tokens[d["doc_id"]] += len(words(d["text"]))
+        for key in sorted(tokens, key=lambda k: hashlib.md5(f"{seed}-{whole}-{k}".encode()).hexdigest()):
+            upto += tokens[key]
+            out |= {(key, e) for e in range(whole + (0 < rest and upto <= rest))}
     return out
+
+
+def attended(model, x, runs):
+    """Scores and attention weights of gated attention, one document and one passage after another."""
+    import math
+
+    p, scores, weights, at = model.p, [], [], 0
+    for n in runs:
+        hs, es = [], []
+        for row in x[at : at + n]:
+            row = [max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(v * w for v, w in zip(row, col, strict=True)) + b) for col, b in zip(p["W"].T, p["b"], strict=True)]
+            e = 0.0
+            for v, g, u in zip(p["V"].T, p["G"].T, p["u"], strict=True):
+                e += u * math.tanh(sum(a * b for a, b in zip(h, v, strict=True))) / (1 + math.exp(-sum(a * b for a, b in zip(h, g, strict=True))))
+            hs.append(h)
+            es.append(e)
+        total = sum(map(math.exp, es))
+        own = [math.exp(e) / total for e in es]
+        z = [sum(a * h[k] for a, h in zip(own, hs, strict=True)) for k in range(len(hs[0]))]
+        scores.append(1 / (1 + math.exp(-(sum(a * c for a, c in zip(z, p["c"], strict=True)) + p["d"][0]))))
+        weights += own
+        at += n
+    return scores, weights
+
+
+class Licenses:
+    """TF-IDF cosine of every line, paragraph and text to every template, straight from the definition: term weights
+    ln((1 + lines) / (1 + lines with the term)) + 1 for the templates' terms (those of no template as if on no line), times 1 + ln(count)."""
+
+    TERM = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
+
+    def __init__(self, texts, templates):
+        import math
+
+        lines = [x for t in texts for x in (t or "").split("\n") if x.strip()]
+        self.templates = [(n, x) for n, own in templates.items() for x in own]
+        vocabulary = {t for _, x in self.templates for t in self.TERM.findall(x.lower())}
+        on = Counter(t for x in lines for t in set(self.TERM.findall(x.lower())))
+        self.weight = lambda t: math.log((1 + len(lines)) / (1 + (on[t] if t in vocabulary else 0))) + 1
+        self.log = math.log
+        self.vectors = [self.vector(x) for _, x in self.templates]
+
+    def vector(self, text):
+        return {t: self.weight(t) * (1 + self.log(n)) for t, n in Counter(self.TERM.findall(text.lower())).items()}
+
+    def cosines(self, text):
+        a = self.vector(text)
+        size = lambda v: sum(x * x for x in v.values()) ** 0.5
+        return [sum(x * b.get(t, 0) for t, x in a.items()) / (size(a) * size(b)) if a else 0.0 for b in self.vectors]
+
+    def best(self, text, full, generic, at_least=0.7):
+        """(name, cosine, terms of the unit): whole licences first, then notices, the generic one last; then the greatest cosine."""
+        parts = [x for x in text.split("\n") if x.strip()]
+        parts += [x for x in re.split(r"\n[ \t\r]*\n", text) if "\n" in x.strip()] + [text]
+        top = (0, 0.0, None, 0)
+        for part in parts:
+            for (name, x), c in zip(self.templates, self.cosines(part), strict=True):
+                c = round(c, 9)
+                tier = 0 if c < at_least else 3 if x == full.get(name) else 1 if name == generic else 2
+                if (tier, c) > top[:2]:
+                    top = (tier, c, name, len(self.TERM.findall(part.lower())))
+        return top[2], top[1], top[3]

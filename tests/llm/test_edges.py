@@ -59,7 +59,11 @@ def test_odd_rows(docs, name):
     keys = sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
     want = sorted(-1 if r[0] is None else r[0] for r in ROWS)
     if name == "op3":
-        assert set(keys) <= set(want)
+        rows = [dict(zip(("doc_id", "text", "lang", "source"), r, strict=True)) for r in ROWS]
+        for d in rows:
+            d["domain"] = str(int(d["source"][1:]) % 4 if d["source"] else 0)
+        wanted = brute.mixed([{**d, "doc_id": "" if d["doc_id"] is None else d["doc_id"]} for d in rows], queries.LEVELS, queries.WEIGHTS, epochs=2)
+        assert {("" if r.doc_id is None else r.doc_id, r.epoch) for r in got} == wanted
     elif name == "op6":
         assert set(keys) == set(want)
         whole = {}
@@ -69,9 +73,10 @@ def test_odd_rows(docs, name):
         assert len(whole[5]) == 2
         assert sum(r.length for r in whole[6]) == whole[6][0].doc_tokens > 40_000
     elif name == "op9":
-        assert keys == [k for k in want if k >= 0]  # rows without a key are left out
-        parts = sorted(tuple(r) for r in got)
+        assert keys == want
+        parts = sorted(tuple(r) for r in got if r.doc_id is not None)
         assert parts == sorted(brute.components([r[:2] for r in ROWS if r[0] is not None]))
+        assert [(r.n_shingles > 5, r.component_id) for r in got if r.doc_id is None] == [(True, None)]
     else:
         assert keys == want
     if name == "op2":
@@ -100,13 +105,41 @@ def test_mixing_redistributes_to_siblings_first(spark):
     assert (sum(k < 100 for k, _ in got), sum(100 <= k < 200 for k, _ in got), sum(k >= 200 for k, _ in got)) == (10, 38, 48)
 
 
+def test_mixing_of_equal_keys(spark):
+    """A leaf with very many rows of one null key, which stand at one place of the order, and rows without tokens."""
+    rows = [(None, "w w w", "a", "x", "s")] * 300 + [(k, "w " * (k % 7), "a", "x", "s") for k in range(200)] + [(900 + k, "", "b", "x", "s") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    docs = [{**dict(zip(df.columns, r, strict=True)), "doc_id": "" if r[0] is None else r[0]} for r in rows]
+    for epochs, percent in ((1, 80), (2, 150), (1, 20)):
+        got = mixing.mix_sources(df, queries.LEVELS, ({}, {}, {}), max_epochs=epochs, percent=percent).collect()
+        assert {("" if r.doc_id is None else r.doc_id, r.epoch) for r in got} == brute.mixed(docs, queries.LEVELS, ({}, {}, {}), percent=percent, epochs=epochs)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=5))
 def test_suffix_repeats(texts):
     ws = np.array([w for t in texts for w in t], np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     end = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
-    assert repetition.suffix_repeats(ws, owner, end).tolist() == [k for t in texts for k in brute.longest_repeats(t)]
+    want = [k for t in texts for k in brute.longest_repeats(t)]
+    assert repetition.suffix_repeats(ws, owner, end).tolist() == want
+    before, repetition.MANY = repetition.MANY, 0
+    try:
+        assert repetition.suffix_repeats(ws, owner, end).tolist() == want  # Kasai's scan
+    finally:
+        repetition.MANY = before
+
+
+def test_what_only_the_suffix_array_rejects(spark):
+    """A long text with one passage of 25 words twice, and a text made of phrases of four words; each passes the base rule."""
+    plain = [f"w{k}" for k in range(400)]
+    phrases = [x for k in range(60) for x in [*f"p{k % 12} q{k % 12} r{k % 12} s{k % 12}".split(), f"u{k}"]]
+    rows = [(1, " ".join(plain)), (2, " ".join(plain[:300] + plain[10:35])), (3, " ".join(plain[:300] + plain[10:25])), (4, " ".join(phrases))]
+    got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k: r.kept for k, r in got.items()} == {1: True, 2: False, 3: True, 4: False}
+    assert (got[2].longest_repeat, got[3].longest_repeat, got[4].longest_repeat) == (25, 15, 4)
+    assert all(got[k][c] == v for k, text in rows for c, v in brute.quality(text).items())
 
 
 @settings(max_examples=200, deadline=None)
@@ -133,9 +166,10 @@ def test_differencing_balances():
 def test_ids(texts, slice_size):
     global CODER
     CODER = globals().get("CODER") or packing.TextIds(*queries.tokenizer_files())
+    texts = [*texts, "a <|endoftext|> b".join(texts)]
     before, packing.SLICE = packing.SLICE, slice_size
     try:
-        got = [np.frombuffer(x, np.uint32).tolist() for x in CODER.of(texts)]
+        got = [CODER.of(x).tolist() for x in texts]
     finally:
         packing.SLICE = before
     assert got == [CODER.coder.encode(x, add_special_tokens=False).ids for x in texts]
@@ -179,11 +213,21 @@ def test_line_spread_is_exact_at_the_threshold(spark):
     assert 9 not in got and {10, 11} <= got and len(got) == 3
 
 
-def test_protected_copies(spark):
-    rows = [(k, "the same line on all sites", f"s{k}") for k in range(12)] + [(20, "the same line on all sites\n" + "own words " * 30, "s1")]
-    got = {r.doc_id: r for r in line_dedup.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[k].protected and got[k].text == rows[k][1] for k in range(12))
-    assert got[20].removed_lines == 1 and got[20].text == "own words " * 30
+def test_frames_go_and_copies_stay(spark):
+    """A frame line goes from long texts and from pages that it mostly fills; a text that twelve sites copy, or nearly, stays."""
+    copy = [f"line {k} of a text that is copied" for k in range(6)]
+    rows = [(k, f"Home | News | About us\n{k} own words " * 1 + "and more of them " * 10, f"s{k}") for k in range(12)]
+    rows += [(20, "Home | News | About us\nshort", "s1"), (21, "Home | News | About us", None), (22, None, "s1"), (23, "", "s2")]
+    rows += [(30 + k, "\n".join(copy), f"s{k}") for k in range(12)]
+    rows += [(50 + k, "\n".join([*copy[: k % 6], f"changed in {k}", *copy[k % 6 + 1 :]]), f"s{k}") for k in range(12)]
+    rows += [(70, "\n".join(copy), "s1")] * 5
+    got = line_dedup.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    docs = [dict(zip(("doc_id", "text", "source"), r, strict=True)) for r in rows]
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((d["doc_id"], t or "") for d, t in zip(docs, brute.clean_lines(docs), strict=True))
+    texts = {r.doc_id: r for r in got}
+    assert all(texts[k].removed_lines == 1 and "Home" not in texts[k].text for k in [*range(12), 20, 21])
+    assert all(r.removed_lines == 0 and r.text == rows[16][1] for r in got if 30 <= r.doc_id < 42 or r.doc_id == 70)
+    assert all(texts[50 + k].removed_lines == 0 for k in range(12)) and texts[22].text is None
 
 
 def test_warc_chain(spark, tmp_path):
@@ -220,9 +264,17 @@ def test_neighbours_of_odd_vectors(spark):
     assert onebit.nearest(df.limit(0)).collect() == []
 
 
+def test_neighbours_of_repeated_keys(spark):
+    """The order of rows changes nothing, and columns named as the operator's own do no harm."""
+    rows = [(0, [1.0, 2.0], "a", 1), (0, [-3.0, 9.0], "b", 2), (1, [0.5, 3.0], "c", 3), (1, [0.5, 3.0], "c", 3), (2, [-1.0, 0.0], "d", 4)]
+    made = [spark.createDataFrame(r, "vec_id long, embedding array<float>, code string, dim int") for r in (rows, rows[::-1])]
+    first, again = (sorted(map(tuple, onebit.nearest(d).collect())) for d in made)
+    assert first == again == [(0, 1, 1, 6.5), (0, 2, 2, -1.0)]
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     files = [(1, "LICENSE", licenses.TEMPLATES["MIT"][2]), (2, "a/COPYING", licenses.TEMPLATES["GPL-3.0"][1]), (3, "a/b/x.py", "import os"), (4, "c/y.py", "print"), (5, "a/z.py", "# " + licenses.TEMPLATES["Apache-2.0"][0] + "\ncode here"), (6, None, "x")]
-    got = {r.doc_id: (r.license, r.from_directory) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string"), common=1.0).collect()}
+    got = {r.doc_id: (r.license, r.from_directory) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", None), 2: ("GPL-3.0", None), 3: ("GPL-3.0", "a"), 4: ("MIT", ""), 5: ("Apache-2.0", None), 6: (None, None)}
 
 
@@ -243,6 +295,29 @@ def test_three_lines_are_enough(spark):
     assert {k: r.license for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "MIT"}
 
 
+def test_a_tree_of_inheriting_files(spark):
+    """Three levels of directories, most files without a licence of their own: each inherits from the nearest directory above that holds one."""
+    notice = {n: t[0] for n, t in licenses.NOTICES.items() if n != "Proprietary"}
+    names = sorted(notice)
+    files, want, k = [], {}, 0
+    for a in range(12):
+        top = names[a % len(names)] if a % 3 else None
+        if top:
+            files.append((k, f"a{a}/LICENSE", notice[top]))
+            want[k], k = top, k + 1
+        for b in range(6):
+            own = names[(a + b) % len(names)] if b == 2 else None
+            if own:
+                files.append((k, f"a{a}/b{b}/COPYING.md", notice[own]))
+                want[k], k = own, k + 1
+            for c in range(4):
+                files.append((k, f"a{a}/b{b}/c{c}/f{c}.py", f"import x{c}\nrun(y{k})"))
+                want[k], k = own or top, k + 1
+    got = scanned(spark, files)
+    assert {i: r.license for i, r in got.items()} == want
+    assert sum(r.from_directory is not None for r in got.values()) > 200
+
+
 LICENSES = Path(licenses.__file__).parent / "license_texts"
 
 
@@ -250,7 +325,7 @@ def test_whole_licence_files_are_told_apart(spark):
     rows = [(k, f"d{k}/LICENSE", "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + p.read_text()) for k, p in enumerate(sorted(LICENSES.glob("*.txt")))]
     got = scanned(spark, rows + [(100 + k, f"d{k}/x.py", "import os") for k, *_ in rows])
     want = [p.stem for p in sorted(LICENSES.glob("*.txt"))]
-    assert len(want) == 12
+    assert len(want) == 14
     assert [got[k].own_license for k in range(len(want))] == [got[100 + k].license for k in range(len(want))] == want
     assert all(got[k].is_license_file for k in range(len(want)))
 
@@ -312,3 +387,76 @@ def test_a_broken_record_ends_its_file(spark, tmp_path):
         (tmp_path / told.decode() / "part-0").write_bytes(b"Content-Length: ".join(cut))
         got = warc.read_archives(spark, f"file://{tmp_path}/{told.decode()}").collect()
         assert {0, 1} <= {r.key for r in got if r.intact} and not {3, 4, 5} & {r.key for r in got}
+
+
+def small_bags():
+    r = np.random.default_rng(8)
+    runs = np.array([1, 3, 2, 5])
+    return r.standard_normal((runs.sum(), 7)), runs, np.array([0.0, 1, 1, 0])
+
+
+def test_attention_against_a_plain_version():
+    x, runs, y = small_bags()
+    model = attention.GatedAttention(7, hidden=5, gate=3)
+    model.fit(x, runs, y, rounds=3)
+    f = model.forward(x, runs)
+    scores, weights = brute.attended(model, x, runs)
+    assert np.allclose(f["y"], scores) and np.allclose(f["a"], weights)
+    assert np.allclose(np.add.reduceat(f["a"], np.cumsum(runs) - runs), 1)
+
+
+def test_attention_gradients_against_differences():
+    x, runs, y = small_bags()
+    model = attention.GatedAttention(7, hidden=5, gate=3)
+    w = np.array([1.0, 2.0, 1.0, 0.5])
+
+    def loss():
+        p = model.forward(x, runs)["y"]
+        return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / w.sum()
+
+    for name, g in model.gradients(model.forward(x, runs), runs, y, w).items():
+        p = model.p[name]
+        for k in range(p.size):
+            before, eps = p.flat[k], 1e-6
+            p.flat[k] = before + eps
+            up = loss()
+            p.flat[k] = before - eps
+            down = loss()
+            p.flat[k] = before
+            assert abs((up - down) / (2 * eps) - g.flat[k]) < 1e-6, (name, k)
+
+
+def test_attention_learns_which_passage_counts():
+    """One passage of each positive document carries the sign; its weight ends up above an even share."""
+    r = np.random.default_rng(4)
+    runs = np.full(200, 6)
+    x = r.standard_normal((1200, 4)) * 0.3
+    y = np.arange(200) % 2.0
+    x[np.arange(200) * 6 + 2, 0] += 4 * y
+    model = attention.GatedAttention(4)
+    model.fit(x, runs, y)
+    f = model.forward(x, runs)
+    assert ((f["y"] > 0.5) == (y > 0.5)).mean() > 0.97
+    assert f["a"].reshape(200, 6)[y > 0.5, 2].mean() > 2 / 6
+
+
+def test_repeats_of_a_labelled_key_are_one(spark, monkeypatch):
+    good, bad = "calm words of a sound text about rivers and hills", "xx || xx || xx || 12 12 12 ### ###"
+    rows = [(k, good if k % 2 else bad) for k in range(60)] + [(3, "another text of key three " * (1 + k % 3)) for k in range(500)]
+    fitted = []
+    fit = attention.GatedAttention.fit
+    monkeypatch.setattr(attention.GatedAttention, "fit", lambda self, x, runs, y: (fitted.append((len(x), len(runs))), fit(self, x, runs, y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    scored = attention.score_quality(df, labels).collect()
+    assert len(scored) == 560 and fitted[0][1] <= 60
+    attention.score_quality(df, labels, train_passages=20).collect()
+    assert fitted[1][0] <= 20
+
+
+def test_jaccard_of_repeated_rows_and_null_keys(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(80)) for p in "abc")
+    rows = [(5, a)] * 40 + [(3, a + " tail"), (None, a + " other"), (None, b), (None, b), (None, b + " tail"), (9, c), (8, None), (None, ""), (7, c), (7, c + " tail")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, 76, 3)] * 40 + [(3, 77, 3), (None, 77, 3), (None, 76, None), (None, 76, None), (None, 77, None), (9, 76, 7), (8, 0, 8), (None, 0, None), (7, 76, 7), (7, 77, 7)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
