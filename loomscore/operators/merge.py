@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def last_wins(delta: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc(seq))
-    return delta.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    """Of rows that repeat a key, the one given last. An aggregate: nothing is sorted."""
+    rest = [c for c in delta.columns if c not in keys]
+    last = delta.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_x"))
+    return last.select(*keys, *[F.col(f"_x.`{c}`").alias(c) for c in rest]).select(*delta.columns)
+
+
+def replace_groups(target: DataFrame, rows: DataFrame, by: Sequence[str], groups: DataFrame) -> DataFrame:
+    """target with the named groups' rows replaced; a group without new rows is empty afterwards."""
+    kept = target.join(groups.select(*by).distinct(), list(by), "left_anti")
+    return kept.unionByName(rows.join(groups.select(*by).distinct(), list(by), "left_semi"))
 
 
 def insert_ignore(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
