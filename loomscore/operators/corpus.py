@@ -114,9 +114,8 @@ def quotas(sizes: Sequence[int], target: int, share: float) -> list[int]:
     return given
 
 
-def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: str, date: str, target: int, settings: Settings = DEFAULT) -> DataFrame:
-    """At most `target` rows of each group with every stratum represented; only stratum sizes (8 rows a group) enter Python."""
-    placed = with_strata(rows, group, score, date)
+def strata_quotas(placed: DataFrame, group: str, key: str, target: int, settings: Settings = DEFAULT) -> DataFrame:
+    """(group, stratum, quota) for rows with strata; only stratum sizes (8 rows a group) enter Python. Strata of equal size stand in the order of their least keys."""
     sizes = placed.groupBy(group, "stratum").agg(F.count("*").alias("n"), F.min(key).alias("first"))
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
@@ -124,13 +123,19 @@ def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: s
         frame["quota"] = quotas(frame["n"].astype(int).tolist(), target, settings.stratum_share)
         return frame[[group, "stratum", "quota"]]
 
-    kind = rows.schema[group].dataType.simpleString()
-    dealt = sizes.groupBy(group).applyInPandas(deal, f"{group} {kind}, stratum string, quota long")
+    kind = placed.schema[group].dataType.simpleString()
+    return sizes.groupBy(group).applyInPandas(deal, f"{group} {kind}, stratum string, quota long")
+
+
+def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: str, date: str, target: int, settings: Settings = DEFAULT) -> DataFrame:
+    """At most `target` rows of each group with every stratum represented. Ranks are cut to the target where the rows lie (a top-k), so a large group is not sorted as a whole."""
+    placed = with_strata(rows, group, score, date)
+    dealt = strata_quotas(placed, group, key, target, settings)
     extreme = F.coalesce(F.abs(F.col(score) - 50) / 50.0, F.lit(0.0))
     weight = 0.45 * F.least(F.lit(1.0), F.length(body) / 900.0) + 0.30 * F.col("recency") + 0.15 * extreme + 0.05
     order = Window.partitionBy(group, "stratum").orderBy(F.desc(F.round(weight, 9)), key)
-    ranked = placed.withColumn("_k", F.row_number().over(order)).join(dealt, [group, "stratum"])
-    return ranked.filter("_k <= quota").drop("_k", "_n", "quota")
+    top = placed.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= target)
+    return top.join(dealt, [group, "stratum"]).filter("_k <= quota").drop("_k", "quota")
 
 
 def snapshot(rows: DataFrame, group: str, key: str, date: str, prefix: str = "C") -> DataFrame:

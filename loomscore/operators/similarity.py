@@ -1,33 +1,77 @@
-"""Explainable item similarity: candidates by shared tags, capped for each tag before they are joined."""
+"""Explainable item similarity: candidates by shared values, each list cut once, scored by metadata, aspects and words."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..settings import DEFAULT, Settings
 
+# What an aspect's verdict counts, the weights of the metadata, and the marks-down.
+ASPECT_VALUES = {"positive": 1.0, "mixed": 0.0, "negative": -1.0, "absent": 0.0}
+WEIGHTS = {"tags": 0.30, "series": 0.20, "makers": 0.16, "channels": 0.12, "score": 0.12, "era": 0.10}
+BOTH_UNRATED, SAME_FAMILY = 0.35, 0.5
 
-def candidates(items: DataFrame, branches: Sequence[str], cap: int = DEFAULT.similar_candidates) -> DataFrame:
-    """(item_id, other_id): items that share a branch's value, the cap + 1 best of each value; first branch first, cap in all.
 
-    Each value's list is cut once, so a popular value costs cap rows an item and not the square of its size."""
-    pairs = None
-    for k, name in enumerate(branches):
-        order = Window.partitionBy(name).orderBy(F.desc_nulls_last("score"), "item_id")
-        listed = items.filter(F.col(name).isNotNull()).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap + 1)
-        listed = listed.select(name, F.col("item_id").alias("other_id"), "k")
-        found = items.select("item_id", name).join(listed, name).filter("item_id <> other_id")
+def candidates(items: DataFrame, branches: Sequence[tuple[str, int]], cap: int = DEFAULT.similar_candidates, fallback: int = 50) -> DataFrame:
+    """(item_id, other_id): of each branch (column, limit) in turn the items that share a value with an item, first seen first, cap in all.
+
+    items: item_id, score and the branches' columns, values or arrays of values. Each branch gives an item its `limit` best others by score
+    (missing last) and id. A value's list is cut to limit + 1 once, before it is joined, so a popular value costs an
+    item that many rows and not its size. An item without any value gets the `fallback` best scored items."""
+    best = F.desc_nulls_last("score")
+    pairs, anything = None, F.lit(False)
+    for k, (name, limit) in enumerate(branches):
+        several = items.schema[name].dataType.typeName() == "array"
+        value = F.explode(F.array_distinct(name)) if several else F.col(name)
+        anything = anything | (F.coalesce(F.size(name), F.lit(0)) > 0 if several else F.col(name).isNotNull())
+        own = items.select("item_id", "score", value.alias("value")).filter("value IS NOT NULL")
+        order = Window.partitionBy("value").orderBy(best, "item_id")
+        listed = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit + 1).select("value", F.col("item_id").alias("other_id"), F.col("score").alias("other_score"))
+        found = own.select("item_id", "value").join(listed, "value").filter("item_id <> other_id").select("item_id", "other_id", "other_score").distinct()
+        order = Window.partitionBy("item_id").orderBy(F.desc_nulls_last("other_score"), "other_id")
+        found = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit)
         found = found.select("item_id", "other_id", F.struct(F.lit(k).alias("branch"), "k").alias("place"))
         pairs = found if pairs is None else pairs.union(found)
+    bare = items.filter(~anything).select("item_id")
+    top = items.filter("score IS NOT NULL").orderBy(best, "item_id").limit(fallback + 1).agg(F.collect_list(F.struct(best_score(), "item_id")).alias("x"))  # fallback + 1 rows
+    spare = bare.withColumn("x", top.scalar()).select("item_id", F.posexplode(F.array_sort("x")).alias("k", "o"))
+    spare = spare.select("item_id", F.col("o.item_id").alias("other_id"), F.struct(F.lit(len(branches)).alias("branch"), "k").alias("place")).filter("item_id <> other_id")
+    pairs = pairs.union(spare)
     first = pairs.groupBy("item_id", "other_id").agg(F.min("place").alias("place"))
     order = Window.partitionBy("item_id").orderBy("place", "other_id")
     return first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).select("item_id", "other_id")
 
 
+def best_score() -> Column:
+    """A score as something that sorts best first."""
+    return (-F.col("score")).alias("rank")
+
+
+def aspect_profiles(summaries: DataFrame) -> DataFrame:
+    """(item_id, aspects): the verdicts of an item's current, fresh summaries as one map; of each aspect the first that is not absent, by summary id.
+
+    summaries: item_id, summary_id, is_current, status, verdicts (a map of strings)."""
+    rows = summaries.filter("is_current AND status = 'fresh'").select("item_id", "summary_id", F.explode("verdicts").alias("aspect", "verdict"))
+    stated = (F.col("verdict") == "absent").cast("int")
+    first = rows.groupBy("item_id", "aspect").agg(F.min(F.struct(stated, "summary_id", "verdict")).alias("x"))
+    return first.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("aspect", "x.verdict")))).alias("aspects"))
+
+
+def aspect_likeness(a: Column, b: Column) -> Column:
+    """The cosine (mapped to [0, 1]) of two aspect maps over the union of their keys; null if either is missing or says nothing."""
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    worth = F.create_map(*[F.lit(x) for pair in ASPECT_VALUES.items() for x in pair])
+    vector = lambda m: F.transform(keys, lambda k: F.coalesce(F.try_element_at(worth, F.coalesce(F.try_element_at(m, k), F.lit("absent"))), F.lit(0.0)))
+    speaks = lambda m: F.exists(F.map_values(m), lambda v: v.isin("positive", "negative"))
+    return F.when(speaks(a) & speaks(b), cosine(vector(a), vector(b)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of equal length, mapped to [0, 1]; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
@@ -36,25 +80,83 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar(items: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(item_id, other_id, similarity, rank): the best of the candidates.
+    """(item_id, other_id, similarity, rank, reason, components): the best of the candidates, at least similar_min.
 
-    items: item_id, tags, series, makers, channels, score, year, words, family. Without an aspect profile its weight
-    falls to the other parts; two poorly known items and members of one family are marked down."""
+    items: item_id, tags, series, makers, publishers, channels (arrays of values), score, year, words, family, n_reviews, aspects (a map, or
+    null). Where either item has no aspect profile, that weight falls to the other parts. Two items without a score and with under five
+    reviews each, and members of one family, are marked down. reason names the strongest checkable fact, or is null."""
     side = lambda p: items.select(*[F.col(c).alias(p + c) for c in items.columns])
     rows = pairs.join(side("a_").withColumnRenamed("a_item_id", "item_id"), "item_id")
     rows = rows.join(side("b_").withColumnRenamed("b_item_id", "other_id"), "other_id")
     a, b = (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
-    series = F.when(a("series") == b("series"), 1.0).when(a("family") == b("family"), 0.9).otherwise(0.0)
-    makers = F.when(F.arrays_overlap(a("makers"), b("makers")), 1.0).otherwise(0.0)
-    near = F.coalesce(1 - F.abs(a("score") - b("score")) / 100.0, F.lit(0.0))
-    era = F.coalesce(F.exp(-F.abs(a("year") - b("year")) / 6.0), F.lit(0.0))
-    meta = (
-        0.30 * text.overlap(a("tags"), b("tags")) + 0.20 * series + 0.16 * makers + 0.12 * text.overlap(a("channels"), b("channels")) + 0.12 * near + 0.10 * era
+    shared = lambda c: F.coalesce(F.arrays_overlap(a(c), b(c)), F.lit(False))
+    kin = F.coalesce(a("family") == b("family"), F.lit(False))
+    parts = {
+        "tags": text.overlap(a("tags"), b("tags")),
+        "series": F.when(a("series") == b("series"), 1.0).when(kin, 0.9).otherwise(0.0),
+        "makers": F.when(shared("makers"), 1.0).when(shared("publishers"), 0.5).otherwise(0.0),
+        "channels": text.overlap(a("channels"), b("channels")),
+        "score": F.coalesce(1 - F.abs(a("score") - b("score")) / 100.0, F.lit(0.0)),
+        "era": F.coalesce(F.exp(-F.abs(a("year") - b("year")) / 6.0), F.lit(0.0)),
+    }
+    rows = rows.select("item_id", "other_id", *[v.alias(k) for k, v in parts.items()], text.overlap(a("words"), b("words")).alias("lexical"), aspect_likeness(a("aspects"), b("aspects")).alias("aspect"),
+        (a("score").isNull() & b("score").isNull() & (F.greatest(a("n_reviews"), b("n_reviews")) < 5)).alias("unknown"), kin.alias("kin"))
+    meta = sum((WEIGHTS[k] * F.col(k) for k in WEIGHTS), F.lit(0.0))
+    rows = rows.withColumn("metadata", meta)
+    known = settings.similar_metadata * F.col("metadata") + settings.similar_lexical * F.col("lexical")
+    weight = settings.similar_metadata + settings.similar_lexical
+    value = F.when(F.col("aspect").isNull(), known / weight).otherwise((known + settings.similar_aspect * F.col("aspect")) / (weight + settings.similar_aspect))
+    penalty = F.when(F.col("unknown"), BOTH_UNRATED).otherwise(1.0) * F.when(F.col("kin"), SAME_FAMILY).otherwise(1.0)
+    reason = (
+        F.when(F.col("series") >= 0.9, "same_series")
+        .when(F.col("makers") >= 1.0, "same_maker")
+        .when(F.col("tags") >= 0.6, "close_genre")
+        .when(F.col("aspect") >= 0.75, "praised_alike")
+        .when((F.col("score") >= 0.9) & (F.col("metadata") >= settings.reason_floor), "scored_alike")
     )
-    lexical = text.overlap(a("words"), b("words"))
-    value = (0.62 * meta + 0.12 * lexical) / 0.74
-    unknown = a("score").isNull() & b("score").isNull()
-    value = value * F.when(unknown, 0.35).otherwise(1.0) * F.when(a("family") == b("family"), 0.5).otherwise(1.0)
-    scored = rows.select("item_id", "other_id", F.round(value, 5).alias("similarity")).filter(F.col("similarity") >= settings.similar_min)
+    components = F.struct(*[F.round(c, 4).alias(c) for c in ("metadata", "aspect", "lexical", *WEIGHTS)], penalty.alias("penalty"))
+    scored = rows.select("item_id", "other_id", F.round(value * penalty, 5).alias("similarity"), reason.alias("reason"), components.alias("components"))
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "other_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.similar_top)
+    kept = scored.filter(F.col("similarity") >= settings.similar_min).withColumn("rank", F.row_number().over(order))
+    return kept.filter(F.col("rank") <= settings.similar_top)
+
+
+def neighbours(edges: DataFrame, items: DataFrame, item: int, limit: int = 12) -> DataFrame:
+    """The items that an item's edges lead to, by rank."""
+    own = edges.filter(F.col("item_id") == item).select(F.col("other_id").alias("item_id"), "rank", "similarity")
+    return own.join(items, "item_id").orderBy("rank").limit(limit)
+
+
+def nearest_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 16_384, query_block: int = 4_096) -> DataFrame:
+    """(query_id, key, cosine, rank): for each query the k vectors with the largest cosine (mapped to [0, 1]), but itself.
+
+    All rows meet all queries, in blocks: rows are dealt by hash into runs of about `block`, queries into runs of about
+    `query_block`, and each pair of runs is one task's matrix product, of which k rows a query come out."""
+    of = lambda rows: rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+    data, asked = of(vectors), of(queries)
+    sizes = data.agg(F.count("*").alias("n")).first()["n"], asked.agg(F.count("*").alias("n")).first()["n"]
+    across, down = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // query_block))
+    grid = lambda runs: F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
+    data = data.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int")).withColumn("c", grid(down))
+    asked = asked.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("r", grid(across))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+        if not left.empty and not right.empty:
+            left = left.sort_values("id")
+            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            x, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
+            zero = ~x.any(axis=1)
+            x = unit(x)
+            for q, v in zip(right["id"], right["v"], strict=True):
+                v = np.asarray(v)
+                value = np.where(zero | (not v.any()), 0.0, (1 + x @ unit(v[None])[0]) / 2).round(5)
+                value[ids == q] = -1
+                best = np.lexsort((ids, -value))[:k]
+                best = best[value[best] >= 0]
+                out.append(pd.DataFrame({"query_id": q, key: ids[best], "cosine": value[best]}))
+        return pd.concat(out)
+
+    found = data.groupBy("r", "c").cogroup(asked.groupBy("r", "c")).applyInPandas(search, f"query_id long, {key} long, cosine double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

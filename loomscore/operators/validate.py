@@ -38,8 +38,8 @@ def validate(
 
     The first rule that fails names the outcome: missing_ref, low_support, vague, temporal, quote_not_found,
     aspect_unsupported; else accepted. Repeated references count once."""
-    small = evidence.count() < settings.small_corpus
-    support = settings.small_corpus_support if small else settings.claim_support
+    n = evidence.agg(F.count("*").alias("n")).scalar()
+    support = F.when(n < settings.small_corpus, settings.small_corpus_support).otherwise(settings.claim_support)
     tokens = content_tokens("claim")
     said = claims.withColumns({"tokens": tokens, "quote": F.lower(F.regexp_extract("claim", QUOTE, 1))})
     cited = said.select("claim_id", "claim", "tokens", "quote", F.explode_outer(F.array_distinct("refs")).alias("ref"))

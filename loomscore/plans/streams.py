@@ -13,7 +13,12 @@ from .base import query
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams-")
+    """A new folder under the one that driver and executors share; only where Spark runs in this one process may there be none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="streams-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -22,17 +27,27 @@ def _decided(spark: SparkSession, d: str, machine: tuple) -> DataFrame:
     return stream.drain(stream.decide(events, machine), _folder(spark)).withColumnRenamed("key", "user_id")
 
 
-@query()
+_EVENTS = "e AS (SELECT user_id, event_id, event_type, epoch(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, f AS (SELECT user_id, k, event_id, [now] AS hits, 'admitted' AS decision FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, event_id, CASE WHEN len(h) < 5 THEN list_append(h, now) ELSE h END, CASE WHEN len(h) < 5 THEN 'admitted' ELSE 'refused' END
+    FROM (SELECT e.user_id, e.k, e.event_id, e.now, list_filter(f.hits, lambda t: t > e.now - 86400) AS h FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)) SELECT user_id, event_id, decision FROM f""")
 def stream_limiter(spark, d):
     return _decided(spark, d, stream.limiter(5, 86400.0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, f AS (SELECT user_id, k, event_id, 2.0::DOUBLE AS tokens, now AS last, 'taken' AS decision FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, event_id, CASE WHEN t >= 1 THEN t - 1 ELSE t END, now, CASE WHEN t >= 1 THEN 'taken' ELSE 'wait' END
+    FROM (SELECT e.user_id, e.k, e.event_id, e.now, least(3.0::DOUBLE, f.tokens + (e.now - f.last) * (1.0::DOUBLE / 36000)) AS t FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)) SELECT user_id, event_id, decision FROM f""")
 def stream_token_bucket(spark, d):
     return _decided(spark, d, stream.token_bucket(1 / 36000, 3.0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, f AS (SELECT user_id, k, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS n, false AS is_open, 0.0::DOUBLE AS opened, 'closed' AS decision FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, event_id, CASE WHEN waits THEN n WHEN failed THEN n + 1 ELSE 0 END, CASE WHEN waits THEN is_open ELSE failed AND (is_open OR n + 1 >= 2) END,
+    CASE WHEN waits THEN opened WHEN failed AND (is_open OR n + 1 >= 2) THEN now ELSE 0.0 END, CASE WHEN waits THEN 'open' WHEN failed AND (is_open OR n + 1 >= 2) THEN 'tripped' ELSE 'closed' END
+    FROM (SELECT e.user_id, e.k, e.event_id, e.now, f.n, f.is_open, f.opened, f.is_open AND e.now - f.opened < 43200 AS waits, e.event_type = 'error' AS failed FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)) SELECT user_id, event_id, decision FROM f""")
 def stream_breaker(spark, d):
     return _decided(spark, d, stream.breaker(2, 43200.0))
 

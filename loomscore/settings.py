@@ -23,7 +23,9 @@ class Settings:
     similar_top: int = 12
     similar_candidates: int = 300
     similar_min: float = 0.34
+    similar_metadata: float = 0.62
     similar_aspect: float = 0.26
+    similar_lexical: float = 0.12
     reason_floor: float = 0.18
     daily_cost: float = 10.0
     hourly_calls: int = 100

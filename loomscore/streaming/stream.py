@@ -31,48 +31,56 @@ def token_bucket(rate: float, burst: float) -> tuple[Step, tuple, str]:
     """Refills `rate` tokens a second up to `burst`; each event takes one or has to wait."""
 
     def step(state: tuple, now: float, kind: str) -> tuple[tuple, str]:
-        tokens, last = state
-        tokens = min(burst, tokens + max(0.0, now - last) * rate) if last else burst
-        return ((tokens - 1, now), "taken") if tokens >= 1 else ((tokens, now), "wait")
+        tokens, last, used = state
+        if used:
+            tokens = min(burst, tokens + max(0.0, now - last) * rate)
+        return ((tokens - 1, now, True), "taken") if tokens >= 1 else ((tokens, now, True), "wait")
 
-    return step, (burst, 0.0), "tokens double, last double"
+    return step, (burst, 0.0, False), "tokens double, last double, used boolean"
 
 
 def breaker(failures: int, seconds: float, failing: str = "error") -> tuple[Step, tuple, str]:
     """Closed until so many failures in a row; then open for so many seconds; then half open, where one event decides."""
 
     def step(state: tuple, now: float, kind: str) -> tuple[tuple, str]:
-        count, opened = state
-        if opened and now - opened < seconds:
+        count, is_open, opened = state
+        if is_open and now - opened < seconds:
             return state, "open"
-        half = opened > 0
         if kind == failing:
             count = count + 1
-            return ((count, now), "tripped") if half or count >= failures else ((count, 0.0), "closed")
-        return (0, 0.0), "closed"
+            return ((count, True, now), "tripped") if is_open or count >= failures else ((count, False, 0.0), "closed")
+        return (0, False, 0.0), "closed"
 
-    return step, (0, 0.0), "count long, opened double"
+    return step, (0, False, 0.0), "count long, is_open boolean, opened double"
 
 
 def decide(events: DataFrame, machine: tuple[Step, tuple, str], key: str = "user_id", ts: str = "ts", kind: str = "event_type", seq: str = "event_id") -> DataFrame:
-    """(key, event_id, decision) of a stream of events under a keyed state machine."""
+    """(key, event_id, decision) of a stream of events under a keyed state machine.
+
+    Within a micro-batch a key's events are taken in time order, so they are held together: what the source gives for one trigger
+    bounds them. An event older than the last one decided in an earlier batch is `late` and changes nothing."""
     step, start, shape = machine
     rows = events.select(
         F.col(key).alias("key"), F.col(seq).alias("event_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("now"), F.col(kind).alias("kind")
     )
 
     def run(name: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = tuple(list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else start
+        *own, upto = (list(x) if hasattr(x, "tolist") else x for x in state.get) if state.exists else (*start, float("-inf"))
+        own, before = tuple(own), upto
         batch = pd.concat(list(frames)).sort_values(["now", "event_id"])
         said = []
         for now, what in zip(batch["now"], batch["kind"], strict=True):
+            if now < before:
+                said.append("late")
+                continue
             own, outcome = step(own, float(now), what)
+            upto = float(now)
             said.append(outcome)
-        state.update(own)
+        state.update((*own, upto))
         yield pd.DataFrame({"key": name[0], "event_id": batch["event_id"].to_numpy(), "decision": said})
 
     return rows.groupBy("key").applyInPandasWithState(
-        run, "key long, event_id long, decision string", shape, "append", GroupStateTimeout.NoTimeout
+        run, "key long, event_id long, decision string", f"{shape}, upto double", "append", GroupStateTimeout.NoTimeout
     )
 
 
