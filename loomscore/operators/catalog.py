@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -87,6 +89,54 @@ def facet(links: DataFrame, items: DataFrame, key: str, dimension: DataFrame | N
     return dimension.join(counted, key, "left").withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
 
 
+def tagged(items: DataFrame, links: DataFrame, key: str, wanted: Sequence[object]) -> DataFrame:
+    """Items with any of the wanted tags; without any wanted, all items."""
+    if not wanted:
+        return items
+    return items.join(links.filter(F.col(key).isin(*wanted)).select("item_id"), "item_id", "left_semi")
+
+
+def channel_line(channels: DataFrame, points: int = DEFAULT.channel_gap) -> DataFrame:
+    """(item_id, channel_id, behind): how far an item's lead channel lies behind its best one, if by `points` or more."""
+    lead = F.coalesce(F.min(F.when(F.col("is_lead"), F.col("channel_id"))), F.min("channel_id"))
+    best = channels.groupBy("item_id").agg(F.max("critic").alias("top"), lead.alias("channel_id"))
+    behind = F.col("top") - F.col("critic")
+    return channels.join(best, ["item_id", "channel_id"]).select("item_id", "channel_id", F.when(behind >= points, behind).alias("behind"))
+
+
+def rails(now: str, recent: int = 30) -> dict[str, tuple[Column, str, int]]:
+    """Of each rail: which items it takes, by what it is sorted (largest first), how many it shows. In the order of their priority."""
+    today = F.lit(now).cast("date")
+    return {
+        "just_released": (F.col("release_date").between(F.date_sub(today, recent), today), "release_date", 12),
+        "highest_rated": ((F.col("eff_critic") >= 85) & (F.col("critic_count") >= 1), "eff_critic", 12),
+        "biggest_gaps": (F.col("gap") >= 10, "gap", 12),
+        "recently_updated": (F.col("updated_at").isNotNull(), "updated_at", 5),
+    }
+
+
+def rail(items: DataFrame, one: tuple[Column, str, int]) -> DataFrame:
+    where, by, n = one
+    return items.filter(where).orderBy(F.desc_nulls_last(by), F.desc("item_id")).limit(n)
+
+
+def spotlight(items: DataFrame, wanted: dict[str, tuple[Column, str, int]]) -> DataFrame:
+    """(item_id, title, rail): the first row of the first rail that has any. One aggregate over the items, whatever the number of rails."""
+    tops = [
+        F.max(F.when(where, F.struct(F.col(by).alias("by"), "item_id", "title"))).alias(name) for name, (where, by, _) in wanted.items()
+    ]
+    found = items.agg(*tops)
+    first = F.coalesce(*[F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.item_id"), F.col(f"{n}.title"), F.lit(n).alias("rail"))) for n in wanted])
+    return found.select(first.alias("x")).filter("x IS NOT NULL").select("x.*")
+
+
+def channel_budget(channels: DataFrame, most: int = 3, least_volume: int = 0) -> DataFrame:
+    """The channels of each item to read: the lead first, then others with at least least_volume, by volume; `most` at most."""
+    order = Window.partitionBy("item_id").orderBy(F.desc("is_lead"), F.desc("volume"), "channel_id")
+    open_ = channels.filter(F.col("is_lead") | (F.col("volume") >= least_volume))
+    return open_.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")
+
+
 def suggest(items: DataFrame, needle: str, limit: int = 8) -> DataFrame:
     """Titles that start with or contain the needle, prefixes first; fewer than two characters find nothing."""
     key = F.col("title_norm")

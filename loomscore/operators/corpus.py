@@ -139,9 +139,16 @@ def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: s
 
 
 def snapshot(rows: DataFrame, group: str, key: str, date: str, prefix: str = "C") -> DataFrame:
-    """rows in corpus order (dated first, by date and key) with position from 0 and reference C00, C01, ..."""
-    order = Window.partitionBy(group).orderBy(F.col(date).isNull(), date, key)
-    placed = rows.withColumn("position", F.row_number().over(order) - 1)
+    """rows in corpus order (dated first, by date and key) with position from 0 and reference C00, C01, ...
+
+    Rows are numbered within a date; what stands before a date comes from the counts of dates, so a large group is dealt over its dates."""
+    days = rows.groupBy(F.col(group).alias("_group"), F.col(date).alias("_date")).agg(F.count("*").alias("_n"))
+    past = Window.partitionBy("_group").orderBy(F.col("_date").isNull(), "_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0))).drop("_n")
+    within = Window.partitionBy(group, date).orderBy(key)
+    placed = rows.withColumn("_k", F.row_number().over(within))
+    same = placed[group].eqNullSafe(days["_group"]) & placed[date].eqNullSafe(days["_date"])
+    placed = placed.join(days, same).withColumn("position", (F.col("_before") + F.col("_k") - 1).cast("int")).drop("_group", "_date", "_before", "_k")
     return placed.withColumn("ref", F.format_string(f"{prefix}%02d", "position"))
 
 

@@ -11,16 +11,15 @@ def queue_depth(tasks: DataFrame) -> DataFrame:
 
 
 def indexed_percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The values at index n // 2 and min(n - 1, int(0.95 n)) of each key's sorted values (not the usual discrete percentile).
+    """The values at index n // 2 and min(n - 1, int(0.95 n)) of each key's sorted values (not the usual discrete percentile); nulls are left out.
 
-    The two ranks are picked by a window, so no key's values are gathered into one array."""
-    order = Window.partitionBy(key).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = rows.select(key, value, (F.row_number().over(order) - 1).alias("k"), n.alias("n"))
-    high = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    Equal values are counted where they lie, so a key's task sorts its distinct values and not its rows."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(key))})
+    at = lambda index: F.min(F.when(F.col("_upto") > index, F.col(value)))
     return ranked.groupBy(key).agg(
-        F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col(value))).alias("p50"),
-        F.max(F.when(F.col("k") == high, F.col(value))).alias("p95"),
+        at(F.floor(F.col("_all") / 2)).alias("p50"), at(F.least(F.col("_all") - 1, F.floor(F.col("_all") * 0.95))).alias("p95")
     )
 
 
@@ -40,10 +39,11 @@ def rolling(events: DataFrame, seconds: int) -> DataFrame:
 
 
 def claim_next(tasks: DataFrame, now: str, per: str = "queue") -> DataFrame:
-    """The one task of each queue to lease next: due, highest priority, oldest, least id."""
+    """The one task of each queue to lease next: due, highest priority, oldest, least id. An aggregate: nothing is sorted."""
     due = F.col("status").isin("queued", "retrying") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= F.lit(now).cast("timestamp")))
-    order = Window.partitionBy(per).orderBy(F.desc("priority"), "queued_at", "task_id")
-    return tasks.filter(due).withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
+    rest = [c for c in tasks.columns if c != per]
+    first = tasks.filter(due).groupBy(per).agg(F.min(F.struct((-F.col("priority")).alias("_p"), "queued_at", "task_id", F.struct(*rest).alias("row"))).alias("x"))
+    return first.select(per, "x.row.*").select(*tasks.columns)
 
 
 def reap(tasks: DataFrame, now: str, most: int = 3) -> DataFrame:
@@ -59,16 +59,20 @@ def liveness(beats: DataFrame, key: str, ts: str, now: str, seconds: int = 120)
     return last.withColumn("state", F.when(age < seconds, "alive").otherwise("gone"))
 
 
-def evict(files: DataFrame, size: str, used: str, key: str, budget: int, to: float = 0.8, runs: int = 64) -> DataFrame:
+def evict(files: DataFrame, size: str, used: str, key: str, budget: int, to: float = 0.8, run_rows: int = 1_000_000, most_runs: int = 256) -> DataFrame:
     """What goes, least recently used first, until `to` of the budget is left; nothing if the budget holds.
 
-    Running sums are taken within ranges of the order and then over the ranges' sums, so no task sorts all rows."""
-    total = files.agg(F.sum(size)).first()[0] or 0
-    if total <= budget:
+    Approximate quantiles of the time of use cut the files into runs of about run_rows; sums over the runs (most_runs at most) give what
+    goes before each, running sums within a run the rest. So no task sorts all rows, and the rows are read, not sorted, for the cuts."""
+    total, n = files.agg(F.sum(size), F.count("*")).first()
+    if (total or 0) <= budget:
         return files.filter("false")
-    rows = files.repartitionByRange(runs, used, key).withColumn("_run", F.spark_partition_id())
-    sums = rows.groupBy("_run").agg(F.sum(size).alias("_sum"))
+    runs = max(1, min(most_runs, n // run_rows))
+    cuts = files.agg(F.percentile_approx(used, [k / runs for k in range(1, runs)])).first()[0] if runs > 1 else []
+    run = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(used))) if cuts else F.lit(0)
+    rows = files.withColumn("_run", run)
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_run").agg(F.sum(size).alias("_sum"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))  # `runs` rows
     within = Window.partitionBy("_run").orderBy(used, key).rowsBetween(Window.unboundedPreceding, -1)
     gone = F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0))

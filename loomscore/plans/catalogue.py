@@ -76,11 +76,7 @@ def consensus(spark, d):
 SELECT l.item_id, l.channel_id, CASE WHEN top - l.critic >= 10 THEN top - l.critic END AS behind
 FROM ic l JOIN best USING (item_id) JOIN roll USING (item_id) WHERE l.channel_id = roll.lead_channel""")
 def channel_line(spark, d):
-    """How far the lead channel lies behind an item's best one, if by 10 or more."""
-    rows = item_channels(spark, d)
-    best = rows.groupBy("item_id").agg(F.max("critic").alias("top"), F.coalesce(F.min(F.when(F.col("is_lead"), F.col("channel_id"))), F.min("channel_id")).alias("channel_id"))
-    behind = F.col("top") - F.col("critic")
-    return rows.join(best, ["item_id", "channel_id"]).select("item_id", "channel_id", F.when(behind >= 10, behind).alias("behind"))
+    return catalog.channel_line(item_channels(spark, d))
 
 
 for _by, _column, _way in (("score", "eff_critic", "DESC"), ("user", "eff_user", "DESC"), ("date", "release_date", "DESC"), ("gap", "gap", "DESC"), ("title", "title", "ASC")):
@@ -171,33 +167,30 @@ _RAILS = {
 }
 
 
-def _rail(spark, d, name):
-    where, by, n = _RAILS[name]
-    rows = effective(spark, d).filter(where.replace(f"DATE '{AS_OF}' - 30", f"date_sub(DATE '{AS_OF}', 30)"))
-    return rows.orderBy(F.desc_nulls_last(by), F.desc("item_id")).limit(n).select("item_id", "title")
+def _rails():
+    return {k: v for k, v in catalog.rails(AS_OF).items() if k in _RAILS}
 
 
 for _name, (_where, _by, _n) in _RAILS.items():
     query(ITEMS + f"SELECT item_id, title FROM eff WHERE {_where} ORDER BY {_by} DESC NULLS LAST, item_id DESC LIMIT {_n}", f"rails_{_name}")(
-        lambda spark, d, name=_name: _rail(spark, d, name)
+        lambda spark, d, name=_name: catalog.rail(effective(spark, d), _rails()[name]).select("item_id", "title")
     )
 
 
+@query(ITEMS + "SELECT item_id, title FROM eff WHERE item_id % 4 > 0 ORDER BY DATE '2020-01-01' + CAST(item_id * 7 % 300 AS INT) DESC, item_id DESC LIMIT 5")
+def rails_recently_updated(spark, d):
+    i = F.col("item_id")
+    rows = effective(spark, d).withColumn("updated_at", F.when(i % 4 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (i * 7 % 300).cast("int"))))
+    return catalog.rail(rows, catalog.rails(AS_OF)["recently_updated"]).select("item_id", "title")
+
+
 @query(ITEMS + f"""SELECT item_id, title, rail FROM (
     (SELECT 0 AS k, 'just_released' AS rail, item_id, title, row_number() OVER (ORDER BY release_date DESC NULLS LAST, item_id DESC) AS r FROM eff WHERE {_RAILS['just_released'][0]})
     UNION ALL (SELECT 1, 'highest_rated', item_id, title, row_number() OVER (ORDER BY eff_critic DESC NULLS LAST, item_id DESC) FROM eff WHERE {_RAILS['highest_rated'][0]})
     UNION ALL (SELECT 2, 'biggest_gaps', item_id, title, row_number() OVER (ORDER BY gap DESC NULLS LAST, item_id DESC) FROM eff WHERE {_RAILS['biggest_gaps'][0]}))
     ORDER BY k, r LIMIT 1""")
 def spotlight(spark, d):
-    """The first row of the first rail that has any."""
-    rails = None
-    for k, name in enumerate(_RAILS):
-        by = _RAILS[name][1]
-        where = _RAILS[name][0].replace(f"DATE '{AS_OF}' - 30", f"date_sub(DATE '{AS_OF}', 30)")
-        top = effective(spark, d).filter(where).orderBy(F.desc_nulls_last(by), F.desc("item_id")).limit(1)
-        top = top.select("item_id", "title", F.lit(name).alias("rail"), F.lit(k).alias("k"))
-        rails = top if rails is None else rails.union(top)
-    return rails.orderBy("k").limit(1).drop("k")
+    return catalog.spotlight(effective(spark, d), _rails())
 
 
 @query(ITEMS + "SELECT count(*) AS n_items, count(eff_critic) AS n_critic, count(eff_user) AS n_user, max(release_date) AS newest FROM eff")
@@ -213,14 +206,17 @@ def coverage_having(spark, d):
 
 
 @query("""SELECT item_id, channel_id FROM (SELECT l_partkey AS item_id, l_suppkey AS channel_id, l_suppkey % 3 = 0 AS flag, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY flag DESC, volume DESC, channel_id) <= 3""")
+    WHERE flag OR volume >= 30 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY flag DESC, volume DESC, channel_id) <= 3""")
 def channel_budget(spark, d):
-    """Lead channels first, then by volume; three at most for each item."""
-    from pyspark.sql import Window
-
     rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("channel_id")).agg(F.sum("l_quantity").alias("volume"))
-    order = Window.partitionBy("item_id").orderBy(F.desc(F.col("channel_id") % 3 == 0), F.desc("volume"), "channel_id")
-    return rows.withColumn("k", F.row_number().over(order)).filter("k <= 3").select("item_id", "channel_id")
+    return catalog.channel_budget(rows.withColumn("is_lead", F.col("channel_id") % 3 == 0), 3, 30).select("item_id", "channel_id")
+
+
+@query(ITEMS + """SELECT item_id FROM eff WHERE item_id IN (SELECT l_partkey FROM lineitem WHERE l_suppkey IN (1, 3)) AND item_id IN (SELECT p_partkey FROM part WHERE p_brand IN ('Brand#13', 'Brand#5'))""")
+def tag_filter_two(spark, d):
+    """Items on any of two channels and with any of two tags."""
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("tag"))
+    return catalog.tagged(catalog.tagged(effective(spark, d), _links(spark, d), "channel_id", [1, 3]), brands, "tag", ["Brand#13", "Brand#5"]).select("item_id")
 
 
 @query("""WITH t AS (SELECT p_partkey AS item_id, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part)
