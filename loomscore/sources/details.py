@@ -207,11 +207,11 @@ def sitemap_slugs(shards: DataFrame, body: str = "body") -> DataFrame:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, body) of harvested JSON documents, one a file or one a line, as text for the parsers above."""
+    """(file, body) of harvested JSON documents as text for the parsers above: one a line where every line is one, else one a file."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
-    one = F.try_parse_json("body").isNotNull()
-    lines = rows.filter(~one).select("file", F.explode(F.split("body", "\n")).alias("body")).filter(F.trim("body") != "")
-    return rows.filter(one).unionByName(lines)
+    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
+    by_line = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    return rows.select("file", F.explode(F.when(by_line, lines).otherwise(F.array("body"))).alias("body"))
 
 
 def request_pages(total: int, limit: int, most: int = 10_000) -> list[dict[str, int]]:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomscore.functions import scores, text
+from loomscore.functions import records, scores, text
 from loomscore.operators import corpus
 from loomscore.sources import extract
 
@@ -61,9 +61,15 @@ def test_cleaning(spark):
     assert one(spark, "a b  c", text.collapse("x")) == "a b c"
 
 
-def test_fingerprint_tells_null_from_zero(spark):
-    a = one(spark, None, text.fingerprint({"x": F.col("x")}), "int")
-    assert a != one(spark, 0, text.fingerprint({"x": F.col("x")}), "int")
+def test_fingerprint(spark):
+    """Null, 0, '' and the text null are four things; 1 and 1.0 are one; no value can pass for two fields; the order of fields is nothing."""
+    of = lambda **fields: spark.range(1).select(records.fingerprint({k: F.expr(v) for k, v in fields.items()})).first()[0]
+    assert len({of(x="cast(null as int)"), of(x="0"), of(x="''"), of(x="'null'"), of(x="'z'"), of(x="'0'")}) == 6
+    assert of(x="1") == of(x="1.0D") == of(x="1.0BD") == of(x="1L") == of(x="cast(1.00 as decimal(9,2))") != of(x="1.5D")
+    assert of(x="1e10D") == of(x="10000000000L")
+    assert of(a="'1,b=2'", b="'3'") != of(a="'1'", b="'2,b=3'")
+    assert of(a="1", b="2") == of(b="2", a="1") != of(a="2", b="1")
+    assert of(x="date'2024-01-02'") != of(x="date'2024-01-03'") and of(x="true") != of(x="'true'")
 
 
 def test_captions(spark):
