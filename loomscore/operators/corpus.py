@@ -160,3 +160,10 @@ def content_hash(snapshots: DataFrame, group: str, key: str, score: str, date: s
     listed = snapshots.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("position", item.alias("item")))).alias("x"))
     joined = F.array_join(F.transform("x", lambda s: s["item"]), "|")
     return listed.select(group, F.sha2(F.concat(F.lit(f"{version}|"), joined), 256).alias("content_hash"))
+
+
+def shared_vocabulary(rows: DataFrame, group: str, words: str, least: int, top: int = 6) -> DataFrame:
+    """(group, word, n): the words that most rows of a group hold, at least `least` of them; ties go to the lesser word."""
+    counted = rows.select(group, F.explode(F.array_distinct(words)).alias("word")).groupBy(group, "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group).orderBy(F.desc("n"), "word")
+    return counted.filter(F.col("n") >= least).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top).drop("_k")

@@ -153,6 +153,19 @@ def recent(rows: DataFrame, key: str, limit: int, **equal: object) -> DataFrame:
     return rows.orderBy(F.desc(key)).limit(limit)
 
 
+def events_after(events: DataFrame, cursor: int | None, limit: int = 200, backlog: int = 2000, key: str = "event_id", **equal: object) -> DataFrame:
+    """The next events after a cursor, by id, `limit` at most, of those where columns equal the values given.
+
+    Without a cursor, or more than `backlog` ids behind, a reader starts from the latest event and so has nothing to read yet."""
+    latest = events.agg(F.coalesce(F.max(key), F.lit(0)).alias("x")).scalar()
+    start = latest if cursor is None else F.when(latest - cursor > backlog, latest).otherwise(F.lit(cursor))
+    rows = events.filter(F.col(key) > start)
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(name) == F.lit(value))
+    return rows.orderBy(key).limit(limit)
+
+
 def problems(events: DataFrame, since: str | None = None, run: int | None = None, item: int | None = None, levels: Sequence[str] = ("warning", "error")) -> DataFrame:
     """Events of the levels that count as problems, of one run or item, since a time, where these are given."""
     rows = events.filter(F.col("level").isin(*levels))

@@ -69,3 +69,20 @@ def validate(
         .otherwise("accepted")
     )
     return facts.select("claim_id", "n_refs", outcome.alias("outcome"))
+
+
+def evaluate(claims: DataFrame, block: list[str], side: str, passed: Column, large: Column, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(blocks, totals). A block passes with `least` passed claims on its negative side, and as many on its positive side if it has any there.
+
+    totals is one row: how many claims and blocks there are and passed, with percentages, and the claims' figures on large corpora."""
+    ok = F.coalesce(passed, F.lit(False))
+    up = F.col(side) == "positive"
+    blocks = claims.groupBy(*block).agg(F.count_if(ok & up).alias("n_positive"), F.count_if(ok & ~up).alias("n_negative"), F.count_if(up).alias("_all"))
+    enough = (F.col("n_positive") >= F.when(F.col("_all") > 0, least).otherwise(0)) & (F.col("n_negative") >= least)
+    blocks = blocks.withColumn("passed", enough).drop("_all")
+    rate = lambda a, b: F.round(F.try_divide(100.0 * a, b), 1)
+    n, good, big, good_big = F.count("*"), F.count_if(ok), F.count_if(large), F.count_if(ok & large)
+    totals = claims.agg(n.alias("claims"), good.alias("claims_passed"), rate(good, n).alias("claims_percent"), big.alias("large"), good_big.alias("large_passed"))
+    own = blocks.agg(F.count("*").alias("n"), F.count_if("passed").alias("k"))
+    totals = totals.withColumns({"blocks": own.select("n").scalar(), "blocks_passed": own.select("k").scalar()})
+    return blocks, totals.withColumn("blocks_percent", rate(F.col("blocks_passed"), F.col("blocks")))

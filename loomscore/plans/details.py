@@ -132,6 +132,12 @@ def clean_body(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_body("text").alias("body"))
 
 
+@query(f"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{text.CONTROL}', ' ', 'g'), '{text.PROMPT_ARTIFACT}', ' ', 'g'), '{text.TAG}', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 300 THEN regexp_replace(substr(t, 1, 300), ' [^ ]*$', '') || '…' ELSE t END AS said FROM c""")
+def prompt_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.for_prompt("text", 300).alias("said"))
+
+
 @query(f"""WITH c AS (SELECT doc_id, {_CLEAN} AS body, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'paper-' || doc_id % 9 END AS publication, CASE WHEN doc_id % 3 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 300 AS INT) END AS published, doc_id % 101 AS score FROM documents)
 SELECT doc_id, sha256(publication || '|' || coalesce(CAST(published AS VARCHAR), '') || '|' || {_BODY_HASH}) AS key, published, CAST(score AS DOUBLE) AS score, CAST(length(coalesce(body, '')) AS INT) AS n_chars FROM c WHERE publication <> '' OR body IS NOT NULL""")
 def critic_reviews(spark, d):

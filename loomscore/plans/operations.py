@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merge, ops
+from ..operators import merge, monitor, ops
 from .base import query, table
 
 NOW = "2001-08-02"
@@ -95,7 +95,13 @@ def heartbeat_liveness(spark, d):
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 200 ORDER BY event_id LIMIT 200")
 def events_after_cursor(spark, d):
-    return table(spark, d, "events").filter("event_id > 200").orderBy("event_id").limit(200).select("event_id", "event_type", "user_id")
+    return monitor.events_after(table(spark, d, "events"), 200, backlog=10**9).select("event_id", "event_type", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND event_id > (SELECT CASE WHEN max(event_id) > 5000 THEN max(event_id) ELSE 0 END FROM events) ORDER BY event_id LIMIT 200")
+def events_after_backlog(spark, d):
+    """From the start, of one kind: a table of over 5,000 events is too far ahead, so nothing is replayed."""
+    return monitor.events_after(table(spark, d, "events"), 0, backlog=5000, event_type="click").select("event_id")
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")

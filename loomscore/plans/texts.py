@@ -360,11 +360,53 @@ def last_turn(spark, d):
     return last.select("conv_id", (-F.col("x.col1")).alias("turn"), "x.role")
 
 
-@query()
+_FOLD = """list_reduce(list_transform(lines, lambda l: [l]), lambda kept, x: CASE WHEN starts_with(x[1], kept[len(kept)]) THEN list_concat(kept[1:len(kept) - 1], x) WHEN ends_with(kept[len(kept)], x[1]) THEN kept ELSE list_concat(kept, x) END)"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, string_split(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '(?i)\\[[a-z ]+\\]', '', 'g'), chr(10)) AS raw FROM conversations),
+l AS (SELECT *, list_filter(list_transform(raw, lambda s: trim(s, ' ')), lambda s: s <> '' AND NOT regexp_matches(s, '^[0-9]+$') AND NOT contains(s, '-->')) AS lines FROM c) SELECT conv_id, turn, CASE WHEN len(lines) = 0 THEN [] ELSE {_FOLD} END AS lines FROM l""")
 def caption_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", extract.caption_lines("text").alias("lines"))
 
 
+@query(r"""SELECT word, source, n FROM (SELECT source, word, count(*) AS n FROM (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''-]{3,}'))) AS word FROM documents) GROUP BY ALL)
+    WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, word) <= 6""")
+def shared_vocabulary(spark, d):
+    rows = table(spark, d, "documents").select("source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'-]{3,}"), F.lit(0)).alias("words"))
+    return corpus.shared_vocabulary(rows, "source", "words", 3)
+
+
+_EVALUATED = """c AS (SELECT l_orderkey AS block, CASE WHEN l_partkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS side, l_returnflag <> 'R' AS ok, l_quantity >= 20 AS large FROM lineitem),
+b AS (SELECT block, count(*) FILTER (WHERE ok AND side = 'positive') AS n_positive, count(*) FILTER (WHERE ok AND side = 'negative') AS n_negative, count(*) FILTER (WHERE side = 'positive') AS p FROM c GROUP BY 1),
+k AS (SELECT block, n_positive, n_negative, n_positive >= CASE WHEN p > 0 THEN 2 ELSE 0 END AND n_negative >= 2 AS passed FROM b)"""
+
+
+def _evaluated(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.when(F.col("l_partkey") % 2 == 0, "positive").otherwise("negative").alias("side"), "l_returnflag", "l_quantity")
+    return validate.evaluate(rows, ["block"], "side", F.col("l_returnflag") != "R", F.col("l_quantity") >= 20)
+
+
+@query(f"WITH {_EVALUATED} SELECT * FROM k")
+def evaluation_blocks(spark, d):
+    return _evaluated(spark, d)[0]
+
+
+@query(f"""WITH {_EVALUATED} SELECT count(*) AS claims, count(*) FILTER (WHERE ok) AS claims_passed, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 1)::DOUBLE AS claims_percent, count(*) FILTER (WHERE large) AS large, count(*) FILTER (WHERE ok AND large) AS large_passed,
+    (SELECT count(*) FROM k) AS blocks, (SELECT count(*) FROM k WHERE passed) AS blocks_passed, round(100.0 * (SELECT count(*) FROM k WHERE passed) / (SELECT count(*) FROM k), 1)::DOUBLE AS blocks_percent FROM c""")
+def evaluation_report(spark, d):
+    return _evaluated(spark, d)[1]
+
+
+@query("""SELECT p_partkey AS item_id, CAST(p_size * 1000 + 7 AS BIGINT) AS whole, p_size + 0.5::DOUBLE AS decimal, CASE WHEN p_size % 3 = 0 THEN 'b' || p_size WHEN p_size % 3 = 1 THEN 'c' END AS url FROM part""")
+def picked_values(spark, d):
+    """The first numbers in a text, and the best of some formats; where none of those wanted is there, none is taken."""
+    size = F.col("p_size").cast("int")
+    said = F.concat(F.lit("about "), size, F.lit(",007 of 9"))
+    options = F.array(F.struct(F.lit("m3u8").alias("ext"), F.lit("no").alias("url")), F.struct(F.when(size % 3 == 0, "json3").when(size % 3 == 1, "vtt").otherwise("srt").alias("ext"), F.concat(F.when(size % 3 == 0, "b").otherwise("c"), size).alias("url")))
+    url = extract.by_preference(options, "ext", ["json3", "vtt"])["url"]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), extract.first_int(said).alias("whole"), extract.first_float(F.concat(size, F.lit(".50 x"))).alias("decimal"), url.alias("url"))
+
+
 @query("""SELECT p_partkey AS item_id, CAST(CASE WHEN p_partkey % 4 <> 3 THEN p_size % 5 * 3600 + p_size * 60 + p_partkey % 60 END AS BIGINT) AS seconds FROM part""")
 def iso_duration(spark, d):
     p = table(spark, d, "part")

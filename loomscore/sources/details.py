@@ -214,6 +214,11 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.explode(F.when(by_line, lines).otherwise(F.array("body"))).alias("body"))
 
 
+def seed_channels(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """(slug, name, code, position) of the channels known beforehand, in the order given."""
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "slug string, name string, code string, position int")
+
+
 def request_pages(total: int, limit: int, most: int = 10_000) -> list[dict[str, int]]:
     """The offsets of a paged listing: as many pages as the total fills, none past `most` rows; only items with a score are asked for."""
     if limit < 1:

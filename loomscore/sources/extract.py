@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -35,9 +35,17 @@ def first_int(x: Column | str) -> Column:
     return F.regexp_extract(F.replace(col(x), F.lit(","), F.lit("")), "([0-9]+)", 1).try_cast("long")
 
 
+def first_float(x: Column | str) -> Column:
+    return F.regexp_extract(F.replace(col(x), F.lit(","), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+
+
 def by_preference(options: Column, field: str, names: list[str]) -> Column:
     """The first of the named options that an array of structs holds, or null."""
-    return F.coalesce(*[F.get(F.filter(options, lambda o, n=n: o[field] == n), F.lit(0)) for n in names])
+
+    def named(name: str) -> Column:
+        return F.get(F.filter(options, lambda o: o[field] == name), F.lit(0))
+
+    return F.coalesce(*map(named, names))
 
 
 def caption_lines(x: Column | str) -> Column:
@@ -57,16 +65,3 @@ def caption_lines(x: Column | str) -> Column:
         )
 
     return F.aggregate(lines, F.array().cast("array<string>"), keep)
-
-
-def read_listing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Items of paged JSON listings ({"data": {"items": [...]}}), one row an item; unknown fields are ignored."""
-    pages = spark.read.schema(f"data struct<totalResults: int, items: array<{schema}>>").json(path, multiLine=True)
-    return pages.select(F.explode("data.items").alias("item")).select("item.*")
-
-
-def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(slug) of the item pages of sitemap files, without query strings."""
-    places = spark.read.text(path, lineSep="<loc>").select(F.substring_index("value", "</loc>", 1).alias("loc")).filter("loc LIKE 'http%'")
-    slug = F.regexp_extract(F.substring_index("loc", "?", 1), r"/game/([^/]+)/?$", 1)
-    return places.select(slug.alias("slug")).filter("slug <> ''").distinct()
