@@ -397,7 +397,7 @@ def evaluation_report(spark, d):
     return _evaluated(spark, d)[1]
 
 
-@query("""SELECT p_partkey AS item_id, CAST(p_size * 1000 + 7 AS BIGINT) AS whole, p_size + 0.5::DOUBLE AS decimal, CASE WHEN p_size % 3 = 0 THEN 'b' || p_size WHEN p_size % 3 = 1 THEN 'c' END AS url FROM part""")
+@query("""SELECT p_partkey AS item_id, CAST(p_size * 1000 + 7 AS BIGINT) AS whole, p_size + 0.5::DOUBLE AS decimal, CASE WHEN p_size % 3 = 0 THEN 'b' || p_size WHEN p_size % 3 = 1 THEN 'c' || p_size END AS url FROM part""")
 def picked_values(spark, d):
     """The first numbers in a text, and the best of some formats; where none of those wanted is there, none is taken."""
     size = F.col("p_size").cast("int")
