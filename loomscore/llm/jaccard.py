@@ -257,3 +257,22 @@ def jaccard_components(
     return rows.join(of_node, "node", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *(["text_hash"] if text_hash else [])
     )
+
+
+#: Every pair of sets that share a shingle, and the closure of their links: for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS tokens FROM w
+), n AS (
+    SELECT doc_id, len(tokens) AS n, CASE WHEN len(tokens) > 0 THEN sha256(array_to_string(list_sort(tokens), chr(10))) END AS node, tokens FROM s
+), node AS (SELECT node, min(doc_id) AS first, any_value(n) AS n, any_value(tokens) AS tokens FROM n WHERE n > 0 GROUP BY node
+), t AS (SELECT first, n, unnest(tokens) AS token FROM node
+), link AS (
+    SELECT a.first AS a, b.first AS b FROM t a JOIN t b ON a.token = b.token AND a.first <> b.first GROUP BY a.first, b.first HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))
+), reach AS (SELECT first AS a, first AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id FROM n LEFT JOIN node ON n.node = node.node LEFT JOIN least ON a = node.first
+"""

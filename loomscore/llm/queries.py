@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, warc
+from . import jaccard, line_dedup, mixing, warc
 from .attention import score_quality
 from .common import remove, table
-from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .onebit import nearest
 from .packing import pack_documents
@@ -75,7 +74,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_source_mixing": mixing.oracle(WEIGHTS),
     "op8_warc": warc.ORACLE,
+    "op9_ngram_jaccard": jaccard.ORACLE,
 }
