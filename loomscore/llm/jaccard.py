@@ -158,7 +158,7 @@ def jaccard_components(
     release(loose)
 
     # The sets of the nodes that share a prefix token with another.
-    wanted = settle(nodes.join(member.select("node").distinct(), "node").select("key", "node", "text_hash"))
+    wanted = nodes.join(able, "node").select("key", "node", "text_hash")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in pieces(batches, "text"):
@@ -178,8 +178,8 @@ def jaccard_components(
     whole = settle(sets_of(keyed))
     # One row for each node: repeats of a key with its text, and texts without any key, are known from the counts of rows.
     repeated = not rows.filter("key IS NOT NULL AND n > 0").groupBy("key", "node").count().filter("count > 1").isEmpty()
-    nameless = wanted.filter("key IS NULL").select("text_hash", "node")
-    if repeated or not nameless.isEmpty():
+    if repeated or not nodes.filter("key IS NULL").isEmpty():
+        nameless = wanted.filter("key IS NULL").select("text_hash", "node")
         unnamed = docs.filter("key IS NULL").join(nameless, "text_hash").select("node", "text")
         several, whole = whole, settle(whole.union(sets_of(unnamed.dropDuplicates(["node"]))).dropDuplicates(["node"]))
         release(several)

@@ -21,10 +21,10 @@ LEVELS = ("domain", "lang", "source")
 WEIGHTS = ({"0": 4, "1": 3, "2": 2, "3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}, {"src0": 2})
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     """The tables have no domain: it is the source's number modulo 4 (0 where it has none)."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
-    return docs.withColumn("domain", (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
+    return docs.withColumn(name, (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
 
 
 def tokenizer_files() -> tuple[str, str, str]:

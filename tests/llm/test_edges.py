@@ -340,10 +340,48 @@ def test_a_near_copy_leaves_unlike_texts_of_its_key(spark):
     import corpus_pipeline
 
     a, b, c = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
-    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " tail"), (4, c), (4, c), (5, None)]
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " tail"), (4, c), (4, c), (5, None), (None, a), (None, "no other text is like this one"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()]
-    assert sorted(got) == [(1, a), (2, b), (4, c), (5, None)]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (5, None), (None, "no other text is like this one"), (None, None)], key=str)
+
+
+STAGE_CLASH = [c for c in CLASH if c != "n_chars"] + ["text_hash", "later_id", "component_id", "drop", "lines", "print", "base_failed", "n_words"]
+
+
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    rows = [(*r, len(r[1] or ""), *["x"] * len(STAGE_CLASH)) for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in STAGE_CLASH))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_rows(spark, stage_docs, k):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    empty = stage(spark, stage_docs.limit(0), "")
+    assert empty.collect() == []
+    got = stage(spark, stage_docs, "")
+    if k < 4:
+        assert got.columns == empty.columns == stage_docs.columns
+    rows = got.collect()
+    key = lambda r: -1 if r.doc_id is None else r.doc_id
+    keys = sorted(map(key, rows))
+    want = sorted(-1 if r[0] is None else r[0] for r in ROWS)
+    if k == 0:  # texts of under ten words go; the long ones repeat nothing
+        assert keys == sorted(-1 if r[0] is None else r[0] for r in ROWS if brute.quality(r[1])["kept"])
+    elif k == 1:
+        assert keys == want and {r.doc_id: r.text for r in rows}[1] is None
+        assert all(r.n_chars == len(r.text or "") for r in rows)
+    elif k == 2:  # 5 is a copy of 4 (and repeats itself), 7 a near copy of 6, 10 of 9
+        assert keys == [-1, 1, 2, 3, 4, 6, 8, 9]
+    elif k == 3:
+        assert set(keys) <= set(want) and len(keys) == len(set(keys)) + sum(key == 5 for key in keys) // 2
+        assert sum(len(brute.words(r.text)) for r in rows) <= 0.8 * sum(len(brute.words(r[1])) for r in ROWS)
+    else:
+        assert set(keys) == set(want)
+        assert sum(r.start == 0 for r in rows) == len(ROWS)
 
 
 def test_warc_scan_layout_changes_nothing(spark, tmp_path):
