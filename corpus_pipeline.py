@@ -1,15 +1,20 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last return the columns of
-documents. The stages call the operators of loomscore.llm with the parameters of their queries, except that mixing
-selects a document once at most (one epoch), since the stage before has removed its copies."""
+documents (and any others that docs has, whatever their names). The stages call the operators of loomscore.llm with the parameters of their
+queries, except that mixing selects a document once at most (one epoch), since the stage before has removed its copies.
+
+Odd rows: a null or empty text has too few words and goes in the first stage; should one come later, it stays as it is, is a copy of nothing,
+takes its place in the mixture with no tokens and is packed as its one end token. A null source is no site for line dedup and a
+source of its own for mixing, a null lang is a language of its own. Rows without a doc_id pass like others. Rows that repeat a doc_id with one text
+become one, unlike texts under one doc_id are documents of their own. Very long texts are read whole. An empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscore.llm.common import settle, table
+from loomscore.llm.common import numbered, settle, table
 from loomscore.llm.jaccard import jaccard_components
 from loomscore.llm.line_dedup import drop_spread_lines
 from loomscore.llm.mixing import mix_sources
@@ -19,12 +24,12 @@ from loomscore.llm.repetition import quality_rules
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: those without enough words (so null and empty texts), and repetitive ones. Repeated rows are judged alike."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text."""
+    """Boilerplate lines go; n_chars follows the text. No row goes, not even one whose every line does."""
     cleaned = drop_spread_lines(docs)
     length = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", length).select(*docs.columns)
@@ -33,25 +38,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the least doc_id stays; rows that repeat a doc_id and its text stay once.
 
-    A row goes by its doc_id and text, so an unlike text under the doc_id of a near copy stays."""
+    A row goes by its doc_id and text, so an unlike text under the doc_id of a near copy stays. A row without a doc_id goes if its component
+    holds one with a doc_id; without any such, all rows of the component stay."""
     found = settle(jaccard_components(docs, text_hash=True))
-    later = settle(found.filter("doc_id <> component_id").selectExpr("doc_id AS later_id", "text_hash AS later_hash").distinct())
-    is_later = (F.col("doc_id") == F.col("later_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("later_hash"))
-    kept = docs.join(later, is_later, "left_anti").select(*docs.columns)
-    repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    gone = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+    later = settle(gone.selectExpr("doc_id AS later_id", "text_hash AS later_hash").distinct())
+    repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
+    rows, name = numbered(docs)  # docs may have columns of any name
+    key, text = name["doc_id"], name["text"]
+    is_later = F.col(key).eqNullSafe(F.col("later_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("later_hash"))
+    kept = rows.join(later, is_later, "left_anti")
+    if not repeated.isEmpty():
+        is_again = F.col(key) == F.col("again")
+        once = kept.join(repeated, is_again, "left_semi").dropDuplicates([key, text])
+        kept = kept.join(repeated, is_again, "left_anti").union(once)
+    return kept.toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """80 % of the tokens, spread over domains, languages and sources by weight."""
-    return mix_sources(with_domain(docs), LEVELS, WEIGHTS, max_epochs=1).select(*docs.columns)
+    """80 % of the tokens, spread over domains, languages and sources by weight; each document once or not at all. Rows of one doc_id share a place."""
+    return mix_sources(with_domain(docs, "_domain"), ("_domain", *LEVELS[1:]), WEIGHTS, max_epochs=1).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens: a row for each piece of each row of docs."""
     return pack_documents(docs, *tokenizer_files())
 
 
