@@ -106,7 +106,9 @@ def nearest(
 
     coded = settle(rows.mapInArrow(code, f"id long, v {kind}, dim int, code binary, norm double, fit double"))
     n = coded.count()
-    across, down = max(1, -(-n // data_block)), max(1, -(-(n // every) // query_block))
+    # A small table is cut finer, so that all cores have a run.
+    cores = min(vectors.sparkSession.sparkContext.defaultParallelism, n // 1024)
+    across, down = max(1, cores, -(-n // data_block)), max(1, -(-(n // every) // query_block))
     grid = lambda runs: F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
     data = coded.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int")).withColumn("c", grid(down))
     asked = coded.filter(F.col("id") % every == 0).select("id", "v", "dim")
