@@ -177,3 +177,11 @@ def claim_outcomes(claims: DataFrame, summaries: DataFrame, since: str) -> DataF
 def score_move(now: Column, then: Column) -> Column:
     """How far a score has moved; null where either is missing."""
     return F.abs(now - then)
+
+
+def save_once(known: DataFrame, made: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What is stored after saving `made`: a key that is known keeps its row as it is, another gets the new one; created tells which."""
+    asked = made.select(*by).distinct()
+    old = known.join(asked, list(by), "left_semi").withColumn("created", F.lit(False))
+    new = insert_ignore(known, made.dropDuplicates(list(by)), by).withColumn("created", F.lit(True))
+    return old.unionByName(new.select(old.columns))

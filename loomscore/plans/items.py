@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, detail, merge
+from ..operators import catalog, detail, merge, snapshots
 from .base import ITEMS, item_channels, items, query, table
 from .catalogue import effective
 
@@ -133,3 +133,47 @@ def replace_groups(spark, d):
     old = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
     new = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_custkey").alias("part"))
     return merge.replace_groups(old, new, ["l_orderkey"], new.select("l_orderkey"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' new' ELSE n_name END AS n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation
+UNION ALL SELECT n_nationkey + 100, n_name || ' new', 99 FROM nation WHERE n_nationkey % 10 = 0""")
+def reference_upserts(spark, d):
+    """Reference rows: a known one takes the new name and nothing else, an unknown one comes in whole."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    fresh = n.select("n_nationkey", F.concat("n_name", F.lit(" new")).alias("n_name"), F.lit(99).cast("long").alias("n_regionkey"))
+    delta = fresh.filter("n_nationkey % 2 = 0").union(fresh.filter("n_nationkey % 10 = 0").withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    return merge.upsert(n, delta, ["n_nationkey"], ["n_name"])
+
+
+@query("""WITH o AS (SELECT o_custkey AS item_id, string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS old, string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS new FROM orders GROUP BY 1)
+SELECT item_id, coalesce(new, old) AS attempts FROM o WHERE coalesce(new, old) IS NOT NULL""")
+def transcript_upsert(spark, d):
+    """Arrays of attempts: what is stored for an item is replaced as a whole where there is news of it."""
+
+    def attempts(status):
+        rows = table(spark, d, "orders").filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("item_id"))
+        return rows.agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("attempts"))
+
+    rows = merge.upsert(attempts("F"), attempts("O"), ["item_id"], ["attempts"])
+    return rows.select("item_id", F.array_join(F.transform("attempts", lambda a: a["o_orderkey"].cast("string")), ",").alias("attempts"))
+
+
+@query("""WITH k AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS x FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), m AS (SELECT o_custkey, o_orderstatus, max(o_orderkey) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
+SELECT m.o_custkey, m.o_orderstatus, coalesce(k.x, m.x) AS x, k.x IS NULL AS created FROM m LEFT JOIN k ON k.o_custkey = m.o_custkey AND k.o_orderstatus = m.o_orderstatus""")
+def gap_save(spark, d):
+    o = table(spark, d, "orders")
+    by = ["o_custkey", "o_orderstatus"]
+    known = o.filter("o_orderkey % 3 = 0").groupBy(*by).agg(F.min("o_orderkey").alias("x"))
+    made = o.filter("o_orderkey % 2 = 0").groupBy(*by).agg(F.max("o_orderkey").alias("x"))
+    return snapshots.save_once(known, made, by)
+
+
+@query("""WITH t AS (SELECT l_partkey, l_suppkey, max(l_quantity) AS score, bool_or(l_returnflag = 'R') AS rejected FROM lineitem WHERE l_quantity < 25 GROUP BY ALL), n AS (SELECT l_partkey, l_suppkey, max(l_quantity) AS score FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL)
+SELECT coalesce(t.l_partkey, n.l_partkey) AS l_partkey, coalesce(t.l_suppkey, n.l_suppkey) AS l_suppkey, coalesce(n.score, t.score) AS score, coalesce(rejected, false) AS rejected FROM t FULL JOIN n ON t.l_partkey = n.l_partkey AND t.l_suppkey = n.l_suppkey""")
+def candidate_upsert(spark, d):
+    """Candidates found again take the new score and stay rejected if they were; those not found again stay."""
+    rows = table(spark, d, "lineitem")
+    by = ["l_partkey", "l_suppkey"]
+    known = rows.filter("l_quantity < 25").groupBy(*by).agg(F.max("l_quantity").alias("score"), F.bool_or(F.col("l_returnflag") == "R").alias("rejected"))
+    found = rows.filter("l_quantity >= 25").groupBy(*by).agg(F.max("l_quantity").alias("score")).withColumn("rejected", F.lit(False))
+    return merge.upsert(known, found, by, ["score"])
