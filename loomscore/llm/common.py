@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage (the ASCII white space).
@@ -58,6 +58,11 @@ def join_hot(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner",
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+def crc_of(*parts: Column) -> Column:
+    """The unsigned crc32 of the parts' UTF-8 text with colons between them."""
+    return F.crc32(F.concat_ws(":", *parts).cast("binary"))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named c0, c1, ..., which clash with no name of an operator, and those names by the old ones."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from . import jaccard, line_dedup, mixing, warc
 from .attention import score_quality
 from .common import remove, table
+from .conversations import damage, repair_conversations
 from .licenses import scan_licenses
 from .onebit import nearest
 from .packing import pack_documents
+from .prefix_tokens import prefix_counts
 from .repetition import quality_rules
 from .sharding import shard_documents
+from .spelling import group_spellings, vocabulary
 
 #: Target weights of the mixture: domains, languages, sources (1 where not named).
 LEVELS = ("domain", "lang", "source")
@@ -84,6 +87,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs.withColumn("path", path))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = prefix_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_ngram_jaccard,
         op10_license_scan,
+        op11_spelling_variants,
+        op12_conversation_repair,
+        op13_token_counts,
     )
 }
 
