@@ -83,11 +83,11 @@ def _parsed(fragments: DataFrame) -> DataFrame:
     """Of each fragment what its record says, if it is one: the record's bytes, the payload's facts."""
     cut = fragments.withColumn("head", F.substring_index("value", BREAK, 1))
     cut = cut.withColumn("n_head", F.octet_length("head") + len(BREAK)).withColumn("n_block", _field("Content-Length").try_cast("long"))
-    cut = cut.withColumn("n_block", F.when(F.col("n_block") >= 0, F.col("n_block")))
+    cut = cut.withColumn("n_block", F.when(F.col("n_block").between(0, LONGEST), F.col("n_block")))
     raw = F.col("value").cast("binary")
-    block = F.expr("substring(cast(value AS binary), cast(n_head + 1 AS int), cast(n_block AS int))")
-    cut = cut.withColumn("block", block)
     cut = cut.withColumn("n_raw", F.octet_length(raw))
+    block = F.expr("substring(cast(value AS binary), cast(n_head + 1 AS int), cast(least(n_block, n_raw) AS int))")
+    cut = cut.withColumn("block", block)
     http = F.substring_index(F.col("block").cast("string"), BREAK, 1)
     cut = cut.withColumn("http", http).withColumn("n_http", F.octet_length("http") + len(BREAK))
     payload = F.expr("substring(block, cast(n_http + 1 AS int))")
@@ -106,6 +106,8 @@ def _parsed(fragments: DataFrame) -> DataFrame:
     )
 
 
+#: A told length beyond this many bytes is no length: no file is as long, and no sum of lengths and offsets overflows.
+LONGEST = 1 << 53
 #: Wide records are put together in runs of so many bytes of a file.
 BLOCK = 1 << 26
 
@@ -123,7 +125,9 @@ def _chain(light: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = light.withColumns({"_in": F.coalesce(F.sum("n_fragment").over(past), F.lit(0)), "_chained": F.coalesce(chained, F.lit(False))})
     within = within.withColumn("run", F.coalesce(F.sum(F.when(F.col("_chained"), 0).otherwise(1)).over(past), F.lit(0)))
     files = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = light.groupBy("file", "split").agg(F.sum("n_fragment").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(files), F.lit(0))).drop("n")
+    sums = light.groupBy("file", "split").agg(F.sum("n_fragment").alias("n"))
+    whole = Window.partitionBy("file")
+    bases = sums.withColumns({"_base": F.coalesce(F.sum("n").over(files), F.lit(0)), "file_end": F.sum("n").over(whole) - len(MAGIC)}).drop("n")
     # What precedes the first magic of a file is a fragment of its own, without magic: the offset of the next is 0 if it is empty.
     candidates = within.join(bases, ["file", "split"]).withColumn("offset", F.col("_base") + F.col("_in") - len(MAGIC)).drop("_in", "_base")
     candidates = settle(candidates.filter("offset >= 0"))
@@ -141,9 +145,10 @@ def _chain(light: DataFrame) -> tuple[DataFrame, DataFrame]:
         jumped = pointers.drop("to_entry").join(further, ["file", "to_split", "to_run"])
         pointers = settle(jumped.selectExpr(*place, "far_split AS to_split", "far_run AS to_run", "far_entry AS to_entry"))
         release(*before)
-    records = candidates.join(reached, place).filter("offset >= entry").select("offset", *[c for c in light.columns if c != "value"])
+    records = candidates.join(reached, place).filter("offset >= entry").select("offset", "file_end", *[c for c in light.columns if c != "value"])
     # The fragments of a wide record lie in the blocks of the file that it touches: in each, the last start at or before a fragment owns it.
-    wide = records.filter("n_record > n_fragment").selectExpr("file", "offset AS start", "offset + n_record AS stop")
+    # A record that tells of more than its file holds ends with the file.
+    wide = records.filter("n_record > n_fragment").selectExpr("file", "offset AS start", "least(offset + n_record, file_end) AS stop")
     touched = wide.withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK}, (stop - 1) div {BLOCK})")))
     blocks = touched.select("file", "block").distinct()
     held = candidates.withColumn("block", F.expr(f"offset div {BLOCK}")).join(blocks, ["file", "block"])
@@ -166,7 +171,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Whatever is joined comes from one settled scan, so a change of split sizes or a lost executor between two stages changes nothing.
     intact: the payload has the length and the digest that the record tells (for revisits, nothing to compare).
     Rows that repeat a key are records of their own, a null key is read as null. Empty files and an empty folder give no records; what follows a
-    broken record in its file is not reached."""
+    broken record in its file is not reached. A told length that is negative, no number, or beyond LONGEST is none."""
     columns = ["key", "url", "record_type", "payload_digest", "refers_to", "n_told", "n_found", "found_digest"]
 
     def joined(owned: DataFrame) -> DataFrame:
