@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscore.llm.common import numbered, settle, table
+from loomscore.llm.common import numbered, release, settle, table
 from loomscore.llm.jaccard import jaccard_components
 from loomscore.llm.line_dedup import drop_spread_lines
 from loomscore.llm.mixing import mix_sources
@@ -25,14 +25,16 @@ from loomscore.llm.repetition import quality_rules
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go: those without enough words (so null and empty texts), and repetitive ones. Repeated rows are judged alike."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    rows, name = numbered(docs)
+    return quality_rules(rows, name["text"]).filter("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text. No row goes, not even one whose every line does."""
-    cleaned = drop_spread_lines(docs)
-    length = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+    rows, name = numbered(docs)
+    cleaned = drop_spread_lines(rows, name["doc_id"], name["text"], name["source"])
+    length = F.when(F.col("removed_lines") > 0, F.length(name["text"]).cast("long")).otherwise(F.col(name["n_chars"]))
+    return cleaned.withColumn(name["n_chars"], length).select(*rows.columns).toDF(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +42,12 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row goes by its doc_id and text, so an unlike text under the doc_id of a near copy stays. A row without a doc_id goes if its component
     holds one with a doc_id; without any such, all rows of the component stay."""
-    found = settle(jaccard_components(docs, text_hash=True))
+    rows, name = numbered(docs)  # docs may have columns of any name
+    key, text = name["doc_id"], name["text"]
+    found = settle(jaccard_components(rows, key, text, text_hash=True).withColumnRenamed(key, "doc_id"))
     gone = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id")
     later = settle(gone.selectExpr("doc_id AS later_id", "text_hash AS later_hash").distinct())
     repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
-    rows, name = numbered(docs)  # docs may have columns of any name
-    key, text = name["doc_id"], name["text"]
     is_later = F.col(key).eqNullSafe(F.col("later_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("later_hash"))
     kept = rows.join(later, is_later, "left_anti")
     if not repeated.isEmpty():
@@ -57,12 +59,16 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """80 % of the tokens, spread over domains, languages and sources by weight; each document once or not at all. Rows of one doc_id share a place."""
-    return mix_sources(with_domain(docs, "_domain"), ("_domain", *LEVELS[1:]), WEIGHTS, max_epochs=1).select(*docs.columns)
+    rows, name = numbered(docs)
+    levels = ("_domain", *(name[c] for c in LEVELS[1:]))
+    mixed = mix_sources(with_domain(rows, "_domain", name["source"]), levels, WEIGHTS, name["doc_id"], name["text"], max_epochs=1)
+    return mixed.select(*rows.columns).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row for each piece of each row of docs."""
-    return pack_documents(docs, *tokenizer_files())
+    rows, name = numbered(docs)
+    return pack_documents(rows, *tokenizer_files(), name["doc_id"], name["text"]).withColumnRenamed(name["doc_id"], "doc_id")
 
 
 STAGES = [
@@ -80,7 +86,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs)
+            if k:
+                release(before)  # the stage's own table; all that was made of it is settled
     return docs
