@@ -63,6 +63,13 @@ def crc_of(*parts: Column) -> Column:
     return F.crc32(F.concat_ws(":", *parts).cast("binary"))
 
 
+def crc_sql(text: str) -> str:
+    """The same of one SQL string: byte by byte, bit by bit."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {bits}), 4294967295)"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named c0, c1, ..., which clash with no name of an operator, and those names by the old ones."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}

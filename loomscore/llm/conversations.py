@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, crc_of, settle
+from .common import SPACE, crc_of, crc_sql, settle
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
 #: The automaton: (state, initial) to state.
@@ -418,3 +418,54 @@ def repair_conversations(rows: DataFrame, most_rows: int = ROWS, most_chars: int
     open_texts = open_parts.select("texts", *place).join(marked.drop("symbols"), place).join(in_parts, place)
     one = repaired(texts).union(repaired(open_texts.repartition("id").sortWithinPartitions("id", *place)))
     return one.select(F.col("id").cast(kind).alias("conv_id"), *one.columns[1:])
+
+
+def oracle() -> str:
+    """The same of the conversations, row by row: of each conversation the cheapest way into each state, with its audit and repaired text."""
+
+    def best(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def step(state: str, cost: str, edit: str, out: str = "''") -> str:
+        return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{edit}', 'out': {state}.out || {out}}}"
+
+    never = "{'cost': 1000000000, 'audit': '', 'out': ''}"
+    line = "chr(10) || role || ':' || text"
+
+    def into(to: str, initial: str, ways: tuple[int, ...]) -> str:
+        kept = [f"CASE WHEN sym <> 'd' AND role[1] = '{initial}' THEN {step(f'l{w}', 'extra', 'K', line)} ELSE {never} END" for w in ways]
+        name = NAMES.get(initial)
+        other = [f"CASE WHEN sym <> 'd' THEN {step(f'l{w}', 'extra + 2', 'R', f"chr(10) || '{name}:' || text")} ELSE {never} END" for w in ways if name]
+        return best(step(to, "3", "D"), *kept, *other)
+
+    user, reply = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    return f"""
+WITH RECURSIVE h AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h
+    FROM conversations
+), d AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM h WHERE h <> 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM d
+), f AS (
+    SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o
+), r AS (SELECT conv_id, k, role, text, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE 'k' END AS sym, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM f
+), dp AS (
+    SELECT conv_id, 0::BIGINT AS k, {{'cost': 0, 'audit': '', 'out': ''}} AS l0, {never} AS l1, {{'cost': 2, 'audit': 'I', 'out': {user}}} AS l2, {{'cost': 4, 'audit': 'II', 'out': {user} || {reply}}} AS l3
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, k, n0, n1, m2, {best("n3", step("m2", "2", "I", reply))} FROM (
+        SELECT *, {best("n2", *(step(n, "2", "I", user) for n in ("n0", "n1", "n3")))} AS m2 FROM (
+            SELECT dp.conv_id, r.k, {step("l0", "3", "D")} AS n0, {into("l1", "s", (0,))} AS n1, {into("l2", "u", (0, 1, 3))} AS n2, {into("l3", "a", (2,))} AS n3
+            FROM dp JOIN r ON dp.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = dp.k + 1))
+), ends AS (SELECT conv_id, arg_max({best("l0", "l3")}, k) AS top FROM dp GROUP BY conv_id
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id)
+SELECT ends.conv_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))},
+       CAST(top.cost AS BIGINT) AS cost, top.audit AS audit, sha256(substr(top.out, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""

@@ -7,26 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, mixing, warc
+from . import conversations, jaccard, line_dedup, mixing, spelling, warc
 from .attention import score_quality
 from .common import remove, table
-from .conversations import damage, repair_conversations
 from .licenses import scan_licenses
 from .onebit import nearest
 from .packing import pack_documents
 from .prefix_tokens import prefix_counts
 from .repetition import quality_rules
 from .sharding import shard_documents
-from .spelling import group_spellings, vocabulary
 
 #: Target weights of the mixture: domains, languages, sources (1 where not named).
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = ({"0": 4, "1": 3, "2": 2, "3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}, {"src0": 2})
 
 
-def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain", source: str = "source") -> DataFrame:
     """The tables have no domain: it is the source's number modulo 4 (0 where it has none)."""
-    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1)
     return docs.withColumn(name, (F.coalesce(number.try_cast("long"), F.lit(0)) % 4).cast("string"))
 
 
@@ -44,7 +42,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.drop("text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "covered_words", "longest_repeat")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +70,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.read_archives(spark, path).drop("url").withColumnRenamed("key", "page_id")
+    found = warc.read_archives(spark, path).withColumnRenamed("key", "page_id")
     remove(spark, path)  # the records are settled
-    return found
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +87,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_spellings(vocabulary(table(spark, sf_dir, "documents")))
+    return spelling.group_spellings(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+    return conversations.repair_conversations(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +123,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.oracle(WEIGHTS),
     "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard": jaccard.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_conversation_repair": conversations.oracle(),
 }

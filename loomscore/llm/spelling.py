@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, join_hot, settle
+from .common import crc_of, crc_sql, join_hot, settle
 
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,6 +95,8 @@ def near_pairs(bucket: np.ndarray, chars: np.ndarray, size: np.ndarray) -> tuple
     """Pairs of rows (i, j) of one bucket whose windows are at distance one: chars holds each row's code points, then zeros; rows are sorted by
     bucket and window and distinct."""
     n, width = chars.shape
+    if not width:  # no two rows of a bucket are alike
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     same = chars[1:] == chars[:-1]
     common = np.full(n, -1)
     common[1:] = np.where(bucket[1:] == bucket[:-1], np.where(same.all(axis=1), width, same.argmin(axis=1)), -1)
@@ -230,3 +232,28 @@ def group_spellings(words: DataFrame, ratio: int = 10, cells: int = CELLS) -> Da
         up = jumped.drop("moved")
     root = up.select("word", F.col("up").alias("root"))
     return linked.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: Near words by what is left when one code point is taken out of them.
+ORACLE = f"""
+WITH RECURSIVE raw AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')), '{UPPER}', '{LOWER}') AS run FROM documents
+), runs AS (SELECT doc, run, count(*) AS n FROM raw GROUP BY ALL
+), hashed AS (SELECT run, n, {crc_sql("doc || ':' || run")} AS h FROM runs
+), damaged AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (SELECT word, n, unnest(range(length(word))) AS place FROM words
+), less AS (SELECT word, n, place, left(word, place) || substr(word, place + 2) AS rest FROM places
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS top FROM near GROUP BY word
+), linked AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 10 * n THEN top[2] END AS form, CASE WHEN -top[1] >= 10 * n THEN -top[1] END AS form_n
+    FROM words LEFT JOIN best ON words.word = best.word
+), up AS (SELECT word, form AS root FROM linked WHERE form IS NOT NULL UNION SELECT up.word, linked.form FROM up JOIN linked ON up.root = linked.word WHERE linked.form IS NOT NULL
+), roots AS (SELECT up.word, arg_max(root, words.n) AS root FROM up JOIN words ON up.root = words.word GROUP BY up.word)
+SELECT linked.word, form, coalesce(root, linked.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM linked LEFT JOIN roots ON linked.word = roots.word
+"""
