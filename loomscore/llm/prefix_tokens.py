@@ -12,7 +12,10 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,8 @@ from .wordhash import pieces
 
 SPACE = "▁"  # how the library writes a space
 SLICE = 1 << 20
-#: Units and pairs that a task remembers; it forgets all of them when there are more.
-REMEMBER = 400_000
+#: Units and pairs that a task remembers (half as many units' first characters), and how many characters those are.
+REMEMBER, STEM = 450_000, 6
 #: Merged over a model's message: no space is put before a text.
 _BARE = b"\x1a\x02\x18\x00"
 
@@ -45,10 +48,13 @@ class PrefixCounter:
             raise ValueError(f"{model} changes texts before it encodes them; prefixes of the text are then none of what is encoded")
         names = {k: self.whole.id_to_piece(k) for k in range(self.whole.get_piece_size()) if not (self.whole.is_control(k) or self.whole.is_unknown(k) or self.whole.is_byte(k))}
         self.pieces = {p for k, p in names.items() if self.bare.encode(p) == [k]}
-        #: Of each character the longest piece that ends with it.
-        self.longest: dict[str, int] = {}
+        #: How long the pieces are that end with these three, two or one characters, longest first.
+        ends: dict[str, set[int]] = defaultdict(set)
         for p in self.pieces:
-            self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
+            for k in range(1, min(3, len(p)) + 1):
+                ends[p[-k:]].add(len(p))
+        short = {tail: {n for n in ends[tail[1:]] if n < len(tail)} | ({n for n in ends[tail[2:]] if n < 2} if len(tail) > 2 else set()) for tail in list(ends) if len(tail) > 1}
+        self.ends = {tail: tuple(sorted(sizes | short.get(tail, set()), reverse=True)) for tail, sizes in ends.items()}
         self.joined = joined = {a + b for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
         bound = {c for two in joined for c in two} - {SPACE}
         inside = "".join(map(re.escape, sorted(bound)))
@@ -56,6 +62,8 @@ class PrefixCounter:
         self.unit = re.compile(f"[{SPACE}{inside}]+|[^{SPACE}{inside}]+" if across else f"{SPACE}*[{inside}]+|{SPACE}+|[^{SPACE}{inside}]+")
         self.cut = None if across else re.compile(f"(?<=[^{SPACE}]){SPACE}")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stems: dict[str, tuple[list[str], list[int]]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
     def stay_apart(self, a: str, b: str) -> bool:
@@ -66,43 +74,65 @@ class PrefixCounter:
         return found
 
     def unit_steps(self, unit: str) -> bytes:
-        """The steps of one unit, as 32-bit integers, from those of its parts that no piece reaches across."""
+        """The steps of one unit, as 32-bit integers; those of one that ends with a sign, from its parts that no piece reaches across."""
+        if unit[-1].isalpha():
+            return self.part_steps(unit)
         found, at, joined = [], 0, self.joined
         for to in range(1, len(unit) + 1):
             if to == len(unit) or unit[to - 1 : to + 1] not in joined:
                 part = unit[at:to]
-                step = self.known.get(part)
-                found.append(self.remember(part, self.part_steps(part)) if step is None else step)
+                found.append(self.known.get(part) or self.recall(part) or self.remember(part, self.part_steps(part)))
                 at = to
         return b"".join(found)
 
     def part_steps(self, part: str) -> bytes:
-        """By the recurrence. A character in no piece is as many tokens as it has bytes, apart from all others."""
-        last, count, known, longest, apart = [""], [0], self.pieces, self.longest, self.apart
-        for end, c in enumerate(part, 1):
-            for size in range(min(end, longest.get(c, 0)), 0, -1):
-                piece = part[end - size : end]
-                if piece in known:
-                    before = last[end - size]
-                    fits = not before or apart.get((before, piece))
-                    if fits is None:
-                        fits = self.stay_apart(before, piece)
-                    if fits:
-                        last.append(piece)
-                        count.append(count[end - size] + 1)
-                        break
+        """By the recurrence, from what is remembered of the part's first characters."""
+        if len(part) <= STEM:
+            last, count = [""], [0]
+        else:
+            stem = self.stems.get(part[:STEM])
+            if stem is None:
+                if len(self.stems) >= REMEMBER // 2:
+                    self.stems.clear()
+                stem = self.stems[part[:STEM]] = self.grown(part[:STEM], [""], [0])
+            last, count = stem[0].copy(), stem[1].copy()
+        _, count = self.grown(part, last, count)
+        return array("i", map(sub, count[1:], count)).tobytes()
+
+    def grown(self, part: str, last: list[str], count: list[int]) -> tuple[list[str], list[int]]:
+        """The last pieces and counts of all prefixes, from those of the first ones. A character in no piece is as many tokens as it has
+        bytes, apart from all others."""
+        known, ends, apart = self.pieces, self.ends, self.apart
+        for end in range(len(last), len(part) + 1):
+            for size in (end > 2 and ends.get(part[end - 3 : end])) or (end > 1 and ends.get(part[end - 2 : end])) or ends.get(part[end - 1], ()):
+                if size <= end:
+                    piece = part[end - size : end]
+                    if piece in known:
+                        before = last[end - size]
+                        fits = not before or apart.get((before, piece))
+                        if fits is None:
+                            fits = self.stay_apart(before, piece)
+                        if fits:
+                            last.append(piece)
+                            count.append(count[end - size] + 1)
+                            break
             else:
                 last.append("")
-                count.append(count[-1] + len(c.encode()))
-        return np.diff(np.array(count, np.int32)).tobytes()
+                count.append(count[-1] + len(part[end - 1].encode()))
+        return last, count
 
     def remember(self, unit: str, step: bytes) -> bytes:
         if len(unit) <= 64:
             if len(self.known) >= REMEMBER:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[unit] = step
         return step
 
+    def recall(self, unit: str) -> bytes | None:
+        """What has not come for a while goes: when the memory is full, only what is asked again passes into the next one."""
+        step = self.older.get(unit)
+        return step if step is None else self.remember(unit, step)
+
     def steps(self, text: str) -> np.ndarray:
         """One for each code point: the count of the prefix that it ends, less that of the prefix before (0 for the empty one)."""
         if not text:
@@ -111,7 +141,7 @@ class PrefixCounter:
         while at < len(text):
             found = self.cut.search(text, at + SLICE) if self.cut else None
             to = found.start() if found else len(text)
-            own = []
+            own, known = [], self.known
             for unit in self.unit.findall(text, at, to):
                 step = self.known.get(unit)
                 if step is None:
