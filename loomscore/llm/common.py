@@ -28,11 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting under which the shuffle files of a query go when it ends, not when its plan is collected as garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffles that made it are deleted at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
