@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 
 from .text import col
 
-# Words that make a key a secret's name, and what stands in place of the secret.
+# Words that make a key a secret's name, what a secret's name may hold, and what stands in place of the secret.
+SECRET_MARKERS = ("_key", "_token", "_password", "_secret", "authorization", "cookie")
 SECRET_WORDS = "key token password passwd secret authorization auth cookie apikey".split()
 REDACTED = "***"
 
@@ -164,8 +165,11 @@ def badge_code(slug: Column | str, name: Column | str, known: Mapping[str, str],
 
 
 def secret_key(x: Column) -> Column:
-    """Whether a key names a secret: one of its words is a secret's, whatever joins the words."""
-    return F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), F.array(*map(F.lit, SECRET_WORDS)))
+    """Whether a key names a secret: one of its words is a secret's, whatever joins the words, or it holds a marker."""
+    named = F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), F.array(*map(F.lit, SECRET_WORDS)))
+    for marker in SECRET_MARKERS:
+        named = named | F.lower(x).contains(marker)
+    return named
 
 
 def redact_map(x: Column | str) -> Column:
@@ -178,11 +182,14 @@ def redact_json(x: pd.Series) -> pd.Series:
     """A JSON document with the values of secret keys blotted out down to six levels; what is no JSON stays."""
     words = set(SECRET_WORDS)
 
+    def secret(name: str) -> bool:
+        name = name.lower()
+        return any(m in name for m in SECRET_MARKERS) or not words.isdisjoint(re.split(r"[^a-z0-9]+", name))
+
     def walk(value: object, depth: int = 0) -> object:
         if depth > 6:
             return value
         if isinstance(value, dict):
-            secret = lambda k: not words.isdisjoint(re.split(r"[^a-z0-9]+", k.lower()))
             return {k: REDACTED if secret(k) else walk(v, depth + 1) for k, v in value.items()}
         if isinstance(value, list):
             return [walk(v, depth + 1) for v in value]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +89,32 @@ def facet(links: DataFrame, items: DataFrame, key: str, dimension: DataFrame | N
     return dimension.join(counted, key, "left").withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
 
 
+def _named(facet: str) -> Callable[[Column], Column]:
+    return lambda value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+
+
+def facets(items: DataFrame, dimensions: Mapping[str, Column], filters: Mapping[str, Column]) -> DataFrame:
+    """(facet, value, n_items): the counts of every dimension of one request, from one scan and one aggregate.
+
+    items has one row for each item; a dimension is an array of its values (null or empty: none). Filters are conditions on an
+    item's row; a null one fails. Each item gets a mask of the filters that it fails, so a dimension with a filter of its own name counts the
+    items that fail no other. The facet `total` (value null) counts those that fail none."""
+    bits = {name: 1 << k for k, name in enumerate(filters)}
+    failed = F.lit(0)
+    for name, holds in filters.items():
+        failed = failed + F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(bits[name])
+    rows = items.withColumn("_failed", failed)
+    told = []
+    for name, values in dimensions.items():
+        some = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
+        named = F.transform(some.cast("array<string>"), _named(name))
+        told.append(F.when((F.col("_failed").bitwiseAND(~bits.get(name, 0))) == 0, named))
+    everything = F.array(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("value")))
+    told.append(F.when(F.col("_failed") == 0, everything))
+    each = rows.select(F.explode(F.flatten(F.array(*[F.coalesce(t, F.array().cast("array<struct<facet:string,value:string>>")) for t in told]))).alias("x"))
+    return each.groupBy("x.facet", "x.value").agg(F.count("*").alias("n_items"))
+
+
 def tagged(items: DataFrame, links: DataFrame, key: str, wanted: Sequence[object]) -> DataFrame:
     """Items with any of the wanted tags; without any wanted, all items."""
     if not wanted:

@@ -77,9 +77,9 @@ def stratum(score: Column, new: Column) -> Column:
 
 
 def with_strata(rows: DataFrame, group: str, score: str, date: str) -> DataFrame:
-    """rows with stratum (score bucket and era) and recency (place between the group's oldest and newest date)."""
-    span = rows.groupBy(group).agg(F.min(date).alias("_old"), F.max(date).alias("_new"), F.count("*").alias("_n"))
-    joined = rows.join(span, group)
+    """rows with stratum (score bucket and era) and recency (place between the group's oldest and newest date). Null groups are a group like any other."""
+    span = rows.groupBy(F.col(group).alias("_group")).agg(F.min(date).alias("_old"), F.max(date).alias("_new"))
+    joined = rows.join(span, rows[group].eqNullSafe(span["_group"])).drop("_group")
     days = F.datediff("_new", "_old")
     middle = F.expr("date_add(_old, cast(floor(datediff(_new, _old) / 2) AS int))")
     recency = F.coalesce(F.try_divide(F.datediff(F.col(date), F.col("_old")), days), F.lit(0.0))
@@ -94,6 +94,8 @@ def quotas(sizes: Sequence[int], target: int, share: float) -> list[int]:
     is taken back or added until the sum fits; when all lie at the floor, later strata lose first."""
     if sum(sizes) <= target:
         return list(sizes)
+    if target <= 0:
+        return [0] * len(sizes)
     floor = max(1, round(target * share / len(sizes)))
     given = [min(n, max(floor, round(target * n / sum(sizes)))) for n in sizes]
     order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
@@ -114,28 +116,41 @@ def quotas(sizes: Sequence[int], target: int, share: float) -> list[int]:
     return given
 
 
-def strata_quotas(placed: DataFrame, group: str, key: str, target: int, settings: Settings = DEFAULT) -> DataFrame:
-    """(group, stratum, quota) for rows with strata; only stratum sizes (8 rows a group) enter Python. Strata of equal size stand in the order of their least keys."""
+def strata_quotas(placed: DataFrame, group: str, key: str, target: int | DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(group, stratum, quota) for rows with strata; only stratum sizes (8 rows a group) enter Python. Strata of equal size stand in the order of their least keys.
+
+    target: of every group, or (group, budget) with a group's own; a group without one gives nothing."""
     sizes = placed.groupBy(group, "stratum").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    if isinstance(target, DataFrame):
+        own = target.select(F.col(group).alias("_group"), F.col("budget").cast("int").alias("target"))
+        sizes = sizes.join(own, sizes[group].eqNullSafe(own["_group"]), "left").drop("_group").fillna({"target": 0})
+    else:
+        sizes = sizes.withColumn("target", F.lit(target))
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("first")
-        frame["quota"] = quotas(frame["n"].astype(int).tolist(), target, settings.stratum_share)
+        frame["quota"] = quotas(frame["n"].astype(int).tolist(), int(frame["target"].iloc[0]), settings.stratum_share)
         return frame[[group, "stratum", "quota"]]
 
     kind = placed.schema[group].dataType.simpleString()
     return sizes.groupBy(group).applyInPandas(deal, f"{group} {kind}, stratum string, quota long")
 
 
-def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: str, date: str, target: int, settings: Settings = DEFAULT) -> DataFrame:
-    """At most `target` rows of each group with every stratum represented. Ranks are cut to the target where the rows lie (a top-k), so a large group is not sorted as a whole."""
+def stratified_sample(rows: DataFrame, group: str, key: str, body: str, score: str, date: str, target: int | DataFrame, settings: Settings = DEFAULT, most: int | None = None) -> DataFrame:
+    """At most `target` rows of each group (or its own budget, see strata_quotas) with every stratum represented.
+
+    Ranks are cut to the target, or to `most`, the largest budget, where the rows lie (a top-k), so a large group is not sorted as a whole."""
     placed = with_strata(rows, group, score, date)
     dealt = strata_quotas(placed, group, key, target, settings)
     extreme = F.coalesce(F.abs(F.col(score) - 50) / 50.0, F.lit(0.0))
     weight = 0.45 * F.least(F.lit(1.0), F.length(body) / 900.0) + 0.30 * F.col("recency") + 0.15 * extreme + 0.05
     order = Window.partitionBy(group, "stratum").orderBy(F.desc(F.round(weight, 9)), key)
-    top = placed.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= target)
-    return top.join(dealt, [group, "stratum"]).filter("_k <= quota").drop("_k", "quota")
+    ranked = placed.withColumn("_k", F.row_number().over(order))
+    limit = most if isinstance(target, DataFrame) else target
+    top = ranked if limit is None else ranked.filter(F.col("_k") <= limit)
+    dealt = dealt.select(F.col(group).alias("_group"), F.col("stratum").alias("_stratum"), "quota")
+    same = top[group].eqNullSafe(dealt["_group"]) & (top["stratum"] == dealt["_stratum"])
+    return top.join(dealt, same).filter("_k <= quota").drop("_k", "quota", "_group", "_stratum")
 
 
 def snapshot(rows: DataFrame, group: str, key: str, date: str, prefix: str = "C") -> DataFrame:

@@ -106,44 +106,6 @@ def follow_ups(results: DataFrame, rules: Sequence[tuple[str, Column, Sequence[s
     return results.select("task_id", F.explode(F.array_distinct(asked)).alias("next"))
 
 
-def _cron_field(x: Column, field: str) -> Column:
-    """One field: *, */n, a, a-b, a-b/n and lists of these."""
-    found = F.lit(False)
-    for part in field.split(","):
-        span, _, step = part.partition("/")
-        low, _, high = span.partition("-")
-        if span == "*":
-            low, high = "0", "59"
-        elif not high:
-            high = "59" if step else low
-        own = x.between(int(low), int(high))
-        found = found | (own & ((x - int(low)) % int(step or 1) == 0))
-    return found
-
-
-def cron_matches(ts: Column, cron: str) -> Column:
-    """Whether a time is one of a schedule of five fields (minute, hour, day, month, weekday with 0 and 7 as Sunday).
-
-    As is usual, with both day and weekday given either is enough."""
-    minute, hour, day, month, weekday = cron.split()
-    own = (F.dayofweek(ts) - 1).cast("int")
-    on_weekday = _cron_field(own, weekday) | ((own == 0) & _cron_field(F.lit(7), weekday) if weekday != "*" else F.lit(False))
-    on_day = _cron_field(F.dayofmonth(ts), day if day != "*" else "*")
-    both = on_day | on_weekday if day != "*" and weekday != "*" else on_day & on_weekday
-    step_month = _cron_field(F.month(ts), month)
-    return _cron_field(F.minute(ts), minute) & _cron_field(F.hour(ts), hour) & step_month & both
-
-
-def cron_next(schedule: DataFrame, crons: Mapping[str, str], after: str, days: int = 8) -> DataFrame:
-    """(name, next_at) for the schedule's names: the first time after `after` at which the cron of that name matches, within so many days."""
-    minutes = F.sequence(F.date_trunc("minute", _at(after)) + F.expr("INTERVAL 1 MINUTE"), _at(after) + F.expr(f"INTERVAL {days} DAY"), F.expr("INTERVAL 1 MINUTE"))
-    due = F.lit(False)
-    for name, cron in crons.items():
-        due = due | ((F.col("name") == name) & cron_matches(F.col("at"), cron))
-    rows = schedule.select("name", F.explode(minutes).alias("at"))
-    return rows.filter(due).groupBy("name").agg(F.min("at").alias("next_at"))
-
-
 def worth_a_search(items: DataFrame, now: str, days: int = 30, least_score: int = 60, least_reviews: int = 50) -> DataFrame:
     """items with `reason`, why they are not searched for now, or null: recently_searched, unscored, low_interest."""
     age = (F.unix_micros(_at(now)) - F.unix_micros(F.col("searched_at").cast("timestamp"))) / 8.64e10
@@ -151,9 +113,12 @@ def worth_a_search(items: DataFrame, now: str, days: int = 30, least_score: int
     return items.withColumn("reason", F.when(age < days, "recently_searched").when(F.col("score").isNull(), "unscored").when(low, "low_interest"))
 
 
-def due_for_refresh(items: DataFrame, ts: str, before: str, limit: int, key: str = "item_id") -> DataFrame:
-    """The items never refreshed or last before a time, those never first, then the oldest, then by key."""
-    stale = F.col(ts).isNull() | (F.col(ts) < F.lit(before).cast("timestamp"))
+def due_for_refresh(items: DataFrame, ts: str, before: str, limit: int, key: str = "item_id", never: bool = True, status: str | None = None) -> DataFrame:
+    """The items never refreshed (unless never is false) or last before a time, those never first, then the oldest, then by key; with a status, only those that have it."""
+    stale = F.col(ts) < F.lit(before).cast("timestamp")
+    stale = F.col(ts).isNull() | stale if never else F.coalesce(stale, F.lit(False))
+    if status is not None:
+        stale = stale & (F.col("status") == status)
     return items.filter(stale).orderBy(F.asc_nulls_first(ts), key).limit(limit)
 
 

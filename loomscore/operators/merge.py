@@ -1,10 +1,13 @@
-"""Idempotent merges as pure functions: (target, delta) -> rows; writing is up to the caller."""
+"""Idempotent merges as pure functions: (target, delta) -> rows; writing is up to the caller, or to `stored`.
+
+A delta that repeats a key counts as one row of it: of an insert the first, of an update the last, by `seq`, or by the rows' own values where
+that is not given or ties. A null in a key equals nothing, as in a unique index: such rows are new ones, each for itself."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +24,23 @@ def replace_groups(target: DataFrame, rows: DataFrame, by: Sequence[str], groups
     return kept.unionByName(rows.join(groups.select(*by).distinct(), list(by), "left_semi"))
 
 
-def insert_ignore(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def one_each(delta: DataFrame, keys: Sequence[str], seq: str | None = None, last: bool = True) -> DataFrame:
+    """One row of each key, the last or the first; rows with a null in their key stay as they are. An aggregate, combined before the shuffle."""
+    rest = [c for c in delta.columns if c not in keys]
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    if not rest:
+        return delta.filter(~null).distinct().unionByName(delta.filter(null))
+    order = F.struct(*([F.col(seq).alias("_seq")] if seq else []), *[F.col(c).alias(f"_{k}") for k, c in enumerate(rest)])
+    one = delta.filter(~null).groupBy(*keys).agg((F.max if last else F.min)(order).alias("_x"))
+    named = one.select(*keys, *[F.col(f"_x._{k}").alias(c) for k, c in enumerate(rest)]).select(*delta.columns)
+    return named.unionByName(delta.filter(null))
+
+
+def insert_ignore(target: DataFrame, delta: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
     """The rows of delta that an insert would add."""
-    return delta.join(target.select(*keys), list(keys), "left_anti")
+    return one_each(delta, keys, seq, last=False).join(target.select(*keys), list(keys), "left_anti").select(*delta.columns)
 
 
 def classify(target: DataFrame, delta: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
@@ -37,16 +54,21 @@ def classify(target: DataFrame, delta: DataFrame, keys: Sequence[str], compared:
     return rows.withColumn("action", action).drop("_known", *[f"_old_{c}" for c in compared])
 
 
-def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str], updated: Sequence[str]) -> DataFrame:
-    """target with delta's rows; on known keys only the named columns change."""
-    new = delta.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in delta.columns if c not in keys], F.lit(True).alias("_in"))
+def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str], updated: Sequence[str], supplied: Mapping[str, Column] | None = None, seq: str | None = None) -> DataFrame:
+    """target with delta's rows; on known keys only the named columns change, and of those in `supplied` only where its condition on delta's row holds.
+
+    Columns that delta lacks are null in new rows."""
+    supplied = supplied or {}
+    delta = one_each(delta, keys, seq)
+    told = [F.coalesce(supplied.get(c, F.lit(True)), F.lit(False)).alias(f"_told_{c}") for c in updated]
+    new = delta.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in delta.columns if c not in keys], *told, F.lit(True).alias("_in"))
     both = target.withColumn("_at", F.lit(True)).join(new, list(keys), "full")
     rows = {}
     for c in target.columns:
         if c in keys:
             continue
         fresh = F.col(f"_new_{c}") if c in delta.columns else F.lit(None)
-        kept = F.when(F.col("_in"), fresh).otherwise(F.col(c)) if c in updated else F.col(c)
+        kept = F.when(F.col("_in") & F.col(f"_told_{c}"), fresh).otherwise(F.col(c)) if c in updated else F.col(c)
         rows[c] = F.when(F.col("_at"), kept).otherwise(fresh)
     return both.select(*keys, *[rows[c].alias(c) for c in target.columns if c not in keys])
 

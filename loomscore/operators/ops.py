@@ -31,11 +31,38 @@ def streaks(events: DataFrame, counted: Column, reset: Column) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count_if(after).alias("streak"))
 
 
-def rolling(events: DataFrame, seconds: int) -> DataFrame:
-    """Sum and count of each user's events within so many seconds up to each event."""
-    span = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    cents = F.round(F.col("value") * 100).cast("long")
-    return events.withColumns({"spent_cents": F.sum(cents).over(span), "n_calls": F.count("*").over(span)})
+def rolling(events: DataFrame, seconds: int, blocks: int = 24, key: str = "user_id", ts: str = "ts", value: str = "value", seq: str = "event_id") -> DataFrame:
+    """events with spent_cents and n_calls: sum and count of the key's events within so many seconds up to each event, those of its own time included.
+
+    Two levels: time is cut into blocks, of which `blocks` make up the span. What lies between an event's own block and the one in which its span
+    begins are whole blocks, summed as rows of blocks; of its own block the sum up to the event counts, of the first block all but what comes
+    before the span. So a key's events are dealt over its blocks, and one with half of all events is no task of its own. seq tells a key's events
+    apart; an event without a key, a time or a value has the key null, counts for nothing, or as nothing."""
+    width = seconds * 1_000_000 // blocks
+    span = width * blocks
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cents = F.coalesce(F.round(F.col(value) * 100).cast("long"), F.lit(0))
+    block = lambda t: F.floor(t / F.lit(width)).cast("long")
+    slim = events.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), at.alias("_at"), cents.alias("_cents"))
+    # An event's own row, and a mark where its span begins: both look back within one block.
+    own = F.struct(F.col("_at").alias("at"), F.lit(1).alias("kind"), F.col("_cents").alias("cents"), F.lit(1).alias("n"))
+    mark = F.struct((F.col("_at") - span).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("cents"), F.lit(0).alias("n"))
+    marked = slim.filter("_at IS NOT NULL").select("_key", "_seq", F.inline(F.array(own, mark))).withColumn("_block", block(F.col("at")))
+    inside = Window.partitionBy("_key", "_block").orderBy("at")
+    upto, before = inside.rangeBetween(Window.unboundedPreceding, 0), inside.rangeBetween(Window.unboundedPreceding, -1)
+    sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
+    edge = lambda c: sign * F.coalesce(F.when(F.col("kind") == 1, F.sum(c).over(upto)).otherwise(F.sum(c).over(before)), F.lit(0))
+    edges = marked.select("_key", "_seq", "_block", "kind", edge("cents").alias("cents"), edge("n").alias("n"))
+    sums = slim.filter("_at IS NOT NULL").groupBy("_key", block(F.col("_at")).alias("_block")).agg(F.sum("_cents").alias("cents"), F.count("*").alias("n"))
+    past = Window.partitionBy("_key").orderBy("_block").rangeBetween(-blocks, -1)  # a row for each block of a key
+    whole = sums.select("_key", "_block", F.coalesce(F.sum("cents").over(past), F.lit(0)).alias("_cents"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_n"))
+    whole = whole.withColumnsRenamed({"_key": "_k", "_block": "_b"})
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")) & (F.col("kind") == 1)
+    parts = edges.join(whole, same, "left")
+    add = lambda a, b: F.sum(F.col(a) + F.coalesce(F.col(b), F.lit(0))).cast("long")
+    found = parts.groupBy("_key", "_seq").agg(add("cents", "_cents").alias("spent_cents"), add("n", "_n").alias("n_calls"))
+    one = events[key].eqNullSafe(found["_key"]) & events[seq].eqNullSafe(found["_seq"])
+    return events.join(found, one, "left").drop("_key", "_seq")
 
 
 def claim_next(tasks: DataFrame, now: str, per: str = "queue") -> DataFrame:

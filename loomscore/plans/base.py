@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share; only where Spark runs in this one process may there be none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="streams-")
+    return f"{base}/work-{uuid.uuid4().hex}"
+
+
 def item_channels(spark: SparkSession, d: str) -> DataFrame:
     """Scores of a part (item) at a supplier (channel), from sums of whole numbers only."""
     sums = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("channel_id")).agg(

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import catalog
-from .base import AS_OF, ITEM_CHANNELS, ITEMS, item_channels, items, query, table
+from ..operators import catalog, titles
+from ..sources import extract
+from .base import AS_OF, ITEM_CHANNELS, ITEMS, item_channels, items, query, table, work_folder
 
 
 def effective(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +132,31 @@ def tag_facets(spark, d):
     return catalog.facet(links, links, "tag").orderBy(F.desc("n_items"), "tag")
 
 
+_OPEN = "eff_critic >= 70", "release_date IS NULL OR year(release_date) < 2026", "item_id IN (SELECT l_partkey FROM lineitem WHERE l_suppkey IN (1, 3, 5))", "brand IN ('Brand#13', 'Brand#5', 'Brand#21')"
+_FACET = "SELECT '{0}' AS facet, CAST({1} AS VARCHAR) AS value, count(DISTINCT eff.item_id) AS n_items FROM eff {2} WHERE {3} GROUP BY ALL"
+
+
+@query(ITEMS + " UNION ALL ".join((
+    _FACET.format("channel", "l_suppkey", "JOIN lineitem ON l_partkey = eff.item_id", " AND ".join(f"({_OPEN[k]})" for k in (0, 1, 3))),
+    _FACET.format("tag", "brand", "", " AND ".join(f"({_OPEN[k]})" for k in (0, 1, 2))),
+    _FACET.format("size", "size", "", " AND ".join(f"({x})" for x in _OPEN)),
+    f"SELECT 'total', NULL, count(*) FROM eff WHERE {' AND '.join(f'({x})' for x in _OPEN)}",
+)))
+def request_facets(spark, d):
+    """All facets of one request, each without its own filter, and its total, from one scan of the items."""
+    channels = _links(spark, d).groupBy("item_id").agg(F.collect_set("channel_id").alias("channels"))
+    rows = effective(spark, d).join(channels, "item_id", "left")
+    earlier = F.col("release_date").isNull() | (F.year("release_date") < 2026)
+    filters = {
+        "band": F.col("eff_critic") >= 70,
+        "released": earlier,
+        "channel": F.arrays_overlap("channels", F.array(*[F.lit(k).cast("long") for k in (1, 3, 5)])),
+        "tag": F.col("brand").isin("Brand#13", "Brand#5", "Brand#21"),
+    }
+    dimensions = {"channel": F.col("channels"), "tag": F.array("brand"), "size": F.array("size")}
+    return catalog.facets(rows, dimensions, filters)
+
+
 @query("SELECT p_partkey AS item_id FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey IN (1, 2, 3))")
 def semi_tag_filter(spark, d):
     wanted = table(spark, d, "lineitem").filter(F.col("l_suppkey").isin(1, 2, 3))
@@ -160,6 +186,21 @@ def trigram_search(spark, d):
     return catalog.search(items(spark, d), "red widgit").select("item_id", F.round("likeness", 6).alias("likeness"))
 
 
+_TITLES = f"t AS (SELECT DISTINCT title, {_GRAMS.format(x='title')} AS grams FROM (SELECT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages UNION SELECT p_name FROM part) WHERE title <> '')"
+
+
+@query(f"""WITH {_TITLES}, n AS (SELECT DISTINCT p_name || ' ' || split_part(p_type, ' ', 1) AS needle, {_GRAMS.format(x="p_name || ' ' || split_part(p_type, ' ', 1)")} AS asked FROM part
+    UNION SELECT title, grams FROM t WHERE title NOT IN (SELECT p_name FROM part))
+SELECT needle, title, round(likeness, 6) AS likeness FROM (SELECT needle, title, len(list_intersect(grams, asked)) / len(list_distinct(list_concat(grams, asked)))::DOUBLE AS likeness FROM n, t WHERE len(grams) > 0) WHERE likeness > 0.25""")
+def title_matches(spark, d):
+    """Every needle (names of parts with a word of their type, titles of pages) against every title (of pages and parts), by one stored index."""
+    pages = table(spark, d, "pages").select(extract.html_title("html").alias("title"))
+    parts = table(spark, d, "part")
+    index = titles.trigram_index(pages.union(parts.select("p_name")), "title").write(work_folder(spark))
+    needles = parts.select(F.concat_ws(" ", "p_name", F.substring_index("p_type", " ", 1)).alias("needle")).union(pages.join(parts, F.col("title") == F.col("p_name"), "left_anti"))
+    return titles.resembling(index, needles, "needle").withColumn("likeness", F.round("likeness", 6))
+
+
 _RAILS = {
     "just_released": (f"release_date BETWEEN DATE '{AS_OF}' - 30 AND DATE '{AS_OF}'", "release_date", 12),
     "highest_rated": ("eff_critic >= 85 AND critic_count >= 1", "eff_critic", 12),

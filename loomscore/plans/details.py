@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources import details
-from .base import ITEM_CHANNELS, item_channels, query, table
+from ..sources import details, markup, paged, xmlmap
+from .base import ITEM_CHANNELS, item_channels, query, table, work_folder
 
 _SLUG = "'item-' || p_partkey"
 _SOUND = "p_partkey % 23 <> 0"
@@ -167,13 +167,32 @@ def player_reviews(spark, d):
     return details.player_reviews(_reviews(spark, d, item), "doc_id").select("doc_id", "key", "score_100", "is_spoiler")
 
 
-@query("SELECT DISTINCT 'item-' || p_partkey AS slug FROM part WHERE p_size % 4 <> 0")
+def _shards(spark: SparkSession, d: str) -> DataFrame:
+    """(address, body) of shards of a hundredth of the places each, given twice: once plain, once as CDATA with a query string. Names have a prefix, slugs an
+    ampersand, images have places of their own, places of other kinds have no slug."""
+    own = F.concat(F.lit("https://x.example/"), F.when(F.col("p_size") % 4 == 0, "news").otherwise("game"), F.lit("/"))
+    image = F.lit("<image:image><image:loc>https://x.example/game/cover/</image:loc></image:image>")
+    plain = F.concat(F.lit("<s:url><s:loc>\n"), own, F.lit("item&amp;"), "p_partkey", F.lit("/</s:loc>"), image, F.lit("</s:url>"))
+    quoted = F.concat(F.lit("<s:url><s:loc><![CDATA["), own, F.lit("item&"), "p_partkey", F.lit("?ref=a/b/ ]]></s:loc></s:url>"))
+    shards = table(spark, d, "part").groupBy((F.col("p_partkey") % 100).alias("k")).agg(F.array_join(F.collect_list(F.concat(plain, quoted)), "").alias("all"))
+    opening = F.lit('<?xml version="1.0"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://x.example/image">')
+    return shards.select(F.concat(F.lit("shard&"), "k").alias("address"), F.concat(opening, "all", F.lit("</s:urlset>")).alias("body"))
+
+
+@query("SELECT DISTINCT 'item&' || p_partkey AS slug FROM part WHERE p_size % 4 <> 0")
 def sitemap_slugs(spark, d):
-    """Shards of some places each, given twice, one with a query string; places of other kinds have no slug."""
-    place = F.concat(F.lit("<url><loc>\nhttps://x.example/"), F.when(F.col("p_size") % 4 == 0, "news").otherwise("game"), F.lit("/item-"), "p_partkey")
-    both = F.concat(place, F.lit("/</loc></url>"), place, F.lit("?ref=a/b/ </loc></url>"))
-    shards = table(spark, d, "part").groupBy(F.col("p_partkey") % 100).agg(F.array_join(F.collect_list(both), "").alias("all"))
-    return details.sitemap_slugs(shards.select(F.concat(F.lit("<urlset>"), "all", F.lit("</urlset>")).alias("body")))
+    return xmlmap.sitemap_slugs(_shards(spark, d))
+
+
+@query("SELECT DISTINCT 'shard&' || p_partkey % 100 AS shard, 'item&' || p_partkey AS slug FROM part WHERE p_size % 4 <> 0 AND p_partkey % 100 % 3 = 0")
+def sitemap_index(spark, d):
+    """Places by way of an index that names every third shard, some of them twice, and one that is not there."""
+    shards = _shards(spark, d)
+    named = shards.filter(F.regexp_extract("address", "([0-9]+)$", 1).cast("int") % 3 == 0).select(F.replace("address", F.lit("&"), F.lit("&amp;")).alias("a"))
+    entry = F.concat(F.lit("<sitemap><loc> "), "a", F.lit("</loc><lastmod>2024-01-01</lastmod></sitemap><sitemap><loc>"), "a", F.lit("</loc></sitemap>"))
+    index = named.agg(F.array_join(F.collect_list(entry), "").alias("all"))
+    body = F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>nowhere</loc></sitemap>'), "all", F.lit("</sitemapindex>"))
+    return xmlmap.indexed_slugs(index.select(body.alias("body")), shards)
 
 
 @query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1) AS all_links FROM pages),
@@ -184,9 +203,64 @@ def listing_anchors(spark, d):
     return details.listing_anchors(table(spark, d, "pages"), "page_id")
 
 
-@query("SELECT page_id, page_id % 100 / 10.0::DOUBLE AS score, 2 AS n FROM pages")
-def page_elements(spark, d):
-    """Pages of two elements with test ids: a score within marks, and a title."""
+def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of nested, void and unclosed elements, with a JSON-LD list and a block that is no JSON."""
     score = F.format_number(F.col("page_id") % 100 / F.lit(10.0), 1)
-    html = F.concat(F.lit('<body><div class="x" data-testid="score"><span> '), score, F.lit('</span></div><p data-testid="title">T <b>'), "url", F.lit("</b></p></body>"))
-    return table(spark, d, "pages").select("page_id", details.header_score(html, "score").alias("score"), F.size(details.elements(html)).alias("n"))
+    block = F.to_json(F.array(*[F.struct(F.lit(kind).alias("@type"), F.col("url").alias("name"), F.lit("2022-02-25").alias("datePublished")) for kind in ("Other", "VideoGame")]))
+    html = F.concat(
+        F.lit('<html><head><meta property="OG:url" content="'), "url", F.lit('"><script type="application/ld+json">not { json</script><script type="application/ld+json">'), block,
+        F.lit('</script></head><body><div class="x" data-testid="outer"><div data-testid="score"><span> '), score, F.lit('</span><br></div> of <b data-testid="all">10</b></i>'
+        '</div><ul><li data-testid="first">one<li data-testid="second">two<b> and <i>more</ul><p data-testid="last">&amp; '), "url"
+    )
+    return table(spark, d, "pages").select("page_id", html.alias("html"))
+
+
+@query("""SELECT page_id, unnest(['outer', 'score', 'all', 'first', 'second', 'last']) AS testid, unnest(['div', 'div', 'b', 'li', 'li', 'p']) AS tag,
+    unnest([s || ' of 10', s, '10', 'one', 'two and more', '& ' || url]) AS said FROM (SELECT page_id, url, printf('%.1f', page_id % 100 / 10.0::DOUBLE) AS s FROM pages)""")
+def page_elements(spark, d):
+    found = markup.page_elements(_marked_pages(spark, d), "page_id").filter("testid IS NOT NULL")
+    return found.select("page_id", "testid", "tag", F.col("text").alias("said"))
+
+
+@query("SELECT page_id, 'VideoGame' AS kind, url AS name, '2022-02-25' AS published, page_id % 100 / 10.0::DOUBLE AS score, url AS meta_url FROM pages")
+def page_items(spark, d):
+    """What a page says of its item: its JSON-LD, the score in its header, its meta elements."""
+    found = markup.page_elements(_marked_pages(spark, d), "page_id")
+    score = found.filter("testid = 'score'").select("page_id", markup.testid_score("text").alias("score"))
+    meta = markup.meta_tags(found, "page_id").filter("name = 'og:url'").select("page_id", F.col("content").alias("meta_url"))
+    return markup.found_items(found, "page_id").select("page_id", "kind", "name", "published").join(score, "page_id").join(meta, "page_id")
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_entries, len(regexp_extract(html, '<script>([^<]*)', 1)) > 0 AS scripted,
+    trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS heading FROM pages""")
+def page_outline(spark, d):
+    """Every element of the pages as they are."""
+    found = markup.page_elements(table(spark, d, "pages"), "page_id", every=True)
+    return found.groupBy("page_id").agg(
+        F.count_if(F.col("tag") == "a").alias("n_links"),
+        F.count_if(F.col("tag") == "li").alias("n_entries"),
+        F.max((F.col("tag") == "script") & (F.col("raw") != "")).alias("scripted"),
+        F.max(F.when(F.col("tag") == "h1", F.col("text"))).alias("heading"),
+    )
+
+
+_LISTED = "listed AS (SELECT p_partkey AS source_id, 'item-' || p_partkey AS slug, p_name AS title, CASE WHEN p_partkey % 7 > 0 THEN p_size * 2 END AS score, row_number() OVER (ORDER BY CASE WHEN p_partkey % 7 > 0 THEN p_size END DESC NULLS LAST, p_partkey) - 1 AS place FROM part)"
+
+
+def _listing(spark: SparkSession, d: str) -> str:
+    """The parts as a listing of pages of 40, by falling score; some have none."""
+    path, score = work_folder(spark), F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") * 2).cast("int")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.concat(F.lit("item-"), "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.lit(None).cast("date").alias("release_date"), score.alias("score"))
+    paged.write_pages(items, path, [F.desc_nulls_last("score"), F.col("source_id")], 40)
+    return path
+
+
+@query(f"WITH {_LISTED} SELECT source_id, slug, title, CAST(score AS INT) AS score, CAST(place // 40 * 40 AS BIGINT) AS page_offset, CAST(place % 40 AS INT) AS position FROM listed")
+def paged_listing(spark, d):
+    return paged.read_listing(spark, _listing(spark, d)).drop("release_date")
+
+
+@query(f"WITH {_LISTED} SELECT source_id, slug, CAST(score AS INT) AS score FROM listed WHERE score >= 70")
+def paged_listing_best(spark, d):
+    """Only pages that can hold such scores are opened."""
+    return paged.read_listing(spark, _listing(spark, d), sort="-score", least_score=70).select("source_id", "slug", "score")

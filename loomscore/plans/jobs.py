@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import jobs
+from ..operators import jobs, schedule
 from .base import query, table
 from .monitor import _RUNS, runs
 
@@ -95,20 +95,34 @@ def follow_ups(spark, d):
     return jobs.follow_ups(results, [("purchase", F.lit(True), ["mail", "ship"]), ("error", F.col("value") > 50, ["retry"]), ("purchase", F.col("value") > 10, ["mail"])])
 
 
-CRONS = {"tick": "0 */2 * * *", "daily": "30 3 * * *", "weekly": "15 4 * * 0", "monthly": "0 5 1 * *", "often": "*/20 8-10 * * 1-5"}
+_AFTER = "2024-02-26 10:07:00"
 
 
-@query("""WITH m AS (SELECT TIMESTAMP '2024-02-26 10:07:00' + to_minutes(CAST(i AS INT)) AS t FROM range(1, 11520) x(i)), f AS (SELECT t, minute(t) AS mi, hour(t) AS h, dayofweek(t) AS w, day(t) AS dm FROM m)
-SELECT 'tick' AS name, min(t) AS next_at FROM f WHERE mi = 0 AND h % 2 = 0 UNION ALL SELECT 'daily', min(t) FROM f WHERE mi = 30 AND h = 3 UNION ALL SELECT 'weekly', min(t) FROM f WHERE mi = 15 AND h = 4 AND w = 0
-UNION ALL SELECT 'monthly', min(t) FROM f WHERE mi = 0 AND h = 5 AND dm = 1 UNION ALL SELECT 'often', min(t) FROM f WHERE mi % 20 = 0 AND h BETWEEN 8 AND 10 AND w BETWEEN 1 AND 5""")
+@query(f"""WITH s AS (SELECT p_partkey AS task_id, p_partkey % 6 AS kind, p_size % 60 AS m, p_partkey % 24 AS h, 1 + p_partkey % 31 AS dom, p_size % 7 AS dow, 1 + p_size % 12 AS mon, TIMESTAMP '{_AFTER}' AS after FROM part),
+c AS (SELECT CAST(DATE '2024-02-26' + CAST(i AS INT) AS DATE) AS day FROM range(0, 3700) t(i)),
+f AS (SELECT day, day(day) AS dom, dayofweek(day) AS dow, month(day) AS mon FROM c),
+-- Of each schedule its days, and on each the first time, or on the first day the next one after now.
+d AS (SELECT task_id, day, CASE kind WHEN 5 THEN [h, (h + 6) % 24] ELSE [h] END AS hours, CASE kind WHEN 4 THEN list_transform(range(0, 60, 20), lambda x: x) ELSE [m] END AS minutes, after FROM s JOIN f ON
+    CASE kind WHEN 0 THEN true WHEN 1 THEN f.dom = s.dom WHEN 2 THEN f.dom = 29 AND f.mon = 2 AND f.dow = s.dow WHEN 3 THEN f.dom = 31 AND f.mon = 4 WHEN 4 THEN f.dow BETWEEN 1 AND 5 AND f.mon = s.mon ELSE f.dow = s.dow AND f.dom BETWEEN 8 AND 14 END),
+t AS (SELECT task_id, min(day + to_hours(CAST(x.h AS INT)) + to_minutes(CAST(x.m AS INT))) AS next_at FROM (SELECT task_id, day, after, unnest(flatten(list_transform(hours, lambda a: list_transform(minutes, lambda b: {{'h': a, 'm': b}})))) AS x FROM d)
+    WHERE day + to_hours(CAST(x.h AS INT)) + to_minutes(CAST(x.m AS INT)) > after GROUP BY 1)
+SELECT s.task_id, next_at FROM s LEFT JOIN t ON s.task_id = t.task_id""")
 def cron_schedule(spark, d):
-    names = spark.createDataFrame([(n,) for n in CRONS], "name string")
-    return jobs.cron_next(names, CRONS, "2024-02-26 10:07:00").select("name", F.col("next_at").cast("timestamp_ntz").alias("next_at"))
+    """When each part's schedule runs next: daily, on a day of the month, on 29 February if it is some weekday, never, every 20 minutes of some month's working days, in the second week."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    m, h, dom, dow, mon = (x.cast("string") for x in (size % 60, k % 24, 1 + k % 31, size % 7, 1 + size % 12))
+    space = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    both = F.concat_ws(",", h, ((k + 6) % 24).cast("string"))
+    texts = [space(m, h, "*", "*", "*"), space(m, h, dom, "*", "*"), space(m, h, "29", "2", dow), space(m, h, "31", "4", "*"), space("*/20", h, "*", mon, "1-5"), space(m, both, "8-14", "*", dow)]
+    cron = F.get(F.array(*texts), (k % 6).cast("int"))
+    rows = table(spark, d, "part").select(k.alias("task_id"), cron.alias("cron"))
+    found = schedule.next_runs(rows, "cron", F.lit(_AFTER), years=10)
+    return found.select("task_id", F.col("next_at").cast("timestamp_ntz").alias("next_at"))
 
 
 @query("SELECT event_id FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 6 AND 20 AND dayofweek(ts) IN (1, 3, 5)")
 def cron_filter(spark, d):
-    return table(spark, d, "events").filter(jobs.cron_matches(F.col("ts"), "*/15 6-20 * * 1,3,5")).select("event_id")
+    return table(spark, d, "events").filter(schedule.matches("ts", schedule.compiled("*/15 6-20 * * 1,3,5"))).select("event_id")
 
 
 @query("""SELECT p_partkey AS item_id, CASE WHEN p_size % 3 = 0 AND p_size < 30 THEN 'recently_searched' WHEN p_size % 4 = 0 THEN 'unscored' WHEN p_size + 20 < 60 AND p_partkey % 90 < 50 THEN 'low_interest' END AS reason FROM part""")

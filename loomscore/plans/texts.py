@@ -63,7 +63,7 @@ def rejection_counts(spark, d):
 
 _PLACED = """s AS (SELECT source, min(published) AS o, max(published) AS n FROM {0} GROUP BY 1),
 r AS (SELECT {0}.*, coalesce((published - o) / nullif(n - o, 0)::DOUBLE, 0) AS recency, concat_ws('/', CASE WHEN score IS NULL THEN 'unscored' WHEN score >= 70 THEN 'positive' WHEN score >= 50 THEN 'neutral' ELSE 'negative' END,
-    CASE WHEN published >= o + CAST((n - o) // 2 AS INT) THEN 'new' ELSE 'old' END) AS stratum FROM {0} JOIN s USING (source)),
+    CASE WHEN published >= o + CAST((n - o) // 2 AS INT) THEN 'new' ELSE 'old' END) AS stratum FROM {0} JOIN s ON {0}.source IS NOT DISTINCT FROM s.source),
 z AS (SELECT source, stratum, count(*) AS size FROM r GROUP BY ALL)
 """
 _STRATA = f"WITH {_REVIEWS}, {_PLACED.format('reviews')}"
@@ -76,13 +76,13 @@ def strata_sizes(spark, d):
 
 # Rounded parts, at least the floor; then the largest strata in turn give or take what is over or missing, round by round.
 _QUOTA = """, g AS (SELECT *, sum(size) OVER w AS total, count(*) OVER w AS k FROM z WINDOW w AS (PARTITION BY source)),
-q AS (SELECT *, greatest(1, CAST(round_even(20 * 0.15 / k, 0) AS INT)) AS floor_, row_number() OVER (PARTITION BY source ORDER BY size DESC, first) AS place FROM (SELECT g.*, f.first FROM g JOIN (SELECT source, stratum, min(doc_id) AS first FROM r GROUP BY ALL) f ON f.source = g.source AND f.stratum = g.stratum)),
+q AS (SELECT *, greatest(1, CAST(round_even(20 * 0.15 / k, 0) AS INT)) AS floor_, row_number() OVER (PARTITION BY source ORDER BY size DESC, first) AS place FROM (SELECT g.*, f.first FROM g JOIN (SELECT source, stratum, min(doc_id) AS first FROM r GROUP BY ALL) f ON f.source IS NOT DISTINCT FROM g.source AND f.stratum = g.stratum)),
 d AS (SELECT *, CASE WHEN total <= 20 THEN size ELSE least(size, greatest(floor_, CAST(round_even(20 * size / total::DOUBLE, 0) AS BIGINT))) END AS given FROM q),
 e AS (SELECT *, sum(given) OVER (PARTITION BY source) - 20 AS over_, CASE WHEN total <= 20 THEN 0 ELSE given - floor_ END AS can_give, CASE WHEN total <= 20 THEN 0 ELSE size - given END AS can_take FROM d),
 steps AS (SELECT source, stratum, place, unnest(range(1, 200)) AS round_, over_, can_give, can_take FROM e),
 able AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round_, place) AS nth FROM steps WHERE (over_ > 0 AND round_ <= can_give) OR (over_ < 0 AND round_ <= can_take)),
 moved AS (SELECT source, stratum, count(*) AS n, any_value(sign(over_)) AS way FROM able WHERE nth <= abs(over_) GROUP BY ALL),
-quota AS (SELECT e.source, e.stratum, CAST(given - coalesce(way * n, 0) AS BIGINT) AS quota FROM e LEFT JOIN moved m ON m.source = e.source AND m.stratum = e.stratum)
+quota AS (SELECT e.source, e.stratum, CAST(given - coalesce(way * n, 0) AS BIGINT) AS quota FROM e LEFT JOIN moved m ON m.source IS NOT DISTINCT FROM e.source AND m.stratum = e.stratum)
 """
 
 
@@ -94,7 +94,7 @@ def strata_quota(spark, d):
 
 @query(_FILTER.rstrip() + f""", own AS (SELECT doc_id, source, text, score, published FROM judged WHERE reason IS NULL), {_PLACED.format('own')}{_QUOTA}, x AS (SELECT *, row_number() OVER (PARTITION BY source, stratum
     ORDER BY round(0.45 * least(1.0::DOUBLE, length(text) / 900.0::DOUBLE) + 0.30 * recency + 0.15 * coalesce(abs(score - 50) / 50.0::DOUBLE, 0.0) + 0.05, 9) DESC, doc_id) AS nth FROM r)
-SELECT x.source, x.doc_id, x.stratum FROM x JOIN quota ON quota.source = x.source AND quota.stratum = x.stratum WHERE nth <= quota""")
+SELECT x.source, x.doc_id, x.stratum FROM x JOIN quota ON quota.source IS NOT DISTINCT FROM x.source AND quota.stratum = x.stratum WHERE nth <= quota""")
 def stratified_sample(spark, d):
     kept = judged(spark, d).filter("reason IS NULL")
     return corpus.stratified_sample(kept, "source", "doc_id", "text", "score", "published", 20).select("source", "doc_id", "stratum")

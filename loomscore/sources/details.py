@@ -1,4 +1,4 @@
-"""Nested JSON of listings, item details, score statistics and reviews as rows; sitemap and harvest files.
+"""Nested JSON of listings, item details, score statistics and reviews as rows; harvest files.
 
 Fields that a schema does not name are ignored. A detail without its product is drift: such payloads give no row, and
 `drifted` returns them."""
@@ -199,31 +199,16 @@ def player_reviews(pages: DataFrame, group: str, body: str = "body") -> DataFram
     )
 
 
-def sitemap_slugs(shards: DataFrame, body: str = "body") -> DataFrame:
-    """The item slugs of sitemap shards (XML text), without query strings."""
-    places = shards.select(F.explode(F.regexp_extract_all(col(body), F.lit(r"(?s)<(?:\w+:)?loc>\s*(.*?)\s*</(?:\w+:)?loc>"), F.lit(1))).alias("loc"))
-    slug = F.regexp_extract(F.substring_index("loc", "?", 1), r"/game/([^/]+)/?$", 1)
-    return places.select(slug.alias("slug")).filter("slug <> ''").distinct()
-
-
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, body) of harvested JSON documents as text for the parsers above: one a line where every line is one, else one a file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
-    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
-    by_line = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
-    return rows.select("file", F.explode(F.when(by_line, lines).otherwise(F.array("body"))).alias("body"))
-
-
-def seed_channels(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
-    """(slug, name, code, position) of the channels known beforehand, in the order given."""
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "slug string, name string, code string, position int")
-
+    """(file, body) of harvested JSON documents as text for the parsers above: one a line where every line of a file is one, else one a file.
 
-def request_pages(total: int, limit: int, most: int = 10_000) -> list[dict[str, int]]:
-    """The offsets of a paged listing: as many pages as the total fills, none past `most` rows; only items with a score are asked for."""
-    if limit < 1:
-        raise ValueError("a page has at least one row")
-    return [{"offset": at, "limit": min(limit, total - at), "metaScoreMin": 1} for at in range(0, min(total, most), limit)]
+    Files are read by lines, so one of many documents is cut among tasks; only the lines of others are put together again."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("body"))
+    rows = rows.filter(F.trim("body") != "")
+    parted = rows.filter(F.try_parse_json("body").isNull()).select("file").distinct()
+    whole = rows.join(parted, "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("x"))
+    whole = whole.select("file", F.array_join(F.transform("x", lambda p: p["body"]), "\n").alias("body"))
+    return rows.join(parted, "file", "left_anti").select("file", "body").union(whole)
 
 
 def listing_anchors(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -232,17 +217,3 @@ def listing_anchors(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     rows = pages.select(key, F.posexplode(links).alias("position", "link"))
     slug = F.regexp_extract(F.substring_index("link", "?", 1), r"([^/]+)/?$", 1)
     return rows.select(key, slug.alias("slug"), "position").filter("slug <> ''").groupBy(key, "slug").agg(F.min("position").alias("position"))
-
-
-def header_score(html: Column | str, label: str) -> Column:
-    """The number in the element whose test id is `label`, or null."""
-    inner = F.regexp_extract(col(html), rf'(?is)<[^>]*data-testid="{label}"[^>]*>(.*?)</', 1)
-    return F.regexp_extract(F.regexp_replace(inner, "<[^>]*>", " "), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-
-
-def elements(html: Column | str) -> Column:
-    """The page's elements that have a test id: name and inner text, in order."""
-    pattern = r'(?is)<(\w+)[^>]*\bdata-testid="([^"]*)"[^>]*>(.*?)</\1>'
-    names = F.regexp_extract_all(col(html), F.lit(pattern), F.lit(2))
-    inner = F.transform(F.regexp_extract_all(col(html), F.lit(pattern), F.lit(3)), lambda x: text.collapse(F.regexp_replace(x, "<[^>]*>", " ")))
-    return F.zip_with(names, inner, lambda a, b: F.struct(a.alias("name"), b.alias("text")))

@@ -26,11 +26,6 @@ def html_meta(html: Column | str) -> Column:
     )
 
 
-def json_ld(html: Column | str) -> Column:
-    """The raw JSON-LD blocks of a page."""
-    return F.regexp_extract_all(col(html), F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-
-
 def first_int(x: Column | str) -> Column:
     return F.regexp_extract(F.replace(col(x), F.lit(","), F.lit("")), "([0-9]+)", 1).try_cast("long")
 

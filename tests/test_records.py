@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomscore.functions import records
-from loomscore.operators import catalog, detail, jobs, merge, monitor, ops, similarity, snapshots
+from loomscore.operators import catalog, detail, jobs, merge, monitor, ops, schedule, similarity, snapshots
 from loomscore.sources import details
 from loomscore.streaming import stream
 
@@ -70,12 +70,8 @@ def test_payload_files(spark, tmp_path):
 
 
 def test_pages():
-    assert details.request_pages(65, 30) == [{"offset": 0, "limit": 30, "metaScoreMin": 1}, {"offset": 30, "limit": 30, "metaScoreMin": 1}, {"offset": 60, "limit": 5, "metaScoreMin": 1}]
-    assert details.request_pages(0, 30) == []
     assert detail.page_numbers(1, 1) == [1]
     assert detail.page_numbers(6, 12) == [1, None, 4, 5, 6, 7, 8, None, 12]
-    with pytest.raises(ValueError):
-        details.request_pages(5, 0)
 
 
 def test_deep_pages_are_refused(spark):
@@ -89,10 +85,10 @@ def test_deep_pages_are_refused(spark):
 
 
 def test_redaction(spark):
-    said = {"user": "me", "llm_api_key": "x", "inner": [{"Token": "y", "note": "monkey"}], "deep": {"a": {"b": {"c": {"d": {"e": {"f": {"token": "kept"}}}}}}}}
+    said = {"user": "me", "llm_api_key": "x", "x_keys": "z", "my_tokens": ["z"], "inner": [{"Token": "y", "note": "monkey"}], "deep": {"a": {"b": {"c": {"d": {"e": {"f": {"token": "kept"}}}}}}}}
     got = spark.createDataFrame([(json.dumps(said),), ("no json",), (None,)], "x string").select(records.redact_json("x")).collect()
     clean = json.loads(got[0][0])
-    assert clean["llm_api_key"] == clean["inner"][0]["Token"] == "***" and clean["inner"][0]["note"] == "monkey" and clean["user"] == "me"
+    assert clean["x_keys"] == clean["my_tokens"] == clean["llm_api_key"] == clean["inner"][0]["Token"] == "***" and clean["inner"][0]["note"] == "monkey" and clean["user"] == "me"
     assert clean["deep"]["a"]["b"]["c"]["d"]["e"]["f"]["token"] == "kept"
     assert [r[0] for r in got[1:]] == ["no json", None]
 
@@ -104,12 +100,41 @@ def test_sentence_trim(spark):
 
 
 def test_cron(spark):
-    times = ["2024-02-25 04:15:00", "2024-02-26 04:15:00", "2024-03-01 05:00:00", "2024-03-03 05:00:00"]
+    times = ["2024-02-25 04:15:00", "2024-02-26 04:15:00", "2024-03-01 05:00:00", "2024-09-01 05:00:00"]
     df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("t"))
-    hit = lambda cron: [r[0] for r in df.select(jobs.cron_matches(F.col("t"), cron)).collect()]
-    assert hit("15 4 * * 0") == hit("15 4 * * 7") == [True, False, False, False]
-    assert hit("0 5 1 * 0") == [False, False, True, True]  # a day of the month or of the week
-    assert hit("*/5 4-5 * 2 *") == [True, True, False, False]
+    for fields in (schedule.compiled, lambda cron: schedule.parsed(F.lit(cron))):
+        hit = lambda cron, of=fields: [r[0] for r in df.select(schedule.matches("t", of(cron))).collect()]
+        assert hit("15 4 * * 0") == hit("15 4 * * 7") == [True, False, False, False]
+        assert hit("0 5 1 * 0") == [False, False, False, True]  # the day of the month and that of the week
+        assert hit("*/5 4-5 * 2 *") == [True, True, False, False]
+    bad = ["", "* * * *", "60 * * * *", "* * 0 * *", "a * * * *", "*/0 * * * *", "5-1 * * * *", "* * * * 8", "1,,2 * * * *"]
+    got = spark.createDataFrame([(b,) for b in [*bad, None]], "cron string").select(schedule.parsed("cron").isNull()).collect()
+    assert all(r[0] for r in got)
+    for cron in bad:
+        with pytest.raises(ValueError):
+            schedule.compiled(cron)
+
+
+def test_next_runs(spark):
+    after = "2024-02-28 23:59:30"
+    want = {
+        "* * * * *": "2024-02-29 00:00:00",
+        "30 4 29 2 *": "2024-02-29 04:30:00",
+        "0 0 29 2 1": "2044-02-29 00:00:00",
+        "0 0 31 4 *": None,
+        "59 23 28 * *": "2024-03-28 23:59:00",
+        "15,45 */6 * * 6,0": "2024-03-02 00:15:00",
+        "10-20/5 8 1 1 *": "2025-01-01 08:10:00",
+        "0 5 1 * *": "2024-03-01 05:00:00",
+        "nonsense": None,
+    }
+    rows = spark.createDataFrame([(c,) for c in want], "cron string")
+    got = {r.cron: r.next_at and str(r.next_at) for r in schedule.next_runs(rows, "cron", F.lit(after)).collect()}
+    assert got == want
+    early = schedule.next_runs(rows, "cron", F.lit("2024-02-28 10:00:00")).collect()
+    assert {r.cron: str(r.next_at) for r in early}["59 23 28 * *"] == "2024-02-28 23:59:00"
+    near = {r.cron: r.next_at for r in schedule.next_runs(rows, "cron", F.lit(after), years=3).collect()}
+    assert near["0 0 29 2 1"] is None and near["0 5 1 * *"] is not None
 
 
 def test_health_chain(spark):
