@@ -44,31 +44,28 @@ def reject_reasons(
     """rows with reason: too_short, duplicate, off_topic, score_text_mismatch, or null for what is kept.
 
     A body is a duplicate only of an earlier kept one. Body, topic and polarity agree within a fingerprint, so
-    the first acceptable row of each fingerprint is the kept one: an aggregate joined back, rather than a loop."""
+    the first acceptable row of each fingerprint is the kept one: an aggregate joined back, rather than a loop. Short bodies are told
+    first and take no part in it, so empty ones, however many, meet nowhere."""
     plain = F.lower(text.collapse(F.coalesce(F.col(body), F.lit(""))))
-    tokens = F.filter(F.split(plain, " "), lambda w: w != "")
-    off = F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda w: w.isin(list(off_topic)))), F.size(tokens)), F.lit(0.0))
-    side = text.polarity(tokens, positive, negative, negators)
-    wrong = ((F.col(score) >= 70) & (side <= -3)) | ((F.col(score) <= 35) & (side >= 3))
-    judged = rows.withColumns(
-        {
-            "_fp": F.sha2(plain, 256),
-            "_short": F.length(plain) < settings.corpus_min_chars,
-            "_off": off >= settings.off_topic_ratio,
-            "_wrong": F.coalesce(wrong, F.lit(False)),
-        }
-    )
-    fine = judged.filter("NOT (_short OR _off OR _wrong)")
-    first = fine.groupBy(F.col(group).alias("_group"), "_fp").agg(F.min(position).alias("_first"))
+    rows = rows.withColumn("_plain", plain)
+    short = F.length("_plain") < settings.corpus_min_chars
+    long = rows.filter(~short)
+    n_words = F.length("_plain") - F.length(F.replace(F.col("_plain"), F.lit(" "), F.lit(""))) + 1
+    off = F.regexp_count(F.col("_plain"), F.lit(text.listed_word(off_topic))) / n_words if off_topic else F.lit(0.0)
+    if set(positive) & set(negative) or (set(positive) | set(negative)) & set(negators):
+        side = text.polarity(F.split("_plain", " "), positive, negative, negators)
+    else:
+        side = text.word_polarity(F.col("_plain"), positive, negative, negators)
+    judged = long.withColumns({"_fp": F.sha2("_plain", 256), "_off": off >= settings.off_topic_ratio, "_side": side}).drop("_plain")
+    wrong = ((F.col(score) >= 70) & (F.col("_side") <= -3)) | ((F.col(score) <= 35) & (F.col("_side") >= 3))
+    judged = judged.withColumn("_wrong", F.coalesce(wrong, F.lit(False))).drop("_side")
+    fine = judged.filter("NOT (_off OR _wrong)")
+    first = fine.groupBy(F.col(group).alias("_group"), F.col("_fp").alias("_print")).agg(F.min(position).alias("_first"))
     # Null groups are a group like any other.
-    joined = judged.join(first, (judged["_fp"] == first["_fp"]) & judged[group].eqNullSafe(first["_group"]), "left").drop(first["_fp"])
-    reason = (
-        F.when(F.col("_short"), "too_short")
-        .when(F.col("_first") < F.col(position), "duplicate")
-        .when(F.col("_off"), "off_topic")
-        .when(F.col("_wrong"), "score_text_mismatch")
-    )
-    return joined.withColumn("reason", reason).drop("_fp", "_short", "_off", "_wrong", "_first", "_group")
+    joined = judged.join(first, (judged["_fp"] == first["_print"]) & judged[group].eqNullSafe(first["_group"]), "left")
+    reason = F.when(F.col("_first") < F.col(position), "duplicate").when(F.col("_off"), "off_topic").when(F.col("_wrong"), "score_text_mismatch")
+    told = joined.withColumn("reason", reason).drop("_fp", "_print", "_off", "_wrong", "_first", "_group")
+    return told.unionByName(rows.filter(short).drop("_plain").withColumn("reason", F.lit("too_short")))
 
 
 def stratum(score: Column, new: Column) -> Column:

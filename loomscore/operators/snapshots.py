@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULT, Settings
+from . import corpus
 from .merge import insert_ignore
 
 
@@ -21,7 +22,11 @@ def latest(snapshots: DataFrame, by: Sequence[str]) -> DataFrame:
 def create_or_return(snapshots: DataFrame, built: DataFrame, by: Sequence[str]) -> DataFrame:
     """built (by..., content_hash, snapshot_id) with snapshot_id of the snapshot that already has this content, and created: whether none had."""
     known = snapshots.groupBy(*by, "content_hash").agg(F.min("snapshot_id").alias("_known"))
-    rows = built.join(known, [*by, "content_hash"], "left")
+    known = known.toDF(*[f"_k{k}" for k in range(len(by))], "_hash", "_known")
+    same = built["content_hash"] == known["_hash"]
+    for k, c in enumerate(by):
+        same = same & built[c].eqNullSafe(known[f"_k{k}"])
+    rows = built.join(known, same, "left").drop("_hash", *[f"_k{k}" for k in range(len(by))])
     return rows.withColumn("created", F.col("_known").isNull()).withColumn("snapshot_id", F.coalesce("_known", "snapshot_id")).drop("_known")
 
 
@@ -30,6 +35,31 @@ def new_members(snapshots: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(snapshots.filter("created").select("snapshot_id"), "snapshot_id", "left_semi")
 
 
+def build(
+    reviews: DataFrame, known: DataFrame, group: str, key: str, body: str, score: str, date: str, tokens: int, cap: int, settings: Settings = DEFAULT, **lexicon: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """From candidate reviews to snapshots: (headers, members).
+
+    Reviews that are short, repeated, off topic or at odds with their score go. Of each group as many stay as fit into so many tokens (review_budget),
+    every stratum among them; in corpus order they are the snapshot, whose content hash decides whether it is one of `known` (group, content_hash,
+    snapshot_id). headers: group, content_hash, n_members, snapshot_id, created; members, of created snapshots only: group, snapshot_id, key, position,
+    ref. A new snapshot's id comes from its group and content, so building it again gives the same one. Null groups are a group; a group without a
+    review that stays has no snapshot."""
+    kept = corpus.reject_reasons(reviews, group, key, body, score, settings=settings, **lexicon).filter("reason IS NULL").drop("reason")
+    budgets = review_budget(kept, group, body, tokens, cap, settings)
+    sample = corpus.stratified_sample(kept, group, key, body, score, date, budgets, settings, most=cap)
+    placed = corpus.snapshot(sample, group, key, date)
+    hashes = corpus.content_hash(placed, group, key, score, date, body)
+    sizes = placed.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n_members"))
+    headers = hashes.join(sizes, hashes[group].eqNullSafe(sizes["_group"])).drop("_group")
+    print_ = F.sha2(F.concat_ws("|", F.coalesce(F.col(group).cast("string"), F.lit("")), "content_hash"), 256)
+    headers = headers.withColumn("snapshot_id", F.conv(F.substring(print_, 1, 15), 16, 10).cast("long"))
+    found = create_or_return(known, headers, [group])
+    named = found.select(F.col(group).alias("_group"), "snapshot_id", "created")
+    members = placed.select(group, key, "position", "ref").join(named, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return found, new_members(found, members).select(group, "snapshot_id", key, "position", "ref")
+
+
 def member_refs(members: DataFrame) -> DataFrame:
     """(snapshot_id, refs): the references of a snapshot's members in their order."""
     listed = F.array_sort(F.collect_list(F.struct("position", "ref")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import corpus, ranking, similarity, validate
+from ..operators import corpus, ranking, similarity, snapshots, validate
 from ..sources import extract
 from .base import query, table
 
@@ -118,6 +118,40 @@ def content_hash(spark, d):
     return corpus.content_hash(members, "grp", "doc_id", "score", "published", "text")
 
 
+# The same quotas for a budget of its own for each source, then the members in order, their hash, and what is known already.
+_BUDGET_QUOTA = (
+    _QUOTA.replace("FROM z WINDOW", "FROM (SELECT z.*, budget FROM z JOIN budgets b ON b.source IS NOT DISTINCT FROM z.source) WINDOW")
+    .replace("20 * 0.15 / k", "budget * 0.15 / k").replace("total <= 20", "total <= budget").replace("20 * size", "budget * size").replace("- 20 AS over_", "- budget AS over_")
+)
+_BUILT = f"""{_FILTER.rstrip()}, own AS (SELECT doc_id, source, text, score, published FROM judged WHERE reason IS NULL),
+budgets AS (SELECT source, CAST(least(40, floor(6000 * 3.5 * 0.75 / (avg(least(length(text), 1500)) + 60))) AS INT) AS budget FROM own GROUP BY 1), {_PLACED.format('own')}{_BUDGET_QUOTA},
+x AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY round(0.45 * least(1.0::DOUBLE, length(text) / 900.0::DOUBLE) + 0.30 * recency + 0.15 * coalesce(abs(score - 50) / 50.0::DOUBLE, 0.0) + 0.05, 9) DESC, doc_id) AS nth FROM r),
+mem AS (SELECT x.source, x.doc_id, x.score, x.published, x.text, row_number() OVER (PARTITION BY x.source ORDER BY x.published IS NULL, x.published, x.doc_id) - 1 AS position FROM x JOIN quota ON quota.source IS NOT DISTINCT FROM x.source AND quota.stratum = x.stratum WHERE nth <= quota),
+head AS (SELECT source, count(*) AS n_members, sha256('v1|' || string_agg(concat_ws(':', doc_id, coalesce(CAST(score::DOUBLE AS VARCHAR), 'None'), coalesce(CAST(published AS VARCHAR), ''), substr(sha256(text), 1, 16)), '|' ORDER BY position)) AS content_hash FROM mem GROUP BY 1),
+ids AS (SELECT *, length(source) % 2 = 0 AND right(source, 1) IN ('0', '2', '4', '6', '8') AS known, CAST('0x' || substr(sha256(concat_ws('|', coalesce(source, ''), content_hash)), 1, 15) AS BIGINT) AS made FROM head)
+"""
+
+
+def _built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of the sources' reviews; those of some sources have been built before, under the ids 1, 2, ..."""
+    how = {"group": "source", "key": "doc_id", "body": "text", "score": "score", "date": "published", "tokens": 6000, "cap": 40, **LEXICON}
+    none = spark.createDataFrame([], "source string, content_hash string, snapshot_id long")
+    before, _ = snapshots.build(reviews(spark, d), none, **how)
+    even = (F.length("source") % 2 == 0) & F.substring("source", -1, 1).isin(*"02468")
+    known = before.filter(even).select("source", "content_hash", F.length("source").cast("long").alias("snapshot_id"))
+    return snapshots.build(reviews(spark, d), known, **how)
+
+
+@query(_BUILT + "SELECT source, content_hash, n_members, CASE WHEN known THEN length(source) ELSE made END AS snapshot_id, NOT coalesce(known, false) AS created FROM ids")
+def snapshot_headers(spark, d):
+    return _built(spark, d)[0].select("source", "content_hash", "n_members", "snapshot_id", "created")
+
+
+@query(_BUILT + "SELECT mem.source, made AS snapshot_id, doc_id, CAST(position AS INT) AS position, printf('C%02d', position) AS ref FROM mem JOIN ids ON mem.source IS NOT DISTINCT FROM ids.source WHERE NOT coalesce(known, false)")
+def snapshot_members(spark, d):
+    return _built(spark, d)[1]
+
+
 @query("SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(lower(strip_accents(text)), chr(39), ''), '’', ''), '&', ' and '), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS key FROM documents")
 def normalize_title(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.normalize_title("text"), 256).alias("key"))
