@@ -45,7 +45,8 @@ def shard_documents(
     units below that: at most 2 * shards * parts groups are so large, hence the broadcast. Units are dealt by hash into
     blocks of about block_units; each block fills all shards with its own even part of their capacity, so the imbalance is that of
     the smallest units and no task sees more than a block. The law asks for near-equal bytes, so tokens and rows enter the dot product
-    with `weights`. Slots are gapless in a shard: runs of about slot_run rows of a shard follow one another.
+    with `weights`. Slots are gapless in a shard: a block's rows of a shard are numbered in runs of about slot_run, and what stands
+    before a run comes from sums on two levels, of about a thousand blocks and of the runs within them.
 
     size: UTF-8 bytes and `overhead`; a null text has none and counts as the empty one; tokens are words. Repeated rows are
     separate rows, a null key stays, other columns are not read, an empty table gives an empty result."""
@@ -65,13 +66,11 @@ def shard_documents(
     share = F.greatest(F.col("b") * most / F.lit(total["size"]), F.col("n") * most / F.lit(total["rows"]))
     large = groups.filter((share > 1) & (F.col("n") > 1)).select("_hash", F.ceil(2 * share).cast("int").alias("_parts"))
     rows = rows.join(F.broadcast(large), "_hash", "left")
-    # The row's number keeps rows of one key and text apart.
-    part = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
-    rows = rows.withColumn("_part", part).drop("_parts")
-    rows = settle(rows)
-    units = rows.groupBy("_hash", "_part").agg(
-        F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")
-    )
+    # The row's number keeps rows of one key and text apart; it is drawn once.
+    rows = rows.withColumn("_draw", F.xxhash64("key", F.monotonically_increasing_id()))
+    part = F.pmod("_draw", F.coalesce("_parts", F.lit(1))).cast("int")
+    rows = settle(rows.withColumns({"_part": part, "_split": F.col("_parts").isNotNull()}).drop("_parts"))
+    units = rows.groupBy("_hash", "_part", "_split").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     units = settle(units)
     blocks = max(1, round(units.count() / block_units))
     units = units.withColumn("_block", F.pmod(F.xxhash64("_hash", "_part"), F.lit(blocks)).cast("int"))
@@ -81,16 +80,20 @@ def shard_documents(
         loads = frame[["size", "tokens", "rows"]].to_numpy(np.float64)
         loads = loads / np.maximum(loads.sum(axis=0), 1) * np.sqrt(weights)
         frame["shard"] = place(loads, shards, 7 * int(frame["_block"].iloc[0])).astype(np.int32)
-        return frame[["_hash", "_part", "_block", "shard"]]
+        frame["_runs"] = -(-frame.groupby("shard")["rows"].transform("sum") // slot_run)
+        return frame[["_hash", "_part", "_split", "_block", "shard", "_runs"]]
 
-    placed = settle(units.groupBy("_block").applyInPandas(fill, "_hash long, _part int, _block int, shard int"))
-    found = rows.join(placed, ["_hash", "_part"])
-    runs = max(8, -(-total["rows"] // (shards * slot_run)))
-    run = F.pmod(F.xxhash64("_hash", "_part", "key"), F.lit(runs)).cast("int")
-    found = found.withColumn("_run", run)
-    counts = found.groupBy("shard", "_block", "_run").agg(F.count("*").alias("n"))
-    past = Window.partitionBy("shard").orderBy("_block", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = settle(counts.withColumn("_base", F.coalesce(F.sum("n").over(past), F.lit(0))).drop("n"))
+    placed = settle(units.groupBy("_block").applyInPandas(fill, "_hash long, _part int, _split boolean, _block int, shard int, _runs long"))
+    unit = ["_hash", "_part", "_split"]
+    split = rows.filter("_split").join(F.broadcast(placed.filter("_split")), unit)  # the parts of at most 2 * shards * parts groups
+    found = split.unionByName(rows.filter("NOT _split").join(placed.filter("NOT _split"), unit))
+    found = found.withColumn("_run", F.pmod(F.xxhash64("_draw"), F.col("_runs")).cast("int"))
+    counts = settle(found.groupBy("shard", "_block", "_run").agg(F.count("*").alias("n")).withColumn("_many", F.floor(F.col("_block") / 1000)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("shard", "_many").agg(F.sum("n").alias("n"))
+    sums = sums.select("shard", "_many", F.coalesce(F.sum("n").over(before("shard").orderBy("_many")), F.lit(0)).alias("_past"))
+    inner = F.coalesce(F.sum("n").over(before("shard", "_many").orderBy("_block", "_run")), F.lit(0))
+    bases = settle(counts.withColumn("_inner", inner).join(sums, ["shard", "_many"]).select("shard", "_block", "_run", (F.col("_past") + F.col("_inner")).alias("_base")))
     within = Window.partitionBy("shard", "_block", "_run").orderBy("key", "text_crc32", "size")
     slot = F.col("_base") + F.row_number().over(within) - 1
     result = found.join(bases, ["shard", "_block", "_run"]).withColumn("slot", slot.cast("long"))
