@@ -61,6 +61,11 @@ def release(*frames: DataFrame) -> None:
             remove(df.sparkSession, folder)
 
 
+def salts_for(rows: int, per_task: int = 1_000_000) -> int:
+    """Over how many tasks a join deals one key's rows, if the hottest key has so many."""
+    return max(16, -(-rows // per_task))
+
+
 def join_hot(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salts: int = 16, by: str | None = None) -> DataFrame:
     """many join few, whose keys are distinct in few while one may hold a third of the rows of many: rows of a key are dealt over
     `salts` tasks by the hash of `by` (or of all columns), and few goes to each of them, so few should be the far smaller side."""

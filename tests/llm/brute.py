@@ -98,22 +98,18 @@ def components(docs, percent=80):
     return sorted((key, len(s), forest.top(key)) for s, keys in sets.items() for key in keys)
 
 
-def clean_lines(docs, min_sites=10, max_share=0.5):
+def clean_lines(docs, min_sites=10):
     """docs: dicts with text and source; gives the cleaned texts."""
-
-    def spread(docs, of):
-        sites = {}
-        for d in docs:
-            for x in set(d["text"].split("\n")) & of if of is not None else d["text"].split("\n"):
-                if WORD.search(x) and d["source"] is not None:
+    sites, copies = {}, {}
+    for d in docs:
+        if d["text"] is not None and d["source"] is not None:
+            copies.setdefault(d["text"], set()).add(d["source"])
+            for x in d["text"].split("\n"):
+                if WORD.search(x):
                     sites.setdefault(x, set()).add(d["source"])
-        return {x for x, s in sites.items() if len(s) >= min_sites}
-
-    texts = [d for d in docs if d["text"] is not None]
-    candidates = spread(texts, None)
-    framed = [d for d in texts if sum(len(x) for x in d["text"].split("\n") if x in candidates) <= max_share * len(d["text"])]
-    gone = spread(framed, candidates)
-    return [None if d["text"] is None else "\n".join(x for x in d["text"].split("\n") if x not in gone) for d in docs]
+    gone = {x for x, s in sites.items() if len(s) >= min_sites}
+    kept = lambda t: "\n" in t and len(copies.get(t, ())) >= min_sites
+    return [d["text"] if d["text"] is None or kept(d["text"]) else "\n".join(x for x in d["text"].split("\n") if x not in gone) for d in docs]
 
 
 def shares(budget, children):
