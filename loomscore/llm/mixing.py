@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, numbered, settle
+from .common import join_hot, numbered, salts_for, settle
 
 
 def word_count(text: str) -> Column:
@@ -83,7 +83,7 @@ def mix_sources(
     max_epochs: int = 2,
     default: int = 1,
     seed: int = 7,
-    bucket_digits: int = 3,
+    run_keys: int = 100_000,
 ) -> DataFrame:
     """docs once for each epoch that selects them, with n_tokens (long: words) and epoch (int, from 0) appended.
 
@@ -91,7 +91,7 @@ def mix_sources(
     supply s a epoch gives every document b div s times; of one more epoch it gives the prefix, in the order of
     md5(seed-epoch-key), whose tokens fit into the rest. A prefix of an order ends at one value of it, so documents need no sorting: sums
     over runs of equal leading md5 digits tell in which run a leaf's prefix ends, sums over the values of that run alone tell where, and
-    that end goes to the documents with the leaf's budget. Only keys and counts are shuffled, added up before the shuffle, so
+    that end goes to the documents with the leaf's budget. Digits are as many as leave about run_keys of the largest leaf's keys to a run (three at least). Only keys and counts are shuffled, added up before the shuffle, so
     neither a leaf with a third of all rows nor as many rows of one key meet in one task.
 
     Null and empty texts have 0 tokens and go with their place in the order; repeated rows are separate rows at the same place
@@ -102,7 +102,12 @@ def mix_sources(
     rows = rows.withColumn("n_tokens", word_count(name[text]))
     slim = rows.groupBy(*names, F.coalesce(F.col(name[key]).cast("string"), F.lit("")).alias("_key")).agg(F.sum("n_tokens").alias("n_tokens"))
     slim = settle(slim)
-    leaves = settle(slim.groupBy(*names).agg(F.sum("n_tokens").alias("supply")))
+    counted = settle(slim.groupBy(*names).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n_keys")))
+    largest = counted.agg(F.max("n_keys")).first()[0] or 0
+    digits, salts = 3, salts_for(largest)
+    while largest > run_keys * 16**digits:
+        digits += 1
+    leaves = counted.drop("n_keys")
     budgets = leaf_budgets(leaves, names, weights, default, percent, max_epochs)
     plan = leaves.join(budgets, names, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
     plan = plan.withColumn("_whole", F.expr("if(supply > 0, budget div supply, 0)"))
@@ -111,19 +116,19 @@ def mix_sources(
     def order(of: str) -> Column:
         return F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("_whole").cast("string"), F.coalesce(F.col(of).cast("string"), F.lit(""))))
 
-    ordered = join_hot(slim, plan.filter("_rest > 0"), names, by="_key").withColumn("_order", order("_key"))
-    ordered = ordered.withColumn("_run", F.substring("_order", 1, bucket_digits))
+    ordered = join_hot(slim, plan.filter("_rest > 0"), names, salts=salts, by="_key").withColumn("_order", order("_key"))
+    ordered = ordered.withColumn("_run", F.substring("_order", 1, digits))
     past = Window.partitionBy(*names).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     sums = ordered.groupBy(*names, "_run").agg(F.sum("n_tokens").alias("_sum"), F.first("_rest").alias("_rest"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(past), F.lit(0)))
     last = settle(sums.filter("_before <= _rest AND _before + _sum > _rest").select(*names, "_run", "_before"))
     upto = Window.partitionBy(*names).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = join_hot(ordered, last, [*names, "_run"], by="_key").groupBy(*names, "_run", "_before", "_rest", "_order").agg(F.sum("n_tokens").alias("_sum"))
+    inside = join_hot(ordered, last, [*names, "_run"], salts=salts_for(largest >> 4 * digits), by="_key").groupBy(*names, "_run", "_before", "_rest", "_order").agg(F.sum("n_tokens").alias("_sum"))
     inside = inside.withColumn("_end", F.col("_before") + F.sum("_sum").over(upto)).filter("_end <= _rest")
     # Before the first value of the run comes the run's own name, after all of them whatever is past the digits.
     ends = last.join(inside.groupBy(*names).agg(F.max("_order").alias("_end")), names, "left").select(*names, F.coalesce("_end", "_run").alias("_end"))
     plan = settle(plan.join(ends, names, "left").withColumn("_end", F.when(F.col("_rest") > 0, F.coalesce("_end", F.lit("g")))))
-    placed = rows.join(plan, names)
+    placed = join_hot(rows, plan, names, salts=salts, by=name[key])
     copies = F.col("_whole") + F.when(order(name[key]) <= F.col("_end"), 1).otherwise(0)
     chosen = placed.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
     return chosen.withColumn("epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(
