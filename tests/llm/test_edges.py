@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomscore.llm import attention, jaccard, licenses, line_dedup, mixing, onebit, packing, queries, repetition, sharding, warc
 from loomscore.llm.common import connected_components
@@ -214,20 +215,26 @@ def test_line_spread_is_exact_at_the_threshold(spark):
 
 
 def test_frames_go_and_copies_stay(spark):
-    """A frame line goes from long texts and from pages that it mostly fills; a text that twelve sites copy, or nearly, stays."""
+    """A line of many sites goes from long texts and from pages that it mostly fills; a text that twelve sites copy whole stays, one that they copy
+    nearly loses the lines that they share."""
     copy = [f"line {k} of a text that is copied" for k in range(6)]
     rows = [(k, f"Home | News | About us\n{k} own words " * 1 + "and more of them " * 10, f"s{k}") for k in range(12)]
     rows += [(20, "Home | News | About us\nshort", "s1"), (21, "Home | News | About us", None), (22, None, "s1"), (23, "", "s2")]
     rows += [(30 + k, "\n".join(copy), f"s{k}") for k in range(12)]
     rows += [(50 + k, "\n".join([*copy[: k % 6], f"changed in {k}", *copy[k % 6 + 1 :]]), f"s{k}") for k in range(12)]
     rows += [(70, "\n".join(copy), "s1")] * 5
-    got = line_dedup.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    rows += [(100 + k, f"Navigation\nown {k}", f"t{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.drop_spread_lines(df).collect()
     docs = [dict(zip(("doc_id", "text", "source"), r, strict=True)) for r in rows]
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted((d["doc_id"], t or "") for d, t in zip(docs, brute.clean_lines(docs), strict=True))
     texts = {r.doc_id: r for r in got}
     assert all(texts[k].removed_lines == 1 and "Home" not in texts[k].text for k in [*range(12), 20, 21])
     assert all(r.removed_lines == 0 and r.text == rows[16][1] for r in got if 30 <= r.doc_id < 42 or r.doc_id == 70)
-    assert all(texts[50 + k].removed_lines == 0 for k in range(12)) and texts[22].text is None
+    assert all(texts[50 + k].text == f"changed in {k}" for k in range(12)) and texts[22].text is None
+    assert all(texts[100 + k].text == f"own {k}" for k in range(40))
+    every = {r.doc_id: r.text for r in line_dedup.drop_spread_lines(df, keep_copies=False).collect()}
+    assert every[30] == every[70] == "" and every[100] == "own 0"
 
 
 def test_warc_chain(spark, tmp_path):
@@ -498,3 +505,71 @@ def test_jaccard_of_repeated_rows_and_null_keys(spark):
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(5, 76, 3)] * 40 + [(3, 77, 3), (None, 77, 3), (None, 76, None), (None, 76, None), (None, 77, None), (9, 76, 7), (8, 0, 8), (None, 0, None), (7, 76, 7), (7, 77, 7)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def plain_place(loads, shards, first=0):
+    """Vector bin packing, unit by unit and shard by shard."""
+    dims = range(loads.shape[1])
+    spare = {s: [sum(row[d] for row in loads) / shards for d in dims] for s in range(shards)}
+    out = {}
+    for k in sorted(range(len(loads)), key=lambda k: (-loads[k][0], k)):
+        turn = [(s + first) % shards for s in range(shards)]
+        best = max(turn, key=lambda s: (sum(loads[k][d] * spare[s][d] for d in dims), -turn.index(s)))
+        out[k] = best
+        spare[best] = [spare[best][d] - loads[k][d] for d in dims]
+    return [out[k] for k in range(len(loads))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_placing_against_a_plain_version(seed):
+    loads = np.random.default_rng(seed).integers(1, 2**20, (150, 3)) / 2.0**10  # exact sums
+    assert sharding.place(loads, 8, 3 * seed).tolist() == plain_place(loads, 8, 3 * seed)
+
+
+def test_slots_in_runs_and_parts(spark):
+    """A group of half the rows is split, a shard's rows are numbered in many runs and blocks: gapless all the same, and within the packing's bound."""
+    rows = [(k, "the same text" if k % 2 else f"text {k} " + "w " * (k % 40)) for k in range(4000)] + [(7, "the same text")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=5, parts=4, block_units=200, slot_run=30).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    slots, loads = {}, {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert set(slots) == set(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) < 1.1 * sum(loads.values()) / 5
+    assert len({r.shard for r in got if r.size == 13 + 16}) == 5
+    whole = sharding.shard_documents(docs, shards=5, parts=4, block_units=10**6)
+    assert max(r.n for r in whole.groupBy("shard").agg(F.sum("size").alias("n")).collect()) < 1.1 * sum(loads.values()) / 5
+
+
+def test_op7_against_a_plain_version(spark):
+    """Every distinct text of the table, so that no group is split: the shards are those of the plain version on the same units."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").dropDuplicates(["text"])
+    units = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text").orderBy("h").collect()
+    loads = np.array([(len((r.text or "").encode()) + 16, len(brute.words(r.text)), 1) for r in units], float)
+    want = plain_place(loads / loads.sum(axis=0) * np.sqrt((1.0, 0.05, 0.05)), 40)
+    got = {r.doc_id: (r.shard, r.size) for r in sharding.shard_documents(docs).collect()}
+    assert got == {r.doc_id: (shard, int(load[0])) for r, shard, load in zip(units, want, loads, strict=True)}
+
+
+def test_told_lengths_that_no_file_has(spark, tmp_path):
+    """Pages that hold record heads with any length at all come back as they are."""
+    lengths = ["2147483647", "2147483648", "99999999999", "9007199254740992", "9007199254740993", "9223372036854775807", "9223372036854775808", "-1", "-9223372036854775808", "1" * 30, "0", "+5", " 7 ", "x", ""]
+    rows = [(k, "u", f"before WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\nabc\r\n\r\nafter {k}") for k, n in enumerate(lengths)]
+    rows += [(100 + k, "u", f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n") for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df.coalesce(1), f"file://{tmp_path}/a")
+    got = {r.key: r for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert {k: r.payload_bytes for k, r in got.items()} == {k: len(h) for k, _, h in rows}
+    assert all(r.intact for r in got.values())
+    # The same lengths told by records themselves: what they say is not believed, and what follows them is not reached.
+    (file,) = (tmp_path / "a").glob("part-*")
+    whole = file.read_bytes()
+    for k, n in enumerate(lengths):
+        head, tail = whole.split(b"WARC/1.1\r\n", 2)[1:]
+        first = b"WARC/1.1\r\n" + head
+        at = first.index(b"Content-Length: ")
+        (tmp_path / f"b{k}").mkdir()
+        (tmp_path / f"b{k}" / "part-0").write_bytes(first[:at] + b"Content-Length: " + n.encode() + first[first.index(b"\r", at) :] + b"WARC/1.1\r\n" + tail)
+        warc.read_archives(spark, f"file://{tmp_path}/b{k}").collect()
