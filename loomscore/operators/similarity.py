@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,31 +21,45 @@ BOTH_UNRATED, SAME_FAMILY = 0.35, 0.5
 def candidates(items: DataFrame, branches: Sequence[tuple[str, int]], cap: int = DEFAULT.similar_candidates, fallback: int = 50) -> DataFrame:
     """(item_id, other_id): of each branch (column, limit) in turn the items that share a value with an item, first seen first, cap in all.
 
-    items: item_id, score and the branches' columns, values or arrays of values. Each branch gives an item its `limit` best others by score
-    (missing last) and id. A value's list is cut to limit + 1 once, before it is joined, so a popular value costs an
-    item that many rows and not its size. An item without any value gets the `fallback` best scored items."""
+    items: item_id (long), score and the branches' columns, values or arrays of values. Each branch gives an item its `limit` best others by score
+    (missing last) and id. A value's list is cut to limit + 1 once and is one row, which goes to each item of the value; an item's lists are merged where
+    they meet, so no pair is shuffled, and a popular value costs an item that many ids and not its size. An item without any value gets the
+    `fallback` best scored items."""
     best = F.desc_nulls_last("score")
-    pairs, anything = None, F.lit(False)
+    lists, anything = None, F.lit(False)
     for k, (name, limit) in enumerate(branches):
         several = items.schema[name].dataType.typeName() == "array"
         value = F.explode(F.array_distinct(name)) if several else F.col(name)
         anything = anything | (F.coalesce(F.size(name), F.lit(0)) > 0 if several else F.col(name).isNotNull())
-        own = items.select("item_id", "score", value.alias("value")).filter("value IS NOT NULL")
+        own = items.select("item_id", F.col("score").cast("double").alias("score"), value.alias("value")).filter("value IS NOT NULL")
         order = Window.partitionBy("value").orderBy(best, "item_id")
-        listed = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit + 1).select("value", F.col("item_id").alias("other_id"), F.col("score").alias("other_score"))
-        found = own.select("item_id", "value").join(listed, "value").filter("item_id <> other_id").select("item_id", "other_id", "other_score").distinct()
-        order = Window.partitionBy("item_id").orderBy(F.desc_nulls_last("other_score"), "other_id")
-        found = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit)
-        found = found.select("item_id", "other_id", F.struct(F.lit(k).alias("branch"), "k").alias("place"))
-        pairs = found if pairs is None else pairs.union(found)
+        top = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit + 1)
+        listed = top.groupBy("value").agg(F.collect_list(F.struct("item_id", "score")).alias("x"))
+        met = own.select("item_id", "value").join(listed, "value").select("item_id", F.lit(k).alias("branch"), F.col("x.item_id").alias("ids"), F.col("x.score").alias("scores"))
+        lists = met if lists is None else lists.union(met)
+    limits = [limit for _, limit in branches]
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for item, own in zip(frame["item_id"], frame["lists"], strict=True):
+                others: dict[int, None] = {}
+                for branch, limit in enumerate(limits):
+                    parts = [x for x in own if x["branch"] == branch]
+                    if not parts:
+                        continue
+                    ids, at = np.unique(np.concatenate([x["ids"] for x in parts]), return_index=True)
+                    score = np.concatenate([np.asarray(x["scores"], np.float64) for x in parts])[at]
+                    ranked = ids[np.lexsort((ids, -score))]  # missing scores, as NaN, come last
+                    others |= dict.fromkeys(ranked[ranked != item][:limit].tolist())
+                found.append(list(others)[:cap])
+            yield pd.DataFrame({"item_id": frame["item_id"], "others": found})
+
+    merged = lists.groupBy("item_id").agg(F.collect_list(F.struct("branch", "ids", "scores")).alias("lists")).mapInPandas(merge, "item_id long, others array<long>")
     bare = items.filter(~anything).select("item_id")
     top = items.filter("score IS NOT NULL").orderBy(best, "item_id").limit(fallback + 1).agg(F.collect_list(F.struct(best_score(), "item_id")).alias("x"))  # fallback + 1 rows
-    spare = bare.withColumn("x", top.scalar()).select("item_id", F.posexplode(F.array_sort("x")).alias("k", "o"))
-    spare = spare.select("item_id", F.col("o.item_id").alias("other_id"), F.struct(F.lit(len(branches)).alias("branch"), "k").alias("place")).filter("item_id <> other_id")
-    pairs = pairs.union(spare)
-    first = pairs.groupBy("item_id", "other_id").agg(F.min("place").alias("place"))
-    order = Window.partitionBy("item_id").orderBy("place", "other_id")
-    return first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).select("item_id", "other_id")
+    spare = bare.withColumn("x", top.scalar()).select("item_id", F.explode(F.array_sort("x")).alias("o")).select("item_id", F.col("o.item_id").alias("other_id"))
+    return merged.select("item_id", F.explode("others").alias("other_id")).union(spare.filter("item_id <> other_id"))
 
 
 def best_score() -> Column:
@@ -63,15 +77,6 @@ def aspect_profiles(summaries: DataFrame) -> DataFrame:
     return first.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("aspect", "x.verdict")))).alias("aspects"))
 
 
-def aspect_likeness(a: Column, b: Column) -> Column:
-    """The cosine (mapped to [0, 1]) of two aspect maps over the union of their keys; null if either is missing or says nothing."""
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    worth = F.create_map(*[F.lit(x) for pair in ASPECT_VALUES.items() for x in pair])
-    vector = lambda m: F.transform(keys, lambda k: F.coalesce(F.try_element_at(worth, F.coalesce(F.try_element_at(m, k), F.lit("absent"))), F.lit(0.0)))
-    speaks = lambda m: F.exists(F.map_values(m), lambda v: v.isin("positive", "negative"))
-    return F.when(speaks(a) & speaks(b), cosine(vector(a), vector(b)))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of equal length, mapped to [0, 1]; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
@@ -79,28 +84,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, (1 + dot(a, b) / norm) / 2).otherwise(0.0)
 
 
+def _numbers(values: str) -> Column:
+    """The distinct values of an array as numbers, which are compared faster than text; null: none."""
+    return F.coalesce(F.array_distinct(F.transform(values, lambda v: F.xxhash64(v))), F.array().cast("array<long>"))
+
+
+def _aspects(verdicts: str) -> list[Column]:
+    """Of a map of verdicts, as numbers: said, the aspects with what is said of them, and about, the aspects; only verdicts that count something."""
+    told = F.coalesce(F.filter(F.map_entries(verdicts), lambda e: e["value"].isin(*[v for v, n in ASPECT_VALUES.items() if n])), F.array().cast("array<struct<key:string,value:string>>"))
+    return [F.transform(told, lambda e: F.xxhash64(e["key"], e["value"])).alias("said"), F.transform(told, lambda e: F.xxhash64(e["key"])).alias("about")]
+
+
 def similar(items: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(item_id, other_id, similarity, rank, reason, components): the best of the candidates, at least similar_min.
 
     items: item_id, tags, series, makers, publishers, channels (arrays of values), score, year, words, family, n_reviews, aspects (a map, or
     null). Where either item has no aspect profile, that weight falls to the other parts. Two items without a score and with under five
     reviews each, and members of one family, are marked down. reason names the strongest checkable fact, or is null."""
-    side = lambda p: items.select(*[F.col(c).alias(p + c) for c in items.columns])
+    slim = items.select("item_id", "series", "score", "year", "family", "n_reviews", *[_numbers(c).alias(c) for c in ("tags", "makers", "publishers", "channels", "words")], *_aspects("aspects"))
+    side = lambda p: slim.select(*[F.col(c).alias(p + c) for c in slim.columns])
     rows = pairs.join(side("a_").withColumnRenamed("a_item_id", "item_id"), "item_id")
     rows = rows.join(side("b_").withColumnRenamed("b_item_id", "other_id"), "other_id")
     a, b = (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
     shared = lambda c: F.coalesce(F.arrays_overlap(a(c), b(c)), F.lit(False))
+    common = lambda c: F.size(F.array_intersect(a(c), b(c)))
     kin = F.coalesce(a("family") == b("family"), F.lit(False))
+    # Counted once: what both hold, of all that either holds.
+    rows = rows.withColumns({f"_{c}": common(c) for c in ("tags", "channels", "words", "said", "about")})
+    overlap = lambda c: F.coalesce(F.when((F.size(a(c)) > 0) & (F.size(b(c)) > 0), F.col(f"_{c}") / (F.size(a(c)) + F.size(b(c)) - F.col(f"_{c}"))), F.lit(0.0))
+    # Verdicts are 1 or -1 where they say something: on what both speak about they agree or differ.
+    angle = (2 * F.col("_said") - F.col("_about")) / (F.sqrt(F.size(a("about"))) * F.sqrt(F.size(b("about"))))
+    aspect = F.when((F.size(a("about")) > 0) & (F.size(b("about")) > 0), (1 + angle) / 2)
     parts = {
-        "tags": text.overlap(a("tags"), b("tags")),
+        "tags": overlap("tags"),
         "series": F.when(a("series") == b("series"), 1.0).when(kin, 0.9).otherwise(0.0),
         "makers": F.when(shared("makers"), 1.0).when(shared("publishers"), 0.5).otherwise(0.0),
-        "channels": text.overlap(a("channels"), b("channels")),
+        "channels": overlap("channels"),
         "score": F.coalesce(1 - F.abs(a("score") - b("score")) / 100.0, F.lit(0.0)),
         "era": F.coalesce(F.exp(-F.abs(a("year") - b("year")) / 6.0), F.lit(0.0)),
     }
-    rows = rows.select("item_id", "other_id", *[v.alias(k) for k, v in parts.items()], text.overlap(a("words"), b("words")).alias("lexical"), aspect_likeness(a("aspects"), b("aspects")).alias("aspect"),
-        (a("score").isNull() & b("score").isNull() & (F.greatest(a("n_reviews"), b("n_reviews")) < 5)).alias("unknown"), kin.alias("kin"))
+    unknown = a("score").isNull() & b("score").isNull() & (F.greatest(a("n_reviews"), b("n_reviews")) < 5)
+    # As an inlined struct: a condition on the sum of the parts would else be moved into the join, with every part written out many times.
+    found = F.struct(*[v.alias(k) for k, v in parts.items()], overlap("words").alias("lexical"), aspect.alias("aspect"), unknown.alias("unknown"), kin.alias("kin"))
+    rows = rows.select("item_id", "other_id", F.inline(F.array(found)))
     meta = sum((WEIGHTS[k] * F.col(k) for k in WEIGHTS), F.lit(0.0))
     rows = rows.withColumn("metadata", meta)
     known = settings.similar_metadata * F.col("metadata") + settings.similar_lexical * F.col("lexical")
@@ -114,11 +140,13 @@ def similar(items: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT) ->
         .when(F.col("aspect") >= 0.75, "praised_alike")
         .when((F.col("score") >= 0.9) & (F.col("metadata") >= settings.reason_floor), "scored_alike")
     )
-    components = F.struct(*[F.round(c, 4).alias(c) for c in ("metadata", "aspect", "lexical", *WEIGHTS)], penalty.alias("penalty"))
-    scored = rows.select("item_id", "other_id", F.round(value * penalty, 5).alias("similarity"), reason.alias("reason"), components.alias("components"))
+    # Rounding is dear: a pair's similarity is rounded if it may be kept, its components if it is.
+    scored = rows.withColumns({"raw": value * penalty, "penalty": penalty}).filter(F.col("raw") >= settings.similar_min - 1e-4)
+    scored = scored.withColumn("similarity", F.round("raw", 5))
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "other_id")
-    kept = scored.filter(F.col("similarity") >= settings.similar_min).withColumn("rank", F.row_number().over(order))
-    return kept.filter(F.col("rank") <= settings.similar_top)
+    kept = scored.filter(F.col("similarity") >= settings.similar_min).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.similar_top)
+    components = F.struct(*[F.round(c, 4).alias(c) for c in ("metadata", "aspect", "lexical", *WEIGHTS)], "penalty")
+    return kept.select("item_id", "other_id", "similarity", reason.alias("reason"), components.alias("components"), "rank")
 
 
 def neighbours(edges: DataFrame, items: DataFrame, item: int, limit: int = 12) -> DataFrame:
