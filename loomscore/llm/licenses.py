@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, settle
+from .common import join_hot, salts_for, settle
 from .wordhash import pieces
 
 #: Licence identifiers, with notices as they stand in headers and the openings of the licence files.
@@ -43,13 +43,37 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    ),
+    "Artistic-2.0": ("Licensed under the Artistic License 2.0.",),
+    "Zlib": ("Licensed under the zlib License.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
     "ISC": ("Licensed under the ISC License.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
-#: Whole licences (that of CC-BY-NC-4.0 is CC-BY-4.0's with the clauses that differ, BSD-2-Clause is BSD-3-Clause without its third).
+#: Whole licences (that of CC-BY-NC-4.0 is CC-BY-4.0's with the clauses that differ, BSD-2-Clause is BSD-3-Clause without its third, AGPL-3.0 is
+#: GPL-3.0 under its own name with its paragraph on use over a network).
 FULL: dict[str, str] = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in resources.files(__package__).joinpath("license_texts").iterdir()}
+NETWORK = (
+    "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely "
+    "through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the "
+    "Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software.\n\n"
+)
+_HEAD, _, _TAIL = FULL["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General").partition("  14. ")
+FULL["AGPL-3.0"] = f"{_HEAD}{NETWORK}  14. {_TAIL}"
+#: Templates whose cosines lie within this of the best one's are told apart by the terms in which they differ.
+MARGIN = 0.02
 TEMPLATES: dict[str, tuple[str, ...]] = {name: (*texts, *filter(None, [FULL.get(name)])) for name, texts in NOTICES.items()}
 #: Stands in files of many licences, so it counts where nothing else reaches the threshold.
 GENERIC = "Proprietary"
@@ -85,6 +109,8 @@ class Model:
         self.names = [name for name, _ in kept]
         self.row = {t: k for k, t in enumerate(sorted({t for x in vectors for t in x}))}
         self.matrix = np.array([[x.get(t, 0.0) for x in vectors] for t in self.row])
+        counts = [Counter(terms(x)) for _, x in kept]
+        self.counts = np.array([[c[t] for c in counts] for t in self.row])
         # Of the templates that reach at_least, a whole licence goes before a notice, and a notice before the generic one.
         self.tier = np.array([3 if x == FULL.get(name) else 1 if name == GENERIC else 2 for name, x in kept])
 
@@ -100,7 +126,8 @@ class Model:
     def best(self, text: str) -> tuple[str | None, float, int]:
         """The template nearest to any unit (first in the templates' order at equal cosine), the cosine, the unit's terms.
 
-        Whole licences that reach at_least come before notices that do, these before the generic notice."""
+        Whole licences that reach at_least come before notices that do, these before the generic notice. Among templates of other licences
+        within MARGIN of the best, kindred texts, the terms of which they have not equally many decide."""
         top, rank = (None, 0.0, 0), (0, 0.0)
         for unit in units(text):
             found = terms(unit)
@@ -108,20 +135,37 @@ class Model:
                 continue
             raw = self.raw(found)
             shared = [t for t in raw if t in self.row]
+            own = np.array([raw[t] for t in shared])
             norm = math.sqrt(sum(x * x for x in raw.values()))
-            cosines = np.array([raw[t] for t in shared]) @ self.matrix[[self.row[t] for t in shared]] / norm
-            cosines = cosines.round(9)
+            if (own @ own) ** 0.5 / norm < min(rank[1], 1.0 if rank[0] else self.at_least) - 1e-6:
+                continue  # no template's cosine can be larger
+            rows = [self.row[t] for t in shared]
+            cosines = (own @ self.matrix[rows] / norm).round(9)
             at = int(cosines.argmax())
             tier = 0
             if cosines[at] >= self.at_least:
                 reached = np.where(cosines >= self.at_least, self.tier, 0)
                 tier = int(reached.max())
                 at = int(np.where(reached == tier, cosines, -1).argmax())
+                near = np.flatnonzero((reached == tier) & (cosines >= cosines[at] - MARGIN))
+                if len({self.names[k] for k in near}) > 1:
+                    at = self.kindred(near, at, own, rows)
             if (tier, cosines[at]) > rank:
                 rank = (tier, cosines[at])
                 top = (self.names[at], float(cosines[at]), len(found))
         return top
 
+    def kindred(self, near: np.ndarray, at: int, own: np.ndarray, rows: list[int]) -> int:
+        """Of near templates the one nearest by the terms of which they have not equally many; `at` if the unit has none of them."""
+        differ = np.ptp(self.counts[:, near], axis=1) > 0
+        kept = differ[rows]
+        if not kept.any():
+            return at
+        part = self.matrix[np.array(rows)[kept]][:, near]
+        size = np.sqrt((self.matrix[differ][:, near] ** 2).sum(axis=0))
+        likeness = (own[kept] @ part / np.where(size > 0, size, 1)).round(9)
+        return int(near[likeness.argmax()]) if likeness.max() > likeness[near.tolist().index(at)] else at
+
 
 def scan_licenses(
     files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", at_least: float = 0.7, whole_share: float = 0.5
@@ -188,14 +232,17 @@ def scan_licenses(
     given = judged.filter("is_license_file AND dir IS NOT NULL").groupBy("dir", "own_license")
     given = given.agg(F.max("by_name").alias("by_name"), F.max("cosine").alias("cosine"), F.min("path").alias("path"))
     given = settle(given.withColumn("k", F.row_number().over(first)).filter("k = 1").selectExpr("dir AS ancestor", "own_license AS given"))
-    dirs = judged.filter("dir IS NOT NULL AND own_license IS NULL").select("dir").distinct()
+    dirs = settle(judged.filter("dir IS NOT NULL AND own_license IS NULL").groupBy("dir").agg(F.count("*").alias("n")))
+    sizes = dirs.agg(F.count("*").alias("dirs"), F.max("n").alias("files")).first()
     parts = F.split("dir", "/")
     depths = F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))))
     above = dirs.withColumn("depth", depths).withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
-    nearest = join_hot(above, given, ["ancestor"], by="dir").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
+    nearest = join_hot(above, given, ["ancestor"], salts=salts_for(sizes["dirs"]), by="dir").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
     nearest = settle(nearest.selectExpr("dir", "near.ancestor AS ancestor", "near.given AS given"))
-    joined = judged.join(nearest, "dir", "left")
-    lacks = F.col("own_license").isNull()
+    # Files that lack a licence meet their directory's, those of one directory dealt over several tasks; the others meet nothing.
+    lacks = F.col("own_license").isNull() & F.col("dir").isNotNull()
+    met = join_hot(judged.filter(lacks), nearest, ["dir"], "left", salts=salts_for(sizes["files"] or 0))
+    joined = met.unionByName(judged.filter(~lacks), allowMissingColumns=True)
     return joined.select(
         F.col("key").alias(key),
         F.col("path").alias(path),
@@ -203,5 +250,5 @@ def scan_licenses(
         "cosine",
         "is_license_file",
         F.coalesce("own_license", "given").alias("license"),
-        F.when(lacks, F.col("ancestor")).alias("from_directory"),
+        F.col("ancestor").alias("from_directory"),
     )

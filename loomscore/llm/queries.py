@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import conversations, jaccard, line_dedup, mixing, spelling, warc
@@ -80,10 +80,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables have no paths: a document lies in a directory of its source, language and hundred."""
+    """The tables have no paths: a document lies in a directory of its source, language and hundred; those that speak of a licence are licence
+    files of their source."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt")))
-    return scan_licenses(docs.withColumn("path", path))
+    return scan_licenses(docs.withColumn("path", license_path()))
+
+
+def license_path() -> Column:
+    speaks = F.lower("text").contains("licens")
+    file = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    return F.when(speaks, F.concat_ws("/", "source", F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(file)
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,15 +206,28 @@ class Licenses:
         size = lambda v: sum(x * x for x in v.values()) ** 0.5
         return [sum(x * b.get(t, 0) for t, x in a.items()) / (size(a) * size(b)) if a else 0.0 for b in self.vectors]
 
-    def best(self, text, full, generic, at_least=0.7):
-        """(name, cosine, terms of the unit): whole licences first, then notices, the generic one last; then the greatest cosine."""
+    def best(self, text, full, generic, at_least=0.7, margin=0.02):
+        """(name, cosine, terms of the unit): whole licences first, then notices, the generic one last; then the greatest cosine, but among templates
+        within the margin the cosine by the terms that they have not equally often."""
         parts = [x for x in text.split("\n") if x.strip()]
         parts += [x for x in re.split(r"\n[ \t\r]*\n", text) if "\n" in x.strip()] + [text]
         top = (0, 0.0, None, 0)
         for part in parts:
-            for (name, x), c in zip(self.templates, self.cosines(part), strict=True):
-                c = round(c, 9)
-                tier = 0 if c < at_least else 3 if x == full.get(name) else 1 if name == generic else 2
-                if (tier, c) > top[:2]:
-                    top = (tier, c, name, len(self.TERM.findall(part.lower())))
+            cosines = [round(c, 9) for c in self.cosines(part)]
+            tiers = [0 if c < at_least else 3 if x == full.get(name) else 1 if name == generic else 2 for (name, x), c in zip(self.templates, cosines, strict=True)]
+            tier = max(tiers)
+            here = [k for k, t in enumerate(tiers) if t == tier]
+            at = max(here, key=lambda k: (cosines[k], -k))
+            near = [k for k in here if cosines[k] >= cosines[at] - margin]
+            if tier and len({self.templates[k][0] for k in near}) > 1:
+                counts = [Counter(self.TERM.findall(self.templates[k][1].lower())) for k in near]
+                differ = {t for t in set().union(*counts) if len({c[t] for c in counts}) > 1}
+                own = self.vector(part)
+                size = lambda v: sum(v[t] ** 2 for t in differ if t in v) ** 0.5 or 1.0
+                unit = lambda v: sum(x * x for x in v.values()) ** 0.5
+                like = {k: round(sum(own[t] * self.vectors[k].get(t, 0) / unit(self.vectors[k]) for t in differ if t in own) / (size(self.vectors[k]) / unit(self.vectors[k])), 9) for k in near}
+                if max(like.values()) > like[at]:
+                    at = max(near, key=lambda k: (like[k], -k))
+            if (tier, cosines[at]) > top[:2]:
+                top = (tier, cosines[at], self.templates[at][0], len(self.TERM.findall(part.lower())))
         return top[2], top[1], top[3]

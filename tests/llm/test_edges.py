@@ -332,7 +332,7 @@ def test_whole_licence_files_are_told_apart(spark):
     rows = [(k, f"d{k}/LICENSE", "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + p.read_text()) for k, p in enumerate(sorted(LICENSES.glob("*.txt")))]
     got = scanned(spark, rows + [(100 + k, f"d{k}/x.py", "import os") for k, *_ in rows])
     want = [p.stem for p in sorted(LICENSES.glob("*.txt"))]
-    assert len(want) == 14
+    assert len(want) == 16
     assert [got[k].own_license for k in range(len(want))] == [got[100 + k].license for k in range(len(want))] == want
     assert all(got[k].is_license_file for k in range(len(want)))
 
@@ -573,3 +573,18 @@ def test_told_lengths_that_no_file_has(spark, tmp_path):
         (tmp_path / f"b{k}").mkdir()
         (tmp_path / f"b{k}" / "part-0").write_bytes(first[:at] + b"Content-Length: " + n.encode() + first[first.index(b"\r", at) :] + b"WARC/1.1\r\n" + tail)
         warc.read_archives(spark, f"file://{tmp_path}/b{k}").collect()
+
+
+def test_kindred_licences_are_told_apart(spark):
+    """Every notice and every whole licence finds itself, in a corpus of its own; so do texts with a head, and with some words changed."""
+    rows, want = [], {}
+    for name, texts in licenses.TEMPLATES.items():
+        for x in texts:
+            for shape in (x, f"Copyright (c) 2021 The Authors\n\n{x}", x.replace(" the ", " this ", 2)):
+                want[len(rows)] = name
+                rows.append((len(rows), f"d{len(rows)}/LICENSE", shape))
+    got = scanned(spark, rows)
+    wrong = {(k, want[k], r.own_license) for k, r in got.items() if r.own_license != want[k]}
+    assert not wrong
+    more = [(0, "a/LICENSE", "This library is under the GNU Lesser General Public License, version 2.1"), (1, "b/LICENSE", "licensed under the GNU AFFERO GENERAL PUBLIC LICENSE, version 3")]
+    assert {k: r.own_license for k, r in scanned(spark, more).items()} == {0: "LGPL-2.1", 1: "AGPL-3.0"}

@@ -139,26 +139,33 @@ def test_op9(spark, sf):
 def test_op10(spark):
     """A plain TF-IDF, each file's verdict and the inheritance, one file after another."""
     docs = docs_of(spark)
+    paths = {r.doc_id: r.path for r in spark.read.parquet(f"{DATA}/documents.parquet").withColumn("path", queries.license_path()).collect()}
     model = brute.Licenses([d["text"] for d in docs], licenses.TEMPLATES)
     files = []
     for d in docs:
-        path = "/".join(x for x in (d["source"], d["lang"], str(d["doc_id"] // 100), f"{d['doc_id']}.txt") if x is not None)
+        path = paths[d["doc_id"]]
         name, cosine, size = model.best(d["text"] or "", licenses.FULL, licenses.GENERIC)
-        own = name if cosine >= 0.7 else None
-        files.append((d["doc_id"], path, own, cosine, own is not None and size >= 0.5 * len(model.TERM.findall((d["text"] or "").lower()))))
+        own, by_name = name if cosine >= 0.7 else None, path.rpartition("/")[2].startswith("LICENSE.")
+        mostly = size >= 0.5 * len(model.TERM.findall((d["text"] or "").lower()))
+        files.append((d["doc_id"], path, own, cosine, own is not None and (mostly or by_name), by_name))
     given = {}
-    for _, path, own, cosine, whole in sorted(files, key=lambda f: (-f[3], f[2] or "", f[1])):
+    for _, path, own, _, whole, _ in sorted(files, key=lambda f: (not f[5], -f[3], f[2] or "", f[1])):
         if whole:
             given.setdefault(path.rpartition("/")[0], own)
     want = {}
-    for key, path, own, _, whole in files:
+    for key, path, own, _, whole, _ in files:
         above = path.rpartition("/")[0]
         while own is None and above not in given and above:
             above = above.rpartition("/")[0]
         want[key] = (path, own, whole, own or given.get(above), above if own is None and above in given else None)
     got = {r.doc_id: (r.path, r.own_license, r.is_license_file, r.license, r.from_directory) for r in queries.op10_license_scan(spark, DATA).collect()}
     assert got == want
-    assert any(own for _, own, *_ in want.values())
+    assert sum(f is not None for *_, f in want.values()) > 20
+
+
+def test_hundreds_of_files_inherit(spark):
+    found = queries.op10_license_scan(spark, "/root/testdata/sf0.01")
+    assert found.filter("from_directory IS NOT NULL").count() > 200
 
 
 def test_pipeline(spark):
