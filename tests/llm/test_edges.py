@@ -353,12 +353,12 @@ def test_a_near_copy_leaves_unlike_texts_of_its_key(spark):
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (5, None), (None, "no other text is like this one"), (None, None)], key=str)
 
 
-STAGE_CLASH = [c for c in CLASH if c != "n_chars"] + ["text_hash", "later_id", "component_id", "drop", "lines", "print", "base_failed", "n_words"]
+STAGE_CLASH = [c for c in CLASH if c != "n_chars"] + ["text_hash", "later_id", "component_id", "drop", "lines", "print", "base_failed", "n_words", "a.b", "c0", "_domain", "covered_words", "h", "g", "copied"]
 
 
 @pytest.fixture(scope="module")
 def stage_docs(spark):
-    rows = [(*r, len(r[1] or ""), *["x"] * len(STAGE_CLASH)) for r in ROWS]
+    rows = [(*r, len(r[1] or ""), *[f"own {c}" for c in STAGE_CLASH]) for r in ROWS]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in STAGE_CLASH))
 
 
@@ -373,6 +373,10 @@ def test_pipeline_stages_on_odd_rows(spark, stage_docs, k):
     if k < 4:
         assert got.columns == empty.columns == stage_docs.columns
     rows = got.collect()
+    if k < 4:
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in STAGE_CLASH)
+        known = {(r[0], r[1], r[2], r[3]) for r in ROWS}
+        assert all((r.doc_id, r.text, r.lang, r.source) in known for r in rows)
     key = lambda r: -1 if r.doc_id is None else r.doc_id
     keys = sorted(map(key, rows))
     want = sorted(-1 if r[0] is None else r[0] for r in ROWS)
