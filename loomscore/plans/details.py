@@ -72,6 +72,20 @@ def detail_companies(spark, d):
     return details.detail_companies(payloads(spark, d)).select("slug", "company", "role", "position")
 
 
+@query(f"""SELECT {_SLUG} AS slug, p_name AS title, p_partkey % 2 = 0 AS by_line FROM part WHERE {_SOUND}""")
+def harvest_files(spark, d):
+    """Harvested files: half of the documents a line each, half spread over the lines of files of their own kind."""
+    path, bodies = work_folder(spark), payloads(spark, d)
+    even = F.regexp_extract("body", "item-([0-9]+)", 1).cast("long") % 2 == 0
+    bodies.filter(even).write.text(f"{path}/lines")
+    wide = F.regexp_replace(F.concat(F.lit("[\n"), F.array_join(F.collect_list("body"), ",\n"), F.lit("\n]")), '"components":', '"components":\n')
+    bodies.filter(~even).groupBy((F.crc32(F.col("body").cast("binary")) % 50).alias("file")).agg(wide.alias("value")).write.partitionBy("file").text(f"{path}/whole")
+    one = details.read_payloads(spark, f"{path}/lines").select("body", F.lit(True).alias("by_line"))
+    listed = details.read_payloads(spark, f"{path}/whole").select(F.explode(F.from_json("body", "array<string>")).alias("body"), F.lit(False).alias("by_line"))
+    found = details.products(one.union(listed)).filter("product.slug IS NOT NULL")
+    return found.select("product.slug", "product.title", "by_line")
+
+
 @query("SELECT count(*) FILTER (WHERE p_partkey % 23 = 0) AS n FROM part")
 def drifted_payloads(spark, d):
     return details.drifted(payloads(spark, d)).agg(F.count("*").alias("n"))

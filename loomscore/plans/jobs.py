@@ -140,6 +140,13 @@ def due_for_refresh(spark, d):
     return jobs.due_for_refresh(rows, "seen", "1994-01-01", 200, "o_orderkey").select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 9 > 0 AND o_orderdate < TIMESTAMP '1995-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 300")
+def stale_transcripts(spark, d):
+    """Transcripts that were not to be had when last asked for, some time ago; those never asked for are no matter of a second try."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")).alias("seen"), F.when(F.col("o_orderstatus") == "F", "unavailable").otherwise("found").alias("status"))
+    return jobs.due_for_refresh(rows, "seen", "1995-01-01", 300, "o_orderkey", never=False, status="unavailable").select("o_orderkey")
+
+
 _LISTING = "listing AS (SELECT l_partkey AS slug, l_orderkey * 10 + l_linenumber AS position FROM lineitem), claimed AS (SELECT DISTINCT l_partkey AS slug FROM lineitem WHERE l_quantity >= 49)"
 
 
@@ -154,6 +161,15 @@ def budget_claims(spark, d):
     return jobs.claim_budget(*_listing(spark, d), 40)
 
 
+@query("""SELECT p_partkey AS slug, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS score FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 2 = 0) ORDER BY score DESC NULLS LAST, p_partkey LIMIT 60""")
+def backfill_claims(spark, d):
+    """The bulk backfill: a listing by score rather than by place, claimed best first up to a budget."""
+    claimed = table(spark, d, "lineitem").filter("l_quantity >= 49 AND l_partkey % 2 = 0").select(F.col("l_partkey").alias("slug"))
+    score = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size"))
+    listing = table(spark, d, "part").select(F.col("p_partkey").alias("slug"), (-score).alias("less"), score.isNull().alias("unscored"), score.alias("score"))
+    return jobs.claim_budget(listing, claimed, 60, order=("unscored", "less", "score")).select("slug", "score")
+
+
 @query(f"""WITH {_LISTING}, t AS (SELECT slug, min(position) AS position FROM listing WHERE slug NOT IN (SELECT slug FROM claimed) GROUP BY 1 ORDER BY 2, 1 LIMIT 40), s AS (SELECT count(*) AS claimed, max(position) AS last FROM t)
 SELECT s.claimed, (SELECT count(*) FROM listing WHERE slug IN (SELECT slug FROM claimed) AND (s.claimed < 40 OR position < s.last)) AS duplicates FROM s""")
 def claim_report(spark, d):
