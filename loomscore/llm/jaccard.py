@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix: exact components of documents whose shingle sets are alike.
 
-1. Every text becomes its set of 5-word shingles (64-bit hashes). Equal sets are one node (a 64-bit sum over the set), so
-   copies, however many, count once.
+1. Every text becomes its set of 5-word shingles (64-bit hashes). Equal sets are one node, so copies, however many, count once. A set is known by
+   128 bits, two sums over it; the first is the node's name, and the few nodes that share theirs with another get a new one.
 2. A count-min row of fixed width over all shingles of all texts orders shingles from rare to frequent. Any
    order gives the same links; this one keeps passages that many texts share out of the prefixes.
 3. Prefix filters. Two sets with enough overlap share k shingles among their first n - ceil(t n) + k each, here with k a tenth of the
@@ -18,7 +18,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,24 @@ def _signature(s: np.ndarray) -> int:
     return int((mix(s) + np.uint64(0x632BE59BD9B4E019)).sum().astype(np.int64))
 
 
+def _check(s: np.ndarray) -> int:
+    """A second signature, which tells sets of one signature apart."""
+    return int((mix(s ^ np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xD6E8FEB86659FD93)).sum().astype(np.int64))
+
+
+class Names:
+    """The nodes of sets: their signatures, but for those that another set has too."""
+
+    def __init__(self, clashing: Iterable[tuple[int, int]], sign: Callable[[np.ndarray], int], check: Callable[[np.ndarray], int]):
+        self.sign, self.check = sign, check
+        self.new = {pair: zlib.crc32(repr(pair).encode()) << 31 ^ k for k, pair in enumerate(sorted(clashing))}
+        self.old = {sign for sign, _ in self.new}
+
+    def of(self, s: np.ndarray) -> int:
+        sign = self.sign(s)
+        return self.new[sign, self.check(s)] if sign in self.old else sign
+
+
 def _heat(rows: DataFrame, bits: int) -> np.ndarray:
     """How frequent each cell's shingles are: 0, or 1 more for each doubling beyond several times the mean cell. At most 2**bits bytes."""
 
@@ -92,40 +110,51 @@ def jaccard_components(
         total = np.zeros(1 << heat_bits, np.int64)
         least = 0
         for batch, raw in pieces(batches, "text"):
-            sizes, signs = [], []
+            sizes, signs, checks = [], [], []
             for s in shingle_sets(raw, width):
                 sizes.append(len(s))
                 signs.append(_signature(s) if len(s) else None)
+                checks.append(_check(s) if len(s) else None)
                 np.add.at(total, (s >> np.uint64(64 - heat_bits)).astype(np.int64), 1)
             key = batch.column(0)
             prints = batch.column(2)
             least = least or int(prints[0].as_py())
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary()), prints],
-                names=["key", "n", "node", "cell", "salt", "counts", "text_hash"],
+                [key, pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(checks, pa.int64()), none, none, pa.nulls(len(sizes), pa.binary()), prints],
+                names=["key", "n", "node", "check", "cell", "salt", "counts", "text_hash"],
             )
         used = [k for k in range(max(1, len(total) // RUN)) if total[k * RUN : (k + 1) * RUN].any()]
         if used:
             blank = pa.nulls(len(used), pa.int64())
             packed = [zlib.compress(total[k * RUN : (k + 1) * RUN].tobytes(), 1) for k in used]
             yield pa.RecordBatch.from_arrays(
-                [blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed), blank],
-                names=["key", "n", "node", "cell", "salt", "counts", "text_hash"],
+                [blank, blank, blank, blank, pa.array(used, pa.int32()), pa.array([least % 64] * len(used), pa.int32()), pa.array(packed), blank],
+                names=["key", "n", "node", "check", "cell", "salt", "counts", "text_hash"],
             )
 
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    seen = settle(docs.mapInArrow(read, "key long, n long, node long, cell int, salt int, counts binary, text_hash long"))
-    rows = seen.filter("cell IS NULL").select("key", "n", "node", "text_hash")
+    seen = settle(docs.mapInArrow(read, "key long, n long, node long, check long, cell int, salt int, counts binary, text_hash long"))
+    rows = seen.filter("cell IS NULL").select("key", "n", "node", "check", "text_hash")
     heat = spark.sparkContext.broadcast(_heat(seen.filter("cell IS NOT NULL").select("cell", "salt", "counts"), heat_bits))
-    nodes = settle(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash")))
+    one = [F.min(c).alias(c) for c in ("key", "n", "text_hash")]
+    nodes = settle(rows.filter("n > 0").groupBy("node").agg(*one, F.min("check").alias("lo"), F.max("check").alias("hi")))
+    # Of m sets about m * m / 2 ** 65 pairs share a signature: none of a billion, some dozens of 5 * 10 ** 10.
+    clashing = nodes.filter("lo <> hi").select("node")
+    pairs_of = [] if clashing.isEmpty() else [(r.node, r.check) for r in rows.join(clashing, "node", "left_semi").select("node", "check").distinct().collect()]
+    names = Names(pairs_of, _signature, _check)
+    if pairs_of:
+        renamed = spark.createDataFrame([(*pair, new) for pair, new in names.new.items()], "node long, check long, new long")
+        rows = settle(rows.join(F.broadcast(renamed), ["node", "check"], "left").withColumn("node", F.coalesce("new", "node")).drop("new"))
+        nodes = settle(rows.filter("n > 0").groupBy("node").agg(*one))
+    rows = rows.drop("check")
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for _, raw in pieces(batches, "text"):
             out = []
             for s in shingle_sets(raw, width):
-                if not len(s) or (sign := _signature(s)) in done:
+                if not len(s) or (sign := names.of(s)) in done:
                     continue
                 done.add(sign)
                 hot = heat.value[(s >> np.uint64(64 - heat_bits)).astype(np.int64)]
@@ -164,7 +193,7 @@ def jaccard_components(
         for batch, raw in pieces(batches, "text"):
             out = [s.view(np.int64) for s in shingle_sets(raw, width)]
             offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            signs = pa.array([_signature(s.view(np.uint64)) if len(s) else None for s in out], pa.int64())
+            signs = pa.array([names.of(s.view(np.uint64)) if len(s) else None for s in out], pa.int64())
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("node")), signs, pa.ListArray.from_arrays(pa.array(offsets), flat)],

@@ -592,3 +592,13 @@ def test_kindred_licences_are_told_apart(spark):
     assert not wrong
     more = [(0, "a/LICENSE", "This library is under the GNU Lesser General Public License, version 2.1"), (1, "b/LICENSE", "licensed under the GNU AFFERO GENERAL PUBLIC LICENSE, version 3")]
     assert {k: r.own_license for k, r in scanned(spark, more).items()} == {0: "LGPL-2.1", 1: "AGPL-3.0"}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 8])
+def test_sets_of_one_signature_stay_apart(spark, monkeypatch, bits):
+    """Signatures of few bits, which many unlike sets share: the nodes that do get names of their own, and nothing else changes."""
+    rows = [(k, " ".join(f"w{(k // 4) * 50 + j}" for j in range(40)) + (f" tail{k}" if k % 2 else "")) for k in range(80)] + [(200, "w0 w1"), (201, "w0 w2"), (202, None)]
+    plain = jaccard._signature
+    monkeypatch.setattr(jaccard, "_signature", lambda s: plain(s) % (1 << bits))
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.components(rows))
