@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomscore.functions import records
-from loomscore.operators import catalog, detail, jobs, merge, monitor, ops, schedule, similarity, snapshots
+from loomscore.operators import catalog, detail, merge, monitor, ops, schedule, similarity, snapshots
 from loomscore.sources import details
 from loomscore.streaming import stream
 
