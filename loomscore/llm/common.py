@@ -28,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Spark's setting under which the shuffle files of a query go when it ends, not when its plan is collected as garbage.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is settled: the shuffle files that made it go when it is written, not when its plan is collected as garbage, and Python tasks get
+#: their rows in batches of 8 MB, of which each holds several copies.
+HELD = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -38,12 +39,14 @@ def settle(df: DataFrame) -> DataFrame:
     The shuffles that made it are deleted at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN)
-    spark.conf.set(CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in HELD}
+    for k, v in HELD.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-SLICE = 1 << 20
+SLICE = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -83,7 +83,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         at += c
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut into runs of rows with about `most` bytes of text (one row at least), with the texts as bytes; null: empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
