@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,31 +58,35 @@ def stream_once(spark, d):
     return stream.drain(stream.deliver_once(twice, "event_id", "ts", "1 day"), work_folder(spark)).select("event_id", "user_id", "event_type")
 
 
-#: The events are delivered in so many files, up to a day out of order; the last file moves the clock on.
-_FILES, _AFTER = 4, 40
+#: The events are delivered in so many pieces, up to a day out of order; the last piece moves the clock on.
+_PIECES, _AFTER = 4, 40
+
 
+def _delivered(spark: SparkSession, events: DataFrame, path: str) -> Iterator[bool]:
+    """Event files whose order is not that of time within a day, and a last one of the key -1 some weeks later; after each piece whether it is the last.
 
-def _delivered(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
-    """A folder of event files, one batch each, whose order is not that of time within a day, and a last one of the key -1 some weeks later."""
-    path, events = work_folder(spark), table(spark, d, "events")
+    A piece has as many files as the table has parts, each of any of its days, so a reader that stops within one may be further on than the watermark allows."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     span = events.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"), F.max("ts").alias("end")).first()
     if span["end"] is not None:
         jitter = F.pmod(F.xxhash64("event_id"), F.lit(86_400)) - 43_200
-        piece = F.floor((seconds + jitter - span["low"]) / ((span["high"] - span["low"]) / _FILES + 1))
-        piece = F.least(F.greatest(piece, F.lit(0)), F.lit(_FILES - 1))
-        for k in range(_FILES):
+        piece = F.floor((seconds + jitter - span["low"]) / ((span["high"] - span["low"]) / _PIECES + 1))
+        piece = F.least(F.greatest(piece, F.lit(0)), F.lit(_PIECES - 1))
+        for k in range(_PIECES):
             events.filter(piece == k).write.mode("append").parquet(path)
+            yield False
     end = events.agg((F.max("ts") + F.expr(f"INTERVAL {_AFTER} DAY")).alias("ts"))
     end.selectExpr("-1L AS event_id", "ts", "-1L AS user_id", "'end' AS event_type", "0D AS value", "'' AS props").write.mode("append").parquet(path)
-    return path, events
+    yield True
 
 
 def _in_order(spark: SparkSession, d: str, machine: ordered.Machine) -> DataFrame:
-    path, events = _delivered(spark, d)
-    stream_ = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    rows = stream.drain(ordered.decide_in_order(stream_, machine, "2 days"), work_folder(spark)).filter("key >= 0")
-    return rows.select(F.col("key").alias("user_id"), F.col("at").cast("timestamp_ntz").alias("at"), "event_id", "decision")
+    """The stream followed piece by piece: what has come is one batch, and the next run goes on from the checkpoint."""
+    path, folder, events = work_folder(spark), work_folder(spark), table(spark, d, "events")
+    for last in _delivered(spark, events, path):
+        decided = ordered.decide_in_order(spark.readStream.schema(events.schema).parquet(path), machine, "2 days")
+        rows = stream.drain(decided, folder, ending=last)
+    return rows.filter("key >= 0").select(F.col("key").alias("user_id"), F.col("at").cast("timestamp_ntz").alias("at"), "event_id", "decision")
 
 
 @query("""WITH n AS (SELECT user_id, event_id, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

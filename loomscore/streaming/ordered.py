@@ -7,19 +7,18 @@ passes it. So the outcome is that of a fold over all events in time order, with
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .stream import Step
 
-#: The store that timers and lists of state need.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "key long, at timestamp, event_id long, decision string"
 
 
@@ -119,70 +118,56 @@ def advance(machine: Machine, state: Any, due: float | None, events: Iterable[tu
     return state, due, said
 
 
-class _Processor(StatefulProcessor):
-    def __init__(self, machine: Machine):
-        self.machine = machine
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at double, event_id long, kind string")
-        self.own = handle.getValueState("own", "state string, due double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        late, fresh = [], []
-        for frame in rows:
-            for at, event, kind in zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["kind"].tolist(), strict=True):
-                (late if at * 1000 < passed else fresh).append((at, event, kind))
-        if fresh:
-            self.waiting.appendList(fresh)
-            self.handle.registerTimer(int(min(fresh)[0] * 1000) + 1)
-        yield self.made(key, [(at, event, "late") for at, event, _ in sorted(late)])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs() / 1000
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [e for e in held if e[0] < upto]
-        text, due = self.own.get() if self.own.exists() else (json.dumps(self.machine.start), None)
-        due = None if pd.isna(due) else due
-        state, after, said = advance(self.machine, json.loads(text), due, ready, upto)
-        if ready:
-            rest = held[len(ready) :]
-            self.waiting.clear()
-            if rest:
-                self.waiting.appendList(rest)
-                self.handle.registerTimer(int(rest[0][0] * 1000) + 1)
-        if state is None and after is None:
-            self.own.clear()
-        else:
-            self.own.update((json.dumps(state), after))
-        if after is not None and after != due:
-            self.handle.registerTimer(int(after * 1000) + 1)
-        yield self.made(key, said)
-
-    @staticmethod
-    def made(key: Any, said: list[tuple]) -> pd.DataFrame:
-        at = pd.to_datetime([round(x[0] * 1e6) for x in said], unit="us", utc=True)
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(said), dtype="int64"), "at": at, "event_id": pd.array([x[1] for x in said], "Int64"), "decision": pd.Series([x[2] for x in said], dtype="object")})
-
-    def close(self) -> None:
-        pass
-
-
-def use_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-
-
-def decide_in_order(events: DataFrame, machine: Machine, delay: str, key: str = "user_id", ts: str = "ts", kind: str = "event_type", seq: str = "event_id") -> DataFrame:
+def _frame(said: list[tuple[int, float, int | None, str]]) -> pd.DataFrame:
+    key, at, event, decision = zip(*said, strict=True)
+    at = pd.to_datetime([round(x * 1e6) for x in at], unit="us", utc=True)
+    return pd.DataFrame({"key": pd.Series(key, dtype="int64"), "at": at, "event_id": pd.array(event, "Int64"), "decision": pd.Series(decision, dtype="object")})
+
+
+def decide_in_order(
+    events: DataFrame, machine: Machine, delay: str, key: str = "user_id", ts: str = "ts", kind: str = "event_type", seq: str = "event_id", groups: int = 1024
+) -> DataFrame:
     """(key, at, event_id, decision) of a stream under a machine, in event time; an expiry has no event_id.
 
     Events may come out of order by `delay`; later ones are `late` or dropped by Spark, and change nothing. What has been decided is
     settled: a restart from the stream's checkpoint repeats and loses nothing. A key's state is its machine's and the events of the last
-    `delay`."""
-    use_store(events.sparkSession)
+    `delay`. Keys are dealt over `groups`, which a checkpoint fixes: calls of Python cost more than events, so a batch calls
+    each group once at most, with its events or as its timer (for the first of what waits and of deadlines) has run out."""
     rows = events.select(F.col(ts).cast("timestamp").alias("ts"), F.col(key).alias("key"), F.col(seq).alias("event_id"), F.col(kind).alias("kind"))
-    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6).withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithStateInPandas(_Processor(machine), OUT, "append", "EventTime")
+    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6).withColumn("dealt", F.pmod(F.xxhash64("key"), F.lit(groups))).withWatermark("ts", delay)
+
+    def run(_: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed, said, fresh = state.getCurrentWatermarkMs(), [], {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for own, *event in zip(*(frame[c].tolist() for c in ("key", "at", "event_id", "kind")), strict=True):
+                    if event[0] * 1000 < passed:
+                        said.append((own, event[0], event[1], "late"))
+                    else:
+                        fresh.setdefault(own, []).append(event)
+        kept = {own: rest for own, *rest in json.loads(state.get[0])} if state.exists else {}
+        after, first = [], []
+        for own in kept.keys() | fresh.keys():
+            status, due, held = kept.get(own, (machine.start, None, []))
+            held = sorted(held + fresh.get(own, []))
+            n = bisect_left(held, passed, key=lambda e: e[0] * 1000)
+            if n or (due is not None and due * 1000 < passed):
+                status, due, words = advance(machine, status, due, held[:n], passed / 1000)
+                said += [(own, *word) for word in words]
+            rest = held[n:]
+            if status is not None or due is not None or rest:
+                after.append((own, status, due, rest))
+            first += [e[0] for e in rest[:1]] + ([due] if due is not None else [])
+        if after:
+            state.update((json.dumps(after),))
+            if first:
+                state.setTimeoutTimestamp(max(int(min(first) * 1000), passed) + 1)
+        elif state.exists:
+            state.remove()
+        if said:
+            yield _frame(said)
+
+    return rows.groupBy("dealt").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(machine: Machine, events: Iterable[tuple[float, int, str]], upto: float) -> list[tuple[float, int | None, str]]:

@@ -146,3 +146,31 @@ def test_streaming_queries_have_sql():
 
     names = {"stream_heartbeats", "stream_leases", "stream_half_open", "stream_shuffled", "stream_resumed"}
     assert names <= set(registry.ORACLE_SQL) and oracle.DATA
+
+
+@pytest.fixture
+def events_in_many_files(spark, tmp_path):
+    """The events by time in twelve files, each a part of its own."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = spark.read.parquet(f"{oracle.DATA}/events.parquet")
+    for k, row in enumerate(rows.selectExpr("ntile(12) OVER (ORDER BY ts) AS k", "event_id").groupBy("k").agg(F.collect_list("event_id").alias("ids")).orderBy("k").collect()):
+        rows.filter(F.col("event_id").isin(row.ids)).coalesce(1).write.parquet(f"{tmp_path}/events.parquet/part-{k:02}.parquet")
+    for file in tmp_path.glob("events.parquet/*/*.parquet"):
+        file.rename(tmp_path / "events.parquet" / f"{file.parent.name}-{file.name}")
+    for folder in [x for x in tmp_path.glob("events.parquet/*") if x.is_dir()]:
+        for file in folder.iterdir():
+            file.unlink()
+        folder.rmdir()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16384")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_table_in_many_files_loses_no_event(spark, events_in_many_files):
+    """A piece of the delivery has a file for each part: read in part only, its last days were decided before its first had come."""
+    from loomscore.plans import registry
+
+    assert spark.read.parquet(f"{events_in_many_files}/events.parquet").rdd.getNumPartitions() > 8
+    oracle.check(registry.QUERIES["stream_half_open"](spark, events_in_many_files), registry.ORACLE_SQL["stream_half_open"], oracle.connect())
