@@ -174,3 +174,15 @@ def test_a_table_in_many_files_loses_no_event(spark, events_in_many_files):
 
     assert spark.read.parquet(f"{events_in_many_files}/events.parquet").rdd.getNumPartitions() > 8
     oracle.check(registry.QUERIES["stream_half_open"](spark, events_in_many_files), registry.ORACLE_SQL["stream_half_open"], oracle.connect())
+
+
+def test_keys_dealt_over_any_groups(spark, tmp_path):
+    """Calls of Python are as many as the groups, not the keys: two groups, one, and one for each key say the same."""
+    rows = [(k, (k * 977) % 50_000, k % 23, ["claim", "beat", "fail"][k % 3]) for k in range(150)]
+    write(spark, f"file://{tmp_path}/e", rows)
+    write(spark, f"file://{tmp_path}/e", [(999, 300_000, -1, "tick")])
+    for groups in (1, 2, 1024):
+        events = spark.readStream.schema(SHAPE).parquet(f"file://{tmp_path}/e")
+        out = stream.drain(ordered.decide_in_order(events, LEASES, "1 hour", groups=groups), f"file://{tmp_path}/{groups}")
+        got = sorted((r.key, (r.at - START).total_seconds(), r.event_id, r.decision) for r in out.filter("key >= 0").collect())
+        assert got == folded(rows, LEASES, 300_000 - 3600)
