@@ -73,7 +73,8 @@ def products(payloads: DataFrame, body: str = "body") -> DataFrame:
     """payloads with `product`: the item of the component of that name, null where there is none."""
     components = F.from_json(col(body), COMPONENTS)["components"]
     own = F.get(F.filter(components, lambda c: c["meta"]["componentName"] == "product"), F.lit(0))
-    return payloads.withColumn("product", own["data"]["item"])
+    # Inlined: a condition on the product would else be moved below, where every part of it parses the text anew.
+    return payloads.drop("product").select("*", F.inline(F.array(F.struct(own["data"]["item"].alias("product")))))
 
 
 def drifted(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -109,11 +110,13 @@ def detail_items(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 
 def detail_channels(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """One row for each channel of an item, with its scores. Exactly one is lead: the first so marked, else the first."""
+    """One row for each channel of an item, with its scores. Exactly one is lead: the first so marked, else the first.
+
+    The lead is marked in the list before it is exploded, so that no row of a channel carries all of them."""
     rows = _sound(payloads, body).select(F.col("product.slug").alias("slug"), F.col("product.platforms").alias("all"))
     marked = F.transform("all", lambda x: F.coalesce(x["isLeadPlatform"], F.lit(False)))
-    lead = F.greatest(F.array_position(marked, F.lit(True)) - 1, F.lit(0))
-    rows = rows.select("slug", lead.alias("lead"), F.posexplode("all").alias("position", "x"))
+    lead = F.greatest(F.array_position(marked, F.lit(True)) - 1, F.lit(0)).alias("lead")
+    rows = rows.select("slug", F.inline(F.array(F.struct(lead, "all")))).select("slug", "lead", F.posexplode("all").alias("position", "x"))
     made = score_columns(F.col("x.criticScoreSummary"))
     return rows.select(
         "slug",

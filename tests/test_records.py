@@ -41,6 +41,14 @@ def test_exactly_one_lead(payloads):
     assert got["unrated"] == [(0, True, None, 0)]
 
 
+def test_details_parse_once_and_carry_no_lists(payloads):
+    """A condition on the product parses nothing anew, and a channel's row does not carry the list of all."""
+    plan = details.detail_channels(payloads)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    above = plan[: plan.index("Generate posexplode")]
+    assert "lead#" in above and "all#" not in above
+
+
 def test_details(payloads):
     rows = {r.slug: r for r in details.detail_items(payloads).collect()}
     assert set(rows) == {"none", "two", "unrated", "firms", "bare"}
