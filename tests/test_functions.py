@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def test_slug(spark):
     assert one(spark, "Xbox Series X|S", text.slug("x")) == "xbox-series-x-s"
 
 
+def test_accents_go_to_python_only_where_one_becomes_several(spark):
+    told = "".join(map(chr, [*range(1, 0x3400), *range(0xABF0, 0xAC20), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F260), *range(0x2F800, 0x2FA20)]))
+    kept = "\u0041\u030a\u00c5 \u00e9\u0301 \u0131 \u00df \u4e00"
+    rows = [(None,), ("",), ("plain",), (told,), (kept,), *((c,) for c in told)]
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    frame = spark.createDataFrame(rows, "x string").select("x", text.strip_accents("x").alias("y"), F.col("x").rlike(text._stripped()[2]).alias("several"))
+    for r in frame.collect():
+        assert r.y == (None if r.x is None else plain(r.x))
+        assert r.several == (None if r.x is None else any(len(plain(c)) > 1 for c in r.x))
+
+
 @pytest.mark.parametrize(("x", "y"), [("PT1H24M9S", 5049), ("P1DT1S", 86401), ("PT", 0), ("1H", None), ("", None), (None, None)])
 def test_duration(spark, x, y):
     assert one(spark, x, text.iso_seconds("x")) == y
