@@ -101,3 +101,12 @@ def test_quotas(sizes, target, total):
 
 def test_quotas_keep_minorities():
     assert corpus.quotas([100, 1], 10, 0.15)[1] == 1
+
+
+def test_each_text_is_read_once(spark):
+    """One pass over the rows, one plain form of a body and one row of signs, however many conditions look at them."""
+    rows = spark.createDataFrame([(1, "a", "x", 5), (2, "a", None, 5), (3, None, "good " * 30, 5), (4, None, "good  " * 30, 5), (5, None, "word " * 30, 5), (6, None, "Word  " * 30, 5)], "id int, g string, body string, score int")
+    told = corpus.reject_reasons(rows, "g", "id", "body", "score")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("(?U)\\s+") == 1 and plan.count("\\Qmasterpiece\\E") == 1
+    assert {r.id: r.reason for r in told.collect()} == {1: "too_short", 2: "too_short", 3: "score_text_mismatch", 4: "score_text_mismatch", 5: None, 6: "duplicate"}
