@@ -14,34 +14,56 @@ from ..functions.text import col
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 
 
-def _values(field: Column, low: int, high: int) -> Column:
-    """The field's values in ascending order, or null."""
+def _once(rows: DataFrame, *values: Column) -> DataFrame:
+    """rows with the values, each worked out once however often it is looked at: as plain columns they would be written out at each place."""
+    return rows.select("*", F.inline(F.array(F.struct(*values))))
+
 
-    def chunk(x: Column) -> Column:
-        part = lambda k: F.regexp_extract(x, r"^(\*|([0-9]{1,4})(?:-([0-9]{1,4}))?)(?:/([0-9]{1,4}))?$", k)
-        number = lambda k: part(k).try_cast("int")
-        start = F.when(part(1) == "*", F.lit(low)).otherwise(number(2))
-        step = F.when(part(4) == "", F.lit(1)).otherwise(number(4))
+def _chunks(field: Column, low: int, high: int) -> Column:
+    """The values of each part of a field's list, null for a part that is none."""
+    part = lambda x, k: F.regexp_extract(x, r"^(\*|([0-9]{1,4})(?:-([0-9]{1,4}))?)(?:/([0-9]{1,4}))?$", k)
+    parts = F.transform(F.split(field, ","), lambda x: F.struct(*[part(x, k + 1).alias(n) for k, n in enumerate(("span", "first", "last", "step"))]))
+
+    def bounds(x: Column) -> Column:
+        number = lambda n: x[n].try_cast("int")
+        start = F.when(x["span"] == "*", F.lit(low)).otherwise(number("first"))
+        step = F.when(x["step"] == "", F.lit(1)).otherwise(number("step"))
         # A step without a range goes on to the field's end.
-        stop = F.when(part(1) == "*", F.lit(high)).when(part(3) != "", number(3)).when(part(4) != "", F.lit(high)).otherwise(start)
-        sound = start.between(low, high) & stop.between(low, high) & (start <= stop) & (step >= 1)
-        return F.when(sound, F.sequence(start, stop, step))
+        stop = F.when(x["span"] == "*", F.lit(high)).when(x["last"] != "", number("last")).when(x["step"] != "", F.lit(high)).otherwise(start)
+        return F.struct(start.alias("start"), stop.alias("stop"), step.alias("step"))
 
-    chunks = F.transform(F.split(field, ","), chunk)
-    return F.when(F.forall(chunks, lambda x: x.isNotNull()), F.array_sort(F.array_distinct(F.flatten(chunks))))
+    def span(x: Column) -> Column:
+        sound = x["start"].between(low, high) & x["stop"].between(low, high) & (x["start"] <= x["stop"]) & (x["step"] >= 1)
+        return F.when(sound, F.sequence(x["start"], x["stop"], x["step"]))
 
+    return F.transform(F.transform(parts, bounds), span)
 
-def parsed(cron: Column | str) -> Column:
-    """A struct of the five fields' values, or null for what is no schedule."""
+
+def _split(cron: Column | str) -> dict[str, Column]:
+    """The chunks of each field."""
     parts = F.split(F.trim(col(cron)), r"\s+")
-    own = {name: _values(F.get(parts, F.lit(k)), low, high) for k, (name, low, high) in enumerate(FIELDS)}
-    own["weekday"] = F.array_sort(F.array_distinct(F.transform(own["weekday"], lambda d: d % 7)))
     sound = F.size(parts) == len(FIELDS)
+    return {name: F.when(sound, _chunks(F.get(parts, F.lit(k)), low, high)) for k, (name, low, high) in enumerate(FIELDS)}
+
+
+def _values(name: str, chunks: Column) -> Column:
+    """The field's values in ascending order, or null."""
+    listed = F.flatten(chunks)  # null if one of them is
+    return F.array_sort(F.array_distinct(F.transform(listed, lambda d: d % 7) if name == "weekday" else listed))
+
+
+def _struct(own: dict[str, Column]) -> Column:
+    sound = F.lit(True)
     for values in own.values():
         sound = sound & values.isNotNull()
     return F.when(sound, F.struct(*[v.alias(k) for k, v in own.items()]))
 
 
+def parsed(cron: Column | str) -> Column:
+    """A struct of the five fields' values, or null for what is no schedule."""
+    return _struct({name: _values(name, chunks) for name, chunks in _split(cron).items()})
+
+
 def compiled(cron: str) -> Column:
     """The fields' values of one known schedule, worked out once; a text that is none raises an error."""
     parts = cron.split()
@@ -84,18 +106,22 @@ def _days(fields: Column, first: Column, months: int) -> Column:
     return F.filter(days, lambda d: (d >= first) & F.array_contains(fields["weekday"], F.dayofweek(d) - 1))
 
 
-def next_run(fields: Column, after: Column, years: int = 40) -> Column:
-    """The first time after `after` at which a parsed schedule runs, within so many years; null if there is none.
+def _times(fields: Column) -> Column:
+    """The minutes of a day at which a schedule runs, sorted."""
+    return F.array_sort(F.flatten(F.transform(fields["hour"], lambda h: F.transform(fields["minute"], lambda m: h * 60 + m))))
 
-    Days and times of a day are sought apart, each as the successor among sorted values: the next time on the day itself if it is one of
-    the schedule's, else the first time of its next day. The near months are looked at first, the others only if those have none."""
+
+def _later(fields: Column, after: Column, years: int) -> Column:
+    """The schedule's first day after that of a time. The near months are looked at first, the others only if those have none."""
+    tomorrow = F.date_add(F.to_date(after.cast("timestamp")), 1)
+    return F.coalesce(F.array_min(_days(fields, tomorrow, 2)), F.array_min(_days(fields, tomorrow, 12 * years)))
+
+
+def _run(fields: Column, times: Column, later: Column, after: Column, years: int) -> Column:
     at = after.cast("timestamp")
-    times = F.array_sort(F.flatten(F.transform(fields["hour"], lambda h: F.transform(fields["minute"], lambda m: h * 60 + m))))
     today = F.to_date(at)
     rest = F.filter(times, lambda t: t > F.hour(at) * 60 + F.minute(at))
     is_today = F.array_contains(fields["month"], F.month(today)) & F.array_contains(fields["day"], F.dayofmonth(today)) & F.array_contains(fields["weekday"], F.dayofweek(today) - 1)
-    tomorrow = F.date_add(today, 1)
-    later = F.coalesce(F.array_min(_days(fields, tomorrow, 2)), F.array_min(_days(fields, tomorrow, 12 * years)))
     day, minute = (
         F.when(is_today & (F.size(rest) > 0), today).otherwise(later),
         F.when(is_today & (F.size(rest) > 0), F.get(rest, F.lit(0))).otherwise(F.get(times, F.lit(0))),
@@ -104,7 +130,20 @@ def next_run(fields: Column, after: Column, years: int = 40) -> Column:
     return F.when(F.months_between(day, today) <= 12 * years, F.timestamp_seconds(start + minute * 60))
 
 
+def next_run(fields: Column, after: Column, years: int = 40) -> Column:
+    """The first time after `after` at which a parsed schedule runs, within so many years; null if there is none.
+
+    Days and times of a day are sought apart, each as the successor among sorted values: the next time on the day itself if it is one of
+    the schedule's, else the first time of its next day."""
+    return _run(fields, _times(fields), _later(fields, after, years), after, years)
+
+
 def next_runs(schedules: DataFrame, cron: str, after: Column, years: int = 40) -> DataFrame:
-    """schedules with next_at: when each runs next, null if it never does within so many years or its text is no schedule."""
-    rows = schedules.withColumn("_fields", parsed(cron))
-    return rows.withColumn("next_at", next_run(F.col("_fields"), after, years)).drop("_fields")
+    """schedules with next_at: when each runs next, null if it never does within so many years or its text is no schedule.
+
+    Schedules are short and take long, so a file of very many is one task's to read: they are dealt anew over all cores."""
+    schedules = schedules.repartition(4 * schedules.sparkSession.sparkContext.defaultParallelism)
+    rows = _once(schedules, *[c.alias(f"_{name}") for name, c in _split(cron).items()])
+    rows = _once(rows, _struct({name: _values(name, F.col(f"_{name}")) for name, *_ in FIELDS}).alias("_fields")).drop(*[f"_{name}" for name, *_ in FIELDS])
+    rows = _once(rows, _times(F.col("_fields")).alias("_times"), _later(F.col("_fields"), after, years).alias("_later"))
+    return rows.withColumn("next_at", _run(F.col("_fields"), F.col("_times"), F.col("_later"), after, years)).drop("_fields", "_times", "_later")

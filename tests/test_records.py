@@ -220,3 +220,12 @@ def test_evict_over_runs(spark):
 def test_merges_of_repeats(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (2, "c", 2)], "k long, v string, seq long")
     assert sorted(tuple(r) for r in merge.last_wins(df, ["k"], "seq").collect()) == [(1, "b", 3), (2, "c", 2)]
+
+
+def test_schedules_are_read_once_and_dealt(spark):
+    """Each field's pattern is looked for once, and rows that lie in one task are worked on by many."""
+    rows = spark.range(40, numPartitions=1).select("id", F.concat(F.col("id").cast("string"), F.lit(" 6-10/2,20 * * 1,7")).alias("cron"))
+    found = schedule.next_runs(rows, "cron", F.lit("2024-02-26 10:07:00"), years=1)
+    assert found.rdd.getNumPartitions() > 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 5 * 4
+    assert {r.next_at for r in found.collect()} == {dt.datetime(2024, 2, 26, 10 if k > 7 else 20, k) for k in range(40)}
