@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, release, settle
@@ -178,9 +178,10 @@ def jaccard_components(
     as_smaller = f"pos <= n - ceil({2 * percent} * n / {100 + percent}D)"
     as_larger = f"pos <= n - ceil({percent} * n / 100D)"
     prefix = first.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    lists = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = lists.filter("lo <> hi").select("token")
-    member = settle(prefix.join(shared, "token").distinct())
+    # Rows of a token lie beside each other, so its nodes are seen where they lie and prefixes are shuffled once.
+    of_token = Window.partitionBy("token")
+    seen_by = prefix.withColumns({"lo": F.min("node").over(of_token), "hi": F.max("node").over(of_token)})
+    member = settle(seen_by.filter("lo <> hi").drop("lo", "hi").select("token", "node", "n", "pos").distinct())
     release(first)
     able = settle(member.groupBy("node", "n").count().filter(f"count >= {needed}").select("node"))
     loose, member = member, settle(member.join(able, "node"))
