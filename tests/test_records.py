@@ -1,5 +1,6 @@
 """Parsers, pages, state and schedules on small rows written here."""
 
+import dataclasses
 import datetime as dt
 import json
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomscore.functions import records
 from loomscore.operators import catalog, detail, merge, monitor, ops, schedule, similarity, snapshots
+from loomscore.settings import DEFAULT
 from loomscore.sources import details
 from loomscore.streaming import stream
 
@@ -189,6 +191,28 @@ def test_similarity_parts(spark):
     assert (5, 6) not in got or got[5, 6].components.penalty == 0.35
 
 
+def test_similar_among_makes_few_pairs(spark):
+    """The same rows as from all pairs, where many items share values; before, every candidate of every item became a row with both items' features."""
+    rows = [
+        (k, [f"t{k % 3}", f"u{k % 2}"] if k % 11 else [], f"s{k % 4}" if k % 5 else None, ["m"] if k % 7 else [], [f"p{k % 2}"], [f"c{k % 3}"], k * 31 % 101 if k % 6 else None,
+         1990 + k % 30 if k % 13 else None, [f"w{k % 4}", "x"], k % 9 if k % 4 else None, k % 8, {"story": ("positive", "negative", "absent")[k % 3]} if k % 3 else None)
+        for k in range(400)
+    ]
+    shape = "item_id long, tags array<string>, series string, makers array<string>, publishers array<string>, channels array<string>, score int, year int, words array<string>, family long, n_reviews long, aspects map<string,string>"
+    items, branches = spark.createDataFrame(rows, shape), [("tags", 60), ("makers", 30), ("family", 20), ("series", 20)]
+    narrow = dataclasses.replace(DEFAULT, similar_candidates=90, similar_top=5)
+    seen = []
+    pairs = similarity.candidates(items, branches, 90)
+    want = sorted(map(tuple, similarity.similar(items, pairs, narrow).select("item_id", "other_id", "similarity", "rank", "reason").collect()), key=repr)
+    plain, similarity.similar = similarity.similar, lambda i, p, s: seen.append(p.count()) or plain(i, p, s)
+    try:
+        got = similarity.similar_among(items, branches, narrow)
+    finally:
+        similarity.similar = plain
+    assert sorted(map(tuple, got.select("item_id", "other_id", "similarity", "rank", "reason").collect()), key=repr) == want
+    assert seen[0] * 2 < pairs.count()
+
+
 def test_late_events_change_nothing(spark, tmp_path):
     """The second file is older than the first: its events are late, whatever the machine would have said."""
     shape = "user_id long, event_id long, event_type string, ts timestamp"
