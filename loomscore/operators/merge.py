@@ -101,7 +101,11 @@ def next_versions(history: DataFrame, fresh: DataFrame, group: str) -> DataFrame
 
 
 def link_changes(current: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Links to insert and to delete."""
-    add = wanted.select(*keys).distinct().join(current, list(keys), "left_anti").withColumn("change", F.lit("insert"))
-    gone = current.select(*keys).distinct().join(wanted, list(keys), "left_anti").withColumn("change", F.lit("delete"))
-    return add.unionByName(gone)
+    """Links to insert and to delete. One aggregate, combined before the shuffle: nothing is sorted or joined."""
+    both = current.select(*keys, F.lit(True).alias("_had")).unionByName(wanted.select(*keys, F.lit(False).alias("_had")))
+    links = both.groupBy(*keys).agg(F.bool_or("_had").alias("_in"), F.bool_or(~F.col("_had")).alias("_asked"))
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    change = F.array(F.when(F.col("_asked") & (~F.col("_in") | null), "insert"), F.when(F.col("_in") & (~F.col("_asked") | null), "delete"))
+    return links.select(*keys, F.explode(F.array_compact(change)).alias("change"))

@@ -191,6 +191,14 @@ def test_similarity_parts(spark):
     assert (5, 6) not in got or got[5, 6].components.penalty == 0.35
 
 
+def test_link_changes_sort_nothing(spark):
+    have = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (None, 3)], "a long, b long")
+    want = spark.createDataFrame([(2, 2), (4, 4), (4, 4), (None, 3)], "a long, b long")
+    found = merge.link_changes(have, want, ["a", "b"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, 1, "delete"), (4, 4, "insert"), (None, 3, "insert"), (None, 3, "delete")], key=repr)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before, two joins with both sides sorted in one task
+
+
 def test_similar_among_makes_few_pairs(spark):
     """The same rows as from all pairs, where many items share values; before, every candidate of every item became a row with both items' features."""
     rows = [
