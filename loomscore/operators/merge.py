@@ -19,9 +19,11 @@ def last_wins(delta: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 
 
 def replace_groups(target: DataFrame, rows: DataFrame, by: Sequence[str], groups: DataFrame) -> DataFrame:
-    """target with the named groups' rows replaced; a group without new rows is empty afterwards."""
-    kept = target.join(groups.select(*by).distinct(), list(by), "left_anti")
-    return kept.unionByName(rows.join(groups.select(*by).distinct(), list(by), "left_semi"))
+    """target with the named groups' rows replaced; a group without new rows is empty afterwards.
+
+    The groups, of each one row, are hashed in the tasks that they are dealt over, so neither side is sorted or held."""
+    named = groups.select(*by).distinct().hint("shuffle_hash")
+    return target.join(named, list(by), "left_anti").unionByName(rows.join(named, list(by), "left_semi"))
 
 
 def one_each(delta: DataFrame, keys: Sequence[str], seq: str | None = None, last: bool = True) -> DataFrame:

@@ -225,3 +225,24 @@ def test_titles_are_compared_where_they_meet(spark):
     index = titles.trigram_index(rows, "name")
     found = titles.resembling(index, rows, "name")
     assert {"grams", "signs"} <= set(index.postings.columns) and found.count() == found.distinct().count() == 1600
+
+
+@pytest.fixture
+def large(spark):
+    """As among large tables: nothing is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replaced_groups_are_not_sorted(spark, large):
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3), (None, "d", 4)], ROW)
+    new = spark.createDataFrame([(1, "x", 9), (1, "y", 8), (3, "z", 7), (None, "n", 6)], ROW)
+    groups = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    found = merge.replace_groups(old, new, ["k"], groups)
+    assert "Sort" not in plan_of(found)  # before, all rows of the target were sorted by their group
+    assert rows_of(found) == sorted([(1, "x", 9), (1, "y", 8), (2, "c", 3), (None, "d", 4)], key=str)
