@@ -246,3 +246,11 @@ def test_replaced_groups_are_not_sorted(spark, large):
     found = merge.replace_groups(old, new, ["k"], groups)
     assert "Sort" not in plan_of(found)  # before, all rows of the target were sorted by their group
     assert rows_of(found) == sorted([(1, "x", 9), (1, "y", 8), (2, "c", 3), (None, "d", 4)], key=str)
+
+
+def test_facets_sort_no_links(spark, large):
+    links = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 8), (None, 8)], "item_id long, channel_id long")
+    items = spark.createDataFrame([(1,), (1,), (2,), (None,)], "item_id long")
+    found = catalog.facet(links, items, "channel_id")
+    assert "Sort" not in plan_of(found)  # before, links were sorted by their item
+    assert rows_of(found) == [(7, 2)]
