@@ -14,12 +14,17 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+#: Rows that a task holds of a file.
+BATCH = 8192
+
+
 @dataclass
 class Ids(InputPartition):
     """Events after one id up to another."""
@@ -68,9 +73,27 @@ class LogReader(DataSourceStreamReader):
         return [Ids(k, min(k + self.task_rows, upto)) for k in range(after, upto, self.task_rows)] or [Ids(upto, upto)]
 
     def read(self, partition: Ids) -> Iterator[pa.RecordBatch]:
-        if partition.after < partition.upto:
-            own = (ds.field(self.key) > partition.after) & (ds.field(self.key) <= partition.upto)
-            yield from (b for b in self._log().scanner(columns=self.names, filter=own).to_batches() if b.num_rows)
+        """Files are read a few thousand rows at a time, however long their row groups are; groups whose statistics lie outside are not opened."""
+        if partition.after >= partition.upto:
+            return
+        log = self._log()
+        shape = pa.schema([log.schema.field(name) for name in self.names])
+        for piece in log.get_fragments():
+            groups = [g.id for g in piece.row_groups if self._meets(g, partition)]
+            if not groups:
+                continue
+            with pq.ParquetFile(piece.path, filesystem=log.filesystem, pre_buffer=False) as file:
+                known = set(file.schema_arrow.names)
+                wanted = [name for name in dict.fromkeys([*self.names, self.key]) if name in known]
+                for batch in file.iter_batches(BATCH, groups, wanted, use_threads=False):
+                    own = pc.and_(pc.greater(batch[self.key], partition.after), pc.less_equal(batch[self.key], partition.upto))
+                    kept = batch.filter(own)
+                    if kept.num_rows:
+                        yield pa.RecordBatch.from_arrays([kept[f.name].cast(f.type) if f.name in known else pa.nulls(kept.num_rows, f.type) for f in shape], schema=shape)
+
+    def _meets(self, group: ds.RowGroupInfo, ids: Ids) -> bool:
+        found = (group.statistics or {}).get(self.key)
+        return not found or (found["max"] > ids.after and found["min"] <= ids.upto)
 
 
 class EventLog(DataSource):

@@ -4,6 +4,8 @@ import datetime as dt
 import json
 from collections import defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,16 @@ def test_keys_dealt_over_any_groups(spark, tmp_path):
         out = stream.drain(ordered.decide_in_order(events, LEASES, "1 hour", groups=groups), f"file://{tmp_path}/{groups}")
         got = sorted((r.key, (r.at - START).total_seconds(), r.event_id, r.decision) for r in out.filter("key >= 0").collect())
         assert got == folded(rows, LEASES, 300_000 - 3600)
+
+
+def test_a_long_row_group_is_read_piece_by_piece(tmp_path):
+    whole = pa.table({"event_id": range(100_000), "user_id": ["u"] * 100_000, "at": [0.5] * 100_000})
+    pq.write_table(whole, tmp_path / "a.parquet", row_group_size=100_000)
+    later = pa.table({"event_id": pa.array([100_000, None, 100_001], pa.int32())})  # another type, and no other columns
+    pq.write_table(later, tmp_path / "b.parquet", write_statistics=False)
+    reader = eventlog.LogReader(type("S", (), {"names": ["user_id", "event_id"]}), {"path": str(tmp_path)})
+    batches = list(reader.read(eventlog.Ids(10, 100_001)))
+    rows = pa.Table.from_batches(batches)
+    assert rows["event_id"].to_pylist() == list(range(11, 100_002)) and rows["user_id"].to_pylist() == ["u"] * 99_989 + [None] * 2
+    assert max(b.num_rows for b in batches) <= 10_000  # before, as many as the group has
+    assert list(reader.read(eventlog.Ids(200_000, 200_001))) == [] == list(reader.read(eventlog.Ids(7, 7)))
