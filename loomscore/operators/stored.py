@@ -115,7 +115,7 @@ class StoredTable:
         told = json.loads(self.folder.get("change/told"))
         if told["filled"]:
             staged = self.spark.read.schema(StructType(self.schema.fields).add(BUCKET, IntegerType())).parquet(f"{self.path}/change/rows")
-            writer = staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")  # its files are of one bucket each: no shuffle
             writer.partitionBy(BUCKET).parquet(f"{self.path}/rows")
         for b in told["empty"]:
             self.folder.delete(f"rows/{BUCKET}={b}")
@@ -161,7 +161,11 @@ class MaintainedRollup:
         return self
 
     def apply(self, delta: DataFrame) -> None:
-        """A delta (item_id, channel_id, critic, critic_count, user, user_count, is_lead), each channel once."""
+        """A delta (item_id, channel_id, critic, critic_count, user, user_count, is_lead), each channel once. It is worked out once, beside the table, however often it is read."""
+        folder, path = self.channels.folder, f"{self.channels.path}/delta"
+        folder.delete("delta")  # of a change that broke off
+        delta.write.parquet(path)
+        delta = self.channels.spark.read.schema(delta.schema).parquet(path)
         supplied = F.col("user").isNotNull() | (F.coalesce("user_count", F.lit(0)) > 0)
         items = delta.select("item_id").distinct()
         buckets = self.channels.touched(items)
@@ -170,6 +174,7 @@ class MaintainedRollup:
         merged = merge.upsert(led, delta, self.KEYS, self.CHANGED, {"user": supplied, "user_count": supplied})
         self.channels.rewrite(buckets, merged.select(*self.channels.schema.names))
         self.rollups.replace_groups(catalog.rollup(self.channels.read(buckets).join(items, "item_id", "left_semi")), items)
+        folder.delete("delta")
 
     def read(self) -> DataFrame:
         return self.rollups.read()

@@ -254,3 +254,21 @@ def test_facets_sort_no_links(spark, large):
     found = catalog.facet(links, items, "channel_id")
     assert "Sort" not in plan_of(found)  # before, links were sorted by their item
     assert rows_of(found) == [(7, 2)]
+
+
+def test_a_maintained_rollup_works_out_its_delta_once(spark, tmp_path):
+    shape = "item_id long, channel_id long, critic int, critic_count long, user double, user_count long, is_lead boolean"
+    own = spark.createDataFrame([(k, c, 50, 3, 5.0, 4, c == 1) for k in range(4) for c in (1, 2)], shape)
+    kept = stored.MaintainedRollup(spark, f"file://{tmp_path}/t", buckets=4).create(own)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    delta = own.filter(counted("item_id") == 2).withColumn("critic", F.lit(90))
+    kept.apply(delta)
+    assert seen.value == 8  # one pass over the rows that the delta is made of; before, each read of the delta was one
+    assert {r.item_id: r.critic for r in kept.read().collect()} == {0: 50, 1: 50, 2: 90, 3: 50}
+    assert not (tmp_path / "t/channels/delta").exists()
