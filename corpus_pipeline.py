@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscore.llm.common import numbered, release, settle, table
+from loomscore.llm.common import numbered, release, settle, sifted, table
 from loomscore.llm.jaccard import jaccard_components
 from loomscore.llm.line_dedup import drop_spread_lines
 from loomscore.llm.mixing import mix_sources
@@ -48,8 +48,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id")
     later = settle(gone.selectExpr("doc_id AS later_id", "text_hash AS later_hash").distinct())
     repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
-    is_later = F.col(key).eqNullSafe(F.col("later_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("later_hash"))
-    kept = rows.join(later, is_later, "left_anti")
+    text_hash = F.xxhash64(F.col(text).cast("string"))
+    is_later = F.col(key).eqNullSafe(F.col("later_id")) & (text_hash == F.col("later_hash"))
+    judged = sifted(rows, F.xxhash64(F.col(key).cast("long"), text_hash), later, F.xxhash64("later_id", "later_hash"))
+    kept = judged.filter("_maybe").drop("_maybe").join(later, is_later, "left_anti").union(judged.filter("NOT _maybe").drop("_maybe"))
     if not repeated.isEmpty():
         is_again = F.col(key) == F.col("again")
         once = kept.join(repeated, is_again, "left_semi").dropDuplicates([key, text])

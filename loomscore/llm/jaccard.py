@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, release, settle
+from .common import connected_components, release, settle, sifted
 from .wordhash import mix, pieces, shingle_sets
 
 #: Counters of the count-min row are sent in runs of so many.
@@ -188,7 +188,7 @@ def jaccard_components(
     release(loose)
 
     # The sets of the nodes that share a prefix token with another.
-    wanted = nodes.join(able, "node").select("key", "node", "text_hash")
+    wanted = settle(nodes.join(able, "node").select("key", "node", "text_hash"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in pieces(batches, "text"):
@@ -204,7 +204,9 @@ def jaccard_components(
     def sets_of(texts: DataFrame) -> DataFrame:
         return texts.mapInArrow(sets, "node long, sign long, tokens array<long>").filter("node = sign").select("node", "tokens")
 
-    keyed = docs.join(wanted.filter("key IS NOT NULL").select("key", "node"), "key").select("node", "text")
+    owners = wanted.filter("key IS NOT NULL").select("key", "node")
+    likely = sifted(docs.select("key", "text"), F.xxhash64("key"), owners, F.xxhash64("key")).filter("_maybe")  # other texts stay where they are
+    keyed = likely.join(owners, "key").select("node", "text")
     whole = settle(sets_of(keyed))
     # One row for each node: repeats of a key with its text, and texts without any key, are known from the counts of rows.
     repeated = not rows.filter("key IS NOT NULL AND n > 0").groupBy("key", "node").count().filter("count > 1").isEmpty()

@@ -3,13 +3,16 @@
 import contextlib
 import random
 
+import corpus_pipeline
 from py4j.protocol import Py4JJavaError
+from pyspark.sql import functions as F
 
+from loomscore.llm.common import sifted
 from loomscore.llm.jaccard import jaccard_components
 
 
-def records_shuffled(spark, job):
-    """What job() returns, and the rows that it writes to shuffles."""
+def records_shuffled(spark, job, what="shuffleWriteRecords"):
+    """What job() returns, and the rows (or what else is counted) that it writes to shuffles."""
     context = spark.sparkContext._jsc.sc()
     first = context.dagScheduler().nextStageId()
     out = job()
@@ -17,7 +20,7 @@ def records_shuffled(spark, job):
     sent = 0
     for k in range(first, context.dagScheduler().nextStageId()):
         with contextlib.suppress(Py4JJavaError):  # a stage that never ran
-            sent += context.statusStore().lastStageAttempt(k).shuffleWriteRecords()
+            sent += getattr(context.statusStore().lastStageAttempt(k), what)()
     return out, sent
 
 
@@ -33,3 +36,27 @@ def test_jaccard_sends_prefixes_once(spark):
     assert {r.doc_id: r.component_id for r in rows} == {**{k: k for k in range(100)}, 100: 0, 101: 1}
     prefixes = 101 * (400 - 320 + 40)  # of all distinct sets; before, each was sent twice
     assert prefixes <= sent < 1.5 * prefixes
+
+
+def test_near_copies_leave_other_texts_where_they_are(spark):
+    rng = random.Random(8)
+    texts = [f"{rng.randbytes(10_000).hex()} {k}" for k in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[0]), (201, texts[1]), (None, texts[2]), (None, "alone")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as among large tables
+    try:
+        rows, sent = records_shuffled(spark, lambda: corpus_pipeline.near_copy_stage(spark, docs, "").collect(), "shuffleWriteBytes")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in rows if r.doc_id is not None) == [(False, k, t) for k, t in enumerate(texts)]
+    assert [r.text for r in rows if r.doc_id is None] == ["alone"]
+    assert sent < sum(map(len, texts)) / 8  # before, each text was sent with its row
+
+
+def test_sifted_drops_no_partner(spark):
+    few = spark.range(0, 3_000, 3).selectExpr("id AS a", "CAST(id AS string) AS b").union(spark.sql("SELECT CAST(NULL AS bigint), 'n'"))
+    many = spark.range(10_000).selectExpr("id AS k", "CAST(id AS string) AS s", "repeat('x', 5) AS text").union(spark.sql("SELECT CAST(NULL AS bigint), 'n', 'y'"))
+    rows = sifted(many, F.xxhash64("k", "s"), few, F.xxhash64("a", "b"))
+    assert rows.columns == ["k", "s", "text", "_maybe"] and rows.count() == 10_001
+    maybe = {r.k for r in rows.filter("_maybe").collect()}
+    assert {None, *range(0, 3_000, 3)} <= maybe and len(maybe) < 1_100
+    assert sifted(many, F.xxhash64("k"), few.limit(0), F.xxhash64("a")).filter("_maybe").count() == 0
