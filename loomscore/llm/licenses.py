@@ -233,15 +233,17 @@ def scan_licenses(
     given = given.agg(F.max("by_name").alias("by_name"), F.max("cosine").alias("cosine"), F.min("path").alias("path"))
     given = settle(given.withColumn("k", F.row_number().over(first)).filter("k = 1").selectExpr("dir AS ancestor", "own_license AS given"))
     dirs = settle(judged.filter("dir IS NOT NULL AND own_license IS NULL").groupBy("dir").agg(F.count("*").alias("n")))
-    sizes = dirs.agg(F.count("*").alias("dirs"), F.max("n").alias("files")).first()
+    sizes = dirs.agg(F.count("*").alias("dirs"), F.max("n").alias("most"), F.sum("n").alias("files")).first()
     parts = F.split("dir", "/")
     depths = F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))))
     above = dirs.withColumn("depth", depths).withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
-    nearest = join_hot(above, given, ["ancestor"], salts=salts_for(sizes["dirs"]), by="dir").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
+    nearest = join_hot(above, given, ["ancestor"], salts=salts_for(sizes["dirs"]), by="dir", few_rows=given.count()).groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("near"))
     nearest = settle(nearest.selectExpr("dir", "near.ancestor AS ancestor", "near.given AS given"))
-    # Files that lack a licence meet their directory's, those of one directory dealt over several tasks; the others meet nothing.
+    # Files that lack a licence meet their directory's; those of one with over a thousandth of all files, which a thousand are at most, are dealt over
+    # several tasks. There may be nearly as many directories as files, so these are never sent to every task. The others meet nothing.
+    hot = dirs.filter(F.col("n") > (sizes["files"] or 0) / 1000)
     lacks = F.col("own_license").isNull() & F.col("dir").isNotNull()
-    met = join_hot(judged.filter(lacks), nearest, ["dir"], "left", salts=salts_for(sizes["files"] or 0))
+    met = join_hot(judged.filter(lacks), nearest, ["dir"], "left", salts=salts_for(sizes["most"] or 0), hot=hot)
     joined = met.unionByName(judged.filter(~lacks), allowMissingColumns=True)
     return joined.select(
         F.col("key").alias(key),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomscore.llm.common import sifted
 from loomscore.llm.jaccard import jaccard_components
+from loomscore.llm.licenses import scan_licenses
 
 
 def records_shuffled(spark, job, what="shuffleWriteRecords"):
@@ -60,3 +61,14 @@ def test_sifted_drops_no_partner(spark):
     maybe = {r.k for r in rows.filter("_maybe").collect()}
     assert {None, *range(0, 3_000, 3)} <= maybe and len(maybe) < 1_100
     assert sifted(many, F.xxhash64("k"), few.limit(0), F.xxhash64("a")).filter("_maybe").count() == 0
+
+
+def test_directories_are_not_sent_to_every_task(spark):
+    """Nearly as many directories as files, one of them with half of all: those that inherit were sent out sixteen times over."""
+    files = [(0, "LICENSE", "Licensed under the MIT License."), (1, "b/LICENSE", "Licensed under the ISC License."), (2, None, "x"), (3, None, None)]
+    files += [(k, f"{'ab'[k % 2]}/{k}/x.py" if k < 2_000 else "b/c/x.py", f"import x{k}") for k in range(10, 4_000)]
+    df = scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string"))
+    got = {r.doc_id: (r.license, r.from_directory) for r in df.collect()}
+    assert got == {0: ("MIT", None), 1: ("ISC", None), 2: (None, None), 3: (None, None)} | {k: ("ISC", "b") if k % 2 or k >= 2_000 else ("MIT", "") for k in range(10, 4_000)}
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "_salt" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x]
