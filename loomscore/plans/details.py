@@ -94,15 +94,11 @@ def drifted_payloads(spark, d):
 @query(f"""SELECT {_SLUG} AS slug, p_size % 7 = 0 AS moved FROM part WHERE {_SOUND}""")
 def change_fingerprint(spark, d):
     """Whether a detail's fingerprint moves when its title does, and only then: the counts of user ratings move for all."""
-
-    def prints(title):
-        body = payloads(spark, d)
-        body = body.withColumn("body", title(F.col("body")))
-        return details.change_fingerprint(details.detail_items(body), details.detail_channels(body), details.detail_tags(body), details.detail_companies(body))
-
     seventh = F.regexp_extract("body", r"size ([0-9]+) ", 1).cast("int") % 7 == 0
-    changed = prints(lambda b: F.when(seventh, F.replace(b, F.lit('"title":"'), F.lit('"title":"New '))).otherwise(F.replace(b, F.lit('"unknownField":"never'), F.lit('"unknownField":"ever'))))
-    return prints(lambda b: b).join(changed.withColumnRenamed("print", "after"), "slug").select("slug", (F.col("print") != F.col("after")).alias("moved"))
+    titled = F.replace("body", F.lit('"title":"'), F.lit('"title":"New '))
+    changed = F.when(seventh, titled).otherwise(F.replace("body", F.lit('"unknownField":"never'), F.lit('"unknownField":"ever')))
+    before = details.change_fingerprint(payloads(spark, d).withColumn("changed", changed)).select("changed", F.col("print").alias("before"))
+    return details.change_fingerprint(before, "changed").select("slug", (F.col("print") != F.col("before")).alias("moved"))
 
 
 @query("""SELECT 'item-' || p_partkey AS slug, p_name AS title, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(round_even(p_size * 1.5, 0) AS INT) END AS critic, p_size / 10.0::DOUBLE AS "user", 'c.jpg' AS cover FROM part""")

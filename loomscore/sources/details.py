@@ -86,27 +86,31 @@ def _sound(payloads: DataFrame, body: str) -> DataFrame:
     return products(payloads, body).filter("product.slug IS NOT NULL AND product.title IS NOT NULL")
 
 
+def _item_columns(p: Column) -> dict[str, Column]:
+    """A product's own fields, its first franchise and its family."""
+    video = p["video"]
+    return {
+        "slug": p["slug"],
+        "title": p["title"],
+        "title_norm": text.normalize_title(p["title"]),
+        "source_id": p["id"],
+        "description": text.clean_body(p["description"]),
+        "rating": p["rating"],
+        "must_play": F.coalesce(p["mustPlay"], F.lit(False)),
+        "year": p["premiereYear"],
+        "release_date": records.lenient_date(p["releaseDate"]),
+        "cover": image_of(p["images"], "mainImage"),
+        "card": image_of(p["images"], "cardImage"),
+        "video_url": F.coalesce(video["embedUrl"], video["manifestUrl"]),
+        "video_title": F.coalesce(video["videoTitle"], video["title"]),
+        "franchise": F.get(p["gameTaxonomy"]["franchises"], F.lit(0))["name"],
+        "family_id": p["gameTaxonomy"]["family"]["id"],
+    }
+
+
 def detail_items(payloads: DataFrame, body: str = "body") -> DataFrame:
     """One row for each payload: the item's own fields, its first franchise and its family."""
-    p = F.col("product")
-    video = p["video"]
-    return _sound(payloads, body).select(
-        p["slug"].alias("slug"),
-        p["title"].alias("title"),
-        text.normalize_title(p["title"]).alias("title_norm"),
-        p["id"].alias("source_id"),
-        text.clean_body(p["description"]).alias("description"),
-        p["rating"].alias("rating"),
-        F.coalesce(p["mustPlay"], F.lit(False)).alias("must_play"),
-        p["premiereYear"].alias("year"),
-        records.lenient_date(p["releaseDate"]).alias("release_date"),
-        image_of(p["images"], "mainImage").alias("cover"),
-        image_of(p["images"], "cardImage").alias("card"),
-        F.coalesce(video["embedUrl"], video["manifestUrl"]).alias("video_url"),
-        F.coalesce(video["videoTitle"], video["title"]).alias("video_title"),
-        F.get(p["gameTaxonomy"]["franchises"], F.lit(0))["name"].alias("franchise"),
-        p["gameTaxonomy"]["family"]["id"].alias("family_id"),
-    )
+    return _sound(payloads, body).select(*[c.alias(k) for k, c in _item_columns(F.col("product")).items()])
 
 
 def detail_channels(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -134,23 +138,46 @@ def detail_tags(payloads: DataFrame, body: str = "body") -> DataFrame:
     return rows.select("slug", "position", text.slug("x.name").alias("tag"), F.col("x.name").alias("name"))
 
 
+def _role(company: Column) -> Column:
+    return F.when(F.lower(company["typeName"]) == "developer", "developer").otherwise("publisher")
+
+
 def detail_companies(payloads: DataFrame, body: str = "body") -> DataFrame:
     """One row for each company and role (developer, or publisher for any other) of an item, in the order of first mention."""
     rows = _sound(payloads, body).select(F.col("product.slug").alias("slug"), F.posexplode("product.production.companies").alias("position", "x"))
-    role = F.when(F.lower("x.typeName") == "developer", "developer").otherwise("publisher")
-    rows = rows.select("slug", "position", text.slug("x.name").alias("company"), role.alias("role"), F.col("x.name").alias("name"))
+    rows = rows.select("slug", "position", text.slug("x.name").alias("company"), _role(F.col("x")).alias("role"), F.col("x.name").alias("name"))
     first = rows.groupBy("slug", "company", "role").agg(F.min(F.struct("position", "name")).alias("x"))
     return first.select("slug", "company", "role", "x.position", "x.name")
 
 
-def change_fingerprint(items: DataFrame, channels: DataFrame, tags: DataFrame, companies: DataFrame) -> DataFrame:
-    """(slug, print): over what should set off work when it changes. Times and the counts of user ratings move all the time and are left out."""
-    each = lambda rows, c, name: rows.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list(c)), "|").alias(name))
-    said = F.concat_ws(":", "channel", F.coalesce(F.col("score").cast("string"), F.lit("-")), F.col("n_reviews").cast("string"))
-    rows = items.join(each(channels, said, "channels"), "slug", "left")
-    rows = rows.join(each(tags, F.col("tag"), "tags"), "slug", "left").join(each(companies, F.concat_ws(":", "role", "company"), "companies"), "slug", "left")
-    names = ("slug", "title", "description", "cover", "video_url", "release_date", "rating", "franchise", "channels", "tags", "companies")
-    return rows.select("slug", records.fingerprint({n: F.col(n) for n in names}).alias("print"))
+def change_fingerprint(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """payloads with slug and print, one row for each that has a product: a print over what should set off work when it changes. Times and the counts of
+    user ratings move all the time and are left out.
+
+    A payload's channels, tags and companies are sorted in its own row: it is parsed once, and nothing is shuffled or joined."""
+    p = F.col("product")
+    platforms, genres, companies = lists = p["platforms"], p["genres"], p["production"]["companies"]
+    names = F.concat(*(F.coalesce(F.transform(x, lambda e: e["name"]), F.array().cast("array<string>")) for x in lists))
+    rows = _sound(payloads, body).withColumn("_names", text.in_one(names))
+    rows = rows.withColumn("_slugs", text.slugs("_names"))
+    n_channels, n_tags = (F.greatest(F.size(x), F.lit(0)) for x in (platforms, genres))
+    slug = lambda e, k: F.when(e["name"].isNotNull(), F.get("_slugs", k))
+
+    def channel(e: Column, k: Column) -> Column:
+        made = score_columns(e["criticScoreSummary"])
+        return F.concat_ws(":", F.coalesce(e["slug"], slug(e, k)), F.coalesce(made["score"].cast("string"), F.lit("-")), made["n_reviews"].cast("string"))
+
+    tag = lambda e, k: slug(e, k + n_channels)
+    company = lambda e, k: F.concat_ws(":", _role(e), slug(e, k + n_channels + n_tags))
+    said = lambda x, f: F.when(F.size(x) > 0, F.array_join(F.sort_array(f(x)), "|"))
+    fields = {n: c for n, c in _item_columns(p).items() if n in ("slug", "title", "description", "cover", "video_url", "release_date", "rating", "franchise")} | {
+        "channels": said(platforms, lambda x: F.transform(x, channel)),
+        "tags": said(genres, lambda x: F.transform(x, tag)),
+        "companies": said(companies, lambda x: F.array_distinct(F.transform(x, company))),
+    }
+    # Columns of their own first: the print reads each several times.
+    rows = rows.select(*payloads.columns, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_own"))
+    return rows.select(*payloads.columns, F.col("_own")["slug"].alias("slug"), records.fingerprint({n: F.col("_own")[n] for n in fields}).alias("print"))
 
 
 def score_stats(payloads: DataFrame, key: str, body: str = "body", scale: int = 100) -> DataFrame:

@@ -43,6 +43,13 @@ def test_slug(spark):
     assert one(spark, "Xbox Series X|S", text.slug("x")) == "xbox-series-x-s"
 
 
+def test_slugs_of_a_list_are_those_of_its_names(spark):
+    names = ["Xbox Series X|S", "É'a", "한국 ﷺ", "", "a\x1fb", "--", "Σας"]
+    df = spark.createDataFrame([(names,), ([],)], "x array<string>").select("x", text.in_one("x").alias("y")).select("x", text.slugs("y").alias("y"))
+    each = [r[0] for r in spark.createDataFrame([(n,) for n in names], "x string").select(text.slug("x")).collect()]
+    assert [r.y for r in df.collect()] == [each, [""]]
+
+
 def test_accents_go_to_python_only_where_one_becomes_several(spark):
     told = "".join(map(chr, [*range(1, 0x3400), *range(0xABF0, 0xAC20), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F260), *range(0x2F800, 0x2FA20)]))
     kept = "\u0041\u030a\u00c5 \u00e9\u0301 \u0131 \u00df \u4e00"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomscore.functions import records
 from loomscore.operators import catalog, detail, merge, monitor, ops, schedule, similarity, snapshots
+from loomscore.plans.registry import QUERIES
 from loomscore.settings import DEFAULT
 from loomscore.sources import details
 from loomscore.streaming import stream
@@ -51,6 +52,28 @@ def test_details_parse_once_and_carry_no_lists(payloads):
     assert "lead#" in above and "all#" not in above
 
 
+def test_a_print_is_made_where_its_payload_lies(spark):
+    """Each payload was parsed four times and its lists went through shuffles and joins to become one print."""
+    firms = [{"name": "Acme É", "typeName": "Developer"}, {"name": "acme e", "typeName": "developer"}, {"name": None}]
+    one = {"platforms": [{"name": "Shop ﬁ", "criticScoreSummary": {"score": 88.5}}, {"slug": "x", "name": None}, None], "genres": [{"name": "A\x1fB"}, {"name": None}], "production": {"companies": firms}}
+    other = {k: v[::-1] for k, v in one.items() if k != "production"} | {"production": {"companies": firms[1:]}, "userScore": {"score": 7}}
+    rows = [detail_payload(**one), detail_payload(**other), detail_payload(**one | {"genres": [{"name": "A B C"}]}), detail_payload(**one | {"platforms": []}), "no json", None]
+    made = details.change_fingerprint(spark.createDataFrame(list(enumerate(rows)), "k int, text string"), "text")
+    assert made.columns == ["k", "text", "slug", "print"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "Join" not in plan and "Aggregate" not in plan
+    got = {r.k: r.print for r in made.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0] == got[1] and len(set(got.values())) == 3
+    said = {"slug": "a-b", "title": "A & B", "channels": "-:0|shop-fi:88:0|x:-:0", "tags": "a-b", "companies": "developer:acme-e|publisher"}
+    fields = {n: F.lit(said.get(n)) for n in ("slug", "title", "description", "cover", "video_url", "release_date", "rating", "franchise", "channels", "tags", "companies")}
+    assert got[0] == spark.range(1).select(records.fingerprint(fields)).first()[0]
+
+
+def test_a_changed_payload_meets_its_former_self_without_a_join(spark):
+    found = QUERIES["change_fingerprint"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2  # eight before
+
+
 def test_details(payloads):
     rows = {r.slug: r for r in details.detail_items(payloads).collect()}
     assert set(rows) == {"none", "two", "unrated", "firms", "bare"}
